@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup
+from . import packing, simhash_dedup, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash_near_dedup": simhash_dedup.op5_simhash_near_dedup,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
