@@ -1,16 +1,18 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the character n-grams (4 to 6) of a lower-cased text with runs of
-white space as one space, hashed to 2**18 buckets and counted as present or not.
+Features are the character n-grams (3 to 6) of a lower-cased text, with word ends
+as spaces, hashed to 2**18 buckets. A bucket gives up to three present-or-not
+features: found once or more, twice or more, three times or more.
 
 * Counts: every labelled training row adds to the number of toxic and of clean
-  rows that hold a bucket (summed per task first). Their smoothed log ratio is
-  the bucket's scale.
+  rows that hold a feature (summed per task first). Their smoothed log ratio is
+  the feature's scale. The `features` ones whose shares differ most significantly
+  (two-sample z score) are kept.
 * Fit: logistic regression on the scaled features, on a sample of the same rows
-  (at most `sample` of each class, taken by hash of the text's id, weighted back
-  to the class's size), by accelerated gradient steps on the driver. The sample
-  is the one thing that is bounded; see `fit`.
-* Score: a map over all texts with 2**18 weights (1 MB) in its closure.
+  (at most `sample` of each class, taken by hash of the id, weighted back to the
+  class's size), by accelerated gradient steps on the driver. The sample is the
+  one thing that is bounded; see `fit`.
+* Score: a map over all texts with the few thousand weights in its closure.
 
 Nulls: a null text scores like an empty one; labelled rows with a null id, label
 or text, and labels without a document, teach nothing. A document that has
@@ -29,43 +31,68 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 BITS = 18
-GRAMS = (4, 5, 6)
+GRAMS = (3, 4, 5, 6)
+LEVELS = 3
 
 
-def buckets(text: str | None, mark: np.ndarray) -> np.ndarray:
-    """Sorted distinct hash buckets of a text's n-grams; `mark` is a reusable array of False of size 2**BITS."""
+def grams(text: str | None) -> list[np.ndarray]:
+    """Hash buckets of a text's n-grams, one array per n, repeats included."""
     data = " ".join(["", *(text or "").lower().split(), ""]).encode("utf-8", "surrogatepass")
     codes = np.frombuffer(data, np.uint8).astype(np.uint32)
+    out = []
     for n in GRAMS:
-        if len(codes) < n:
-            continue
-        h = np.full(len(codes) - n + 1, n, np.uint32)
-        for k in range(n):
-            h *= np.uint32(0x01000193)
-            h ^= codes[k : len(codes) - n + 1 + k]
-        h *= np.uint32(0x9E3779B1)
-        mark[h >> np.uint32(32 - BITS)] = True
-    found = np.flatnonzero(mark)
-    mark[found] = False
-    return found.astype(np.int32)
+        if len(codes) >= n:
+            h = np.full(len(codes) - n + 1, n, np.uint32)
+            for k in range(n):
+                h *= np.uint32(0x01000193)
+                h ^= codes[k : len(codes) - n + 1 + k]
+            h *= np.uint32(0x9E3779B1)
+            out.append(h >> np.uint32(32 - BITS))
+    return out
+
+
+def features(found: list[np.ndarray]) -> np.ndarray:
+    """Feature ids (level * 2**BITS + bucket) of the buckets of a text."""
+    if not found:
+        return np.zeros(0, np.int32)
+    bucket, n = np.unique(np.concatenate(found), return_counts=True)
+    return np.concatenate([bucket[n > level].astype(np.int32) + (level << BITS) for level in range(LEVELS)])
 
 
 @dataclass
 class Model:
-    """Weights by bucket (the fitted weight times the scale) and the intercept."""
+    """Weights (the fitted weight times the scale) of sorted feature ids, and the intercept."""
 
+    ids: np.ndarray
     weights: np.ndarray
     intercept: float
 
-    def score(self, found: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[found].sum(dtype=np.float64), -30, 30))))
+    def scorer(self):
+        """A function from a text to its score; buckets without weight are left out before they are counted."""
+        known, table = np.zeros(1 << BITS, bool), np.zeros(LEVELS << BITS, np.float32)
+        known[self.ids & ((1 << BITS) - 1)] = True
+        table[self.ids] = self.weights
+
+        def run(text: str | None) -> float:
+            value = self.intercept + table[features([h[known[h]] for h in grams(text)])].sum(dtype=np.float64)
+            return float(1 / (1 + np.exp(-np.clip(value, -30, 30))))
+
+        return run
 
 
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learnt from, once per document."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null")
+    return known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, data, toxic): training rows; texts are compressed before the shuffle."""
 
@@ -75,99 +102,100 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
             data = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null")
-    known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInArrow(squeeze, "doc_id long, data binary").join(known, "doc_id")
+    return texts.mapInArrow(squeeze, "doc_id long, data binary").join(_known(labels), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, smoothing: float = 1.0, ridge: float = 1e-4, steps: int = 80) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample: int = 3000, kept: int = 4096, smoothing: float = 1.0, ridge: float = 1e-4, steps: int = 300
+) -> Model:
     """Train on the rows of `labels` that are not held out.
 
     All of them are counted. `sample` bounds the rows of each class whose features
     the driver holds for the regression: 2 * sample rows at any size of the corpus.
     """
-    spark = docs.sparkSession
-    rows = _labelled(docs, labels)
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {0: 0, 1: 0}
-    for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect():
+    for r in _known(labels).groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect():
         sizes[r["toxic"]] += r["count"]
     share = {k: min(1.0, 0.9 * sample / max(1, n)) for k, n in sizes.items()}
+    total = LEVELS << BITS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows (kind 0 or 1: bucket counts of a class; 2 or 3: one sampled document) of this task.
-        unpress, mark = zstandard.ZstdDecompressor(), np.zeros(1 << BITS, bool)
-        counts, seen = np.zeros((2, 1 << BITS), np.int64), [0, 0]
+        # Kind 0 and 1: how many clean and toxic rows of this task hold a feature (-1: all rows); 2 and 3: one sampled row.
+        unpress = zstandard.ZstdDecompressor()
+        counts, seen = np.zeros((2, total), np.int32), [0, 0]
+        names = ["kind", "feature", "n", "data"]
         for batch in batches:
-            ids, data, toxic = (batch.column(i).to_pylist() for i in range(3))
-            kept: list[tuple[int, bytes]] = []
-            for doc, blob, label in zip(ids, data, toxic):
+            taken: list[tuple[int, bytes]] = []
+            for doc, blob, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 label = int(label > 0)
-                found = buckets(unpress.decompress(blob).decode("utf-8", "surrogatepass"), mark)
+                found = features(grams(unpress.decompress(blob).decode("utf-8", "surrogatepass")))
                 counts[label, found] += 1
                 seen[label] += 1
                 if (doc * 0x9E3779B97F4A7C15 >> 11) % 2**32 < share[label] * 2**32:
-                    kept.append((2 + label, found.tobytes()))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int32()), pa.array([0] * len(kept), pa.int32()), pa.array([1] * len(kept), pa.int64()), pa.array([b for _, b in kept], pa.binary())], ["kind", "bucket", "n", "data"])
+                    taken.append((2 + label, found.tobytes()))
+            if taken:
+                ones = np.ones(len(taken), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in taken], pa.int32()), pa.array(ones), pa.array(ones.astype(np.int64)), pa.array([b for _, b in taken], pa.binary())], names)
         for label in (0, 1):
             found = np.flatnonzero(counts[label])
-            where, n = np.append(found, -1), np.append(counts[label, found], seen[label])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label, np.int32)), pa.array(where.astype(np.int32)), pa.array(n), pa.nulls(len(n), pa.binary())], ["kind", "bucket", "n", "data"])
-
-    from .shared import stored
-
-    gathered = stored(rows.select("doc_id", "data", "toxic").mapInArrow(gather, "kind int, bucket int, n long, data binary"), "toxicity")
-    totals = gathered.where("kind < 2").groupBy("bucket").agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("clean"), F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("toxic"))
-    table = totals.na.fill(0).toArrow()  # 2**BITS + 1 rows at most
-    bucket, clean, toxic = (table.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
-    all_clean, all_toxic = int(clean[bucket < 0].sum()), int(toxic[bucket < 0].sum())
-    prior = float(np.log((all_toxic + 1) / (all_clean + 1)))
-    if not all_clean or not all_toxic:
-        return Model(np.zeros(1 << BITS, np.float32), prior)
-    p, q = np.full(1 << BITS, smoothing), np.full(1 << BITS, smoothing)
-    p[bucket[bucket >= 0]] += toxic[bucket >= 0]
-    q[bucket[bucket >= 0]] += clean[bucket >= 0]
-    scale = (np.log(p / (all_toxic + 2 * smoothing)) - np.log(q / (all_clean + 2 * smoothing))).astype(np.float32)
+            where = np.append(found, -1).astype(np.int32)
+            n = np.append(counts[label, found], seen[label]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label, np.int32)), pa.array(where), pa.array(n), pa.nulls(len(n), pa.binary())], names)
+
+    rows = _labelled(docs, labels).select("doc_id", "data", "toxic")
+    gathered = stored(rows.mapInArrow(gather, "kind int, feature int, n long, data binary"), "toxicity")
+    of = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(name)
+    counted = gathered.where("kind < 2").groupBy("feature").agg(of(0, "clean"), of(1, "toxic"))
+    every = counted.where("feature < 0").first()
+    clean, toxic = (int(every["clean"]), int(every["toxic"])) if every else (0, 0)
+    prior = float(np.log((toxic + 1) / (clean + 1)))
+    nothing = Model(np.zeros(0, np.int32), np.zeros(0, np.float32), prior)
+    if not clean or not toxic:
+        return nothing
+    both = (F.col("clean") + F.col("toxic")) / F.lit(clean + toxic)
+    z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(both * (1 - both) * F.lit(1 / clean + 1 / toxic))
+    ratio = F.log((F.col("toxic") + smoothing) / (toxic + 2 * smoothing)) - F.log((F.col("clean") + smoothing) / (clean + 2 * smoothing))
+    ranked = counted.where(f"feature >= 0 and clean + toxic < {clean + toxic}").select("feature", ratio.alias("ratio"), F.abs(z).alias("z"))
+    best = ranked.where("z >= 3").orderBy(F.desc("z"), "feature").limit(kept).toPandas().sort_values("feature")
     chosen = gathered.where("kind >= 2").select("kind", "data").toArrow()
-    docs_of = [np.frombuffer(b, np.int32) for b in chosen.column("data").to_pylist()]
     label = chosen.column("kind").to_numpy() - 2.0
-    if not len(docs_of) or label.min() == label.max():
-        return Model(scale / 100, prior)
-    return _regress(docs_of, label, {1: all_toxic, 0: all_clean}, scale, ridge, steps)
-
-
-def _regress(docs_of: list[np.ndarray], label: np.ndarray, sizes: dict[int, int], scale: np.ndarray, ridge: float, steps: int) -> Model:
-    """Weighted logistic regression on the present buckets' scales, by Nesterov steps with backtracking-free step size."""
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in docs_of])])
-    flat = np.concatenate([*docs_of, np.zeros(1, np.int32)])
-    empty = np.diff(starts) == 0
+    if not len(best) or not len(label) or label.min() == label.max():
+        return nothing
+    ids, scale = best["feature"].to_numpy(np.int32), best["ratio"].to_numpy(np.float64)
+    held = [np.flatnonzero(np.isin(ids, np.frombuffer(b, np.int32))) for b in chosen.column("data").to_pylist()]
+    weights, intercept = regress(held, label, {1: toxic, 0: clean}, scale, ridge, steps)
+    return Model(ids, (weights * scale).astype(np.float32), intercept)
+
+
+def regress(held: list[np.ndarray], label: np.ndarray, sizes: dict[int, int], scale: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression: row i has the value scale[j] at each j of held[i]. Nesterov steps; returns weights and intercept."""
+    rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    flat = np.concatenate(held)
     each = np.where(label > 0, sizes[1] / max(1, (label > 0).sum()), sizes[0] / max(1, (label == 0).sum()))
     each = each / each.sum()
-    norm = np.sqrt(np.maximum(1, np.array([(scale[x].astype(float) ** 2).sum() for x in docs_of])))
-    rate = 4.0 / float((each * (norm**2 + 1)).sum())
-    w, b = np.zeros(len(scale), np.float32), float(np.log(sizes[1] / sizes[0]))
-    w_old, b_old, rows = w, b, np.repeat(np.arange(len(docs_of)), np.diff(starts))
+    norm = np.bincount(rows, scale[flat] ** 2, len(held))
+    rate = 4.0 / float((each * (norm + 1)).sum())
+    w, b = np.zeros(len(scale)), float(np.log(sizes[1] / sizes[0]))
+    w_old, b_old = w, b
     for step in range(steps):
         lead = step / (step + 3)
         w_now, b_now = w + lead * (w - w_old), b + lead * (b - b_old)
-        z = np.add.reduceat((w_now * scale)[flat], starts[:-1], dtype=np.float64)
-        z = np.where(empty, 0, z) + b_now
+        z = np.bincount(rows, (w_now * scale)[flat], len(held)) + b_now
         error = each * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label)
-        gradient = np.bincount(flat[:-1], error[rows], len(scale)).astype(np.float32) * scale + ridge * w_now
+        gradient = np.bincount(flat, error[rows], len(scale)) * scale + ridge * w_now
         w_old, b_old = w, b
         w, b = w_now - rate * gradient, b_now - rate * float(error.sum())
-    return Model((w * scale).astype(np.float32), b)
+    return w, b
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.zeros(1 << BITS, bool)
+        value = model.scorer()
         for batch in batches:
-            values = [model.score(buckets(t, mark)) for t in batch.column(1).to_pylist()]
+            values = [value(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
@@ -177,10 +205,10 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """`docs` without the rows that score `threshold` or more; scored in the same pass, without a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.zeros(1 << BITS, bool)
+        value = model.scorer()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(buckets(t, mark)) < threshold for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([value(t) < threshold for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
