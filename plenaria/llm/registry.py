@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, simhash_dedup, toxicity
+from . import packing, quality, secrets, simhash_dedup, toxicity
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash_near_dedup": simhash_dedup.op5_simhash_near_dedup,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 

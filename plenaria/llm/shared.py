@@ -114,3 +114,36 @@ def bounds(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+class WordHashes(dict):
+    """Raw word (bytes) -> 64-bit hash of the word lower-cased and without marks at its ends; 0 if nothing is left."""
+
+    MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __missing__(self, word: bytes) -> int:
+        bare = word.lower().strip(self.MARKS)
+        value = self[word] = (xxhash.xxh64_intdigest(bare) or 1) if bare else 0
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > 1_000_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hashes (modulo 2**64) of the k-grams of token hashes."""
+    n = len(tokens) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += tokens[j : j + n]
+    return out ^ (out >> np.uint64(29))
+
+
+def blobs(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each text; null counts as empty."""
+    return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

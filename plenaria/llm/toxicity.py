@@ -158,12 +158,18 @@ def fit(
     ratio = F.log((F.col("toxic") + smoothing) / (toxic + 2 * smoothing)) - F.log((F.col("clean") + smoothing) / (clean + 2 * smoothing))
     ranked = counted.where(f"feature >= 0 and clean + toxic < {clean + toxic}").select("feature", ratio.alias("ratio"), F.abs(z).alias("z"))
     best = ranked.where("z >= 3").orderBy(F.desc("z"), "feature").limit(kept).toPandas().sort_values("feature")
-    chosen = gathered.where("kind >= 2").select("kind", "data").toArrow()
+    ids, scale = best["feature"].to_numpy(np.int32), best["ratio"].to_numpy(np.float64)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.flatnonzero(np.isin(ids, np.frombuffer(b, np.int32))).astype(np.int16).tobytes() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["kind", "held"])
+
+    chosen = gathered.where("kind >= 2").select("kind", "data").mapInArrow(narrow, "kind int, held binary").toArrow()
     label = chosen.column("kind").to_numpy() - 2.0
     if not len(best) or not len(label) or label.min() == label.max():
         return nothing
-    ids, scale = best["feature"].to_numpy(np.int32), best["ratio"].to_numpy(np.float64)
-    held = [np.flatnonzero(np.isin(ids, np.frombuffer(b, np.int32))) for b in chosen.column("data").to_pylist()]
+    held = [np.frombuffer(b, np.int16) for b in chosen.column("held").to_pylist()]
     weights, intercept = regress(held, label, {1: toxic, 0: clean}, scale, ridge, steps)
     return Model(ids, (weights * scale).astype(np.float32), intercept)
 
