@@ -113,7 +113,7 @@ def _steps(rule: str) -> F.Column:
     return F.least(F.floor(F.expr(RULES[rule]) * STEPS), F.lit(STEPS - 1)).cast("int")
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, limit: float = 0.01, level: float = 0.05) -> DataFrame:
+def thresholds(measured: DataFrame, labels: DataFrame, limit: float = 0.02, level: float = 0.05) -> DataFrame:
     """(stratum, rule, cutoff): the chosen rules; a document fails one if its step is the cutoff or more."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality is not null")
     known = known.groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
@@ -132,7 +132,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, limit: float = 0.01, leve
     return counts.groupBy("stratum", "rule").applyInPandas(pick, "stratum string, rule string, cutoff int")
 
 
-def judge(docs: DataFrame, labels: DataFrame, limit: float = 0.01, level: float = 0.05, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, limit: float = 0.02, level: float = 0.05, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """MEASURES of each row with base_failed, the rules it fails (comma-joined) and kept."""
     measured = stored(measures(docs), "quality")
     chosen = thresholds(measured, labels, limit, level).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
