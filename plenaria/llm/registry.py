@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash_dedup, toxicity
+from . import chat, decontaminate, line_dedup, packing, quality, secrets, simhash_dedup, toxicity
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash_near_dedup": simhash_dedup.op5_simhash_near_dedup,
+    "op6_chat_format": chat.op6_chat_format,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat.OP6_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
