@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, packing, quality, secrets, simhash_dedup, toxicity
+from . import chat, decontaminate, line_dedup, packing, quality, secrets, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_suffix_array_dedup": substring_dedup.op4_suffix_array_dedup,
     "op5_simhash_near_dedup": simhash_dedup.op5_simhash_near_dedup,
     "op6_chat_format": chat.op6_chat_format,
     "op7_line_dedup": line_dedup.op7_line_dedup,
