@@ -44,7 +44,7 @@ WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾
 UNSAFE = re.compile("[\x0b\x0c\x1c-\x1f\x85İȺȾɐ-\U0010ffff]|<\\|")
 
 
-def encoder(path: str, cached: int = 400_000) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, cached: int = 800_000) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary splits lower-cased text into words that are encoded one by one,
@@ -58,7 +58,7 @@ def encoder(path: str, cached: int = 400_000) -> Callable[[list[str]], list[byte
     vocabulary = model.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    whole = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4")
+    whole = lambda text: np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > cached:
