@@ -5,7 +5,7 @@ as spaces, hashed to 2**18 buckets. A bucket gives up to three present-or-not
 features: found once or more, twice or more, three times or more.
 
 * Counts: every labelled training row adds to the number of toxic and of clean
-  rows that hold a feature (summed per task first). Their smoothed log ratio is
+  rows that hold a feature (summed per task, shuffled as compressed blocks). Their smoothed log ratio is
   the feature's scale. The `features` ones whose shares differ most significantly
   (two-sample z score) are kept.
 * Fit: logistic regression on the scaled features, on a sample of the same rows
@@ -36,6 +36,7 @@ from .shared import stored
 BITS = 18
 GRAMS = (3, 4, 5, 6)
 LEVELS = 3
+BLOCK = 1 << 13  # features whose counts travel together
 
 
 def grams(text: str | None) -> list[np.ndarray]:
@@ -121,48 +122,59 @@ def fit(
     total = LEVELS << BITS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Kind 0 and 1: how many clean and toxic rows of this task hold a feature (-1: all rows); 2 and 3: one sampled row.
-        unpress = zstandard.ZstdDecompressor()
+        # Kind 0 and 1: in how many clean and toxic rows of this task each feature of a block stands (block -1: n rows in all); 2 and 3: one sampled text.
+        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         counts, seen = np.zeros((2, total), np.int32), [0, 0]
-        names = ["kind", "feature", "n", "data"]
+        names = ["kind", "block", "n", "data"]
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names)
         for batch in batches:
-            taken: list[tuple[int, bytes]] = []
+            taken: list[tuple] = []
             for doc, blob, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 label = int(label > 0)
-                found = features(grams(unpress.decompress(blob).decode("utf-8", "surrogatepass")))
-                counts[label, found] += 1
+                counts[label, features(grams(unpress.decompress(blob).decode("utf-8", "surrogatepass")))] += 1
                 seen[label] += 1
                 if (doc * 0x9E3779B97F4A7C15 >> 11) % 2**32 < share[label] * 2**32:
-                    taken.append((2 + label, found.tobytes()))
+                    taken.append((2 + label, 0, 1, blob))
             if taken:
-                ones = np.ones(len(taken), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in taken], pa.int32()), pa.array(ones), pa.array(ones.astype(np.int64)), pa.array([b for _, b in taken], pa.binary())], names)
+                yield table(taken)
         for label in (0, 1):
-            found = np.flatnonzero(counts[label])
-            where = np.append(found, -1).astype(np.int32)
-            n = np.append(counts[label, found], seen[label]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label, np.int32)), pa.array(where), pa.array(n), pa.nulls(len(n), pa.binary())], names)
+            if seen[label]:
+                blocks = enumerate(counts[label].reshape(-1, BLOCK))
+                yield table([(label, -1, seen[label], b""), *((label, i, 0, press.compress(x.tobytes())) for i, x in blocks if x.any())])
 
     rows = _labelled(docs, labels).select("doc_id", "data", "toxic")
-    gathered = stored(rows.mapInArrow(gather, "kind int, feature int, n long, data binary"), "toxicity")
-    of = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(name)
-    counted = gathered.where("kind < 2").groupBy("feature").agg(of(0, "clean"), of(1, "toxic"))
-    every = counted.where("feature < 0").first()
-    clean, toxic = (int(every["clean"]), int(every["toxic"])) if every else (0, 0)
+    gathered = stored(rows.mapInArrow(gather, "kind int, block int, n long, data binary"), "toxicity")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    clean, toxic = gathered.where("block = -1").agg(of(0), of(1)).first()
     prior = float(np.log((toxic + 1) / (clean + 1)))
     nothing = Model(np.zeros(0, np.int32), np.zeros(0, np.float32), prior)
     if not clean or not toxic:
         return nothing
-    both = (F.col("clean") + F.col("toxic")) / F.lit(clean + toxic)
-    z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(both * (1 - both) * F.lit(1 / clean + 1 / toxic))
-    ratio = F.log((F.col("toxic") + smoothing) / (toxic + 2 * smoothing)) - F.log((F.col("clean") + smoothing) / (clean + 2 * smoothing))
-    ranked = counted.where(f"feature >= 0 and clean + toxic < {clean + toxic}").select("feature", ratio.alias("ratio"), F.abs(z).alias("z"))
-    best = ranked.where("z >= 3").orderBy(F.desc("z"), "feature").limit(kept).toPandas().sort_values("feature")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The blocks of a partition are summed as they come; a feature in all rows or of no significance is left out.
+        unpress, sums = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for kind, block, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sums.setdefault(block, np.zeros((2, BLOCK), np.int64))[kind] += np.frombuffer(unpress.decompress(data), np.int32)
+        for block, (c, t) in sums.items():
+            both = (c + t) / (clean + toxic)
+            spread = np.sqrt(both * (1 - both) * (1 / clean + 1 / toxic))
+            z = np.abs(t / toxic - c / clean) / np.where(spread > 0, spread, np.inf)
+            ratio = np.log((t + smoothing) / (toxic + 2 * smoothing)) - np.log((c + smoothing) / (clean + 2 * smoothing))
+            found = np.flatnonzero(z >= 3)
+            columns = (found + block * BLOCK).astype(np.int32), ratio[found], z[found]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["feature", "ratio", "z"])
+
+    ranked = gathered.where("kind < 2 and block >= 0").select("kind", "block", "data").repartition("block").mapInArrow(rank, "feature int, ratio double, z double")
+    best = ranked.orderBy(F.desc("z"), "feature").limit(kept).toPandas().sort_values("feature")
     ids, scale = best["feature"].to_numpy(np.int32), best["ratio"].to_numpy(np.float64)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            held = [np.flatnonzero(np.isin(ids, np.frombuffer(b, np.int32))).astype(np.int16).tobytes() for b in batch.column(1).to_pylist()]
+            texts = [unpress.decompress(b).decode("utf-8", "surrogatepass") for b in batch.column(1).to_pylist()]
+            held = [np.flatnonzero(np.isin(ids, features(grams(t)))).astype(np.int16).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["kind", "held"])
 
     chosen = gathered.where("kind >= 2").select("kind", "data").mapInArrow(narrow, "kind int, held binary").toArrow()
