@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, packing, quality, secrets, simhash_dedup, substring_dedup, toxicity
+from . import chat, decontaminate, licenses, line_dedup, packing, quality, secrets, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_suffix_array_dedup": substring_dedup.op4_suffix_array_dedup,
