@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, licenses, line_dedup, packing, quality, secrets, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat.OP6_SQL, "op7_line_dedup": line_dedup.OP7_SQL}

@@ -148,3 +148,30 @@ def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
 def blobs(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 100_000) -> Iterator[pa.Table]:
+    """Tables of `least` rows or more that end where the sorted `keys` change (the last one where the input ends)."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(rows - 1, bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            change |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(change)
+        if len(cuts):
+            yield table.slice(0, cuts[-1] + 1)
+            held = table.slice(cuts[-1] + 1).combine_chunks().to_batches()
+        else:
+            held = table.to_batches()
+        rows = sum(b.num_rows for b in held)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -16,6 +16,9 @@ distinct fingerprints only, so copies cost nothing; inside one, a search from
 each unvisited fingerprint emits a spanning forest of the verified links, never
 all pairs. Buckets of over `block` rows are dealt out as pairs of blocks.
 
+`keep_one` goes further, as copies whose word shingles are four fifths alike differ in
+far more than three bits: see `similar`.
+
 Nulls: a null text has no words. A null doc_id is a document without a name: it
 takes part, and its group is named by the other ids, or null if there are none.
 Repeated rows are rows of one group; extra columns are ignored; empty tables
@@ -29,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stored
+from .shared import blobs, components, gram_hashes, stored, whole_groups
 
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 # Fixed value: a generator polynomial of the binary (23,12) Golay code.
@@ -187,18 +191,16 @@ def links(fps: DataFrame, distance: int = 3, block: int = 4096) -> DataFrame:
             yield solve(*held)
 
     keyed = fps.select("fp").mapInArrow(keys, "key long, fp long")
+    return _dealt(keyed, block).repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "a long, b long").distinct()
+
+
+def _dealt(keyed: DataFrame, block: int) -> DataFrame:
+    """`keyed` (key, fp and more) with blk: a bucket of over `block` rows becomes pairs of blocks, so that any two rows meet in one."""
     hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("n"))
     mine = F.pmod(F.xxhash64("fp"), F.col("n"))
-    dealt = keyed.join(hot, "key", "left").select(
-        "key",
-        F.explode(
-            F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-                F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.least(mine, j) * F.col("n") + F.greatest(mine, j))
-            )
-        ).alias("blk"),
-        "fp",
-    )
-    return dealt.repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "a long, b long").distinct()
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.least(mine, j) * F.col("n") + F.greatest(mine, j))
+    blk = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("blk")
+    return keyed.join(hot, "key", "left").select("key", blk, *[c for c in keyed.columns if c != "key"])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, block: int = 4096) -> DataFrame:
@@ -212,9 +214,151 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, block:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def words_of(text: str | bytes | None) -> list[bytes]:
+    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return data.lower().split()
+
+
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles; a shorter text is one shingle, one without words has none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.unique(gram_hashes(own, min(size, len(words))))
+
+
+def sketch(words: list[bytes], shingle: int, anchors: int) -> tuple[int, bytes, bytes, int]:
+    """(node, anchors, segments, fp): hash of all words; min-hashes of the shingles; 23-bit segments and 64 bits of a SimHash over word pairs."""
+    node = xxhash.xxh64_intdigest(b" ".join(words))
+    grams, pairs = shingle_hashes(words, shingle), shingle_hashes(words, 2)
+    if not len(grams):
+        return node, b"", b"", 0
+    odd = np.random.default_rng(2).integers(0, 2**63, anchors, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = [mixed.min() for mixed in ((grams * m) ^ (grams * m) >> np.uint64(32) for m in odd)]
+    n = -(-(64 + 23 * anchors) // 64)
+    total = np.zeros(64 * n, np.int64)
+    for i in range(n):
+        own = (pairs ^ pairs >> np.uint64(33)) * np.uint64(0x9E3779B97F4A7C15 + 2 * (i + 1) * 0x632BE59BD9B4E019 & 2**64 - 1 | 1)
+        own = (own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        for at in range(0, len(own), 1 << 16):
+            part = own[at : at + (1 << 16)].astype(">u8").view(np.uint8)
+            total[64 * i : 64 * i + 64] += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    bits = 2 * total > len(pairs)
+    segments = (bits[64 : 64 + 23 * anchors].reshape(anchors, 23) * (1 << np.arange(23))).sum(axis=1)
+    return node, np.array(low, np.uint64).tobytes(), segments.astype(np.int32).tobytes(), int.from_bytes(np.packbits(bits[:64]).tobytes(), "big")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 8, near: int = 18, block: int = 4096) -> DataFrame:
+    """(doc_id, node, component_id): documents whose sets of word shingles have a Jaccard similarity of `similarity` or more are linked.
+
+    Such copies differ in 10 to 15 of 64 SimHash bits, beyond any pigeonhole over few
+    segments. So a longer SimHash (over word pairs, which edits disturb less) is cut
+    into `anchors` segments of 23 bits; each one's nearby Golay codewords (two errors
+    are forgiven) are keys together with a min-hash of the shingles, which keeps
+    buckets small at any number of documents. A pair at 0.8 meets under one anchor
+    with probability 0.8 * 0.6; under 8, all but one in a hundred meet. Inside a
+    bucket a search links fingerprints within `near` bits (a spanning forest), and
+    each such link is verified by the exact similarity of the two whole texts.
+    Texts of equal words are one node from the start.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "node", "anchors", "segments", "fp"]
+        for batch in batches:
+            found = [sketch(words_of(b), shingle, anchors) for b in blobs(batch.column(1))]
+            node, fp = (pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2)), fp], names)
+
+    marked = stored(texts.mapInArrow(draw, "doc_id long, node long, anchors binary, segments binary, fp long"), "similar")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("anchors").alias("anchors"), F.first("segments").alias("segments"), F.first("fp").alias("fp")), "similar-nodes")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        errors = _error_patterns()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                node, low, segs, fp = batch.slice(at, 2000).columns
+                full = np.flatnonzero([len(x) > 0 for x in low.to_pylist()])
+                node, fp = (x.to_numpy()[full] for x in (node, fp))
+                low = np.frombuffer(b"".join(low.to_pylist()), np.uint64).reshape(-1, anchors)
+                segs = np.frombuffer(b"".join(segs.to_pylist()), np.int32).reshape(-1, anchors).astype(np.int64)
+                for r in range(anchors):
+                    own, first = segment_keys(segs[:, r], 23, errors)
+                    row, col = np.nonzero(first)
+                    key = (low[row, r] + own[row, col].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(2 * r + 0xBF58476D1CE4E5B9)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(fp[row])], ["key", "node", "fp"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key", "blk"], 20_000):
+            key, blk, node = (table.column(c).to_numpy() for c in ("key", "blk", "node"))
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (blk[1:] != blk[:-1])) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+            found: list[tuple[int, int]] = []
+            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                at = np.unique(node[s:e], return_index=True)[1] + s
+                found += [(node[a], node[b]) for a, b in index_forest(fp[at], near, at)]
+            pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    keyed = nodes.select("node", "anchors", "segments", "fp").mapInArrow(keys, "key long, node long, fp long")
+    met = _dealt(keyed, block).repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "a long, b long").distinct()
+    roots = components(verified(stored(met, "similar-links"), texts, shingle, similarity))
+    placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    named = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = placed.join(named, "root").select("node", "component_id")
+    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "component_id")
+
+
+def index_forest(fps: np.ndarray, distance: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """Labels of links that join the same fingerprints as all pairs within `distance` do."""
+    rest, links = np.arange(len(fps)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            here = queue.pop()
+            close = np.bitwise_count(fps[rest] ^ fps[here]) <= distance
+            links += [(label[here], label[x]) for x in rest[close]]
+            queue += list(rest[close])
+            rest = rest[~close]
+    return links
+
+
+def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose whole texts are similar enough; texts travel compressed, once for each link."""
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            joined = [b" ".join(words_of(b)) for b in blobs(batch.column(0))]
+            node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in joined], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([node, pa.array([squeeze.compress(x) for x in joined], pa.binary())], ["node", "data"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        undo, last = zstandard.ZstdDecompressor(), None
+        for batch in batches:
+            out = []
+            for a, b, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = shingle_hashes(undo.decompress(data).split(), shingle)
+                if last and last[:2] == (a, b):
+                    both = len(np.intersect1d(last[2], own, assume_unique=True))
+                    if both >= similarity * (len(own) + len(last[2]) - both):
+                        out.append((a, b))
+                    last = None
+                else:
+                    last = (a, b, own)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    asked = ends.select("node").distinct()
+    known = texts.select("text").mapInArrow(press, "node long, data binary").join(asked, "node", "left_semi").groupBy("node").agg(F.min("data").alias("data"))
+    paired = ends.join(known, "node").select("a", "b", "data")
+    return paired.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """`docs` without the near copies of an earlier document; rows without a doc_id stay if nothing names their group."""
-    found = near_duplicates(docs, **options)
+    """`docs` without the near copies (see `similar`) of an earlier document; rows without a doc_id stay if nothing names their group."""
+    found = similar(docs, **options)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 

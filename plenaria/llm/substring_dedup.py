@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import blobs, bounds, stored
+from .shared import blobs, bounds, stored, whole_groups
 
 LENGTH, GRAM = 100, 24
 SEGMENT = 1 << 22  # starts that are looked at together; places inside fit in the low bits of a hash
@@ -166,33 +166,6 @@ def parse(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame
     return docs.select("doc", "sub", "text").mapInArrow(run, PHRASE)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 100_000) -> Iterator[pa.Table]:
-    """Tables of `least` rows or more that end where the sorted `keys` change (the last one where the input ends)."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        change = np.zeros(rows - 1, bool)
-        for k in keys:
-            values = table.column(k).to_numpy()
-            change |= values[1:] != values[:-1]
-        cuts = np.flatnonzero(change)
-        if len(cuts):
-            yield table.slice(0, cuts[-1] + 1)
-            held = table.slice(cuts[-1] + 1).combine_chunks().to_batches()
-        else:
-            held = table.to_batches()
-        rows = sum(b.num_rows for b in held)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def dictionary(parsed: DataFrame) -> DataFrame:
     """PHRASE rows: REPEAT for starts that are repeats for sure; the rest are entries whose suffixes must be compared.
 
@@ -202,7 +175,7 @@ def dictionary(parsed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A hot trigger's entries all go on, so its groups may end where the phrase changes, a plain one's where the trigger does.
-        for table in _whole_groups(batches, ["trigger"]):
+        for table in whole_groups(batches, ["trigger"]):
             c = [table.column(x).to_numpy() for x in P_NAMES]
             kind, trigger, phrase = c[:3]
             made = kind == REPEAT
@@ -255,7 +228,7 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["trigger", "salt"], 20_000):
+        for table in whole_groups(batches, ["trigger", "salt"], 20_000):
             kind, trigger, salt, doc, sub, at = (table.column(c).to_numpy() for c in ("kind", "trigger", "salt", "doc", "sub", "at"))
             parts = table.column("bytes").to_pylist()
             lengths = np.array([len(p) for p in parts])
