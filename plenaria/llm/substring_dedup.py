@@ -21,8 +21,8 @@ A byte is removed if a string of `length` bytes covers it that also starts earli
 
 Copies inside a batch of documents are folded before the shuffle. A trigger that
 very many different phrases share (a common passage in many contexts) is hot: its
-phrases are dealt by their own hash in step 3, and its suffixes by theirs in step
-4. Which triggers are hot (a bounded list, from counts over all documents) only
+phrases are dealt by their own hash in step 3, and its suffixes by how far they
+start before the trigger in step 4, which equal strings have in common. Which triggers are hot (a bounded list, from counts over all documents) only
 decides the dealing, never the result. Hashes are 64 bits each; strings count as
 equal if both the trigger's and their own are.
 
@@ -51,7 +51,7 @@ SEGMENT = 1 << 22  # starts that are looked at together; places inside fit in th
 LOW = np.uint64((1 << 24) - 1)
 STEP = 0x9E3779B97F4A7C15
 FRESH, REPEAT, HOT = 0, 1, 2
-SALTS = 16
+SALTS = 8
 PHRASE = "kind int, trigger long, phrase long, doc long, sub int, at long, n int"
 P_NAMES = [c.split()[0] for c in PHRASE.split(", ")]
 P_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
@@ -206,30 +206,37 @@ def _pressed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "doc", "sub", "text").mapInArrow(run, "doc_id long, doc long, sub int, data binary")
 
 
-def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, sub, at, n): starts of the entries whose string stands in an earlier entry."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        names = ["kind", "trigger", "salt", "doc", "sub", "at", "bytes"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["trigger", "salt", "doc", "sub", "at", "bytes"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        wide = -(-(length - gram + 1) // SALTS)
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
             for doc, sub, blob, asked in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = unpress.decompress(blob)
                 for x in asked:
-                    own = data[x["at"] : x["at"] + x["n"] + length - 1]
-                    for salt in range(SALTS if x["kind"] == HOT else 1):
-                        rows.append((x["kind"], x["trigger"], salt, doc, sub, x["at"], own))
+                    trigger, at, n = x["trigger"], x["at"], x["n"]
+                    if x["kind"] != HOT:
+                        rows.append((trigger, -1, doc, sub, at, data[at : at + n + length - 1]))
+                        continue
+                    here = np.frombuffer(data, np.uint8, n + length - 1, at)
+                    before = int((rolling(here, gram).view(np.int64) == trigger).argmax())
+                    for salt in range((before - n + 1) // wide, before // wide + 1):
+                        first, last = max(0, before - salt * wide - wide + 1), min(n - 1, before - salt * wide)
+                        rows.append((trigger, salt, doc, sub, at + first, data[at + first : at + last + length]))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["trigger", "salt"], 20_000):
-            kind, trigger, salt, doc, sub, at = (table.column(c).to_numpy() for c in ("kind", "trigger", "salt", "doc", "sub", "at"))
+            trigger, doc, sub, at = (table.column(c).to_numpy() for c in ("trigger", "doc", "sub", "at"))
             parts = table.column("bytes").to_pylist()
             lengths = np.array([len(p) for p in parts])
             offsets, strings = bounds(lengths), lengths - length + 1
@@ -237,8 +244,6 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int) -> DataFram
             row = np.repeat(np.arange(len(parts)), strings)
             inside = np.arange(len(row)) - np.repeat(bounds(strings)[:-1], strings)
             own = hashes[offsets[row] + inside]
-            mine = (kind[row] != HOT) | (own % np.uint64(SALTS) == salt[row].astype(np.uint64))
-            row, inside, own = row[mine], inside[mine], own[mine]
             place = at[row] + inside
             order = np.lexsort((place, sub[row], doc[row], trigger[row], own))
             same = (own[order][1:] == own[order][:-1]) & (trigger[row[order]][1:] == trigger[row[order]][:-1])
@@ -252,7 +257,7 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int) -> DataFram
 
     asked = entries.groupBy("doc", "sub").agg(F.collect_list(F.struct("kind", "trigger", "at", "n")).alias("asked"))
     fetched = _pressed(docs).join(asked, ["doc", "sub"]).select("doc", "sub", "data", "asked")
-    fetched = fetched.mapInArrow(fetch, "kind int, trigger long, salt int, doc long, sub int, at long, bytes binary")
+    fetched = fetched.mapInArrow(fetch, "trigger long, salt int, doc long, sub int, at long, bytes binary")
     return fetched.repartition("trigger", "salt").sortWithinPartitions("trigger", "salt").mapInArrow(compare, "doc long, sub int, at long, n int")
 
 
@@ -264,7 +269,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, of
         once = stored(ordered.dropDuplicates(["doc", "sub"]), "substring-texts")
     hot = _hot(once, length, gram, often, most, local)
     known = stored(dictionary(parse(once, hot, length, gram)), "substring-dictionary")
-    more = suffix_repeats(known.where(F.col("kind") != REPEAT), once, length)
+    more = suffix_repeats(known.where(F.col("kind") != REPEAT), once, length, gram)
     repeats = known.where(F.col("kind") == REPEAT).select("doc", "sub", "at", "n").union(more)
     runs = repeats.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
