@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from .shared import stored
 
-DOC = ["line_doc", "line_text_hash"]
+DOC = ["__doc", "__text_hash"]
 WHITE = " \t\r\x0b\x0c"
 
 
@@ -89,17 +89,18 @@ def repeated_runs(docs: DataFrame, words: int = 50) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, words: int = 50) -> DataFrame:
-    """`docs` with repeated runs deleted from its texts, and the columns n_lines and n_removed."""
-    runs = repeated_runs(docs, words).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "last"))).alias("runs"))
+    """`docs` with repeated runs deleted from its texts, and n_lines and n_removed (in place of columns of these names)."""
+    runs = repeated_runs(docs, words).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "last"))).alias("__runs"))
     joined = _keyed(docs).join(runs, DOC, "left")
     lines = F.split("text", "\n")
     n = F.coalesce(F.size(lines), F.lit(0))
-    starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
-    stops = F.concat(F.transform("runs", lambda r: r["start"]), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("__runs", lambda r: r["last"] + 1))
+    stops = F.concat(F.transform("__runs", lambda r: r["start"]), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, b - a)))
-    removed = F.aggregate("runs", F.lit(0), lambda acc, r: acc + r["last"] - r["start"] + 1)
+    removed = F.aggregate("__runs", F.lit(0), lambda acc, r: acc + r["last"] - r["start"] + 1)
+    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
     return joined.select(
-        *(F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        *(text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")),
         F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -9,8 +9,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,7 +149,7 @@ def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
 
 def blobs(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
-    return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+    return [b or b"" for b in _bytes(column)]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 100_000) -> Iterator[pa.Table]:
@@ -175,3 +177,35 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         rows = sum(b.num_rows for b in held)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def pressed(df: DataFrame, column: str = "text") -> DataFrame:
+    """`df` with a text column as compressed bytes: for a shuffle of whole texts. unpressed() undoes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            data = [None if b is None else press.compress(b) for b in _bytes(batch.column(at))]
+            yield batch.set_column(at, column, pa.array(data, pa.binary()))
+
+    return df.mapInArrow(run, _retyped(df, column, BinaryType()))
+
+
+def unpressed(df: DataFrame, column: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            data = [None if b is None else unpress.decompress(b) for b in batch.column(at).to_pylist()]
+            yield batch.set_column(at, column, pa.array(data, pa.binary()).cast(pa.string()))
+
+    return df.mapInArrow(run, _retyped(df, column, StringType()))
+
+
+def _bytes(column: pa.Array) -> list:
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def _retyped(df: DataFrame, column: str, kind) -> StructType:
+    return StructType([StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema])

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blobs, components, gram_hashes, stored, whole_groups
+from .shared import blobs, components, gram_hashes, pressed, stored, unpressed, whole_groups
 
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 # Fixed value: a generator polynomial of the binary (23,12) Golay code.
@@ -360,7 +360,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """`docs` without the near copies (see `similar`) of an earlier document; rows without a doc_id stay if nothing names their group."""
     found = similar(docs, **options)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    packed = pressed(docs)
+    return unpressed(packed.join(keep, packed["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi"))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
