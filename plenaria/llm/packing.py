@@ -22,9 +22,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -44,30 +47,46 @@ WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾
 UNSAFE = re.compile("[\x0b\x0c\x1c-\x1f\x85İȺȾɐ-\U0010ffff]|<\\|")
 
 
-def encoder(path: str, cached: int = 800_000) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, cached: int = 1_200_000) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary splits lower-cased text into words that are encoded one by one,
-    so each distinct word is encoded once per worker and looked up afterwards. New
-    words are encoded together; a word's last token is one that ends a word.
+    The vocabulary's parts never reach over white space, so each distinct word between
+    spaces is put together once per worker and looked up afterwards. The last token of
+    each of its parts is one that ends a part.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model, known = Tokenizer.from_file(path), {}
+    # Python workers serve one task after the other: what one has learnt stays for the next.
+    kept = sys.modules.setdefault("plenaria_kept_words", ModuleType("plenaria_kept_words")).__dict__
+    model, known, parts = kept.setdefault(path, (Tokenizer.from_file(path), {}, {}))
     vocabulary = model.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     whole = lambda text: np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > cached:
-            known.clear()
-        split = [None if UNSAFE.search(text) else WORDS.findall(text.lower()) for text in texts]
-        if new := list({w for words in split if words for w in words if w not in known}):
+    def plain(text: str) -> bool:
+        if text.isascii():
+            return "<|" not in text and not any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f")
+        return not UNSAFE.search(text)
+
+    def learn(words: set[str]) -> None:
+        """Words are put together from their parts; the parts that are new are encoded together."""
+        split = {w: WORDS.findall(w) for w in words if not w.isalpha()}
+        new = list({x for x in chain(words - split.keys(), *split.values()) if x not in parts})
+        if new:
             ids = whole(" ".join(new))
             data, cuts = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-            known.update(zip(new, (data[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
+            parts.update(zip(new, (data[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
+        known.update((w, parts[w]) for w in words - split.keys())
+        known.update((w, b"".join(map(parts.__getitem__, x))) for w, x in split.items())
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(known) > cached:
+            known.clear(), parts.clear()
+        split = [text.lower().split() if plain(text) else None for text in texts]
+        if new := set().union(*filter(None, split)).difference(known):
+            learn(new)
         return [whole(text).tobytes() if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split)]
 
     return encode
