@@ -52,8 +52,8 @@ def windows(docs: DataFrame, words: int) -> DataFrame:
     lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h"), (spaces + 1).cast("long").alias("w"))
     in_doc = Window.partitionBy(*DOC).orderBy("pos")
     before = F.coalesce(F.sum("w").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Rows that repeat a document share its positions: one of them is enough.
-    lines = lines.groupBy(*DOC, "pos").agg(F.first("h").alias("h"), F.first("w").alias("w")).withColumn("s", before)
+    # Rows that repeat a document share its positions: one of them is enough. One shuffle serves this and both windows.
+    lines = lines.repartition(*DOC).groupBy(*DOC, "pos").agg(F.first("h").alias("h"), F.first("w").alias("w")).withColumn("s", before)
     ahead = Window.partitionBy(*DOC).orderBy("s").rangeBetween(0, words - 1)
     return (
         lines.select(

@@ -29,7 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """`df` written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    Lazy results read it later, so it stays until the folder's owner clears it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plenaria/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
