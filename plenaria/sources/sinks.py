@@ -58,12 +58,13 @@ def vacuum(spark: SparkSession, path: str) -> None:
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """New rows, and old ones whose key is not among them."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    kept = old.join(new.select(key), key, "left_anti").select(old.columns)
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def absent(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """New rows whose key is not in the old table."""
-    return new.join(old.select(key), key, "left_anti")
+    return new.join(old.select(key), key, "left_anti").select(new.columns)
 
 
 def upsert(df: DataFrame, path: str, key: str = "id") -> None:
@@ -88,7 +89,7 @@ def replace_sittings(speeches: DataFrame, path: str, replace: bool = True, key:
     elif replace:
         write(upserted(read(spark, path), speeches, key), path)
     else:
-        fresh = speeches.join(read(spark, path).select(key).distinct(), key, "left_anti")
+        fresh = speeches.join(read(spark, path).select(key), key, "left_anti").select(speeches.columns)
         fresh.write.mode("append").parquet(current(spark, path))
 
 
