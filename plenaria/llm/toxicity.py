@@ -104,7 +104,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInArrow(squeeze, "doc_id long, data binary").join(_known(labels), "doc_id")
+    # Labels may be as many as documents: a join that shuffles both sides, at any size.
+    return texts.mapInArrow(squeeze, "doc_id long, data binary").join(_known(labels).hint("merge"), "doc_id")
 
 
 def fit(
