@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plenaria.functions.columns import between, effective_group, filled, unset
+from plenaria.functions.columns import between, effective_group, filled, jaccard, tokens, unset
 
 
 def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0) -> DataFrame:
@@ -133,10 +133,9 @@ def best_match(left: DataFrame, right: DataFrame, block: str, score: Column, lea
 
 def apply_rules(facts: DataFrame, rules: DataFrame, column: str = "macro_topic") -> DataFrame:
     """`column` replaced by the rules' canonical label; rules (canonical, variants) are sanitised first."""
-    pairs = sanitised(rules).select(F.explode("variants").alias("variant"), "canonical").where("variant <> canonical")
-    pairs = pairs.groupBy("variant").agg(F.first("canonical").alias("canonical"))
-    joined = facts.join(pairs, F.col(column) == F.col("variant"), "left")
-    return joined.select(*(F.coalesce("canonical", column).alias(c) if c == column else c for c in facts.columns))
+    pairs = sanitised(rules).select(F.explode("variants").alias("__variant"), F.col("canonical").alias("__label")).where("__variant <> __label")
+    joined = facts.join(pairs, F.col(column) == F.col("__variant"), "left")
+    return joined.select(*(F.coalesce("__label", column).alias(c) if c == column else c for c in facts.columns))
 
 
 def sanitised(rules: DataFrame) -> DataFrame:
@@ -179,3 +178,39 @@ def export(
     if "country" in chosen:
         out = out.join(persons.select(F.col("id").alias("mep_id"), "country"), "mep_id", "left")
     return out.select(*(columns[f].alias(f) for f in chosen))
+
+
+def needs_content(sittings: DataFrame, as_of: str, least: int = 100) -> DataFrame:
+    """Dated sittings, not in the future, whose content is missing or shorter than `least` characters."""
+    short = F.length(F.coalesce("content", F.lit(""))) < least
+    return sittings.where(short & filled("activity_date") & (F.col("activity_date") <= as_of))
+
+
+def match_agenda(sittings: DataFrame, topics: DataFrame, least: float = 0.6) -> DataFrame:
+    """(id, title): for each sitting the agenda entry of its day with its document identifier, else the one whose title is most like its label."""
+    by_document = topics.where(filled("docIdentifier")).groupBy("activity_date", "docIdentifier").agg(F.min("title").alias("title"))
+    direct = sittings.join(by_document, ["activity_date", "docIdentifier"], "left")
+    left = direct.where("title is null").select("id", "activity_date", tokens("label").alias("a"))
+    right = topics.select("activity_date", "title", tokens("title").alias("b"))
+    near = best_match(left, right, "activity_date", jaccard(F.col("a"), F.col("b")), least, "id", "title").select("id", F.col("title").alias("near"))
+    return direct.join(near, "id", "left").select("id", F.coalesce("title", "near").alias("title"))
+
+
+def reparsed(parsed: DataFrame, stored: DataFrame, column: str = "political_group", key: str = "sitting_id", order: str = "speech_order") -> DataFrame:
+    """Stored rows with another value of `column` in the new parse, of sittings with as many speeches in both."""
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    same = count(parsed, "a").join(count(stored, "b"), key).where("a = b").select(key)
+    fresh = parsed.join(same, key, "left_semi").select(key, order, F.col(column).alias("fresh"))
+    both = stored.join(fresh, [key, order]).where(~F.col("fresh").eqNullSafe(F.col(column)))
+    return both.withColumn(column, F.col("fresh")).drop("fresh")
+
+
+def envelope(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """(total, limit, offset, has_more) of a listing."""
+    total = rows.agg(F.count("*").alias("total"))
+    return total.select("total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), (F.col("total") > limit + offset).alias("has_more"))
+
+
+def unlinked(speeches: DataFrame) -> DataFrame:
+    """Speeches without their persons."""
+    return speeches.withColumn("mep_id", F.lit(None).cast("long"))

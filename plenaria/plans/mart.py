@@ -19,9 +19,9 @@ def topic_variants(facts: DataFrame) -> DataFrame:
 
 def canonical(facts: DataFrame, variants: DataFrame) -> DataFrame:
     """Facts with their topic's canonical label; the map is as large as the list of labels."""
-    flat = variants.select("topic", F.explode("variants").alias("variant"))
-    joined = facts.join(flat, F.col("macro_topic") == F.col("variant"), "left")
-    return joined.select(*(F.coalesce("topic", "macro_topic").alias(c) if c == "macro_topic" else c for c in facts.columns))
+    flat = variants.select(F.col("topic").alias("__topic"), F.explode("variants").alias("__variant"))
+    joined = facts.join(flat, F.col("macro_topic") == F.col("__variant"), "left")
+    return joined.select(*(F.coalesce("__topic", "macro_topic").alias(c) if c == "macro_topic" else c for c in facts.columns))
 
 
 def cube(facts: DataFrame, sittings: DataFrame) -> DataFrame:

@@ -14,9 +14,13 @@ from plenaria.functions.groups import normalise_groups
 from plenaria.functions.language import fill_language
 from plenaria.operators import relational as R
 from plenaria.operators.persons import link_speeches
+from plenaria.plans import mart
+from plenaria.schema import SITTINGS, SPEECHES, conform
+from plenaria.sources import sinks
 
 #: Titles of a batch to (macro_topic, specific_focus, confidence), one row each, in their order.
 Classifier = Callable[[list[str]], pd.DataFrame]
+SPEECH_COLUMNS = [part.split()[0] for part in SPEECHES.split(", ")]
 PROCEDURAL = "Procedural & Parliamentary business"
 
 
@@ -86,3 +90,27 @@ def new_topics(classified: DataFrame, known: DataFrame) -> DataFrame:
     """Topics that the taxonomy (name) lacks, without regard to case."""
     names = classified.select(F.col("macro_topic").alias("name")).distinct()
     return names.join(known.select(F.lower(F.trim("name")).alias("key")).distinct(), F.lower(F.trim("name")) == F.col("key"), "left_anti")
+
+
+def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str, until: str, classifier: Classifier = by_keywords, everything: bool = False) -> dict[str, int]:
+    """Bring the tables under `path` up to date from pages (sitting_id, activity_date, html); counts of what was done.
+
+    Works on new days, and on known ones that have no speeches or some without a topic;
+    `everything` does all days again. Sittings and speeches are replaced by sitting, and
+    the mart is built anew if anything changed. Pages that aren't transcripts are
+    counted as failed and left for the next run.
+    """
+    sittings, speeches = f"{path}/sittings", f"{path}/speeches"
+    wanted = pages_of.where(F.col("activity_date") <= until)
+    if not everything and sinks.exists(spark, sittings):
+        days = days_to_process(spark, sinks.read(spark, sittings), sinks.read(spark, speeches), until, "1900-01-01")
+        wanted = wanted.join(days, "activity_date", "left_semi").select(pages_of.columns)
+    good = wanted.where(looks_like_page("html"))
+    asked, usable = wanted.count(), good.count()
+    if usable:
+        stored = good.select(F.col("sitting_id").alias("id"), "activity_date", F.lit("PLENARY").alias("type"), F.col("html").alias("content"))
+        made = conform(enriched(speeches_of(good.select("sitting_id", "html")), persons, classifier), SPEECHES).select(*SPEECH_COLUMNS)
+        sinks.replace_sittings(made, speeches)
+        sinks.upsert(conform(stored, SITTINGS), sittings)
+        mart.build(sinks.read(spark, speeches), sinks.read(spark, sittings), f"{path}/mart")
+    return {"asked": asked, "processed": usable, "failed": asked - usable}

@@ -119,3 +119,12 @@ def subset(sittings: DataFrame, speeches: DataFrame, persons: DataFrame, since:
 
 def stamp(spark: SparkSession, path: str, **values: str) -> None:
     write(spark.createDataFrame(sorted(values.items()), "key string, value string"), path)
+
+
+def seed(df: DataFrame, path: str) -> bool:
+    """Write the table only if it isn't there or has no rows; whether it was written."""
+    spark = df.sparkSession
+    if exists(spark, path) and not read(spark, path).isEmpty():
+        return False
+    write(df, path)
+    return True

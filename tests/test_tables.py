@@ -228,3 +228,40 @@ def test_sittings_are_replaced_by_a_stream(spark, tmp_path):
     put("b", ("s1", 9))
     go()
     assert rows(sinks.read(spark, table)) == [("s1", 9), ("s2", 1)]
+
+
+def page_of(title, *speeches):
+    head = f'<html><body><table><tr><td class="doc_title"><img src="arrow_title_doc.gif">1. {title} (debate)</td></tr></table>\n'
+    return head + "<br>\n".join(f"{name}. – {text}" for name, text in speeches) + "<br>\n" + "z" * 500 + "</body></html>"
+
+
+def test_refresh_run(spark, tmp_path):
+    known = spark.createDataFrame([(5, "Maria Silva", "Maria", "Silva", "PT")], PERSONS)
+    kind = "sitting_id string, activity_date string, html string"
+    fish = "Stocks of fish in the northern seas are falling and all fleets have to adapt to the new quotas"
+    one = [("s1", "2020-01-01", page_of("Fish stocks", ("Maria Silva (PPE)", fish), ("President", "Closed."))), ("s2", "2020-01-02", "broken")]
+    go = lambda listed, **more: refresh.run(spark, spark.createDataFrame(listed, kind), known, str(tmp_path), "2020-12-31", **more)
+    assert go(one) == {"asked": 2, "processed": 1, "failed": 1}
+    two = [one[0], ("s2", "2020-01-02", page_of("Water", ("Jan Kow", "Water. " * 20)))]
+    assert go(two) == {"asked": 1, "processed": 1, "failed": 0}
+    speeches = sinks.read(spark, f"{tmp_path}/speeches")
+    assert speeches.count() == 3 and rows(speeches.where("mep_id = 5").select("sitting_id", "topic", "political_group_std")) == [("s1", "Fish stocks", "PPE")]
+    assert mart.load(spark, f"{tmp_path}/mart")["overview"].first()["total"] == 3
+    assert go(two, everything=True)["processed"] == 2 and sinks.read(spark, f"{tmp_path}/speeches").count() == 3
+
+
+def test_agenda_content_and_reparse(spark):
+    sittings = spark.createDataFrame([("1", "2020-01-01", "D1", "x", ""), ("2", "2020-01-01", None, "fish stocks at sea", None), ("3", "2030-01-01", None, "none", "c" * 200)], "id string, activity_date string, docIdentifier string, label string, content string")
+    topics = spark.createDataFrame([("2020-01-01", "D1", "Energy"), ("2020-01-01", "D2", "Fish stocks at sea today")], "activity_date string, docIdentifier string, title string")
+    assert rows(relational.match_agenda(sittings, topics)) == [("1", "Energy"), ("2", "Fish stocks at sea today"), ("3", None)]
+    assert [r[0] for r in rows(relational.needs_content(sittings, "2025-01-01"), "id")] == ["1", "2"]
+    kind = "sitting_id string, speech_order int, political_group string"
+    old = spark.createDataFrame([("a", 1, None), ("a", 2, "ID"), ("b", 1, "x")], kind)
+    new = spark.createDataFrame([("a", 1, "PPE"), ("a", 2, "ID"), ("b", 1, "y"), ("b", 2, "z")], kind)
+    assert rows(relational.reparsed(new, old)) == [("a", 1, "PPE")]
+    assert rows(relational.envelope(old, 2, 1)) == [(3, 2, 1, False)] and relational.unlinked(old).where("mep_id is null").count() == 3
+
+
+def test_seed(spark, tmp_path):
+    assert sinks.seed(spark.range(0), str(tmp_path / "s")) and sinks.seed(spark.range(2), str(tmp_path / "s")) and not sinks.seed(spark.range(9), str(tmp_path / "s"))
+    assert sinks.read(spark, str(tmp_path / "s")).count() == 2
