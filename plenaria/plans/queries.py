@@ -564,3 +564,143 @@ def lang_vote(s, d):
 @query("topic_classify")
 def topic_classify(s, d):
     return refresh.classify_topics(views.table(s, d, "part").select(F.col("p_type").alias("title")))
+
+
+@query("needs_content", "SELECT doc_id AS id FROM documents WHERE length(coalesce(text, '')) < 300 AND doc_id % 400 < 300")
+def needs_content(s, d):
+    rows = views.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lpad((F.col("doc_id") % 400).cast("string"), 3, "0").alias("activity_date"))
+    return R.needs_content(rows, "299", 300).select("id")
+
+
+@query("listing_envelope", "SELECT count(*) AS total, 50 AS limit, 100 AS offset, count(*) > 150 AS has_more FROM sittings WHERE activity_date >= '1999-06-01'".replace("AS limit", 'AS "limit"').replace("AS offset", 'AS "offset"'))
+def listing_envelope(s, d):
+    return R.envelope(views.sittings(s, d).where("activity_date >= '1999-06-01'"), 50, 100)
+
+
+@query("date_fallback", "SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN activity_date END, CASE WHEN id % 3 = 1 THEN activity_date END, activity_date) AS day FROM sittings")
+def date_fallback(s, d):
+    day = F.col("activity_date")
+    return views.sittings(s, d).select("id", C.sitting_date(F.when(F.col("id") % 3 == 0, day), F.when(F.col("id") % 3 == 1, day), F.concat(F.lit("sitting-"), day)).alias("day"))
+
+
+@query("document_urls", """SELECT activity_date, 'https://www.europarl.europa.eu/doceo/document/CRE-' || CASE WHEN activity_date >= '1999-07-20' THEN 5 WHEN activity_date >= '1994-07-19' THEN 4 ELSE 3 END
+  || '-' || activity_date || '_EN.html' AS url FROM (SELECT DISTINCT activity_date FROM sittings)""")
+def document_urls(s, d):
+    return views.sittings(s, d).select("activity_date").distinct().select("activity_date", C.document_url("activity_date").alias("url"))
+
+
+@query("longer_content", "SELECT page_id, CASE WHEN length(html) > length(url || repeat('x', 3000)) THEN sha256(html) ELSE sha256(url || repeat('x', 3000)) END AS digest FROM pages")
+def longer_content(s, d):
+    padded = F.concat("url", F.repeat(F.lit("x"), 3000))
+    return views.table(s, d, "pages").select("page_id", F.sha2(C.longer(padded, F.col("html")), 256).alias("digest"))
+
+
+@query("uri_names", "SELECT page_id, list_last(string_split(url, '/')) AS short FROM pages")
+def uri_names(s, d):
+    return views.table(s, d, "pages").select("page_id", C.short_uri("url").alias("short"))
+
+
+@query("markup_flags", """SELECT page_id, contains(html, '<p ') OR contains(html, '<div ') AS markup, length(html) >= 500 AND regexp_matches(html, '(?i)<html|arrow_title_doc\\.gif|<table|<td') AS page FROM pages""")
+def markup_flags(s, d):
+    return views.table(s, d, "pages").select("page_id", C.has_markup("html").alias("markup"), C.looks_like_page("html").alias("page"))
+
+
+@query("text_preview", "SELECT sitting_id, substr(string_agg(speech_content, ' ' ORDER BY speech_order) FILTER (WHERE speech_order < 3), 1, 300) AS preview FROM turns GROUP BY 1")
+def text_preview(s, d):
+    rows = views.turns(s, d).groupBy("sitting_id").agg(F.sort_array(F.collect_list(F.struct("speech_order", "speech_content"))).alias("t"))
+    return rows.select("sitting_id", C.preview(F.transform("t", lambda t: t["speech_content"])).alias("preview"))
+
+
+@query("reply_parsing", "SELECT id, CASE WHEN id % 2 = 0 THEN macro_topic ELSE 'x' END AS topic FROM ev")
+def reply_parsing(s, d):
+    """Replies with and without text around their JSON."""
+    body = F.concat(F.lit('[{"macro_topic": "'), F.when(F.col("id") % 2 == 0, F.col("macro_topic")).otherwise("x"), F.lit('"}]'))
+    reply = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).otherwise(body)
+    return views.event_speeches(s, d).select("id", C.json_block(reply, "array<struct<macro_topic:string>>")[0]["macro_topic"].alias("topic"))
+
+
+@query("merged_terms", "SELECT mep_id AS identifier, max(id % 5 + 6) AS term, max(id % 5 + 6) = 10 AS is_current FROM ev GROUP BY 1")
+def merged_terms(s, d):
+    rows = views.event_speeches(s, d).select(F.col("mep_id").alias("identifier"), (F.col("id") % 5 + 6).alias("term"), "macro_topic")
+    return persons.merged_terms(rows).select("identifier", "term", "is_current")
+
+
+@query("taxonomy_additions", """SELECT name FROM (SELECT 'click' AS name UNION ALL SELECT 'Other' UNION ALL SELECT DISTINCT macro_topic FROM ev WHERE macro_topic <> 'click')""")
+def taxonomy_additions(s, d):
+    known = s.createDataFrame([("click", 0), ("Other", 1)], "name string, ordinal int")
+    names = views.event_speeches(s, d).select(F.upper("macro_topic").alias("name"), F.col("id").alias("ordinal"))
+    return R.add_if_new(known, names).select(F.when(F.col("name") == "Other", "Other").otherwise(F.lower("name")).alias("name"))
+
+
+@query("available_topics", "SELECT DISTINCT macro_topic FROM ev WHERE macro_topic IN ('click', 'view', 'absent')")
+def available_topics(s, d):
+    wanted = s.createDataFrame([("click",), ("view",), ("absent",)], "macro_topic string")
+    return wanted.join(views.event_speeches(s, d).select("macro_topic"), "macro_topic", "left_semi")
+
+
+@query("creation_keys", "SELECT lower(label) AS key, max(id) AS person_id FROM persons GROUP BY 1 UNION ALL SELECT lower(country) || ' ' || lower(political_group) AS key, max(id) FROM persons GROUP BY 1 UNION ALL SELECT lower(political_group) || ' ' || lower(country) AS key, max(id) FROM persons GROUP BY 1")
+def creation_keys(s, d):
+    return persons.creation_keys(views.persons(s, d).withColumns({"givenName": F.col("country"), "familyName": F.col("political_group")}))
+
+
+@query("snippet_offsets", "SELECT doc_id, strpos(text, ' the ') - 1 AS at FROM documents")
+def snippet_offsets(s, d):
+    return views.table(s, d, "documents").select("doc_id", transcripts.snippet_offset("text", F.lit(" the ")).alias("at"))
+
+
+@query("phases", """SELECT activity_date, CASE WHEN shifted < '2016-06-23' THEN 'Pre-Referendum' WHEN shifted <= '2017-03-29' THEN 'Post-Referendum' WHEN shifted <= '2020-01-31' THEN 'Article-50' ELSE 'Post-Exit' END AS phase
+  FROM (SELECT DISTINCT activity_date, (CAST(substr(activity_date, 1, 4) AS INT) + 19) || substr(activity_date, 5) AS shifted FROM sittings)""")
+def phases(s, d):
+    day = F.col("activity_date")
+    shifted = F.concat((F.substring(day, 1, 4).cast("int") + 19).cast("string"), F.substring(day, 5, 10))
+    return views.sittings(s, d).select("activity_date").distinct().select("activity_date", C.brexit_phase(shifted).alias("phase"))
+
+
+@query("display_labels", """SELECT std, kind, raw, CASE WHEN kind = 'institution' THEN 'EU Institution' WHEN kind = 'role' THEN 'Parliamentary Role' WHEN std = 'NI' THEN 'Non-Attached' ELSE coalesce(std, 'Unknown') END AS label, n
+  FROM (SELECT CASE mep_id % 3 WHEN 0 THEN 'NI' WHEN 1 THEN 'PPE' END AS std, CASE mep_id % 4 WHEN 0 THEN 'institution' WHEN 1 THEN 'role' ELSE 'group' END AS kind, macro_topic AS raw, count(*) AS n FROM ev GROUP BY ALL)""")
+def display_labels(s, d):
+    k = F.col("mep_id")
+    std, kind = F.when(k % 3 == 0, "NI").when(k % 3 == 1, "PPE"), F.when(k % 4 == 0, "institution").when(k % 4 == 1, "role").otherwise("group")
+    rows = A.counted(views.event_speeches(s, d), std.alias("std"), kind.alias("kind"), F.col("macro_topic").alias("raw"))
+    return rows.withColumn("label", groups.display_label(F.col("std"), F.col("kind"), F.col("raw")))
+
+
+@query("reparsed_groups", """SELECT sitting_id, speech_order, 'fresh' AS speaker_name FROM turns WHERE speech_order = 1 AND sitting_id % 2 = 0""")
+def reparsed_groups(s, d):
+    old = views.turns(s, d).select("sitting_id", "speech_order", "speaker_name")
+    new = old.where((F.col("sitting_id") % 2 == 0) | (F.col("speech_order") > 0)).withColumn("speaker_name", F.when(F.col("speech_order") == 1, "fresh").otherwise(F.col("speaker_name")))
+    return R.reparsed(new, old, "speaker_name")
+
+
+@query("agenda_by_document", "SELECT id, CASE WHEN person_id % 2 = 0 THEN 'T' || person_id END AS title FROM sittings")
+def agenda_by_document(s, d):
+    rows = views.sittings(s, d).withColumns({"docIdentifier": F.col("person_id").cast("string"), "label": F.lit("no such words")})
+    topics = rows.where("person_id % 2 = 0").select("activity_date", "docIdentifier", F.concat(F.lit("T"), "docIdentifier").alias("title"))
+    return R.match_agenda(rows, topics)
+
+
+@query("mart_overview", "SELECT count(*) AS total, count(*) AS with_macro, 100.0::DOUBLE AS pct_with_macro FROM star")
+def mart_overview(s, d):
+    path = counts.scratch(s, "mart")
+    mart.build(views.speeches(s, d), views.sittings(s, d), path)
+    return mart.load(s, path)["overview"]
+
+
+@query("group_report")
+def group_report(s, d):
+    rows = views.turns(s, d).groupBy(F.col("speaker_name").alias("raw")).agg(F.count("*").alias("n"))
+    return groups.mapping_report(groups.group_decisions(rows)).withColumn("hint", groups.suggestion(F.col("reason")))
+
+
+@query("section_match")
+def section_match(s, d):
+    """Each turn against the texts of its conversation as sections."""
+    said = views.turns(s, d).select("sitting_id", "speech_order", "speech_content")
+    listed = said.select("sitting_id", F.col("speech_order").cast("int").alias("ordinal"), F.concat(F.lit("Part "), "speech_order").alias("title"), F.lit(None).cast("string").alias("docIdentifier"), F.col("speech_content").alias("text"))
+    return transcripts.match_sections(said, listed).select("sitting_id", "speech_order", F.col("section.title").alias("title"), F.col("section.score").alias("score"))
+
+
+@query("html_paragraphs")
+def html_paragraphs(s, d):
+    rows = pages.read(views.table(s, d, "pages"), pages.paragraphs)
+    return pages.read_anchor(rows.withColumn("anchor", F.lit("main")), "anchor", name="near").select("page_id", F.size("value").alias("n"), F.length("near").alias("near"))
