@@ -25,6 +25,7 @@ results; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, blobs, gram_hashes
+from .shared import WordHashes, blobs, gram_hashes, small
 
 # Fixed texts: public licence notices and short statements.
 TEMPLATES = {
@@ -101,8 +102,12 @@ class Index:
         self.table = np.zeros(1 << 20, bool)
         self.table[self.prints >> np.uint64(44)] = True
 
+    def band(self, template: int, band: int) -> int:
+        """No wider than lets two copies of a short template, one after the other, be told apart."""
+        return min(band, (len(self.tokens[template]) - 1) // 2)
+
     def candidates(self, tokens: np.ndarray, band: int) -> list[tuple[int, int, int]]:
-        """(template, lowest diagonal, highest diagonal) of each group of hits whose diagonals are within `band` of a neighbour's."""
+        """(template, lowest diagonal, highest diagonal) of each group of hits whose diagonals are within `band` of the group's first."""
         grams = gram_hashes(tokens, self.k)
         near = np.flatnonzero(self.table[grams >> np.uint64(44)])
         if not len(near):
@@ -111,7 +116,7 @@ class Index:
         hits = sorted({(int(self.which[j]), int(p - self.at[j])) for p, a, b in zip(near, low, high) for j in range(a, b)})
         out: list[tuple[int, int, int]] = []
         for template, diagonal in hits:
-            if out and out[-1][0] == template and diagonal - out[-1][2] <= band:
+            if out and out[-1][0] == template and diagonal - out[-1][1] <= self.band(template, band):
                 out[-1] = (template, out[-1][1], diagonal)
             else:
                 out.append((template, diagonal, diagonal))
@@ -165,15 +170,16 @@ def spans(index: Index, tokens: np.ndarray, band: int, coverage: float) -> list[
     found = []
     for template, low, high in index.candidates(tokens, band):
         own = index.tokens[template]
-        _, begin, end = align(own, tokens, low, high, band)
+        _, begin, end = align(own, tokens, low, high, index.band(template, band))
         if begin >= 0 and end > begin and (n := matched(own, tokens, begin, end)) >= coverage * len(own):
             found.append((template, n, begin, end))
     found.sort(key=lambda x: (-x[1], -x[1] / len(index.tokens[x[0]]), x[2], x[0]))
-    kept: list[tuple[int, int, int, int]] = []
+    kept: list[tuple[int, int, int, int]] = []  # by first word
     for x in found:
-        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[2])
+        at = bisect(kept, x[2], key=lambda y: y[2])
+        if (at == 0 or kept[at - 1][3] <= x[2]) and (at == len(kept) or kept[at][2] >= x[3]):
+            kept.insert(at, x)
+    return kept
 
 
 def scan_licenses(
@@ -190,7 +196,7 @@ def scan_licenses(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes, words = [Index(p, k, window) for p in parts], WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for data in blobs(batch.column(1)):
                 raw = words.of(data.split())
@@ -198,9 +204,11 @@ def scan_licenses(
                 tokens = raw[number]
                 found = [(i, x) for i in indexes for x in spans(i, tokens, band, coverage)]
                 offsets = [m.span() for m in WORD.finditer(data)] if found else []
+                # Bytes before each place that don't begin a code point.
+                inner = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) == 0x80)]) if found else []
                 row = []
                 for index, (template, n, begin, end) in found:
-                    start, stop = (len(data[:at].decode("utf-8", "surrogatepass")) for at in (offsets[number[begin]][0], offsets[number[end - 1]][1]))
+                    start, stop = (at - int(inner[at]) for at in (offsets[number[begin]][0], offsets[number[end - 1]][1]))
                     row.append({"template": index.names[template], "matched": n, "words": len(index.tokens[template]), "start": start, "end": stop})
                 rows.append(sorted(row, key=lambda x: (x["start"], x["template"])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(struct))], ["doc_id", "licenses"])

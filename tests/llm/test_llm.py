@@ -110,6 +110,14 @@ def test_license_with_changed_words_and_comment_marks(spark):
     assert text[hit["start"] : hit["end"]].startswith("Permission is") and text[hit["start"] : hit["end"]].endswith("SOFTWARE.")
 
 
+def test_license_lines_that_repeat(spark):
+    text = "é " + "All rights reserved. " * 300 + "x " * 40 + "Released under the MIT License. All rights reserved."
+    (row,) = licenses.scan_licenses(frame(spark, [text], partitions=1)).collect()
+    names = [x["template"] for x in row["licenses"]]
+    assert names == ["all-rights-reserved"] * 300 + ["mit-line", "all-rights-reserved"]
+    assert {text[x["start"] : x["end"]] for x in row["licenses"]} == {"All rights reserved.", "Released under the MIT License."}
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(50):
