@@ -174,7 +174,8 @@ def export(
         raise ValueError("no known field")
     out = facts
     if {"date", "sitting_type", "sitting_label"} & set(chosen) or start or end:
-        out = out.join(sittings.select(F.col("id").alias("sitting_id"), "activity_date", "type", "label"), "sitting_id", "left").where(between("activity_date", start, end))
+        days = sittings.select(F.col("id").alias("sitting_id"), "activity_date", "type", "label").where(between("activity_date", start, end))
+        out = out.join(days, "sitting_id", "inner" if start or end else "left")
     if "country" in chosen:
         out = out.join(persons.select(F.col("id").alias("mep_id"), "country"), "mep_id", "left")
     return out.select(*(columns[f].alias(f) for f in chosen))

@@ -12,8 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sittings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+def sittings(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Sittings, optionally of an inclusive range of days: as a filter on the stored timestamp, which the scan can use."""
+    orders, time = table(spark, sf_dir, "orders"), F.col("o_orderdate")
+    if start is not None:
+        orders = orders.where(time >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        orders = orders.where(time < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+    return orders.select(
         F.col("o_orderkey").alias("id"), iso_date("o_orderdate").alias("activity_date"), F.col("o_orderpriority").alias("type"),
         F.col("o_orderstatus").alias("label"), F.col("o_custkey").alias("person_id"), F.col("o_totalprice").alias("size"),
     )
