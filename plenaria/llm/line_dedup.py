@@ -76,10 +76,13 @@ def repeated_runs(docs: DataFrame, words: int = 50) -> DataFrame:
     postings = stored(postings, "line-postings")
     place = F.struct(*DOC, "print_at")
     shared = postings.groupBy("print_hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("print_hash")
+    # Written first, so that each join meets two plain shuffles, whose skewed partitions can be split.
+    shared = stored(shared, "line-prints")
     extended = postings.join(shared, "print_hash").select(*DOC, F.explode("around").alias("x")).select(*DOC, "x.*")
     extended = stored(extended, "line-windows")
     place = F.struct(*DOC, "at")
     firsts = extended.groupBy("sequence").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("sequence", "low")
+    firsts = stored(firsts, "line-firsts")
     marked = extended.join(firsts, "sequence").where(place > F.col("low")).select(*DOC, "at", "last")
     in_doc = Window.partitionBy(*DOC).orderBy("at", "last")
     reached = F.max("last").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blobs, stored
+from .shared import blobs, small, stored
 
 SYMBOLS = b"#*$%&|<>"
 STEPS = 400
@@ -81,7 +81,7 @@ def measures(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "lang", *MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = np.array([measure(b) for b in blobs(batch.column(2))], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names)
 

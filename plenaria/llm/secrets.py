@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small
+
 KINDS = ("assign", "access", "hex", "client", "opaque", "endpoint")
 ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "identifier", "client": "identifier", "endpoint": "endpoint"}
 NEEDS = {"client": ("secret",), "opaque": ("identifier",), "endpoint": ("identifier", "secret")}
@@ -104,7 +106,7 @@ def find_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     struct = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base = base_parts(text or "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +39,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def per_row(
-    df: DataFrame, inputs: list[str], schema: str, fn: Callable[[pa.RecordBatch], dict], keep: list[str] | None = None
-) -> DataFrame:
-    """Run `fn` on Arrow batches of `inputs`; it returns the columns of `schema` by name."""
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            yield pa.RecordBatch.from_arrays([_arrow(out[n]) for n in names], names)
-
-    return df.select(*inputs).mapInArrow(run, schema)
-
-
-def _arrow(values):
-    return values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def star_step(edges: DataFrame, large: bool) -> DataFrame:
@@ -133,7 +122,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -187,7 +176,7 @@ def pressed(df: DataFrame, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index(column)
             data = [None if b is None else press.compress(b) for b in _bytes(batch.column(at))]
             yield batch.set_column(at, column, pa.array(data, pa.binary()))
@@ -198,7 +187,7 @@ def pressed(df: DataFrame, column: str = "text") -> DataFrame:
 def unpressed(df: DataFrame, column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index(column)
             data = [None if b is None else unpress.decompress(b) for b in batch.column(at).to_pylist()]
             yield batch.set_column(at, column, pa.array(data, pa.binary()).cast(pa.string()))

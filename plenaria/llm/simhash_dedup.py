@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blobs, components, gram_hashes, pressed, stored, unpressed, whole_groups
+from .shared import blobs, components, gram_hashes, pressed, small, stored, unpressed, whole_groups
 
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 # Fixed value: a generator polynomial of the binary (23,12) Golay code.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the SimHash of each text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             values = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
@@ -265,7 +265,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "node", "anchors", "segments", "fp"]
-        for batch in batches:
+        for batch in small(batches):
             found = [sketch(words_of(b), shingle, anchors) for b in blobs(batch.column(1))]
             node, fp = (pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2)), fp], names)
@@ -329,14 +329,14 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in small(batches):
             joined = [b" ".join(words_of(b)) for b in blobs(batch.column(0))]
             node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in joined], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([node, pa.array([squeeze.compress(x) for x in joined], pa.binary())], ["node", "data"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         undo, last = zstandard.ZstdDecompressor(), None
-        for batch in batches:
+        for batch in small(batches, 200):
             out = []
             for a, b, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own = shingle_hashes(undo.decompress(data).split(), shingle)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import blobs, bounds, stored, whole_groups
+from .shared import blobs, bounds, small, stored, whole_groups
 
 LENGTH, GRAM = 100, 24
 SEGMENT = 1 << 22  # starts that are looked at together; places inside fit in the low bits of a hash
@@ -116,7 +116,7 @@ def _hot(docs: DataFrame, length: int, gram: int, often: int, most: int, local:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [t for b in blobs(batch.column(0)) for t, _, _, _ in phrases(b, length, gram)]
+            found = [t for x in small([batch]) for b in blobs(x.column(0)) for t, _, _, _ in phrases(b, length, gram)]
             value, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(value[n >= local].view(np.int64)), pa.array(n[n >= local])], ["trigger", "n"])
 
@@ -153,7 +153,7 @@ def parse(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, subs_, parts, held = [], [], [], 0
-            for d, s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs(batch.column(2))):
+            for d, s, data in (row for x in small([batch]) for row in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), blobs(x.column(2)))):
                 for part in phrases(data, length, gram):
                     docs_.append(d), subs_.append(s), parts.append(part)
                     held += len(part[0])
@@ -199,7 +199,7 @@ def _pressed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in small(batches):
             data = [press.compress(b) for b in blobs(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["doc_id", "doc", "sub", "data"])
 
@@ -215,7 +215,7 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         wide = -(-(length - gram + 1) // SALTS)
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in small(batches, 200):
             for doc, sub, blob, asked in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = unpress.decompress(blob)
                 for x in asked:
@@ -276,7 +276,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, of
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in small(batches, 200):
             ids, sizes, spans, kept = [], [], [], []
             for doc_id, blob, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = unpress.decompress(blob)

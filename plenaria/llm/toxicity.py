@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import small, stored
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
@@ -99,7 +99,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in small(batches):
             data = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
@@ -128,7 +128,7 @@ def fit(
         counts, seen = np.zeros((2, total), np.int32), [0, 0]
         names = ["kind", "block", "n", "data"]
         table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names)
-        for batch in batches:
+        for batch in small(batches):
             taken: list[tuple] = []
             for doc, blob, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 label = int(label > 0)
@@ -173,7 +173,7 @@ def fit(
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in small(batches):
             texts = [unpress.decompress(b).decode("utf-8", "surrogatepass") for b in batch.column(1).to_pylist()]
             held = [np.flatnonzero(np.isin(ids, features(grams(t)))).astype(np.int16).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["kind", "held"])
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.scorer()
-        for batch in batches:
+        for batch in small(batches):
             values = [value(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
 
@@ -225,7 +225,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.scorer()
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([value(t) < threshold for t in texts], pa.bool_()))
 
