@@ -22,12 +22,11 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -42,28 +41,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 # The vocabulary's pre-tokenizer (English endings, runs of letters, single digits, runs
 # of other marks) for lower-cased text below U+0250.
 WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
+# How the vocabulary spells bytes: printable ones as themselves, the others as the characters from U+0100 on.
+BYTE_MARKS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 # Texts that are encoded whole: characters beyond that range or lower-cased out of it,
 # control spaces, and anything like a special token.
 UNSAFE = re.compile("[\x0b\x0c\x1c-\x1f\x85İȺȾɐ-\U0010ffff]|<\\|")
 
 
-def encoder(path: str, cached: int = 1_200_000) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, cached: int = 600_000) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's parts never reach over white space, so each distinct word between
-    spaces is put together once per worker and looked up afterwards. The last token of
-    each of its parts is one that ends a part.
+    spaces is put together once per task and looked up afterwards; each distinct part
+    goes through the vocabulary's merges once.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    # Python workers serve one task after the other: what one has learnt stays for the next.
-    kept = sys.modules.setdefault("plenaria_kept_words", ModuleType("plenaria_kept_words")).__dict__
-    model, known, parts = kept.setdefault(path, (Tokenizer.from_file(path), {}, {}))
-    vocabulary = model.get_vocab()
-    ends = np.zeros(max(vocabulary.values()) + 1, bool)
-    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    whole = lambda text: np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    model, known = Tokenizer.from_file(path), {}
+    merge = model.model.tokenize
 
     def plain(text: str) -> bool:
         if text.isascii():
@@ -71,23 +67,21 @@ def encoder(path: str, cached: int = 1_200_000) -> Callable[[list[str]], list[by
         return not UNSAFE.search(text)
 
     def learn(words: set[str]) -> None:
-        """Words are put together from their parts; the parts that are new are encoded together."""
-        split = {w: WORDS.findall(w) for w in words if not w.isalpha()}
-        new = list({x for x in chain(words - split.keys(), *split.values()) if x not in parts})
-        if new:
-            ids = whole(" ".join(new))
-            data, cuts = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-            parts.update(zip(new, (data[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
-        known.update((w, parts[w]) for w in words - split.keys())
-        known.update((w, b"".join(map(parts.__getitem__, x))) for w, x in split.items())
+        split = {w: (w[:-1], w[-1]) if w[:-1].isalpha() else WORDS.findall(w) for w in words if not w.isalpha()}
+        for x in chain(words - split.keys(), *split.values()):
+            if x not in known:
+                spelt = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_MARKS)
+                known[x] = array("I", [t.id for t in merge(spelt)]).tobytes()
+        known.update((w, b"".join(map(known.__getitem__, x))) for w, x in split.items())
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > cached:
-            known.clear(), parts.clear()
+            known.clear()
         split = [text.lower().split() if plain(text) else None for text in texts]
         if new := set().union(*filter(None, split)).difference(known):
             learn(new)
-        return [whole(text).tobytes() if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split)]
+        whole = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(text) if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split)]
 
     return encode
 
