@@ -122,7 +122,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
