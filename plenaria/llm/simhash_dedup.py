@@ -303,7 +303,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors:
 
     keyed = nodes.select("node", "anchors", "segments", "fp").mapInArrow(keys, "key long, node long, fp long")
     met = _dealt(keyed, block).repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "a long, b long").distinct()
-    roots = components(verified(stored(met, "similar-links"), texts, shingle, similarity))
+    # Written first: two Python functions in one stage would take two workers a core.
+    roots = components(stored(verified(stored(met, "similar-links"), texts, shingle, similarity), "similar-verified"))
     placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = placed.join(named, "root").select("node", "component_id")
