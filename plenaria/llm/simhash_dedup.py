@@ -41,6 +41,8 @@ from .shared import blobs, components, gram_hashes, pressed, small, stored, unpr
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 # Fixed value: a generator polynomial of the binary (23,12) Golay code.
 GOLAY = 0b101011100011
+#: Classes of shingles whose parities are kept, a multiple of 64.
+BITS = 1024
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -227,12 +229,18 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(gram_hashes(own, min(size, len(words))))
 
 
-def sketch(words: list[bytes], shingle: int, anchors: int) -> tuple[int, bytes, bytes, int]:
-    """(node, anchors, segments, fp): hash of all words; min-hashes of the shingles; 23-bit segments and 64 bits of a SimHash over word pairs."""
+def parities(grams: np.ndarray) -> bytes:
+    """Of each of BITS classes of shingles, whether their number is odd: two texts' bits differ in no more places than their sets of shingles do."""
+    mixed = (grams ^ grams >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return np.packbits(np.bincount((mixed >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) % 2 == 1).tobytes()
+
+
+def sketch(words: list[bytes], shingle: int, anchors: int) -> tuple[int, bytes, bytes, int, bytes, int]:
+    """(node, anchors, segments, fp, parities, size): hash of all words; min-hashes of the shingles; 23-bit segments and 64 bits of a SimHash over word pairs; parities and number of the shingles."""
     node = xxhash.xxh64_intdigest(b" ".join(words))
     grams, pairs = shingle_hashes(words, shingle), shingle_hashes(words, 2)
     if not len(grams):
-        return node, b"", b"", 0
+        return node, b"", b"", 0, b"", 0
     odd = np.random.default_rng(2).integers(0, 2**63, anchors, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     low = [mixed.min() for mixed in ((grams * m) ^ (grams * m) >> np.uint64(32) for m in odd)]
     n = -(-(64 + 23 * anchors) // 64)
@@ -245,7 +253,7 @@ def sketch(words: list[bytes], shingle: int, anchors: int) -> tuple[int, bytes,
             total[64 * i : 64 * i + 64] += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     bits = 2 * total > len(pairs)
     segments = (bits[64 : 64 + 23 * anchors].reshape(anchors, 23) * (1 << np.arange(23))).sum(axis=1)
-    return node, np.array(low, np.uint64).tobytes(), segments.astype(np.int32).tobytes(), int.from_bytes(np.packbits(bits[:64]).tobytes(), "big")
+    return node, np.array(low, np.uint64).tobytes(), segments.astype(np.int32).tobytes(), int.from_bytes(np.packbits(bits[:64]).tobytes(), "big"), parities(grams), len(grams)
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 8, near: int = 18, block: int = 4096) -> DataFrame:
@@ -257,21 +265,35 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors:
     are forgiven) are keys together with a min-hash of the shingles, which keeps
     buckets small at any number of documents. A pair at 0.8 meets under one anchor
     with probability 0.8 * 0.6; under 8, all but one in a hundred meet. Inside a
-    bucket a search links fingerprints within `near` bits (a spanning forest), and
-    each such link is verified by the exact similarity of the two whole texts.
+    bucket any two fingerprints within `near` bits are candidates, in three rounds:
+
+    1. a search links them as a spanning forest; each such link is verified by the exact
+       similarity of the two whole texts. That is all for buckets of two, and joins
+       large groups of copies by few links;
+    2. where a forest left pairs out, the same among those that aren't joined yet and
+       that sizes and parities of their shingles (see `alike`) don't refuse;
+    3. all pairs that are neither joined nor refused after that.
+
+    So each candidate is joined, or refused by its exact similarity or a bound of it.
     Texts of equal words are one node from the start.
     """
+    found = _classes(docs, shingle, similarity, anchors, near, block)
+    return found.select("doc_id", "node", "component_id")
+
+
+def _classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 8, near: int = 18, block: int = 4096) -> DataFrame:
+    """(doc_id, node, root, component_id): see `similar`; root is a node that names the component, also without a doc_id."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "node", "anchors", "segments", "fp"]
+        names = ["doc_id", "node", "anchors", "segments", "fp", "odd", "size"]
         for batch in small(batches):
             found = [sketch(words_of(b), shingle, anchors) for b in blobs(batch.column(1))]
             node, fp = (pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2)), fp], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2)), fp, pa.array([x[4] for x in found], pa.binary()), pa.array([x[5] for x in found], pa.int64())], names)
 
-    marked = stored(texts.mapInArrow(draw, "doc_id long, node long, anchors binary, segments binary, fp long"), "similar")
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("anchors").alias("anchors"), F.first("segments").alias("segments"), F.first("fp").alias("fp")), "similar-nodes")
+    marked = stored(texts.mapInArrow(draw, "doc_id long, node long, anchors binary, segments binary, fp long, odd binary, size long"), "similar")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("anchors").alias("anchors"), *(F.first(c).alias(c) for c in ("segments", "fp", "odd", "size"))), "similar-nodes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         errors = _error_patterns()
@@ -295,20 +317,87 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors:
             cut = np.flatnonzero((key[1:] != key[:-1]) | (blk[1:] != blk[:-1])) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
             found: list[tuple[int, int]] = []
+            left: list[np.ndarray] = []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
                 at = np.unique(node[s:e], return_index=True)[1] + s
-                found += [(node[a], node[b]) for a, b in index_forest(fp[at], near, at)]
+                links = index_forest(fp[at], near, at)
+                found += [(node[a], node[b]) for a, b in links]
+                if len(links) > 1:  # one link leaves no pair out
+                    left.append(np.unique(links))
             pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            rest = np.concatenate(left) if left else np.zeros(0, np.int64)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[rest], blk[rest], node[rest], fp[rest].view(np.int64))], names)
 
+    names = ["key", "blk", "a", "b"]
     keyed = nodes.select("node", "anchors", "segments", "fp").mapInArrow(keys, "key long, node long, fp long")
-    met = _dealt(keyed, block).repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "a long, b long").distinct()
+    # Links, without a key, and the rows (key, blk, node, fp) of buckets whose forest left pairs out.
+    met = _dealt(keyed, block).repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "key long, blk long, a long, b long")
+    met = stored(met, "similar-met")
+    left = met.where("key IS NOT NULL").select("key", "blk", F.col("a").alias("node"), F.col("b").alias("fp"))
     # Written first: two Python functions in one stage would take two workers a core.
-    roots = components(stored(verified(stored(met, "similar-links"), texts, shingle, similarity), "similar-verified"))
+    sure = stored(verified(stored(met.where("key IS NULL").select("a", "b").distinct(), "similar-links"), texts, shingle, similarity), "similar-verified")
+    roots = components(sure)
+    for every in (False, True):
+        more = stored(_open_pairs(left, nodes, roots, near, similarity, every), "similar-links")
+        if more.isEmpty():
+            break
+        sure = sure.union(stored(verified(more, texts, shingle, similarity), "similar-verified"))
+        roots = components(sure)
     placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = placed.join(named, "root").select("node", "component_id")
-    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "component_id")
+    classes = placed.join(named, "root").select("node", "root", "component_id")
+    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "root", "component_id")
+
+
+def alike(odd: np.ndarray, size: np.ndarray, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Mask of `others` whose similarity to `one` may reach `similarity`: by sizes, and by parities, which differ no more than the sets do."""
+    a, b = size[one], size[others]
+    differ = np.bitwise_count(odd[others] ^ odd[one]).sum(axis=1, dtype=np.int64)
+    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6) & (differ * (1 + similarity) <= (1 - similarity) * (a + b) + 1e-6)
+
+
+def _open_pairs(left: DataFrame, nodes: DataFrame, roots: DataFrame, near: int, similarity: float, every: bool) -> DataFrame:
+    """(a, b): candidates in the buckets `left` (key, blk, node, fp) of two components that `alike` doesn't refuse; all, or a forest of them."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key", "blk"], 20_000):
+            key, blk, node, root, size = (table.column(c).to_numpy() for c in ("key", "blk", "node", "root", "size"))
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (blk[1:] != blk[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+                at = np.unique(node[s:e], return_index=True)[1] + s
+                if (root[at] == root[at[0]]).all():
+                    continue
+                odd = np.frombuffer(b"".join(table.column("odd").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
+                rest, queue = np.arange(len(at)), []
+                found: list[np.ndarray] = []
+                while len(rest):
+                    if not queue:
+                        queue, rest = [rest[0]], rest[1:]
+                    here = queue.pop()
+                    other = root[at[rest]] != root[at[here]]
+                    open_ = rest[other & (np.bitwise_count(fp[at[rest]] ^ fp[at[here]]) <= near)]
+                    close = open_[alike(odd, size[at], here, open_, similarity)]
+                    found.append(np.sort(np.stack([np.full(len(close), node[at[here]]), node[at[close]]], axis=1), axis=1))
+                    if not every:
+                        reached = ~other | np.isin(rest, close)
+                        queue += rest[reached].tolist()
+                        rest = rest[~reached]
+                    if sum(map(len, found)) > 100_000:
+                        yield links(found)
+                        found = []
+                yield links(found)
+
+    def links(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    rooted = left.join(roots, "node", "left").select("key", "blk", "node", "fp", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key", "blk").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "blk")
+    rows = rooted.join(mixed, ["key", "blk"]).join(nodes.select("node", "odd", "size"), "node").select("key", "blk", "node", "fp", "root", "odd", "size")
+    return rows.repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "a long, b long").distinct()
 
 
 def index_forest(fps: np.ndarray, distance: int, label: np.ndarray) -> list[tuple[int, int]]:

@@ -262,6 +262,51 @@ def test_near_copies_of_shingles(spark):
     assert all(group[i] == group[c] for i, c in found.items())
 
 
+def jaccard_roots(texts, size=5, similarity=0.8):
+    """The smallest index of each text's component over all pairs of exact similarity."""
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies_inside_a_family_around_a_hub(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for _ in range(4):
+        base = rng.choices(words, k=400)
+        for _ in range(40):  # pairs about 0.7 like all others of the family, 0.85 like each other
+            own = list(base)
+            own[100:160] = rng.choices(words, k=60)
+            other = list(own)
+            at = rng.randrange(170, 370)
+            other[at : at + 28] = rng.choices(words, k=28)
+            texts += [" ".join(own), " ".join(other)]
+    order = sorted(range(len(texts)), key=lambda i: rng.random())
+    texts = [texts[i] for i in order]
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar(frame(spark, texts)).collect()}
+    want = jaccard_roots(texts)
+    assert len(set(want)) > 60 and sum(found[i] == want[i] for i in range(len(texts))) >= 0.97 * len(texts)
+    assert all(want[i] == want[c] for i, c in found.items())
+
+
+def test_parities_never_refuse_a_near_copy():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 400, 5000):
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for gone in (0, n // 9, n // 5, n // 2):
+            sets = [base, np.concatenate([base[gone:], rng.integers(0, 2**64, gone // 3, dtype=np.uint64)])]
+            both = len(np.intersect1d(*sets))
+            odd = np.stack([np.frombuffer(simhash_dedup.parities(x), np.uint64) for x in sets])
+            maybe = simhash_dedup.alike(odd, np.array([len(x) for x in sets]), 0, np.array([1]), 0.8)[0]
+            assert maybe or both < 0.8 * (len(sets[0]) + len(sets[1]) - both)
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 
