@@ -28,7 +28,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without runs of lines of 50 words or more that an earlier one has; n_chars follows the text."""
     _whole_texts(spark)
-    made = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    made = line_dedup.dedup_lines(docs, whole=True).drop("n_lines", "n_removed")
     return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 

@@ -21,6 +21,13 @@ The earliest place is an aggregate that is joined back, never a list of places o
 pairs of them: a line that a third of all rows share costs one partial minimum per
 task and a join whose skewed side adaptive execution splits.
 
+`op7_line_dedup` equals its SQL, whose windows only reach forward: of a repeated run
+the lines after its last full window stay. With `whole`, as in the pipeline, each line
+also has the window that ends there (the fewest lines, two at least, that reach `words`
+words). In a repeated run every line lies in the window that starts at the run's first
+line or in one that ends at the line itself and begins inside the run; the latter also
+holds the line before, so blank lines between are in one, too. All of the run is deleted.
+
 Blank lines (white space only) count for nothing but go with a run around them.
 Nulls: a null text has no lines and stays null; null doc_ids come last. Rows that
 repeat doc_id and text stand at one place: none is earlier than the others. Extra
@@ -31,7 +38,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from .shared import stored
 
@@ -45,8 +52,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({DOC[0]: F.coalesce(F.col("doc_id").cast("long"), last), DOC[1]: F.xxhash64("text")})
 
 
-def windows(docs: DataFrame, words: int) -> DataFrame:
-    """(document, at, last, print_hash, print_at, sequence): each full window and its fingerprint."""
+def windows(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
+    """(document, at, last, print_hash, print_at, sequence): each full window and its fingerprint; with `whole` also those that end at each line."""
     lines = _keyed(docs).select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.btrim("line", F.lit(WHITE)) != "")
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h"), (spaces + 1).cast("long").alias("w"))
@@ -55,6 +62,8 @@ def windows(docs: DataFrame, words: int) -> DataFrame:
     # Rows that repeat a document share its positions: one of them is enough. One shuffle serves this and both windows.
     lines = lines.repartition(*DOC).groupBy(*DOC, "pos").agg(F.first("h").alias("h"), F.first("w").alias("w")).withColumn("s", before)
     ahead = Window.partitionBy(*DOC).orderBy("s").rangeBetween(0, words - 1)
+    if whole:
+        return _both_ways(lines, ahead, words)
     return (
         lines.select(
             *DOC,
@@ -70,9 +79,36 @@ def windows(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
-def repeated_runs(docs: DataFrame, words: int = 50) -> DataFrame:
+def _both_ways(lines: DataFrame, ahead: WindowSpec, words: int) -> DataFrame:
+    """The windows of `lines` (document, pos, h, w, s) that start at each line, and those of two lines or more that end there."""
+    end, here = F.col("s") + F.col("w"), F.struct("h", "pos")
+    in_doc = Window.partitionBy(*DOC).orderBy("e")
+    behind = in_doc.rangeBetween(1 - words, 0)
+    alone = F.col("w") >= words
+    other = F.lag("pos").over(in_doc)
+    lines = lines.withColumn("e", end)
+    starting = F.struct(
+        F.col("pos").alias("at"),
+        F.max("pos").over(ahead).alias("last"),
+        F.min(here).over(ahead).alias("chosen"),
+        F.xxhash64(F.collect_list("h").over(ahead)).alias("sequence"),
+        (F.max("e").over(ahead) >= F.col("s") + words).alias("full"),
+    )
+    ending = F.struct(
+        F.when(alone, other).otherwise(F.min("pos").over(behind)).alias("at"),
+        F.col("pos").alias("last"),
+        F.when(alone, F.least(F.lag(here).over(in_doc), here)).otherwise(F.min(here).over(behind)).alias("chosen"),
+        F.xxhash64(F.when(alone, F.array(F.lag("h").over(in_doc), F.col("h"))).otherwise(F.collect_list("h").over(behind))).alias("sequence"),
+        F.when(alone, other.isNotNull()).otherwise(F.min("s").over(behind) <= F.col("e") - words).alias("full"),
+    )
+    made = lines.select(*DOC, starting.alias("starting"), ending.alias("ending")).select(*DOC, F.explode(F.array("starting", "ending")).alias("x")).where("x.full")
+    return made.select(*DOC, "x.at", "x.last", F.col("x.chosen.h").alias("print_hash"), F.col("x.chosen.pos").alias("print_at"), "x.sequence")
+
+
+def repeated_runs(docs: DataFrame, words: int = 50, whole: bool = False) -> DataFrame:
     """(document, start, last): the maximal runs of lines that repeat an earlier one, as line numbers from 0."""
-    postings = windows(docs, words).groupBy(*DOC, "print_hash", "print_at").agg(F.collect_list(F.struct("at", "last", "sequence")).alias("around"))
+    listed = F.collect_set if whole else F.collect_list
+    postings = windows(docs, words, whole).groupBy(*DOC, "print_hash", "print_at").agg(listed(F.struct("at", "last", "sequence")).alias("around"))
     postings = stored(postings, "line-postings")
     place = F.struct(*DOC, "print_at")
     shared = postings.groupBy("print_hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("print_hash")
@@ -91,9 +127,9 @@ def repeated_runs(docs: DataFrame, words: int = 50) -> DataFrame:
     return numbered.groupBy(*DOC, "run").agg(F.min("at").alias("start"), F.max("last").alias("last")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int = 50, whole: bool = False) -> DataFrame:
     """`docs` with repeated runs deleted from its texts, and n_lines and n_removed (in place of columns of these names)."""
-    runs = repeated_runs(docs, words).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "last"))).alias("__runs"))
+    runs = repeated_runs(docs, words, whole).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "last"))).alias("__runs"))
     joined = _keyed(docs).join(runs, DOC, "left")
     lines = F.split("text", "\n")
     n = F.coalesce(F.size(lines), F.lit(0))

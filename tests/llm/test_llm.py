@@ -353,6 +353,38 @@ def test_lines_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want and want != texts
 
 
+def without_runs(texts, words=50):
+    """Each text without the runs of lines of `words` words or more that stand at an earlier place, by the definition of a run."""
+    seen, out = set(), []
+    for text in texts:
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for j in range(len(at)):
+            n = 0
+            for k in range(j, len(at)):
+                n += len(re.findall(r"[^\x20\x09-\x0D]+", lines[at[k]]))
+                key = tuple(lines[i] for i in at[j : k + 1])
+                if n >= words and key in seen:
+                    gone |= set(range(at[j], at[k] + 1))
+                if n >= words:
+                    seen.add(key)
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_whole_runs_against_their_definition(spark):
+    rng = random.Random(14)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 70))) for _ in range(20)] + ["", "  ", "\t"]
+    long, short = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(30))
+    twenty = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcde"]
+    cases = [f"{long}\n{short}\none", f"{long}\n{short}\ntwo", "\n".join([*twenty, "v w x y z", "one"]), "\n".join(["0", *twenty, "v w x y z", "two"]), f"{long}\n \n{long}", f"0\n{long}\n\n{long}"]
+    texts = cases + ["\n".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(80)] + ["\n".join(pool[:6])] * 3
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts), whole=True).collect()}
+    want = without_runs(texts)
+    assert [got[i] for i in range(len(texts))] == want and want[1] == "two" and want[3] == "0\ntwo"
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
