@@ -282,17 +282,17 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors:
 
 
 def _classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 8, near: int = 18, block: int = 4096) -> DataFrame:
-    """(doc_id, node, root, component_id): see `similar`; root is a node that names the component, also without a doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    """(doc_id, text_hash, node, root, component_id): see `similar`; root is a node that names the component, also without a doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "node", "anchors", "segments", "fp", "odd", "size"]
+        names = ["doc_id", "text_hash", "node", "anchors", "segments", "fp", "odd", "size"]
         for batch in small(batches):
             found = [sketch(words_of(b), shingle, anchors) for b in blobs(batch.column(1))]
             node, fp = (pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2)), fp, pa.array([x[4] for x in found], pa.binary()), pa.array([x[5] for x in found], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2)), fp, pa.array([x[4] for x in found], pa.binary()), pa.array([x[5] for x in found], pa.int64())], names)
 
-    marked = stored(texts.mapInArrow(draw, "doc_id long, node long, anchors binary, segments binary, fp long, odd binary, size long"), "similar")
+    marked = stored(texts.mapInArrow(draw, "doc_id long, text_hash long, node long, anchors binary, segments binary, fp long, odd binary, size long"), "similar")
     nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("anchors").alias("anchors"), *(F.first(c).alias(c) for c in ("segments", "fp", "odd", "size"))), "similar-nodes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +348,7 @@ def _classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors
     placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = placed.join(named, "root").select("node", "root", "component_id")
-    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "root", "component_id")
+    return marked.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "node", "root", "component_id")
 
 
 def alike(odd: np.ndarray, size: np.ndarray, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
@@ -447,11 +447,15 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """`docs` without the near copies (see `similar`) of an earlier document; rows without a doc_id stay if nothing names their group."""
-    found = similar(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    packed = pressed(docs)
-    return unpressed(packed.join(keep, packed["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi"))
+    """One row of each group of near copies (see `similar`): that of the smallest doc_id (null: last), then of the smallest hash of its text."""
+    found = _classes(docs, **options)
+    mark = {"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "__unnamed": F.col("doc_id").isNull()}
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("x"))
+    keep = first.select(F.coalesce("x.doc_id", F.lit(0).cast("long")).alias("__doc"), F.col("x.unnamed").alias("__unnamed"), F.col("x.text_hash").alias("__text_hash"))
+    # Rows that repeat doc_id and text share a hash: one of them stays.
+    packed = pressed(docs.withColumns(mark | {"__text_hash": F.xxhash64("text")}))
+    kept = packed.join(keep, [*mark, "__text_hash"], "left_semi").dropDuplicates([*mark, "__text_hash"])
+    return unpressed(kept.drop(*mark, "__text_hash"))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -307,6 +307,15 @@ def test_parities_never_refuse_a_near_copy():
             assert maybe or both < 0.8 * (len(sets[0]) + len(sets[1]) - both)
 
 
+def test_keep_one_row_of_each_group(spark):
+    base = {c: " ".join(f"{c}{i}" for i in range(100)) for c in "abcd"}
+    near = base["a"] + " end"
+    rows = [(1, base["a"], 1), (1, base["a"], 2), (2, base["b"], 3), (2, near, 4), (None, near, 5), (None, base["c"], 6), (None, base["c"], 7), (None, base["d"], 8), (None, base["b"], 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tie int").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["text"][0], r["text"] == near) for r in simhash_dedup.keep_one(docs).collect())
+    assert got == [(0, "c", False), (0, "d", False), (1, "a", False), (2, "b", False)]
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 
