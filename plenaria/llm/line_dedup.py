@@ -27,6 +27,7 @@ also has the window that ends there (the fewest lines, two at least, that reach
 words). In a repeated run every line lies in the window that starts at the run's first
 line or in one that ends at the line itself and begins inside the run; the latter also
 holds the line before, so blank lines between are in one, too. All of the run is deleted.
+The SQL takes a line's spaces and one more for its words; `whole` counts words.
 
 Blank lines (white space only) count for nothing but go with a run around them.
 Nulls: a null text has no lines and stays null; null doc_ids come last. Rows that
@@ -44,6 +45,7 @@ from .shared import stored
 
 DOC = ["__doc", "__text_hash"]
 WHITE = " \t\r\x0b\x0c"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -56,7 +58,8 @@ def windows(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
     """(document, at, last, print_hash, print_at, sequence): each full window and its fingerprint; with `whole` also those that end at each line."""
     lines = _keyed(docs).select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.btrim("line", F.lit(WHITE)) != "")
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
-    lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h"), (spaces + 1).cast("long").alias("w"))
+    count = F.regexp_count("line", F.lit(WORD)) if whole else spaces + 1
+    lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h"), count.cast("long").alias("w"))
     in_doc = Window.partitionBy(*DOC).orderBy("pos")
     before = F.coalesce(F.sum("w").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Rows that repeat a document share its positions: one of them is enough. One shuffle serves this and both windows.

@@ -394,6 +394,14 @@ def test_whole_runs_against_their_definition(spark):
     assert [got[i] for i in range(len(texts))] == want and want[1] == "two" and want[3] == "0\ntwo"
 
 
+def test_whole_runs_count_words_not_spaces(spark):
+    indented = "\n".join(" " * 20 + c for c in "{};")
+    parted = "\n".join("\t".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    texts = [f"{x}\n{n}" for x in (indented, parted) for n in ("one", "two")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts), whole=True).collect()}
+    assert [got[i] for i in range(4)] == without_runs(texts) == [texts[0], texts[1], texts[2], "two"]
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
