@@ -16,6 +16,11 @@
    `coverage` are dropped; of overlapping ones the one with more matched words
    stays, then the one with the greater coverage.
 
+5. A copy with more words than the band put in or left out at one place has its hits
+   in several groups. Groups that follow each other in template and text, at most `gap`
+   words (and the template's length) apart, are also aligned as one candidate, without
+   the words put in between, which stay free for other templates.
+
 One pass per block, nothing is shuffled: a hot source is only more rows.
 
 Nulls: a null text has no words; null ids stay null. Repeated rows give repeated
@@ -25,8 +30,9 @@ results; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from bisect import bisect
+from bisect import bisect, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +90,19 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + window - 1 - view.argmin(axis=1))
 
 
+@dataclass
+class Group:
+    """Hits of a template: lowest and highest diagonal, first word and end in the template and in the text."""
+
+    template: int
+    low: int
+    high: int
+    first: int
+    last: int
+    begin: int
+    end: int
+
+
 class Index:
     """Templates as word hashes and the inverted index of their fingerprints."""
 
@@ -106,22 +125,69 @@ class Index:
         """No wider than lets two copies of a short template, one after the other, be told apart."""
         return min(band, (len(self.tokens[template]) - 1) // 2)
 
-    def candidates(self, tokens: np.ndarray, band: int) -> list[tuple[int, int, int]]:
-        """(template, lowest diagonal, highest diagonal) of each group of hits whose diagonals are within `band` of the group's first."""
+    def candidates(self, tokens: np.ndarray, band: int) -> list[Group]:
+        """Each group of hits whose diagonals are within `band` of the group's first."""
         grams = gram_hashes(tokens, self.k)
         near = np.flatnonzero(self.table[grams >> np.uint64(44)])
         if not len(near):
             return []
         low, high = (np.searchsorted(self.prints, grams[near], side) for side in ("left", "right"))
-        hits = sorted({(int(self.which[j]), int(p - self.at[j])) for p, a, b in zip(near, low, high) for j in range(a, b)})
-        out: list[tuple[int, int, int]] = []
-        for template, diagonal in hits:
-            if out and out[-1][0] == template and diagonal - out[-1][1] <= self.band(template, band):
-                out[-1] = (template, out[-1][1], diagonal)
+        hits = sorted({(int(self.which[j]), int(p - self.at[j]), int(self.at[j])) for p, a, b in zip(near, low, high) for j in range(a, b)})
+        out: list[Group] = []
+        for template, diagonal, at in hits:
+            begin = at + diagonal
+            if out and out[-1].template == template and diagonal - out[-1].low <= self.band(template, band):
+                g = out[-1]
+                g.high, g.first, g.last = diagonal, min(g.first, at), max(g.last, at + self.k)
+                g.begin, g.end = min(g.begin, begin), max(g.end, begin + self.k)
             else:
-                out.append((template, diagonal, diagonal))
+                out.append(Group(template, diagonal, diagonal, at, at + self.k, begin, begin + self.k))
         return out
 
+    def chains(self, groups: list[Group], gap: int) -> list[list[Group]]:
+        """Groups of a template that follow each other in template and text, at most `gap` words and the template's length apart: the chains of two or more with the most template words."""
+        ordered = sorted(groups, key=lambda g: (g.template, g.begin, g.end))
+        best, before = [g.last - g.first for g in ordered], [-1] * len(ordered)
+        for j, g in enumerate(ordered):
+            size = len(self.tokens[g.template])
+            most = min(gap, size)
+            for i in range(j - 1, -1, -1):
+                x = ordered[i]
+                # A group's hits reach no farther than its template and the spread of its diagonals.
+                if x.template != g.template or x.begin < g.begin - most - 2 * size:
+                    break
+                if x.end - self.k < g.begin <= x.end + most and x.last - self.k < g.first and x.begin < g.begin and (n := best[i] + g.last - g.first) > best[j]:
+                    best[j], before[j] = n, i
+        out = []
+        for j in set(range(len(ordered))) - set(before):
+            chain = []
+            while j >= 0:
+                chain.append(ordered[j])
+                j = before[j]
+            if len(chain) > 1:
+                out.append(chain[::-1])
+        return out
+
+
+def chained(index: Index, tokens: np.ndarray, chain: list[Group], band: int) -> tuple[int, list[tuple[int, int]]]:
+    """(matched words, stretches of the text) of a chain, aligned without the words that are put in between its groups."""
+    own = index.tokens[chain[0].template]
+    cuts = [max(0, chain[0].begin - chain[0].first - band)]
+    for x, y in zip(chain, chain[1:]):
+        side = max(0, y.first - x.last) + band
+        if y.begin - x.end > 2 * side:
+            cuts += [x.end + side, y.begin - side]
+    cuts.append(min(len(tokens), chain[-1].end + len(own) - chain[-1].last + band))
+    where = np.concatenate([np.arange(a, b) for a, b in zip(cuts[::2], cuts[1::2])])
+    kept = tokens[where]
+    diagonals = [int(np.searchsorted(where, g.begin)) - g.first for g in chain]
+    _, begin, end = align(own, kept, min(diagonals), max(diagonals), index.band(chain[0].template, band))
+    if begin < 0 or end <= begin:
+        return 0, []
+    at = where[begin:end]
+    breaks = np.flatnonzero(np.diff(at) > 1) + 1
+    return matched(own, kept, begin, end), [(int(x[0]), int(x[-1]) + 1) for x in np.split(at, breaks)]
+
 
 def align(template: np.ndarray, doc: np.ndarray, low: int, high: int, band: int) -> tuple[int, int, int]:
     """(matched words, first matched position, end) of the best alignment whose diagonals lie in low - band .. high + band.
@@ -165,25 +231,33 @@ def matched(template: np.ndarray, doc: np.ndarray, begin: int, end: int) -> int:
     return int(before[-1])
 
 
-def spans(index: Index, tokens: np.ndarray, band: int, coverage: float) -> list[tuple[int, int, int, int]]:
+def spans(index: Index, tokens: np.ndarray, band: int, coverage: float, gap: int) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, end) of the accepted alignments of a document, by place."""
     found = []
-    for template, low, high in index.candidates(tokens, band):
-        own = index.tokens[template]
-        _, begin, end = align(own, tokens, low, high, index.band(template, band))
+    groups = index.candidates(tokens, band)
+    for g in groups:
+        own = index.tokens[g.template]
+        _, begin, end = align(own, tokens, g.low, g.high, index.band(g.template, band))
         if begin >= 0 and end > begin and (n := matched(own, tokens, begin, end)) >= coverage * len(own):
-            found.append((template, n, begin, end))
-    found.sort(key=lambda x: (-x[1], -x[1] / len(index.tokens[x[0]]), x[2], x[0]))
-    kept: list[tuple[int, int, int, int]] = []  # by first word
-    for x in found:
-        at = bisect(kept, x[2], key=lambda y: y[2])
-        if (at == 0 or kept[at - 1][3] <= x[2]) and (at == len(kept) or kept[at][2] >= x[3]):
-            kept.insert(at, x)
-    return kept
+            found.append((g.template, n, [(begin, end)]))
+    for chain in index.chains(groups, gap):
+        n, pieces = chained(index, tokens, chain, band)
+        if n and n >= coverage * len(index.tokens[chain[0].template]):
+            found.append((chain[0].template, n, pieces))
+    found.sort(key=lambda x: (-x[1], -x[1] / len(index.tokens[x[0]]), x[2][0][0], x[0], x[2][-1][1]))
+    taken: list[tuple[int, int]] = []  # by first word
+    kept = []
+    for template, n, pieces in found:
+        places = [bisect(taken, a, key=lambda y: y[0]) for a, _ in pieces]
+        if all((at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b) for at, (a, b) in zip(places, pieces)):
+            for piece in pieces:
+                insort(taken, piece)
+            kept.append((template, n, pieces[0][0], pieces[-1][1]))
+    return sorted(kept, key=lambda x: x[2])
 
 
 def scan_licenses(
-    docs: DataFrame, templates: dict[str, str] | None = None, k: int = 3, window: int = 3, band: int = 8, coverage: float = 0.8, block: int = 1_000_000
+    docs: DataFrame, templates: dict[str, str] | None = None, k: int = 3, window: int = 3, band: int = 8, coverage: float = 0.8, block: int = 1_000_000, gap: int = 256
 ) -> DataFrame:
     """(doc_id, licenses): per row an array of (template, matched, words, start, end), start and end in code points."""
     templates = TEMPLATES if templates is None else templates
@@ -202,7 +276,7 @@ def scan_licenses(
                 raw = words.of(data.split())
                 number = np.flatnonzero(raw)
                 tokens = raw[number]
-                found = [(i, x) for i in indexes for x in spans(i, tokens, band, coverage)]
+                found = [(i, x) for i in indexes for x in spans(i, tokens, band, coverage, gap)]
                 offsets = [m.span() for m in WORD.finditer(data)] if found else []
                 # Bytes before each place that don't begin a code point.
                 inner = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) == 0x80)]) if found else []

@@ -118,6 +118,17 @@ def test_license_lines_that_repeat(spark):
     assert {text[x["start"] : x["end"]] for x in row["licenses"]} == {"All rights reserved.", "Released under the MIT License."}
 
 
+def test_license_with_a_paragraph_put_in_and_one_left_out(spark):
+    words = licenses.TEMPLATES["mit"].split()
+    half = len(words) // 2
+    other = [f"own{i}" for i in range(15)] + "Released under the MIT License.".split() + [f"more{i}" for i in range(20)]
+    less = words[:half] + words[half + 12 :]
+    rows = licenses.scan_licenses(frame(spark, [" ".join(words[:half] + other + words[half:]), " ".join(less)])).orderBy("doc_id").collect()
+    assert [(x["template"], x["words"] - x["matched"]) for x in rows[0]["licenses"]] == [("mit", 0), ("mit-line", 0)]
+    assert [(x["template"], x["words"] - x["matched"]) for x in rows[1]["licenses"]] == [("mit", 12)]
+    assert rows[0]["licenses"][0]["end"] == len(" ".join(words[:half] + other + words[half:]))
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(50):
