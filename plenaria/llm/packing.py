@@ -6,16 +6,19 @@
 2. Only the histogram of lengths (at most `capacity` rows, whatever the corpus)
    reaches the driver. The configuration program (fewest sequences that cover the
    histogram) is solved by multiplicative weights: lengths covered least so far
-   weigh most, and a knapsack dynamic program prices the best sequence under
-   these weights. The fractional solution is rounded down, and what it leaves
-   goes, still as a histogram, to best-fit decreasing.
+   weigh most, and a knapsack dynamic program prices sequences under these weights.
+   The fractional solution is rounded, what that leaves is solved again, and the last
+   rest goes, still as a histogram, to best-fit decreasing, which is also the plan
+   wherever it alone needs fewer sequences.
 3. The result is a list of configurations with multiplicities. A piece's rank
    among all pieces of its length (its own number plus the counts of earlier
    tasks) fixes its sequence and offset, so assignment is a map, not a shuffle of
    sequences, and one very frequent length is dealt out by task.
 
 Nulls and empty texts are documents of one token (the separator). A null doc_id
-stays null. Repeated rows are packed like any others; extra columns are ignored.
+stays null. Repeated rows are packed like any others; extra columns are ignored; an
+empty table gives an empty result. Very long texts, with or without white space, are
+cut into pieces like any others.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,53 +37,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import blobs, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-# The vocabulary's pre-tokenizer (English endings, runs of letters, single digits, runs
-# of other marks) for lower-cased text below U+0250.
-WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
+# Words that need none of the vocabulary's normaliser but lower case: printable ASCII and the
+# Latin letters up to U+017F, but for the one that becomes two characters.
+SIMPLE = re.compile("[!-~À-ÖØ-öø-įıĲ-ſ]+")
+# The vocabulary's pre-tokenizer (English endings, runs of letters, single digits, runs of other marks) for such words.
+WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+#: Longer words are not kept for the next texts.
+LONG = 200
 # How the vocabulary spells bytes: printable ones as themselves, the others as the characters from U+0100 on.
 BYTE_MARKS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
-# Texts that are encoded whole: characters beyond that range or lower-cased out of it,
-# control spaces, and anything like a special token.
-UNSAFE = re.compile("[\x0b\x0c\x1c-\x1f\x85İȺȾɐ-\U0010ffff]|<\\|")
 
 
-def encoder(path: str, cached: int = 600_000) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids as little-endian unsigned 32-bit bytes.
+def encoder(path: str, cached: int = 600_000) -> Callable[[list[str | bytes]], list[bytes]]:
+    """A function from texts (bytes: UTF-8) to their ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's parts never reach over white space, so each distinct word between
-    spaces is put together once per task and looked up afterwards; each distinct part
-    goes through the vocabulary's merges once.
+    The vocabulary's parts, and what it composes or lower-cases, never reach over ASCII
+    white space, so each distinct word is put together once per task and looked up
+    afterwards. Each distinct part of a simple word goes through the vocabulary's merges
+    once; all other words (and special tokens) go through the tokenizer itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model, known = Tokenizer.from_file(path), {}
+    model = Tokenizer.from_file(path)
     merge = model.model.tokenize
-
-    def plain(text: str) -> bool:
-        if text.isascii():
-            return "<|" not in text and not any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f")
-        return not UNSAFE.search(text)
-
-    def learn(words: set[str]) -> None:
-        split = {w: (w[:-1], w[-1]) if w[:-1].isalpha() else WORDS.findall(w) for w in words if not w.isalpha()}
-        for x in chain(words - split.keys(), *split.values()):
-            if x not in known:
-                spelt = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_MARKS)
-                known[x] = array("I", [t.id for t in merge(spelt)]).tobytes()
-        known.update((w, b"".join(map(known.__getitem__, x))) for w, x in split.items())
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > cached:
+    known: dict[bytes, bytes] = {}
+    parts: dict[str, bytes] = {}
+
+    def part(x: str) -> bytes:
+        if (made := parts.get(x)) is None:
+            spelt = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_MARKS)
+            made = parts[x] = array("I", [t.id for t in merge(spelt)]).tobytes()
+        return made
+
+    def learn(data: bytes) -> bytes:
+        word = data.decode("utf-8", "surrogatepass")
+        if len(word) > LONG or "<|" in word or not SIMPLE.fullmatch(word):
+            return array("I", model.encode(word, add_special_tokens=False).ids).tobytes()
+        word = word.lower()
+        return part(word) if word.isalpha() else b"".join(map(part, WORDS.findall(word)))
+
+    def encode(texts: list[str | bytes]) -> list[bytes]:
+        if len(known) + len(parts) > cached:
             known.clear()
-        split = [text.lower().split() if plain(text) else None for text in texts]
-        if new := set().union(*filter(None, split)).difference(known):
-            learn(new)
-        whole = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(text) if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split)]
+            parts.clear()
+        texts = [text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text for text in texts]
+        # Special tokens are told from their like by case, so such texts keep it for now.
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        new = set().union(*split).difference(known)
+        known.update((word, learn(word)) for word in new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > LONG:
+                del known[word]
+        return out
 
     return encode
 
@@ -97,8 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 rows: list[tuple] = []
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc, data in zip(some.column(0).to_pylist(), encode(texts)):
+                for doc, data in zip(some.column(0).to_pylist(), encode(blobs(some.column(1)))):
                     data += end
                     for k, start in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[start : start + 4 * capacity]
