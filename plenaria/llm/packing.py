@@ -123,26 +123,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
-def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """The sequence of greatest weight: an unbounded knapsack by dynamic programming over the capacity."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """By room: the greatest sum of weights that fills it to the last token (-inf: nothing does), and the length to take first.
+
+    An unbounded knapsack by dynamic programming over the capacity.
+    """
+    best, choice = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
+    best[0] = 0
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room], choice[room] = best[room - 1], -1
-        if k := fits[room]:
-            value = best[room - lengths[:k]] + weights[:k]
-            top = value.argmax()
-            if value[top] > best[room]:
-                best[room], choice[room] = value[top], top
-    found: Counter[int] = Counter()
-    room = capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            found[int(lengths[choice[room]])] += 1
-            room -= int(lengths[choice[room]])
-    return dict(found)
+    for room in range(int(lengths[0]), capacity + 1):
+        value = best[room - lengths[: fits[room]]] + weights[: fits[room]]
+        top = int(value.argmax())
+        if value[top] > -np.inf:
+            best[room], choice[room] = value[top], top
+    return best, choice
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -169,34 +163,88 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [entry for group in by_room.values() for entry in group]
 
 
-def configurations(histogram: dict[int, int], capacity: int = 2048, rounds: int = 100, rate: float = 6.0) -> list[tuple[dict[int, int], int]]:
-    """Sequences, as lengths with counts, and how often each is used; every piece is in one."""
-    lengths = np.array(sorted(histogram), np.int64)
-    if not len(lengths):
-        return []
-    demand = np.array([histogram[int(n)] for n in lengths], float)
-    at = {int(n): i for i, n in enumerate(lengths)}
-    cover, used = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        weights = lengths / capacity * np.exp(-rate * (cover - np.average(cover, weights=demand * lengths)))
-        config = price(lengths, weights, capacity)
-        index = np.array([at[n] for n in config])
-        each = np.array([float(x) for x in config.values()])
-        step = 0.3 * (demand[index] / each).min()
-        cover[index] += step * each / demand[index]
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + step
-    rest = dict(histogram)
-    out: list[tuple[dict[int, int], int]] = []
-    scale = 1 / max(1e-9, float(np.average(cover, weights=demand * lengths)))
-    scale = max(1.0, scale)
-    for key, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-        n = min([int(amount * scale), *(rest[length] // x for length, x in key)])
-        if n:
-            out.append((dict(key), n))
-            for length, x in key:
+def cover(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float, slack: int) -> dict[tuple, float]:
+    """The covering program over sequences, fractional: lengths (index, count) of a sequence -> how often it is used.
+
+    In each round every length's cover grows by a share of 1 / `rounds` of its demand: from
+    the longest on, a length takes the sequence of greatest weight that holds it, among the
+    fullest. A length's weight falls by exp(-rate) with each round that its cover is ahead
+    by, and no length may be ahead by more than one round, so none is covered much over
+    its demand. Only sequences with at most `slack` free tokens are used.
+    """
+    done, used = np.zeros(len(lengths)), {}
+    for now in range(1, rounds + 1):
+        for banned in (-1e-3 * lengths, np.full(len(lengths), -10.0)):
+            if not (done < now / rounds - 1e-9).any():
+                break
+            weights = lengths / capacity * np.exp(-rate * np.clip(done * rounds - now, -6, 2))
+            best, choice = price(lengths, np.where(done * rounds >= now + 1 - 1e-6, banned, weights), capacity)
+            fullest = np.maximum.accumulate(np.where(best > -np.inf, np.arange(capacity + 1), -1))
+            for i in np.flatnonzero(done < now / rounds - 1e-9)[::-1].tolist():
+                room = int(fullest[capacity - lengths[i]])
+                if done[i] >= now / rounds or capacity - lengths[i] - room > slack:
+                    continue
+                config = Counter({i: 1})
+                while room:
+                    config[int(choice[room])] += 1
+                    room -= int(lengths[choice[room]])
+                step = min(((now + (j != i)) / rounds - done[j]) * demand[j] / x for j, x in config.items())
+                if step > 1e-9:
+                    key = tuple(sorted(config.items()))
+                    used[key] = used.get(key, 0.0) + step
+                    for j, x in config.items():
+                        done[j] += step * x / demand[j]
+    return used
+
+
+def rounded(used: dict[tuple, float], lengths: np.ndarray, rest: dict[int, int]) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of the sequences in `used`: running sums over neighbouring sequences, rounded, as far as `rest` (reduced here) allows."""
+    out, total = [], 0.5
+    for key in sorted(used, key=lambda x: [(-j, -n) for j, n in reversed(x)]):
+        amount = int(total + used[key]) - int(total)
+        total += used[key]
+        config = {int(lengths[j]): x for j, x in key}
+        if n := min([amount, *(rest[length] // x for length, x in config.items())]):
+            out.append((config, n))
+            for length, x in config.items():
                 rest[length] -= n * x
-    return out + best_fit({k: v for k, v in rest.items() if v}, capacity)
+    return out
+
+
+def configurations(
+    histogram: dict[int, int], capacity: int = 2048, rounds: int = 24, passes: int = 3, rate: float = 0.5, reserve: float = 0.03
+) -> list[tuple[dict[int, int], int]]:
+    """Sequences, as lengths with counts, and how often each is used; every piece is in one.
+
+    The program is solved and rounded, again for what rounding left, and so on. It leaves the
+    shortest pieces, a share of `reserve` of the tokens, to fill what best-fit decreasing does
+    with the rest. The fewest sequences of three plans count: with full sequences only, with
+    any, and best-fit alone. None of them can be fewer than the tokens over the capacity.
+    """
+    tokens = sum(length * n for length, n in histogram.items())
+    fewest = best_fit(histogram, capacity)
+    for slack in (0, capacity):
+        rest, plan = dict(histogram), []
+        for _ in range(passes):
+            lengths = np.array(sorted(k for k, n in rest.items() if n), np.int64)
+            demand = np.array([rest[int(k)] for k in lengths], np.int64)
+            held = np.cumsum(lengths * demand)
+            demand -= np.ceil(demand * np.clip((reserve * tokens - held + lengths * demand) / (lengths * demand), 0, 1)).astype(np.int64)
+            lengths, demand = lengths[demand > 0], demand[demand > 0]
+            if not len(lengths):
+                break
+            free = {int(k): int(n) for k, n in zip(lengths, demand)}
+            made = rounded(cover(lengths, demand.astype(float), capacity, rounds, rate, slack), lengths, free)
+            plan += made
+            for config, n in made:
+                for length, x in config.items():
+                    rest[length] -= n * x
+        plan += best_fit({k: n for k, n in rest.items() if n}, capacity)
+        if sum(n for _, n in plan) <= sum(n for _, n in fewest):
+            fewest = plan
+        if sum(n for _, n in fewest) * capacity < tokens + capacity:
+            break
+    return fewest
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -214,7 +262,7 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, rounds: int = 100, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, rounds: int = 24, with_ids: bool = False) -> DataFrame:
     """The pieces of `docs` with their sequence_id and offset; offsets in a sequence are gapless from 0."""
     made = stored(pieces(docs, tokenizer, capacity, separator, with_ids), "pieces")
     counted = stored(made.groupBy("part", "length").count(), "piece-counts")
