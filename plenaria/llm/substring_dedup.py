@@ -14,17 +14,27 @@ A byte is removed if a string of `length` bytes covers it that also starts earli
    earliest place is the dictionary's entry; all strings of the others are
    repeats. Highly repetitive text ends here: only dictionary entries go on, and of
    these only the ones whose trigger stands in another entry too.
-4. Suffixes. The bytes of these entries are fetched; their suffixes of `length`
-   bytes are sorted (by hash: all that matters is that equal ones are neighbours),
-   and the parse's places order equal ones. All but the first are repeats.
+4. Suffix array. The bytes of these entries are fetched. Equal strings have one trigger,
+   so the dictionary's suffix array is built in parts, one for each range of triggers: the
+   suffixes' ranks by their first `length` bytes come from prefix doubling (ranks by
+   8 bytes, 16, 32, ...), on the bytes themselves. Suffixes of equal rank (a common
+   prefix of `length` bytes or more) are put in corpus order by the places that the parse
+   gives their phrases. All but the first are repeats.
 5. Each document's repeated starts become spans, and the rest is what it keeps.
 
+The parse needs no suffix array of its own: as no string reaches over its phrase's end,
+the phrases that follow can't tell two equal suffixes apart, and corpus order is theirs
+by place.
+
 Copies inside a batch of documents are folded before the shuffle. A trigger that
 very many different phrases share (a common passage in many contexts) is hot: its
-phrases are dealt by their own hash in step 3, and its suffixes by how far they
-start before the trigger in step 4, which equal strings have in common. Which triggers are hot (a bounded list, from counts over all documents) only
-decides the dealing, never the result. Hashes are 64 bits each; strings count as
-equal if both the trigger's and their own are.
+phrases are dealt by their own hash in step 3. In step 4 its suffixes are dealt by bands of how far
+they start before the trigger, together with the bytes that all strings of the band
+have in common, which equal strings agree on; equal suffixes of a band are folded before that
+shuffle. Each task counts triggers by a frequent-items summary that
+misses none with over 1 / `most` of its phrases, so a trigger that isn't known as hot has no
+more than that share of all phrases. What is hot only decides the dealing, never the
+result. Equal phrases are found by two 64-bit hashes (trigger and phrase), equal strings by their bytes.
 
 Nulls: a null text has no bytes; null doc_ids come last. Documents that share a
 doc_id are ordered by a hash of their texts; rows that repeat doc_id and text stand
@@ -38,6 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -84,18 +95,23 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[:n], now[width - size : width - size + n])
 
 
-def phrases(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(trigger hashes, phrase hashes, first starts, numbers of starts) of a text, by segments."""
-    digest = xxhash.xxh3_64_intdigest
+def triggers(data: bytes, length: int, gram: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, trigger hashes, first starts, ends of the starts) of the phrases of a text, by segments; starts count from the segment's own."""
     for base in range(0, len(data) - length + 1, SEGMENT):
         part = data[base : base + SEGMENT + length - 1]
         hashes = rolling(np.frombuffer(part, np.uint8), gram)
         ranked = (hashes & ~LOW) | np.arange(len(hashes), dtype=np.uint64)
         chosen = (sliding_min(ranked, length - gram + 1) & LOW).astype(np.int64)
         starts = np.flatnonzero(np.diff(chosen, prepend=-1))
-        ends = np.append(starts[1:], len(chosen))
+        yield part, hashes[chosen[starts]], starts, np.append(starts[1:], len(chosen))
+
+
+def phrases(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(trigger hashes, phrase hashes, first starts, numbers of starts) of a text, by segments."""
+    digest = xxhash.xxh3_64_intdigest
+    for i, (part, trigger, starts, ends) in enumerate(triggers(data, length, gram)):
         own = np.fromiter((digest(part[s : e + length - 1]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
-        yield hashes[chosen[starts]], own, starts + base, ends - starts
+        yield trigger, own, starts + i * SEGMENT, ends - starts
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -111,14 +127,22 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", "doc", F.coalesce("sub", F.lit(0)).alias("sub"))
 
 
-def _hot(docs: DataFrame, length: int, gram: int, often: int, most: int, local: int) -> np.ndarray:
-    """The triggers that stand most often, `most` at most: those seen `often` times or more in all, of counts of `local` or more in a batch."""
+def _hot(docs: DataFrame, length: int, gram: int, often: int, most: int) -> np.ndarray:
+    """Triggers of `often` phrases or more by the sum of the tasks' summaries; none with over 1 / `most` of all phrases is missed. There are at most `most` of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Misra and Gries: as soon as there are too many counters, the smallest are taken from all.
+        value, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            found = [t for x in small([batch]) for b in blobs(x.column(0)) for t, _, _, _ in phrases(b, length, gram)]
-            value, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(value[n >= local].view(np.int64)), pa.array(n[n >= local])], ["trigger", "n"])
+            for some in small([batch], 500):
+                found = [t for b in blobs(some.column(0)) for _, t, _, _ in triggers(b, length, gram)]
+                new, more = np.unique(np.concatenate(found), return_counts=True) if found else (value[:0], n[:0])
+                both, at = np.unique(np.concatenate([value, new]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([n, more]), len(both)).astype(np.int64)
+                if len(both) > most:
+                    sums -= np.partition(sums, len(sums) - most - 1)[len(sums) - most - 1]
+                value, n = both[sums > 0], sums[sums > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["trigger", "n"])
 
     counted = docs.select("text").mapInArrow(count, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
     rows = counted.orderBy(F.desc("n"), "trigger").limit(most).collect()
@@ -147,7 +171,9 @@ def parse(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame
             n = n.copy()
             n[heads] = np.add.reduceat(total, heads)
         keep = ~repeat | opens
-        columns = (kind, np.where(repeat, 0, trigger), np.where(repeat, 0, phrase), doc, sub, at, n)
+        # A repeat waits for nothing: a trigger of its own deals it out alone.
+        alone = ((doc * np.int64(31) + at) * np.int64(0x1E3779B97F4A7C15)) ^ sub
+        columns = (kind, np.where(repeat, alone, trigger), np.where(repeat, 0, phrase), doc, sub, at, n)
         return pa.RecordBatch.from_arrays([pa.array(c[keep], t) for c, t in zip(columns, P_TYPES)], P_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +213,10 @@ def dictionary(parsed: DataFrame) -> DataFrame:
             further = entry & (many[group] | (kind == HOT))
             out_kind = np.where(entry, kind, REPEAT).astype(np.int32)
             keep = ~entry | further
-            columns = [out_kind, np.where(entry, trigger, 0), np.where(entry, phrase, 0), *c[3:]]
+            columns = [out_kind, np.where(further, trigger, 0), np.where(further, phrase, 0), *c[3:]]
             yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip(columns, P_TYPES)], P_NAMES)
 
-    deal = F.when(F.col("kind") == FRESH, F.col("trigger")).when(F.col("kind") == HOT, F.xxhash64("trigger", "phrase")).otherwise(F.xxhash64("doc", "at"))
+    deal = F.when(F.col("kind") == HOT, F.xxhash64("trigger", "phrase")).otherwise(F.col("trigger"))
     return parsed.repartition(deal).sortWithinPartitions("trigger", "phrase", "doc", "sub", "at").mapInArrow(run, PHRASE)
 
 
@@ -206,14 +232,55 @@ def _pressed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "doc", "sub", "text").mapInArrow(run, "doc_id long, doc long, sub int, data binary")
 
 
+def ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """By place: the rank of the `length` bytes from there on (zeros follow the end) among all of them, in order of their bytes; equal ones share it.
+
+    Prefix doubling: ranks of 8 bytes make those of 16, and so on; the last step overlaps.
+    """
+    padded = np.concatenate([data, np.zeros(length, np.uint8)]).astype(np.uint64)
+    size = 1
+    while 2 * size <= min(8, length):
+        padded = (padded[:-size] << np.uint64(8 * size)) | padded[size:]
+        size *= 2
+    rank = np.unique(padded, return_inverse=True)[1]
+    while size < length:
+        step = min(size, length - size)
+        pair = rank[:-step] * np.int64(rank.max() + 1) + rank[step:]
+        rank, size = np.unique(pair, return_inverse=True)[1], size + step
+    return rank[: len(data)]
+
+
+def _places(doc: np.ndarray, sub: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Starts in order as runs (doc, sub, at, n)."""
+    opens = np.append(True, (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (at[1:] != at[:-1] + 1))[: len(doc)]
+    heads = np.flatnonzero(opens)
+    cols = (doc[heads], sub[heads], at[heads], np.diff(np.append(heads, len(doc))))
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, P_TYPES[3:])], P_NAMES[3:])
+
+
 def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, sub, at, n): starts of the entries whose string stands in an earlier entry."""
+    # n is 0 for strings to compare, and the number of starts for a run that is known to repeat.
+    schema = "trigger long, salt long, doc long, sub int, at long, n int, bytes binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    wide = -(-(length - gram + 1) // SALTS)
+
+    def folded(rows: list[tuple]) -> pa.RecordBatch:
+        # Of equal pieces of a hot trigger the earliest goes on.
+        seen: set[tuple] = set()
+        out = []
+        for row in sorted(rows, key=lambda x: x[2:5]):
+            trigger, salt, doc, sub, at, _, data = row
+            if salt and (trigger, salt, data) in seen:
+                row = (xxhash.xxh3_64_intdigest(b"%d %d" % (doc, at)) >> 1, 0, doc, sub, at, len(data) - length + 1, b"")
+            elif salt:
+                seen.add((trigger, salt, data))
+            out.append(row)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        names = ["trigger", "salt", "doc", "sub", "at", "bytes"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        wide = -(-(length - gram + 1) // SALTS)
         rows: list[tuple] = []
         for batch in small(batches, 200):
             for doc, sub, blob, asked in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -221,53 +288,55 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int)
                 for x in asked:
                     trigger, at, n = x["trigger"], x["at"], x["n"]
                     if x["kind"] != HOT:
-                        rows.append((trigger, -1, doc, sub, at, data[at : at + n + length - 1]))
+                        rows.append((trigger, 0, doc, sub, at, 0, data[at : at + n + length - 1]))
                         continue
                     here = np.frombuffer(data, np.uint8, n + length - 1, at)
                     before = int((rolling(here, gram).view(np.int64) == trigger).argmax())
-                    for salt in range((before - n + 1) // wide, before // wide + 1):
-                        first, last = max(0, before - salt * wide - wide + 1), min(n - 1, before - salt * wide)
-                        rows.append((trigger, salt, doc, sub, at + first, data[at + first : at + last + length]))
+                    for band in range((before - n + 1) // wide, before // wide + 1):
+                        # All strings of a band hold the bytes from its last start to its first string's end.
+                        low, high = at + before - band * wide - wide + 1, at + before - band * wide
+                        first, last = max(at, low), min(at + n - 1, high)
+                        core = data[high : low + length]
+                        rows.append((trigger, xxhash.xxh3_64_intdigest(core, band) >> 1 | 1, doc, sub, first, 0, data[first : last + length]))
                 if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
+                    yield folded(rows)
                     rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
+            yield folded(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["trigger", "salt"], 20_000):
-            trigger, doc, sub, at = (table.column(c).to_numpy() for c in ("trigger", "doc", "sub", "at"))
+            sure = pc.greater(table.column("n"), 0)
+            yield from table.filter(sure).select(P_NAMES[3:]).to_batches()
+            table = table.filter(pc.invert(sure))
+            if not table.num_rows:
+                continue
+            doc, sub, at = (table.column(c).to_numpy() for c in ("doc", "sub", "at"))
             parts = table.column("bytes").to_pylist()
             lengths = np.array([len(p) for p in parts])
             offsets, strings = bounds(lengths), lengths - length + 1
-            hashes = rolling(np.frombuffer(b"".join(parts), np.uint8), length)
             row = np.repeat(np.arange(len(parts)), strings)
             inside = np.arange(len(row)) - np.repeat(bounds(strings)[:-1], strings)
-            own = hashes[offsets[row] + inside]
-            place = at[row] + inside
-            order = np.lexsort((place, sub[row], doc[row], trigger[row], own))
-            same = (own[order][1:] == own[order][:-1]) & (trigger[row[order]][1:] == trigger[row[order]][:-1])
-            hit = np.sort(order[1:][same])
-            row, place = row[hit], place[hit]
-            opens = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))[: len(row)]
-            heads = np.flatnonzero(opens)
-            n = np.diff(np.append(heads, len(row)))
-            cols = (doc[row[heads]], sub[row[heads]], place[heads], n)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, P_TYPES[3:])], P_NAMES[3:])
+            rank = ranks(np.frombuffer(b"".join(parts), np.uint8), length)[offsets[row] + inside]
+            doc, sub, place = doc[row], sub[row], at[row] + inside
+            # The suffix array, equal suffixes in corpus order: all but the first are repeats.
+            order = np.lexsort((place, sub, doc, rank))
+            hit = order[1:][rank[order][1:] == rank[order][:-1]]
+            hit = hit[np.lexsort((place[hit], sub[hit], doc[hit]))]
+            yield _places(doc[hit], sub[hit], place[hit])
 
     asked = entries.groupBy("doc", "sub").agg(F.collect_list(F.struct("kind", "trigger", "at", "n")).alias("asked"))
-    fetched = _pressed(docs).join(asked, ["doc", "sub"]).select("doc", "sub", "data", "asked")
-    fetched = fetched.mapInArrow(fetch, "trigger long, salt int, doc long, sub int, at long, bytes binary")
+    fetched = _pressed(docs).join(asked, ["doc", "sub"]).select("doc", "sub", "data", "asked").mapInArrow(fetch, schema)
     return fetched.repartition("trigger", "salt").sortWithinPartitions("trigger", "salt").mapInArrow(compare, "doc long, sub int, at long, n int")
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, often: int = 1000, most: int = 4096, local: int = 32) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, often: int = 1000, most: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the removed spans of each row (bytes, end exclusive, maximal) and the bytes it keeps."""
     ordered = _ordered(docs)
     once = ordered
     if not ordered.groupBy("doc", "sub").count().where("count > 1").isEmpty():
         once = stored(ordered.dropDuplicates(["doc", "sub"]), "substring-texts")
-    hot = _hot(once, length, gram, often, most, local)
+    hot = _hot(once, length, gram, often, most)
     known = stored(dictionary(parse(once, hot, length, gram)), "substring-dictionary")
     more = suffix_repeats(known.where(F.col("kind") != REPEAT), once, length, gram)
     repeats = known.where(F.col("kind") == REPEAT).select("doc", "sub", "at", "n").union(more)

@@ -198,15 +198,15 @@ def brute_spans(ordered, length=100):
     return out
 
 
-@pytest.mark.parametrize("often, local", [(1000, 32), (2, 1)])
-def test_substrings_against_brute_force(spark, often, local):
+@pytest.mark.parametrize("often, most", [(1000, 4096), (2, 4096), (1, 7)])
+def test_substrings_against_brute_force(spark, often, most):
     rng = random.Random(7)
     base = ["".join(rng.choices("abcdefgh é", k=rng.randint(50, 900))) for _ in range(12)]
     texts = []
     for i in range(60):
         parts = [rng.choice(base)[rng.randint(0, 40) :] for _ in range(rng.randint(1, 3))] + ["".join(rng.choices("abc", k=rng.randint(0, 120)))]
         texts.append("".join(parts) if i % 9 else rng.choice(["", "a" * 500, "ab" * 300, base[0]]))
-    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(frame(spark, texts, partitions=5), often=often, local=local).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(frame(spark, texts, partitions=5), often=often, most=most).collect()}
     want = brute_spans([t.encode() for t in texts])
     assert [[tuple(s) for s in got[i]["spans"]] for i in range(60)] == want
     data = texts[13].encode()
@@ -349,30 +349,6 @@ def test_chat_round_trip(spark):
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
-def test_lines_against_brute_force(spark):
-    rng = random.Random(4)
-    pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 70))) for _ in range(40)] + ["", "  ", "\t"]
-    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(50)] + ["\n".join(pool[:6])] * 3
-    seen, want = set(), []
-    for text in texts:
-        lines = text.split("\n")
-        at = [i for i, x in enumerate(lines) if x.strip(" \t")]
-        gone = set()
-        for j in range(len(at)):
-            n, k = 0, j
-            while k < len(at) and n < 50:
-                n += lines[at[k]].count(" ") + 1
-                k += 1
-            if n >= 50:
-                key = tuple(lines[i] for i in at[j:k])
-                if key in seen:
-                    gone |= set(range(at[j], at[k - 1] + 1))
-                seen.add(key)
-        want.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == want and want != texts
-
-
 def without_runs(texts, words=50):
     """Each text without the runs of lines of `words` words or more that stand at an earlier place, by the definition of a run."""
     seen, out = set(), []
@@ -400,7 +376,7 @@ def test_whole_runs_against_their_definition(spark):
     twenty = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcde"]
     cases = [f"{long}\n{short}\none", f"{long}\n{short}\ntwo", "\n".join([*twenty, "v w x y z", "one"]), "\n".join(["0", *twenty, "v w x y z", "two"]), f"{long}\n \n{long}", f"0\n{long}\n\n{long}"]
     texts = cases + ["\n".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(80)] + ["\n".join(pool[:6])] * 3
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts), whole=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
     want = without_runs(texts)
     assert [got[i] for i in range(len(texts))] == want and want[1] == "two" and want[3] == "0\ntwo"
 
@@ -409,7 +385,7 @@ def test_whole_runs_count_words_not_spaces(spark):
     indented = "\n".join(" " * 20 + c for c in "{};")
     parted = "\n".join("\t".join(f"{c}{i}" for i in range(30)) for c in "ab")
     texts = [f"{x}\n{n}" for x in (indented, parted) for n in ("one", "two")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts), whole=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
     assert [got[i] for i in range(4)] == without_runs(texts) == [texts[0], texts[1], texts[2], "two"]
 
 
