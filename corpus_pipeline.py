@@ -1,4 +1,12 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicates, decontamination and packing, one stage after the other."""
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, decontamination and packing, one stage after the other.
+
+Each stage works on all rows that its predecessor kept. Nulls: a null text is clean, has no
+lines, is one group with other texts without words, covers no benchmark item and packs as
+one token; rows with a null doc_id stay rows of their own text's group. Repeated rows: one
+row of each group of equal or near texts stays, that of the smallest doc_id (null: last).
+Empty and very long texts are texts like others. Columns besides doc_id and text pass
+through all stages but the last, whatever their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +22,11 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _whole_texts(spark: SparkSession) -> None:
-    """Rows are whole texts here: where the session has Spark's default, hand 2,000 at a time to Python instead of 10,000."""
-    if spark.conf.get(BATCH) == "10000":
+    """Rows are whole texts here: where the session doesn't set how many go to Python at a time, 2,000 do instead of 10,000.
+
+    The stages are lazy, so that stays set; a number of the session's own is left alone.
+    """
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
         spark.conf.set(BATCH, "2000")
 
 
@@ -28,7 +39,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without runs of lines of 50 words or more that an earlier one has; n_chars follows the text."""
     _whole_texts(spark)
-    made = line_dedup.dedup_lines(docs, whole=True).drop("n_lines", "n_removed")
+    made = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
     return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 
