@@ -16,6 +16,9 @@ reach. A document's parts are in its row, so the join is a sorted sweep inside t
 row: nothing is shuffled, and a hot source or a large group of copies is only
 more rows.
 
+Every pattern takes time in proportion to a text's length, also in one long run
+without white space.
+
 Nulls: a null text is an empty one; a null doc_id stays null. Repeated rows give
 repeated results. Extra columns are ignored; an empty table gives an empty result.
 """
@@ -42,7 +45,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CLIENT = re.compile(r"""(?:client_?id|user_?name|user|login|account|access_key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}")
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+""", re.I | re.A)
+# An endpoint is a letter, more of SCHEME, "://" and a place.
+SCHEME = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-"
+PLACE = re.compile(r"""[^\s"'<>]+""", re.A)
 BLANK = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -55,14 +60,27 @@ def base_parts(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def endpoints(text: str) -> list[tuple[int, int, str]]:
+    """Leftmost non-overlapping endpoints: from each "://" back to the first letter of the run before it, so that no run is read twice."""
+    out, done, at = [], 0, text.find("://")
+    while at >= 0:
+        run = text[done + len(text[done:at].rstrip(SCHEME)) : at].lstrip("0123456789+.-")
+        place = PLACE.match(text, at + 3)
+        done = at + 3
+        if run and place:
+            out.append((at - len(run), place.end(), "endpoint"))
+            done = place.end()
+        at = text.find("://", done)
+    return out
+
+
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak spans that don't overlap base ones; none if the text has no identifier at all, as none could be linked."""
     clients = [(*m.span(), "client") for m in CLIENT.finditer(text)] if ":" in text or "=" in text else []
     if not clients and not any(kind == "access" for _, _, kind in base):
         return []
     found = clients + [(*m.span(), "opaque") for m in OPAQUE.finditer(text)]
-    if "://" in text:
-        found += [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
+    found += endpoints(text)
     taken, out = sorted((s, e) for s, e, _ in base), []
     starts = np.array([s for s, _ in taken], np.int64)
     ends = np.maximum.accumulate(np.array([e for _, e in taken], np.int64)) if taken else starts
