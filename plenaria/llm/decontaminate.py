@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 1. Benchmark items become word hashes; their `k`-word grams (Karp-Rabin hashes) are
-   the seed index. Items are dealt into blocks of at most about `block` grams, each
-   a bounded broadcast; a larger benchmark means more passes over the documents,
-   never a larger broadcast.
+   the seed index. Items are dealt into blocks of about `block` words, each of which
+   goes to the tasks with the function. A larger benchmark means more passes over
+   the documents, whose results are stored one after the other: one block is alive
+   at a time.
 2. A document's rolling k-gram hashes are joined to the seeds through a bit table
    first and by exact hash then, in the same pass that reads it; clean documents
    end there.
@@ -14,24 +15,27 @@
    that falls from the longest possible to k.
 4. An item is leaked into a document if its tiles cover `coverage` of its words.
 
-Nothing is shuffled: a hot source or a very common passage is only more rows.
+With one block nothing is shuffled: a hot source or a very common passage is only more rows.
 
 Words are split at white space, lower-cased (A-Z) and freed of marks at their ends.
 Items of fewer than `k` words identify nothing and never match. Nulls: a null text
 has no words; null ids stay null. Repeated items are reported each; repeated rows
-give repeated results. Extra columns are ignored; empty tables give empty results.
+give repeated results. Extra columns are ignored; empty tables give empty results. A
+very long text is looked up in one pass; what tiling costs grows with its shared seeds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, blobs, gram_hashes, small
+from .shared import WordHashes, blobs, gram_hashes, small, stored
 
 TABLE_BITS = 22
 
@@ -43,16 +47,15 @@ def hashed(words: WordHashes, data: bytes) -> np.ndarray:
 
 
 class Seeds:
-    """The inverted index of a block of items: gram hash -> (item, position)."""
+    """The inverted index of a block of items: gram hash -> items, each once."""
 
     def __init__(self, items: list[np.ndarray], k: int):
         self.items, self.k = items, k
-        grams = [gram_hashes(t, k) for t in items]
+        grams = [np.unique(gram_hashes(t, k)) for t in items]
         which = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.grams, self.which, self.at = flat[order], which[order], at[order]
+        self.grams, self.which = flat[order], which[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.grams >> np.uint64(64 - TABLE_BITS)] = True
 
@@ -65,47 +68,62 @@ class Seeds:
         low, high = (np.searchsorted(self.grams, grams[near], side) for side in ("left", "right"))
         found: dict[int, list[int]] = {}
         for p, a, b in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-            for item in set(self.which[a:b].tolist()):
+            for item in self.which[a:b].tolist():
                 found.setdefault(item, []).append(p)
         return {item: np.array(p, np.int64) for item, p in found.items()}
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, k: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (item position, document position, words) of each tile, longest first.
+    """Greedy string tiling: (item position, document position, words) of each tile, longest first, then by places.
 
     `starts` are the document positions of shared k-grams; every match of k words
-    or more starts at one of them, so other positions are never looked at.
+    or more starts at one of them, so other positions are never looked at. For each
+    length, from the item's own down to `k` by halves, all maximal matches of unmarked
+    words come from Karp-Rabin hashes and are marked longest first; what an earlier tile
+    leaves free of a match is put back in line by its own length.
     """
     free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
     out: list[tuple[int, int, int]] = []
-    length = len(item)
+    length, left = len(item), len(item)
     while length >= k:
-        left = np.concatenate([[0], np.cumsum(~free_item)])
-        here = np.flatnonzero(left[length:] == left[: len(item) - length + 1]) if len(item) >= length else np.zeros(0, np.int64)
-        there = starts[starts + length <= len(doc)]
-        used = np.concatenate([[0], np.cumsum(~free_doc)])
-        there = there[used[there + length] == used[there]]
-        found: list[tuple[int, int, int]] = []
-        if len(here) and len(there):
-            index: dict[int, list[int]] = {}
-            for p, h in zip(here.tolist(), gram_hashes(item, length)[here].tolist()):
-                index.setdefault(h, []).append(p)
-            window = np.arange(length)
-            rolled = _roll(doc, there, length)
-            for q, h in zip(there.tolist(), rolled.tolist()):
-                for p in index.get(h, ()):
-                    n = length
-                    if not np.array_equal(item[p + window], doc[q + window]):
-                        continue
-                    while p + n < len(item) and q + n < len(doc) and free_item[p + n] and free_doc[q + n] and item[p + n] == doc[q + n]:
-                        n += 1
-                    found.append((n, p, q))
-        for n, p, q in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if free_item[p : p + n].all() and free_doc[q : q + n].all():
-                free_item[p : p + n] = free_doc[q : q + n] = False
-                out.append((p, q, n))
-        if not found:
-            length = length - 1 if length <= 2 * k else max(k, length // 2)
+        line = _matches(item, doc, length, starts, free_item, free_doc)
+        heapify(line)
+        while line and left >= length:
+            n, p, q = heappop(line)
+            free = free_item[p : p - n] & free_doc[q : q - n]
+            if free.all():
+                free_item[p : p - n] = free_doc[q : q - n] = False
+                out.append((p, q, -n))
+                left += n
+                continue
+            edge = np.flatnonzero(np.diff(free.astype(np.int8), prepend=0, append=0)).tolist()
+            for a, b in zip(edge[::2], edge[1::2]):
+                if b - a >= length:
+                    heappush(line, (a - b, p + a, q + a))
+        length = k if k < length < 2 * k else length // 2
+    return out
+
+
+def _matches(item: np.ndarray, doc: np.ndarray, length: int, starts: np.ndarray, free_item: np.ndarray, free_doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """(-words, item position, document position) of the maximal matches of `length` unmarked words or more."""
+    used_item, used_doc = (np.concatenate([[0], np.cumsum(~free)]) for free in (free_item, free_doc))
+    here = np.flatnonzero(used_item[length:] == used_item[: len(item) - length + 1])
+    there = starts[starts + length <= len(doc)]
+    there = there[used_doc[there + length] == used_doc[there]]
+    if not len(here) or not len(there):
+        return []
+    index: dict[int, list[int]] = {}
+    for p, h in zip(here.tolist(), gram_hashes(item, length)[here].tolist()):
+        index.setdefault(h, []).append(p)
+    out = []
+    for q, h in zip(there.tolist(), _roll(doc, there, length).tolist()):
+        for p in index.get(h, ()):
+            if p and q and item[p - 1] == doc[q - 1] and free_item[p - 1] and free_doc[q - 1] or not np.array_equal(item[p : p + length], doc[q : q + length]):
+                continue
+            n = length
+            while p + n < len(item) and q + n < len(doc) and free_item[p + n] and free_doc[q + n] and item[p + n] == doc[q + n]:
+                n += 1
+            out.append((-n, p, q))
     return out
 
 
@@ -118,17 +136,19 @@ def _roll(doc: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def blocks(benchmark: DataFrame, k: int, block: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """The ids and word hashes of the items, in blocks of at most about `block` words that come one at a time."""
+def blocks(benchmark: DataFrame, block: int) -> tuple[int, Iterator[tuple[list, list[np.ndarray]]]]:
+    """How many blocks of about `block` words the items make, and the ids and word hashes of each, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = -(-size // block)
     deal = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    for i in range(n):
-        part = items.where(deal == i).toArrow()
-        words = WordHashes()
-        hashes = [hashed(words, b) for b in blobs(part.column("text").combine_chunks())]
-        yield part.column("item_id").combine_chunks(), hashes
+
+    def each() -> Iterator[tuple[list, list[np.ndarray]]]:
+        for i in range(n):
+            part, words = items.where(deal == i).toArrow(), WordHashes()
+            yield part.column("item_id").to_pylist(), [hashed(words, b) for b in blobs(part.column("text").combine_chunks())]
+
+    return n, each()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, block: int = 1_000_000) -> DataFrame:
@@ -150,11 +170,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0
 
         return texts.mapInArrow(run, schema)
 
-    out = None
-    for ids, items in blocks(benchmark, k, block):
-        found = scan(ids.to_pylist(), items)
-        out = found if out is None else out.union(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    n, each = blocks(benchmark, block)
+    if n < 2:
+        return scan(*next(each, ([], [])))
+    return reduce(DataFrame.union, [stored(scan(*x), "leaks") for x in each])
 
 
 def covered_items(seeds: Seeds, tokens: np.ndarray, coverage: float) -> list[tuple[int, tuple[int, int, int]]]:
@@ -172,17 +191,24 @@ def covered_items(seeds: Seeds, tokens: np.ndarray, coverage: float) -> list[tup
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, block: int = 1_000_000) -> DataFrame:
-    """`docs` without the documents that cover an item; one pass and no join for each block of items."""
-    for _, items in blocks(benchmark, k, block):
+    """`docs` without the documents that cover an item: one pass without a join, or, for a benchmark of several blocks, a stored list of leaked texts for each, then one anti-join."""
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+    def chosen(rows: DataFrame, items: list[np.ndarray], leaked: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seeds, words = Seeds(items, k), WordHashes()
             for batch in small(batches):
                 texts = blobs(batch.column(batch.schema.get_field_index("text")))
-                yield batch.filter(pa.array([not covered_items(seeds, hashed(words, b), coverage) for b in texts], pa.bool_()))
+                yield batch.filter(pa.array([bool(covered_items(seeds, hashed(words, b), coverage)) == leaked for b in texts], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    n, each = blocks(benchmark, block)
+    if n < 2:
+        return chosen(docs, next(each, ([], []))[1], False)
+    key = {"__text_hash": F.xxhash64("text"), "__other_hash": F.xxhash64(F.lit(1), "text")}
+    keyed = docs.withColumns(key)
+    parts = [stored(chosen(keyed.select("text", *key), items, True).select(*key).distinct(), "leaked") for _, items in each]
+    return keyed.join(reduce(DataFrame.union, parts), [*key], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
