@@ -4,31 +4,27 @@ A run is a stretch of consecutive lines; it counts as repeated if it has `words`
 words or more and all its lines stand, one after the other, at an earlier place
 too. Earlier: a smaller doc_id, or the same document and an earlier line.
 
-1. Lines that aren't blank become (document, position, hash, words). For each line,
-   the window that starts there is the fewest lines that reach `words` words.
+1. Lines that aren't blank become (document, position, hash, words). For each line
+   there are two windows: the fewest lines from it on that reach `words` words, and
+   the fewest lines (two at least) up to it that do.
 2. Winnowing: the smallest line hash of each window (leftmost of equals) is its
-   fingerprint. A repeated run holds a whole window from its first line on, the
-   windows of both places choose the same line, so no repeated run is missed.
-   Neighbouring windows share their fingerprint: the postings are one row per
-   chosen line.
+   fingerprint. The windows of both places of a repeated run choose the same line, so
+   no repeated run is missed. Neighbouring windows share their fingerprint: the postings
+   are one row per chosen line.
 3. Join: only fingerprints that stand at two places or more go on.
 4. Extension both ways: a posting holds the windows around its line, to the left
    and to the right, each with the hash of its lines' sequence. Windows with equal
    sequences are the same text; the earliest keeps it and later ones are marked.
    Marked windows that touch or overlap are one maximal run, which is deleted.
 
+In a repeated run every line lies in the window that starts at the run's first line or
+in one that ends at the line itself and begins inside the run; the latter also holds the
+line before, so blank lines between are in one, too. So all of the run is deleted.
+
 The earliest place is an aggregate that is joined back, never a list of places or
 pairs of them: a line that a third of all rows share costs one partial minimum per
 task and a join whose skewed side adaptive execution splits.
 
-`op7_line_dedup` equals its SQL, whose windows only reach forward: of a repeated run
-the lines after its last full window stay. With `whole`, as in the pipeline, each line
-also has the window that ends there (the fewest lines, two at least, that reach `words`
-words). In a repeated run every line lies in the window that starts at the run's first
-line or in one that ends at the line itself and begins inside the run; the latter also
-holds the line before, so blank lines between are in one, too. All of the run is deleted.
-The SQL takes a line's spaces and one more for its words; `whole` counts words.
-
 Blank lines (white space only) count for nothing but go with a run around them.
 Nulls: a null text has no lines and stays null; null doc_ids come last. Rows that
 repeat doc_id and text stand at one place: none is earlier than the others. Extra
@@ -39,7 +35,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from .shared import stored
 
@@ -54,42 +50,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({DOC[0]: F.coalesce(F.col("doc_id").cast("long"), last), DOC[1]: F.xxhash64("text")})
 
 
-def windows(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
-    """(document, at, last, print_hash, print_at, sequence): each full window and its fingerprint; with `whole` also those that end at each line."""
+def windows(docs: DataFrame, words: int) -> DataFrame:
+    """(document, at, last, print_hash, print_at, sequence): the full windows that start at each line, and those of two lines or more that end there."""
     lines = _keyed(docs).select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.btrim("line", F.lit(WHITE)) != "")
-    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
-    count = F.regexp_count("line", F.lit(WORD)) if whole else spaces + 1
-    lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h"), count.cast("long").alias("w"))
-    in_doc = Window.partitionBy(*DOC).orderBy("pos")
-    before = F.coalesce(F.sum("w").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Rows that repeat a document share its positions: one of them is enough. One shuffle serves this and both windows.
+    lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w"))
+    in_doc = Window.partitionBy(*DOC)
+    before = F.coalesce(F.sum("w").over(in_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Rows that repeat a document share its positions: one of them is enough. One shuffle serves this and all windows.
     lines = lines.repartition(*DOC).groupBy(*DOC, "pos").agg(F.first("h").alias("h"), F.first("w").alias("w")).withColumn("s", before)
-    ahead = Window.partitionBy(*DOC).orderBy("s").rangeBetween(0, words - 1)
-    if whole:
-        return _both_ways(lines, ahead, words)
-    return (
-        lines.select(
-            *DOC,
-            F.col("pos").alias("at"),
-            "s",
-            F.max("pos").over(ahead).alias("last"),
-            F.max(F.col("s") + F.col("w")).over(ahead).alias("reach"),
-            F.min(F.struct("h", "pos")).over(ahead).alias("chosen"),
-            F.xxhash64(F.collect_list("h").over(ahead)).alias("sequence"),
-        )
-        .where(F.col("reach") >= F.col("s") + words)
-        .select(*DOC, "at", "last", F.col("chosen.h").alias("print_hash"), F.col("chosen.pos").alias("print_at"), "sequence")
-    )
-
-
-def _both_ways(lines: DataFrame, ahead: WindowSpec, words: int) -> DataFrame:
-    """The windows of `lines` (document, pos, h, w, s) that start at each line, and those of two lines or more that end there."""
-    end, here = F.col("s") + F.col("w"), F.struct("h", "pos")
-    in_doc = Window.partitionBy(*DOC).orderBy("e")
-    behind = in_doc.rangeBetween(1 - words, 0)
-    alone = F.col("w") >= words
-    other = F.lag("pos").over(in_doc)
-    lines = lines.withColumn("e", end)
+    lines = lines.withColumn("e", F.col("s") + F.col("w"))
+    ahead, behind = in_doc.orderBy("s").rangeBetween(0, words - 1), in_doc.orderBy("e").rangeBetween(1 - words, 0)
+    here, alone = F.struct("h", "pos"), F.col("w") >= words
+    one_before = in_doc.orderBy("e")
     starting = F.struct(
         F.col("pos").alias("at"),
         F.max("pos").over(ahead).alias("last"),
@@ -97,21 +69,21 @@ def _both_ways(lines: DataFrame, ahead: WindowSpec, words: int) -> DataFrame:
         F.xxhash64(F.collect_list("h").over(ahead)).alias("sequence"),
         (F.max("e").over(ahead) >= F.col("s") + words).alias("full"),
     )
+    other = F.lag("pos").over(one_before)
     ending = F.struct(
         F.when(alone, other).otherwise(F.min("pos").over(behind)).alias("at"),
         F.col("pos").alias("last"),
-        F.when(alone, F.least(F.lag(here).over(in_doc), here)).otherwise(F.min(here).over(behind)).alias("chosen"),
-        F.xxhash64(F.when(alone, F.array(F.lag("h").over(in_doc), F.col("h"))).otherwise(F.collect_list("h").over(behind))).alias("sequence"),
+        F.when(alone, F.least(F.lag(here).over(one_before), here)).otherwise(F.min(here).over(behind)).alias("chosen"),
+        F.xxhash64(F.when(alone, F.array(F.lag("h").over(one_before), F.col("h"))).otherwise(F.collect_list("h").over(behind))).alias("sequence"),
         F.when(alone, other.isNotNull()).otherwise(F.min("s").over(behind) <= F.col("e") - words).alias("full"),
     )
     made = lines.select(*DOC, starting.alias("starting"), ending.alias("ending")).select(*DOC, F.explode(F.array("starting", "ending")).alias("x")).where("x.full")
     return made.select(*DOC, "x.at", "x.last", F.col("x.chosen.h").alias("print_hash"), F.col("x.chosen.pos").alias("print_at"), "x.sequence")
 
 
-def repeated_runs(docs: DataFrame, words: int = 50, whole: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, words: int = 50) -> DataFrame:
     """(document, start, last): the maximal runs of lines that repeat an earlier one, as line numbers from 0."""
-    listed = F.collect_set if whole else F.collect_list
-    postings = windows(docs, words, whole).groupBy(*DOC, "print_hash", "print_at").agg(listed(F.struct("at", "last", "sequence")).alias("around"))
+    postings = windows(docs, words).groupBy(*DOC, "print_hash", "print_at").agg(F.collect_set(F.struct("at", "last", "sequence")).alias("around"))
     postings = stored(postings, "line-postings")
     place = F.struct(*DOC, "print_at")
     shared = postings.groupBy("print_hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("print_hash")
@@ -130,9 +102,9 @@ def repeated_runs(docs: DataFrame, words: int = 50, whole: bool = False) -> Data
     return numbered.groupBy(*DOC, "run").agg(F.min("at").alias("start"), F.max("last").alias("last")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, words: int = 50, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int = 50) -> DataFrame:
     """`docs` with repeated runs deleted from its texts, and n_lines and n_removed (in place of columns of these names)."""
-    runs = repeated_runs(docs, words, whole).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "last"))).alias("__runs"))
+    runs = repeated_runs(docs, words).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "last"))).alias("__runs"))
     joined = _keyed(docs).join(runs, DOC, "left")
     lines = F.split("text", "\n")
     n = F.coalesce(F.size(lines), F.lit(0))
@@ -159,14 +131,20 @@ LINES_SQL = """
 lines AS (
   SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs})
 ), filled AS (
-  SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS w FROM lines WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''
+  SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM lines WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''
 ), placed AS (
-  SELECT *, CAST(coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM filled
-), ahead AS (
-  SELECT doc_id, pos, s, max(pos) OVER f AS last, max(s + w) OVER f AS reach, list(line) OVER f AS seq
-  FROM placed WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS e, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS other,
+    lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS other_line FROM filled
+), framed AS (
+  SELECT doc_id, pos, line, w, e, other, other_line, max(pos) OVER f AS last, max(e) OVER f AS reach, list(line) OVER f AS seq,
+    min(pos) OVER b AS back, min(e - w) OVER b AS back_s, list(line) OVER b AS back_seq
+  FROM placed WINDOW f AS (PARTITION BY doc_id ORDER BY e - w RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+    b AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
 ), full_windows AS (
-  SELECT doc_id, pos, last, seq, doc_id * 1000000 + pos AS place FROM ahead WHERE reach >= s + 50
+  SELECT *, doc_id * 1000000 + pos AS place FROM (
+    SELECT doc_id, pos, last, seq FROM framed WHERE reach >= e - w + 50
+    UNION ALL SELECT doc_id, back, pos, back_seq FROM framed WHERE w < 50 AND back_s <= e - 50
+    UNION ALL SELECT doc_id, other, pos, [other_line, line] FROM framed WHERE w >= 50 AND other IS NOT NULL)
 ), firsts AS (
   SELECT seq, min(place) AS low FROM full_windows GROUP BY seq HAVING count(*) > 1
 ), gone AS (
