@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a folder of this session's own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary folder in local mode (tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="plenaria-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -49,15 +51,16 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
 def star_step(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step over edges (u > v).
 
-    Minima are aggregated before the shuffle and joined back, so a node with very
-    many neighbours is a skewed join, which adaptive execution splits, and never a list.
+    Minima are aggregated before the shuffle, written and joined back: both sides of
+    the join are plain shuffles, so that adaptive execution splits the partition of a
+    node with very many neighbours. No node's neighbours are ever a list.
     """
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
         out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "star")
         linked = edges.join(low, "u")
         out = linked.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
@@ -96,7 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("a", "b").mapInArrow(fold, "u long, v long").distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        now = stored(star_step(star_step(now, True), False), "edges")
+        now = stored(star_step(stored(star_step(now, True), "edges"), False), "edges")
         new = mark(now)
         if new == seen:
             break
@@ -145,28 +148,29 @@ def blobs(column: pa.Array) -> list[bytes]:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 100_000) -> Iterator[pa.Table]:
-    """Tables of `least` rows or more that end where the sorted `keys` change (the last one where the input ends)."""
+    """Tables of `least` rows or more that end where the sorted `keys` change (the last one where the input ends).
+
+    Each batch is looked at once, so a long group costs its rows and no more.
+    """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
+        values = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        if rows + batch.num_rows >= least:
+            change = np.zeros(batch.num_rows, bool)
+            for i, v in enumerate(values):
+                change[1:] |= v[1:] != v[:-1]
+                change[0] |= last is not None and bool(v[0] != last[i])
+            cuts = np.flatnonzero(change)
+            if len(cuts):
+                cut = int(cuts[-1])
+                yield pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])])
+                held, rows, batch = [], 0, batch.slice(cut)
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        change = np.zeros(rows - 1, bool)
-        for k in keys:
-            values = table.column(k).to_numpy()
-            change |= values[1:] != values[:-1]
-        cuts = np.flatnonzero(change)
-        if len(cuts):
-            yield table.slice(0, cuts[-1] + 1)
-            held = table.slice(cuts[-1] + 1).combine_chunks().to_batches()
-        else:
-            held = table.to_batches()
-        rows = sum(b.num_rows for b in held)
+        last = [v[-1] for v in values]
     if held:
         yield pa.Table.from_batches(held)
 
