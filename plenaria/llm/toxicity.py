@@ -16,8 +16,11 @@ features: found once or more, twice or more, three times or more.
 
 Nulls: a null text scores like an empty one; labelled rows with a null id, label
 or text, and labels without a document, teach nothing. A document that has
-several labels counts as toxic if one of them says so. Extra columns are ignored.
-Without labelled rows of both classes every score is the smoothed share of toxic rows.
+several labels counts as toxic if one of them says so. Repeated labelled rows count
+each, and repeated rows score alike. Very long texts are features like any others, each
+counted once a row. Extra columns are ignored; an empty table gives an empty result.
+Without labelled rows of both classes every score is the smoothed share of toxic rows
+(a third where there are none), and `drop_toxic` keeps all rows.
 """
 
 from __future__ import annotations
@@ -119,7 +122,8 @@ def fit(
     sizes = {0: 0, 1: 0}
     for r in _known(labels).groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect():
         sizes[r["toxic"]] += r["count"]
-    share = {k: min(1.0, 0.9 * sample / max(1, n)) for k, n in sizes.items()}
+    # All of a class that fits; of a larger one a share by hash that stays below the bound.
+    share = {k: 1.0 if n <= sample else 0.9 * sample / n for k, n in sizes.items()}
     total = LEVELS << BITS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +151,7 @@ def fit(
     gathered = stored(rows.mapInArrow(gather, "kind int, block int, n long, data binary"), "toxicity")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     clean, toxic = gathered.where("block = -1").agg(of(0), of(1)).first()
-    prior = float(np.log((toxic + 1) / (clean + 1)))
+    prior = float(np.log((toxic + 1) / (clean + 2)))
     nothing = Model(np.zeros(0, np.int32), np.zeros(0, np.float32), prior)
     if not clean or not toxic:
         return nothing
@@ -221,7 +225,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """`docs` without the rows that score `threshold` or more; scored in the same pass, without a join."""
+    """`docs` without the rows that score `threshold` or more; scored in the same pass, without a join. A model that learnt nothing tells nothing: all rows stay."""
+    if not len(model.ids):
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.scorer()
