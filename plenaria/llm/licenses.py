@@ -23,7 +23,10 @@
 
 One pass per block, nothing is shuffled: a hot source is only more rows.
 
-Nulls: a null text has no words; null ids stay null. Repeated rows give repeated
+A template of fewer than `k` words has no fingerprint and is refused with an error.
+
+Nulls: a null text has no words; null ids stay null. A very long text is looked up in
+one pass; what alignment costs grows with its candidates. Repeated rows give repeated
 results; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -261,6 +264,8 @@ def scan_licenses(
 ) -> DataFrame:
     """(doc_id, licenses): per row an array of (template, matched, words, start, end), start and end in code points."""
     templates = TEMPLATES if templates is None else templates
+    if short := [name for name, text in templates.items() if np.count_nonzero(WordHashes().of(text.encode().split())) < k]:
+        raise ValueError(f"templates of fewer than {k} words can't be found: {short}")
     parts: list[dict[str, str]] = [{}]
     for name, text in templates.items():
         if parts[-1] and sum(len(t.split()) for t in parts[-1].values()) + len(text.split()) > block:

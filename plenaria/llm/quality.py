@@ -18,7 +18,7 @@ aggregated on the executors; each (stratum, rule) is a group of STEPS rows at mo
 
 Nulls: a null text has no words; a null language is a stratum of its own; labels
 with a null id or verdict are ignored; a document with several labels is good if
-all say so. Repeated rows give repeated results; extra columns are ignored; without
+all say so. Very long texts are measured whole. Repeated rows give repeated results; extra columns are ignored; without
 labels only the base rules hold; an empty table gives an empty result.
 """
 
@@ -90,10 +90,19 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial X(n, p), by its exact terms."""
-    terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k + 1)]
-    top = max(terms)
-    return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
+    """P(X <= k) of a binomial X(n, p): its exact terms from the one next to the mean outwards, until they no longer count."""
+    if k >= n:
+        return 1.0
+    if k > (n + 1) * p:
+        return 1.0 - tail(n - k - 1, n, 1 - p)
+    first = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p))
+    term = total = 1.0
+    for i in range(k, 0, -1):
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(1.0, first * total)
 
 
 def choose(good: np.ndarray, bad: np.ndarray, limit: float, level: float) -> int | None:
