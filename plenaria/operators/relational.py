@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenaria.functions.columns import between, effective_group, filled, jaccard, tokens, unset
+from plenaria.schema import PERSONS, SITTINGS, SPEECHES
 
 
 def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0) -> DataFrame:
@@ -138,6 +139,11 @@ def apply_rules(facts: DataFrame, rules: DataFrame, column: str = "macro_topic")
     return joined.select(*(F.coalesce("__label", column).alias(c) if c == column else c for c in facts.columns))
 
 
+def applied_rules(facts: DataFrame, rules: DataFrame, column: str = "macro_topic") -> tuple[DataFrame, DataFrame]:
+    """The facts under the rules, and (canonical, n): how many rows each rule changed."""
+    return apply_rules(facts, rules, column), rules_impact(facts, rules, column)
+
+
 def sanitised(rules: DataFrame) -> DataFrame:
     """Rules without "(alt)" or "(other)" labels and without effect; a variant stays with the first rule (by canonical) that has it."""
     rows = rules.where(~F.lower("canonical").rlike(r"\((alt|other)\)")).where(F.exists("variants", lambda v: v != F.col("canonical")))
@@ -153,32 +159,57 @@ def rules_impact(facts: DataFrame, rules: DataFrame, column: str = "macro_topic"
     return pairs.join(counts, "variant").groupBy("canonical").agg(F.sum("n").alias("n"))
 
 
+# The fields of an export, by table and column; those without another name are called like their column.
 EXPORT = {
-    "sitting_id": "sitting_id", "speech_order": "speech_order", "mep_id": "mep_id", "political_group_raw": "political_group",
-    "political_group_std": "political_group_std", "language": "language", "macro_topic": "macro_topic", "specific_focus": "macro_specific_focus",
-    "date": "activity_date", "sitting_type": "type", "sitting_label": "label", "country": "country",
+    "id": ("speech", "id"), "sitting_id": ("speech", "sitting_id"), "date": ("sitting", "activity_date"), "activity_start_date": ("sitting", "activity_start_date"),
+    "activity_type": ("sitting", "activity_type"), "speech_order": ("speech", "speech_order"), "created_at": ("speech", "created_at"),
+    "speaker_name": ("speech", "speaker_name"), "mep_id": ("speech", "mep_id"), "country": ("person", "country"), "political_group": ("speech", "political_group"),
+    "political_group_raw": ("speech", "political_group_raw"), "political_group_std": ("speech", "political_group_std"),
+    "political_group_kind": ("speech", "political_group_kind"), "political_group_reason": ("speech", "political_group_reason"),
+    "title": ("speech", "title"), "speech_content": ("speech", "speech_content"), "language": ("speech", "language"), "sitting_content": ("sitting", "content"),
+    "sitting_label": ("sitting", "label"), "sitting_type": ("sitting", "type"), "doc_identifier": ("sitting", "docIdentifier"), "notation_id": ("sitting", "notationId"),
+    "topic": ("speech", "topic"), "macro_topic": ("speech", "macro_topic"), "specific_focus": ("speech", "macro_specific_focus"),
+    "macro_confidence": ("speech", "macro_confidence"), "macro_classified_by": ("speech", "macro_classified_by"),
+    "macro_classified_at": ("speech", "macro_classified_at"), "macro_classification_cost": ("speech", "macro_classification_cost"),
 }
-DEFAULT_EXPORT = ("sitting_id", "date", "speech_order", "mep_id", "country", "political_group", "language", "macro_topic", "specific_focus")
+# The fields of an export that names none.
+DEFAULT_EXPORT = (
+    "id", "sitting_id", "date", "speaker_name", "political_group", "title", "speech_content", "language", "macro_topic", "specific_focus", "topic", "country", "mep_id",
+)
+KINDS = {table: dict(part.split() for part in ddl.split(", ")) for table, ddl in (("speech", SPEECHES), ("sitting", SITTINGS), ("person", PERSONS))}
 
 
 def export(
-    facts: DataFrame, sittings: DataFrame, persons: DataFrame, fields: Sequence[str] | None = None, start: str | None = None, end: str | None = None
-) -> DataFrame:
+    facts: DataFrame, sittings: DataFrame, persons: DataFrame, fields: Sequence[str] | None = None, start: str | None = None, end: str | None = None,
+    ordered: bool = False,
+) -> DataFrame:
     """Facts with their sitting and person, as the fields asked for; unknown ones are left out, none at all is an error.
 
-    A table none of whose fields is asked for is not joined.
+    A table none of whose fields is asked for is not joined; a column that a table of
+    another age lacks is null. ordered: newest sittings first, then by order of speech.
     """
-    columns = {name: F.col(c) for name, c in EXPORT.items()} | {"political_group": effective_group()}
-    chosen = [f for f in (fields or DEFAULT_EXPORT) if f in columns]
+    chosen = [f for f in (fields or DEFAULT_EXPORT) if f in EXPORT]
     if not chosen:
         raise ValueError("no known field")
-    out = facts
-    if {"date", "sitting_type", "sitting_label"} & set(chosen) or start or end:
-        days = sittings.select(F.col("id").alias("sitting_id"), "activity_date", "type", "label").where(between("activity_date", start, end))
-        out = out.join(days, "sitting_id", "inner" if start or end else "left")
-    if "country" in chosen:
-        out = out.join(persons.select(F.col("id").alias("mep_id"), "country"), "mep_id", "left")
-    return out.select(*(columns[f].alias(f) for f in chosen))
+
+    def value(df: DataFrame, table: str, column: str) -> Column:
+        if table == "speech" and column == "political_group" and {"political_group", "political_group_std"} <= set(df.columns):
+            return effective_group()
+        return F.col(column) if column in df.columns else F.lit(None).cast(KINDS[table][column])
+
+    def picked(df: DataFrame, table: str) -> list[Column]:
+        return [value(df, table, EXPORT[f][1]).alias(f"__{f}") for f in dict.fromkeys(chosen) if EXPORT[f][0] == table]
+
+    order = [F.col("__day").desc(), F.col("__order").asc()]
+    keys = [F.col(c).alias(k) for k, c in (("__sitting", "sitting_id"), ("__person", "mep_id"))] + [F.col("speech_order").alias("__order")] * ordered
+    out = facts.select(*keys, *picked(facts, "speech"))
+    of_sitting, of_person = picked(sittings, "sitting"), picked(persons, "person")
+    if of_sitting or start or end or ordered:
+        days = sittings.where(between("activity_date", start, end)).select(F.col("id").alias("__sitting"), *of_sitting, *[F.col("activity_date").alias("__day")] * ordered)
+        out = out.join(days, "__sitting", "inner" if start or end else "left")
+    if of_person:
+        out = out.join(persons.select(F.col("id").alias("__person"), *of_person), "__person", "left")
+    return (out.orderBy(*order) if ordered else out).select(*(F.col(f"__{f}").alias(f) for f in chosen))
 
 
 def needs_content(sittings: DataFrame, as_of: str, least: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenaria.functions import columns as C
-from plenaria.functions import groups, language, pages, transcripts
+from plenaria.functions import groups, language, pages, requests, transcripts
 from plenaria.operators import analytics as A
 from plenaria.operators import conversation, persons
 from plenaria.operators import relational as R
@@ -326,11 +326,59 @@ def sample_per_language(s, d):
     return A.sampled(views.table(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query("export_default", """SELECT sitting_id, activity_date AS date, speech_order, mep_id, country, coalesce(political_group_std, star.political_group) AS political_group, language, macro_topic,
-  macro_specific_focus AS specific_focus FROM star LEFT JOIN sittings ON sittings.id = sitting_id LEFT JOIN persons ON persons.id = mep_id
-  WHERE activity_date BETWEEN '1997-01-01' AND '1997-12-31'""")
+def _full_speeches(s, d) -> DataFrame:
+    """Facts with texts made of their keys, so that each field of an export has a value of its own."""
+    k, n = F.col("sitting_id"), F.col("speech_order")
+    return views.speeches(s, d).withColumns({
+        "id": k * 10 + n, "speaker_name": F.concat(F.lit("Speaker "), "mep_id"), "title": F.concat(F.lit("Title "), n), "speech_content": F.repeat("macro_topic", 3),
+        "topic": F.concat("macro_topic", F.lit(" ("), n, F.lit(")")), "political_group_raw": F.concat(F.lit("raw "), "political_group"), "political_group_kind": F.lit("group"),
+        "political_group_reason": F.when(n == 1, "direct_canonical"), "macro_confidence": n / F.lit(10.0), "macro_classified_by": F.lit("rules"),
+        "macro_classification_cost": (k % 7) / F.lit(4.0), "created_at": F.lit(None).cast("timestamp"), "macro_classified_at": F.lit(None).cast("timestamp"),
+    })
+
+
+FULL = """full_star AS (SELECT *, sitting_id * 10 + speech_order AS id, 'Speaker ' || mep_id AS speaker_name, 'Title ' || speech_order AS title, repeat(macro_topic, 3) AS speech_content,
+  macro_topic || ' (' || speech_order || ')' AS topic, 'raw ' || political_group AS political_group_raw, 'group' AS political_group_kind,
+  CASE WHEN speech_order = 1 THEN 'direct_canonical' END AS political_group_reason, speech_order / 10.0::DOUBLE AS macro_confidence, 'rules' AS macro_classified_by,
+  (sitting_id % 7) / 4.0::DOUBLE AS macro_classification_cost FROM star)"""
+FROM_FULL = "FROM full_star f LEFT JOIN sittings ON sittings.id = sitting_id LEFT JOIN persons ON persons.id = mep_id"
+
+
+@query("export_default", f"""{FULL} SELECT f.id, sitting_id, activity_date AS date, speaker_name, coalesce(political_group_std, f.political_group) AS political_group, title, speech_content,
+  language, macro_topic, macro_specific_focus AS specific_focus, topic, country, mep_id {FROM_FULL} WHERE activity_date BETWEEN '1997-01-01' AND '1997-12-31'""")
 def export_default(s, d):
-    return R.export(views.speeches(s, d), views.sittings(s, d, "1997-01-01", "1997-12-31"), views.persons(s, d), start="1997-01-01", end="1997-12-31")
+    return R.export(_full_speeches(s, d), views.sittings(s, d, "1997-01-01", "1997-12-31"), views.persons(s, d), start="1997-01-01", end="1997-12-31")
+
+
+@query("export_all", f"""{FULL} SELECT f.id, sitting_id, activity_date AS date, activity_date || 'T00' AS activity_start_date, type AS activity_type, speech_order, CAST(NULL AS TIMESTAMP) AS created_at,
+  speaker_name, mep_id, country, coalesce(political_group_std, f.political_group) AS political_group, political_group_raw, political_group_std, political_group_kind, political_group_reason,
+  title, speech_content, language, 'Content ' || sittings.label AS sitting_content, sittings.label AS sitting_label, type AS sitting_type, 'D' || sittings.id AS doc_identifier,
+  CAST(NULL AS VARCHAR) AS notation_id, topic, macro_topic, macro_specific_focus AS specific_focus, macro_confidence, macro_classified_by, CAST(NULL AS TIMESTAMP) AS macro_classified_at,
+  macro_classification_cost {FROM_FULL} WHERE activity_date >= '1998-01-01'""")
+def export_all(s, d):
+    """All fields; the table of sittings lacks one of its columns."""
+    more = {"activity_start_date": F.concat("activity_date", F.lit("T00")), "activity_type": F.col("type"), "content": F.concat(F.lit("Content "), "label"), "docIdentifier": F.concat(F.lit("D"), "id")}
+    return R.export(_full_speeches(s, d), views.sittings(s, d, "1998-01-01").withColumns(more), views.persons(s, d), list(R.EXPORT), start="1998-01-01")
+
+
+@query("topics_asked", """SELECT upper(coalesce(language, 'UNK')) AS language, count(*) AS n FROM (SELECT CASE WHEN id % 2 = 0 THEN upper(macro_topic) ELSE macro_topic END AS macro_topic,
+  CASE WHEN mep_id % 3 = 0 THEN NULL ELSE 'en' END AS language FROM ev) WHERE lower(macro_topic) IN ('click', 'view') GROUP BY 1""")
+def topics_asked(s, d):
+    """A JSON list of canonical topics, each with the variants that the facts have."""
+    rows = views.event_speeches(s, d).withColumn("language", F.when(F.col("mep_id") % 3 != 0, "en"))
+    rows = rows.withColumn("macro_topic", F.when(F.col("id") % 2 == 0, F.upper("macro_topic")).otherwise(F.col("macro_topic")))
+    asked = requests.topic_filter('["CLICK", "VIEW"]')
+    return A.languages(rows.join(requests.with_variants(asked, mart.topic_variants(rows)), "macro_topic", "left_semi"))
+
+
+@query("time_frames", """SELECT 'year' AS frame, count(*) AS n FROM sittings WHERE activity_date >= '1997-08-31' UNION ALL SELECT '6months', count(*) FROM sittings WHERE activity_date >= '1998-03-03'
+  UNION ALL SELECT '3months', count(*) FROM sittings WHERE activity_date >= '1998-05-31' UNION ALL SELECT 'custom', count(*) FROM sittings WHERE activity_date <= '1995-01-31' UNION ALL SELECT 'all', count(*) FROM sittings""")
+def time_frames(s, d):
+    """Sittings of each named span before a day whose date some months lack."""
+    frames = {name: requests.time_frame(name, "1998-08-31", end="1995-01-31") for name in ("year", "6months", "3months", "custom", "all")}
+    inside = F.array(*(F.when(C.between("activity_date", *span), F.lit(name)) for name, span in frames.items()))
+    days = A.counted(views.sittings(s, d), "activity_date").select(F.explode(F.array_compact(inside)).alias("frame"), "n")
+    return days.groupBy("frame").agg(F.sum("n").alias("n"))
 
 
 @query("export_fields", "SELECT sitting_id, language, country FROM star LEFT JOIN persons ON persons.id = mep_id")
