@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,10 @@ from plenaria.sources import sinks
 
 
 def topic_variants(facts: DataFrame) -> DataFrame:
-    """(key, topic, variants): labels that differ in case, spacing, dashes or entities only; the smallest cleaned label stands for all."""
+    """(key, topic, variants): labels that differ in case, spacing, dashes or entities only.
+
+    The smallest cleaned label stands for all: rows have no order of arrival here that could make it the first seen.
+    """
     labels = facts.where(filled("macro_topic")).groupBy("macro_topic").agg(F.count("*").alias("n"))
     return labels.groupBy(collapse_key("macro_topic").alias("key")).agg(F.min(topic_label("macro_topic")).alias("topic"), F.array_sort(F.collect_set("macro_topic")).alias("variants"))
 
@@ -56,11 +61,15 @@ def build(facts: DataFrame, sittings: DataFrame, path: str) -> None:
         "top_topics": A.ranked(summed(known, "topic").orderBy(F.desc("n"), "topic").limit(20), "topic"),
         "top_focuses": summed(known.where(filled("macro_specific_focus")), "topic", F.col("macro_specific_focus").alias("focus")).orderBy(F.desc("n"), "topic", "focus").limit(20),
     }
-    for name, df in tables.items():
-        sinks.write(conform(df, MART[name]), f"{path}/{name}", "interval_type" if name == "timeseries" else None)
-    periods = sinks.read(spark, f"{path}/timeseries").select("period", "interval_type").distinct()
-    sinks.write(conform(periods, MART["periods"]), f"{path}/periods")
-    sinks.write(spark.range(1).select(F.lit("last_computed").alias("key"), F.current_timestamp().cast("string").alias("value")), f"{path}/metadata")
+    tables["periods"] = series.select("period", "interval_type").distinct()
+    tables["metadata"] = spark.range(1).select(F.lit("last_computed").alias("key"), F.current_timestamp().cast("string").alias("value"))
+
+    def put(name: str) -> None:
+        sinks.write(conform(tables[name], MART[name]), f"{path}/{name}", "interval_type" if name == "timeseries" else None)
+
+    # The tables are small and don't depend on each other: their jobs share the cluster.
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(put, tables))
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -321,7 +321,8 @@ def newest15(s, d):
     return A.newest(views.event_speeches(s, d)).select("id", "mep_id", "activity_date", "nth")
 
 
-@query("sample_per_language")
+@query("sample_per_language", """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS k,
+  count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE k <= 80 AND n >= 10""")
 def sample_per_language(s, d):
     return A.sampled(views.table(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
@@ -559,7 +560,13 @@ def unknown_records(s, d):
     return R.unknown_records(rows, known).select(F.col("id").cast("long").alias("id"))
 
 
-@query("days_to_process")
+TO_DO = """tasks AS (SELECT sitting_id, count(*) AS n, count(*) FILTER (WHERE sitting_id % 50 = 0) AS n_unset FROM star GROUP BY 1),
+  latest AS (SELECT coalesce(max(activity_date)::DATE + 1, DATE '1999-07-20') AS first FROM sittings JOIN tasks ON id = sitting_id WHERE n_unset = 0)"""
+
+
+@query("days_to_process", f"""{TO_DO} SELECT strftime(t, '%Y-%m-%d') AS activity_date FROM (SELECT unnest(generate_series(first::TIMESTAMP, TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS t FROM latest)
+  WHERE strftime(t, '%Y-%m-%d') NOT IN (SELECT activity_date FROM sittings)
+  UNION SELECT activity_date FROM sittings LEFT JOIN tasks ON id = sitting_id WHERE n IS NULL OR n_unset > 0""")
 def days_to_process(s, d):
     return refresh.days_to_process(s, views.sittings(s, d), views.speeches(s, d).withColumn("macro_topic", F.when(F.col("sitting_id") % 50 > 0, F.col("macro_topic"))), "2001-12-31")
 
@@ -606,10 +613,11 @@ def speech_parse(s, d):
 @query("lang_vote")
 def lang_vote(s, d):
     docs = views.table(s, d, "documents").select("doc_id", "text")
-    return language.decide(docs, "doc_id", "text").select("doc_id", F.col("detected.language").alias("language"), F.col("detected.how").alias("how"))
+    return language.decide(docs, "text").select("doc_id", F.col("detected.language").alias("language"), F.col("detected.how").alias("how"))
 
 
-@query("topic_classify")
+@query("topic_classify", """SELECT title, CASE WHEN p THEN 'Procedural & Parliamentary business' ELSE 'Other' END AS macro_topic, title AS specific_focus, CASE WHEN p THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END AS confidence
+  FROM (SELECT DISTINCT p_type AS title, regexp_matches(lower(p_type), 'agenda|order of business|minutes|voting|vote|opening|closing|one-minute') AS p FROM part)""")
 def topic_classify(s, d):
     return refresh.classify_topics(views.table(s, d, "part").select(F.col("p_type").alias("title")))
 

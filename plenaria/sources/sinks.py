@@ -1,16 +1,19 @@
-"""Writing tables: upsert, insert if absent, replacement of a sitting, CSV, subsets and stamps.
+"""Writing tables: upsert, insert if absent, replacement of a sitting, CSV, subsets, stamps and failures.
 
-A table is a Parquet folder. A rewrite goes to a new version folder beside the old
-one and then becomes current through one small pointer file, so that readers see
-the old or the new table and a lost executor costs only a retry.
+A table is a folder of Parquet folders. A rewrite or an addition goes to a new folder
+beside the others; then one small pointer file, which names the folders that make up the
+table, is replaced in one step. Readers see the table before or after a write and never
+between, a lost executor costs only a retry, and no write touches files that are read.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 class TableNotFound(FileNotFoundError):
@@ -22,15 +25,36 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def current(spark: SparkSession, path: str) -> str:
+def current(spark: SparkSession, path: str) -> list[str]:
+    """The folders that make up the table now."""
     fs, pointer = _fs(spark, f"{path}/_current")
     if not fs.exists(pointer):
         raise TableNotFound(path)
-    return f"{path}/{spark.read.text(f'{path}/_current').first()[0]}"
+    stream = fs.open(pointer)
+    try:
+        names = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [f"{path}/{name}" for name in names.split()]
+
+
+def _point(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Make these folders the table: a new pointer takes the old one's place by one rename."""
+    fs, fresh = _fs(spark, f"{path}/_current-{uuid.uuid4().hex}")
+    stream = fs.create(fresh)
+    try:
+        stream.write("\n".join(names).encode())
+    finally:
+        stream.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+    overwrite[0] = getattr(jvm, "Options$Rename").OVERWRITE
+    context = jvm.FileContext.getFileContext(fs.makeQualified(fresh).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.Path(f"{path}/_current")), overwrite)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(current(spark, path))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p) for p in current(spark, path)))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -39,46 +63,60 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """`df` as the table's new version; the one before it stays until vacuum()."""
-    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    """`df` as the table's new content; what was there before stays until vacuum()."""
+    version = f"v-{uuid.uuid4().hex}"
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(f"{path}/{version}")
-    spark.range(1).select(F.lit(version)).coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+    _point(df.sparkSession, path, [version])
+
+
+def append(df: DataFrame, path: str) -> None:
+    """The table and `df` behind it: one more folder, nothing is rewritten."""
+    spark = df.sparkSession
+    before = [p.rsplit("/", 1)[1] for p in current(spark, path)] if exists(spark, path) else []
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    _point(spark, path, [*before, version])
 
 
 def vacuum(spark: SparkSession, path: str) -> None:
-    """Delete the versions of a table that aren't current."""
-    keep = current(spark, path).rsplit("/", 1)[1]
+    """Merge what was added to a table into one folder, and delete the folders that aren't part of it any more."""
+    if len(current(spark, path)) > 1:
+        write(read(spark, path), path)
+    keep = {p.rsplit("/", 1)[1] for p in current(spark, path)}
     fs, top = _fs(spark, path)
     for status in fs.listStatus(top):
         name = status.getPath().getName()
-        if name.startswith("v-") and name != keep:
+        if name.startswith("v-") and name not in keep:
             fs.delete(status.getPath(), True)
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows, and old ones whose key is not among them."""
+def one_per_key(df: DataFrame, key: str, last: str | None = None) -> DataFrame:
+    """One row of each key: that of the greatest value of `last`, else one that the rows' values decide."""
+    order = ([F.desc(last)] if last else []) + [F.xxhash64(*(F.col(c).cast("string") for c in df.columns))]
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__nth = 1").drop("__nth")
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str = "id", last: str | None = None) -> DataFrame:
+    """New rows, one of each key, and old ones whose key is not among them."""
     kept = old.join(new.select(key), key, "left_anti").select(old.columns)
-    return kept.unionByName(new, allowMissingColumns=True)
+    return kept.unionByName(one_per_key(new, key, last), allowMissingColumns=True)
 
 
-def absent(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows whose key is not in the old table."""
-    return new.join(old.select(key), key, "left_anti").select(new.columns)
+def absent(old: DataFrame, new: DataFrame, key: str = "id", last: str | None = None) -> DataFrame:
+    """New rows, one of each key, whose key is not in the old table."""
+    return one_per_key(new.join(old.select(key), key, "left_anti").select(new.columns), key, last)
 
 
-def upsert(df: DataFrame, path: str, key: str = "id") -> None:
+def upsert(df: DataFrame, path: str, key: str = "id", last: str | None = None) -> None:
     spark = df.sparkSession
-    write(upserted(read(spark, path), df, key) if exists(spark, path) else df, path)
+    write(upserted(read(spark, path), df, key, last) if exists(spark, path) else one_per_key(df, key, last), path)
 
 
-def insert_absent(df: DataFrame, path: str, key: str = "id") -> None:
+def insert_absent(df: DataFrame, path: str, key: str = "id", last: str | None = None) -> None:
     """Rows with new keys are added; nothing is rewritten."""
     spark = df.sparkSession
-    if exists(spark, path):
-        absent(read(spark, path), df, key).write.mode("append").parquet(current(spark, path))
-    else:
-        write(df, path)
+    append(absent(read(spark, path), df, key, last) if exists(spark, path) else one_per_key(df, key, last), path)
 
 
 def replace_sittings(speeches: DataFrame, path: str, replace: bool = True, key: str = "sitting_id") -> None:
@@ -87,10 +125,18 @@ def replace_sittings(speeches: DataFrame, path: str, replace: bool = True, key:
     if not exists(spark, path):
         write(speeches, path)
     elif replace:
-        write(upserted(read(spark, path), speeches, key), path)
+        old = read(spark, path)
+        write(old.join(speeches.select(key), key, "left_anti").select(old.columns).unionByName(speeches, allowMissingColumns=True), path)
     else:
-        fresh = speeches.join(read(spark, path).select(key), key, "left_anti").select(speeches.columns)
-        fresh.write.mode("append").parquet(current(spark, path))
+        append(speeches.join(read(spark, path).select(key), key, "left_anti").select(speeches.columns), path)
+
+
+FAILURES = "happened timestamp, kind string, what string, message string"
+
+
+def log_failures(failed: DataFrame, path: str) -> None:
+    """Add rows (kind, what, message) to the table of failures, with the time."""
+    append(failed.select(F.current_timestamp().alias("happened"), *(F.col(c).cast("string").alias(c) for c in ("kind", "what", "message"))), path)
 
 
 def changed(old: DataFrame, new: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -49,9 +49,11 @@ def refresh_sittings(stream: DataFrame, table: str, state: str):
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir (or a temporary one in a session without it, as in tests)."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one in local mode (tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="plenaria-")
