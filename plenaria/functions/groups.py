@@ -118,9 +118,9 @@ def tidy(text: Column) -> Column:
     return reduce(lambda x, e: F.trim(F.regexp_replace(x, f"(?i){re.escape(e)}$", "")), ENDINGS, out)
 
 
-def _names() -> Column:
-    """The synonyms and then the groups as array<struct<name, grp, word>>, in the order in which they are tried; word is a pattern."""
-    pairs = [*SYNONYMS.items(), *((c, c) for c in CANONICAL)]
+def _names(more: dict[str, str] | None = None) -> Column:
+    """The synonyms (and `more` of them, which win) and then the groups as array<struct<name, grp, word>>, in the order in which they are tried; word is a pattern."""
+    pairs = [*(SYNONYMS | (more or {})).items(), *((c, c) for c in CANONICAL)]
     word = lambda name: rf"(?i)(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_])"
     return F.array(*(F.struct(F.lit(n).alias("name"), F.lit(g).alias("grp"), F.lit(word(n)).alias("word")) for n, g in pairs))
 
@@ -129,30 +129,30 @@ def _first(names: Column, test) -> Column:
     return F.get(F.filter(names, test), F.lit(0))["grp"]
 
 
-def group_code(text: Column) -> Column:
+def group_code(text: Column, more: dict[str, str] | None = None) -> Column:
     """The group of a code: by its name, by a synonym, or by one that contains the other; null if none does."""
     code = F.trim(F.upper(text))
     exact = F.when(code.isin([c for c in CANONICAL if c == c.upper()]), code)
-    part = _first(_names(), lambda x: F.contains(code, x["name"]) | F.contains(x["name"], code))
-    return F.when(code != "", F.coalesce(exact, _first(_names(), lambda x: x["name"] == code), part))
+    part = _first(_names(more), lambda x: F.contains(code, x["name"]) | F.contains(x["name"], code))
+    return F.when(code != "", F.coalesce(exact, _first(_names(more), lambda x: x["name"] == code), part))
 
 
-def whole_word(text: Column) -> Column:
+def whole_word(text: Column, more: dict[str, str] | None = None) -> Column:
     """The first group, or else synonym, that stands in the text as a word of its own."""
     inside = lambda x: F.regexp_like(text, x["word"])
-    n = len(SYNONYMS)
-    return F.coalesce(_first(F.slice(_names(), n + 1, len(CANONICAL)), inside), _first(F.slice(_names(), 1, n), inside))
+    n = len(SYNONYMS | (more or {}))
+    return F.coalesce(_first(F.slice(_names(more), n + 1, len(CANONICAL)), inside), _first(F.slice(_names(more), 1, n), inside))
 
 
-def group_decisions(raw: DataFrame) -> DataFrame:
-    """`raw` (column raw) with std, kind and reason."""
+def group_decisions(raw: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """`raw` (column raw) with std, kind and reason. `more`: further synonyms, as records.synonyms() reads them."""
     df = raw.withColumn("t", tidy(F.col("raw"))).withColumn("low", F.lower("t")).withColumn("words", F.size(F.split("t", r"\s+")))
     in_brackets = F.coalesce(F.nullif(F.regexp_extract("t", r"\(([^)]+)\)|\s+([A-Z&/]+)\)$", 1), F.lit("")), F.regexp_extract("t", r"\(([^)]+)\)|\s+([A-Z&/]+)\)$", 2))
     first_behalf = reduce(
         lambda rest, p: F.when(F.col("t").rlike(f"(?i){p}"), F.regexp_extract("t", f"(?i){p}", 1)).otherwise(rest), reversed(ON_BEHALF), F.lit(None).cast("string")
     )
-    df = df.withColumn("bracket", group_code(in_brackets)).withColumn("behalf", F.trim(first_behalf)).withColumn("behalf", group_code(F.col("behalf")))
-    df = df.withColumn("word", whole_word(F.col("t"))).withColumn("bare", group_code(F.col("t")))
+    df = df.withColumn("bracket", group_code(in_brackets, more)).withColumn("behalf", F.trim(first_behalf)).withColumn("behalf", group_code(F.col("behalf"), more))
+    df = df.withColumn("word", whole_word(F.col("t"), more)).withColumn("bare", group_code(F.col("t"), more))
     low, long = F.col("low"), F.col("words") > 8
     answer = lambda std, kind, reason: F.struct(std.alias("std"), F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
     ni = F.lit("NI")
@@ -174,17 +174,23 @@ def group_decisions(raw: DataFrame) -> DataFrame:
     return df.select(*raw.columns, decision.alias("d")).select(*raw.columns, "d.*")
 
 
-def normalise_groups(speeches: DataFrame, overwrite_raw: bool = False) -> DataFrame:
+def normalise_groups(speeches: DataFrame, overwrite_raw: bool = False, more: dict[str, str] | None = None) -> DataFrame:
     """Speeches with political_group_raw, _std, _kind and _reason; each distinct text is decided once.
 
-    overwrite_raw also puts the standard group into political_group.
+    Speeches without a text have their answer at once; in the join each is a key of its own,
+    so that they don't meet in one task. overwrite_raw also puts the standard group into political_group.
     """
     raw = F.coalesce("political_group_raw", "political_group") if "political_group_raw" in speeches.columns else F.col("political_group")
     rows = speeches.withColumn("political_group_raw", raw)
-    texts = rows.groupBy(F.coalesce("political_group_raw", F.lit("")).alias("raw")).count().drop("count")
-    found = group_decisions(texts).select("raw", *(F.col(c).alias(f"political_group_{c}") for c in ("std", "kind", "reason")))
-    rows = rows.drop(*found.columns[1:]).join(found, F.coalesce("political_group_raw", F.lit("")) == F.col("raw")).drop("raw")
-    return rows.withColumn("political_group", F.col("political_group_std")) if overwrite_raw else rows
+    texts = rows.where(F.coalesce("political_group_raw", F.lit("")) != "").select(F.col("political_group_raw").alias("raw")).distinct()
+    names = ("std", "kind", "reason")
+    found = group_decisions(texts, more).select(F.col("raw").alias("__raw"), *(F.col(c).alias(f"__{c}") for c in names))
+    rows = rows.drop(*(f"political_group_{c}" for c in names))
+    alone = F.concat(F.lit("\0"), F.xxhash64(*(F.col(c).cast("string") for c in rows.columns)).cast("string"))
+    joined = rows.withColumn("__key", F.coalesce(F.nullif("political_group_raw", F.lit("")), alone)).join(found, F.col("__key") == F.col("__raw"), "left")
+    empty = dict(zip(names, ("NI", "unknown", "empty_input")))
+    out = joined.select(*rows.columns, *(F.coalesce(f"__{c}", F.lit(empty[c])).alias(f"political_group_{c}") for c in names))
+    return out.withColumn("political_group", F.col("political_group_std")) if overwrite_raw else out
 
 
 def mapping_report(decided: DataFrame) -> DataFrame:

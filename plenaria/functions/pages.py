@@ -7,7 +7,8 @@ function below is a reading of them, and runs on Arrow batches.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,23 +23,36 @@ ORDINAL = re.compile(r"^(\d+(?:\.\d+)*)\s*\.")
 DOCUMENT = re.compile(r"/doceo/document/([^/_]+(?:-[^/_]+)*)_EN\.html", re.I)
 
 
+# Fixed values of HTML: what a start tag ends although its end tag is missing, up to the nearest of the second set.
+BLOCKS = (
+    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul"
+).split()
+CELL, ROW = {"td", "th"}, {"tr", "td", "th"}
+IMPLIED = {b: ({"p"}, {"table", "td", "th", "caption", "button", "object"}) for b in BLOCKS} | {
+    "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "td": (CELL, {"tr", "table"}), "th": (CELL, {"tr", "table"}), "tr": (ROW, {"table"}),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (ROW | {"tbody", "thead", "tfoot"}, {"table"})),
+}
+
+
 @dataclass
 class Element:
     tag: str
     attrs: dict
     start: int  # offset in the page's text
     place: int  # offset in the page's source
+    after: int  # number of the first element inside
     end: int = -1
-    inside: list = field(default_factory=list)
+    until: int = -1  # number of the first element behind it
 
 
 class Page(HTMLParser):
-    """Elements in order, and the visible text with each one's offsets in it."""
+    """Elements in order, and the visible text with each one's offsets in it. Missing end tags are implied as HTML has it."""
 
     def __init__(self, html: str | None):
         super().__init__(convert_charrefs=True)
         self.elements: list[Element] = []
-        self.text, self._open, self._hidden, self._n = [], [], 0, 0
+        self.text, self._open, self._tags, self._hidden, self._n = [], [], Counter(), 0, 0
         self.source = html or ""
         self._lines = [0]
         for line in self.source.split("\n"):
@@ -46,19 +60,34 @@ class Page(HTMLParser):
         self.feed(self.source)
         self.close()
         self.body = "".join(self.text)
-        for e in self._open:
-            e.end = self._n
+        self._close(0)
+
+    def _close(self, keep: int) -> None:
+        """End all open elements but the outermost `keep`."""
+        while len(self._open) > keep:
+            e = self._open.pop()
+            e.end, e.until = self._n, len(self.elements)
+            self._tags[e.tag] -= 1
+            self._hidden -= e.tag in HIDDEN
 
     def handle_starttag(self, tag, attrs):
+        ended, bounds = IMPLIED.get(tag, ((), ()))
+        if any(self._tags[t] for t in ended):
+            keep = len(self._open)
+            for i in range(len(self._open) - 1, -1, -1):
+                if self._open[i].tag in ended:
+                    keep = i
+                elif self._open[i].tag in bounds:
+                    break
+            self._close(keep)
         line, column = self.getpos()
-        element = Element(tag, {k: v or "" for k, v in attrs}, self._n, self._lines[line - 1] + column)
+        element = Element(tag, {k: v or "" for k, v in attrs}, self._n, self._lines[line - 1] + column, len(self.elements) + 1)
         self.elements.append(element)
-        for parent in self._open:
-            parent.inside.append(element)
         if tag in VOID:
-            element.end = self._n
+            element.end, element.until = self._n, len(self.elements)
         else:
             self._open.append(element)
+            self._tags[tag] += 1
             self._hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -67,13 +96,11 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if any(e.tag == tag for e in self._open):
-            while True:
-                e = self._open.pop()
-                e.end = self._n
-                self._hidden -= e.tag in HIDDEN
-                if e.tag == tag:
-                    return
+        if self._tags[tag]:
+            self._close(next(i for i in range(len(self._open) - 1, -1, -1) if self._open[i].tag == tag))
+
+    def inside(self, e: Element) -> list[Element]:
+        return self.elements[e.after : e.until]
 
     def handle_data(self, data):
         if not self._hidden:
@@ -94,11 +121,11 @@ def squeezed(text: str) -> str:
 def headers(page: Page) -> list[tuple[Element, dict]]:
     out = []
     for e in page.elements:
-        if e.tag == "td" and "doc_title" in e.attrs.get("class", "").split() and any(i.tag == "img" and ARROW in i.attrs.get("src", "") for i in e.inside):
+        if e.tag == "td" and "doc_title" in e.attrs.get("class", "").split() and any(i.tag == "img" and ARROW in i.attrs.get("src", "") for i in page.inside(e)):
             raw = squeezed(page.of(e))
             ordinal = ORDINAL.match(raw)
             title = re.sub(r"\s*\([^)]*\)\s*$", "", ORDINAL.sub("", raw).strip()).strip()
-            links = (DOCUMENT.search(i.attrs.get("href", "")) for i in e.inside if i.tag == "a")
+            links = (DOCUMENT.search(i.attrs.get("href", "")) for i in page.inside(e) if i.tag == "a")
             out.append((e, {"ordinal": ordinal[1] if ordinal else None, "title": title, "docIdentifier": next((m[1] for m in links if m), None), "raw": raw}))
     return out
 

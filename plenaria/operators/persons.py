@@ -80,6 +80,20 @@ def numbered(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
     return rows.withColumn("own", own).join(counts, "bucket").withColumn("number", F.col("before") + F.col("own")).drop("bucket", "own", "before")
 
 
+def name_ends(key: Column) -> Column:
+    """First and last word of a name's key."""
+    words = F.split(key, " ")
+    return F.concat_ws(" ", F.get(words, F.lit(0)), F.element_at(words, -1))
+
+
+def link_ends(speeches: DataFrame, made: DataFrame) -> DataFrame:
+    """Speeches without a person linked to the new member (see missing_persons) with the same first and last word."""
+    ends = made.groupBy(name_ends(name_key("label")).alias("ends")).agg(F.min("id").alias("found"))
+    names = speeches.where("mep_id is null").select("speaker_name").where(name_key("speaker_name") != "").distinct()
+    found = names.join(ends, name_ends(name_key("speaker_name")) == F.col("ends")).select("speaker_name", "found")
+    return speeches.join(found, "speaker_name", "left").withColumn("mep_id", F.coalesce("mep_id", "found")).select(speeches.columns)
+
+
 def missing_persons(speeches: DataFrame, persons: DataFrame) -> DataFrame:
     """New members (id, label, country, source, n) for speakers whom nobody matches, ids after the largest one.
 
@@ -89,9 +103,8 @@ def missing_persons(speeches: DataFrame, persons: DataFrame) -> DataFrame:
     """
     names = speeches.where("mep_id is null").groupBy(name_key("speaker_name").alias("key")).agg(F.count("*").alias("n"), F.min("speaker_name").alias("label"))
     names = names.where("key <> ''").join(creation_keys(persons).select("key"), "key", "left_anti")
-    ends = lambda key: F.concat_ws(" ", F.get(F.split(key, " "), F.lit(0)), F.element_at(F.split(key, " "), -1))
-    known = persons.select(ends(name_key("label")).alias("ends")).distinct()
-    names = names.withColumn("ends", ends(F.col("key"))).join(known, "ends", "left_anti")
+    known = persons.select(name_ends(name_key("label")).alias("ends")).distinct()
+    names = names.withColumn("ends", name_ends(F.col("key"))).join(known, "ends", "left_anti")
     names = names.groupBy("ends").agg(F.min_by(F.struct("key", "label", "n"), F.struct(-F.col("n"), F.col("key"))).alias("x")).select("x.*")
     top = persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     placed = numbered(names, [F.col("key")], F.struct((-F.col("n")).alias("rank"), F.substring("key", 1, 2).alias("start")))

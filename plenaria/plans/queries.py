@@ -12,7 +12,7 @@ from plenaria.functions import groups, language, pages, requests, transcripts
 from plenaria.operators import analytics as A
 from plenaria.operators import conversation, persons
 from plenaria.operators import relational as R
-from plenaria.plans import mart, refresh
+from plenaria.plans import mart, rebuild, refresh
 from plenaria.sources import sinks, views
 from plenaria.streaming import counts
 
@@ -760,3 +760,68 @@ def section_match(s, d):
 def html_paragraphs(s, d):
     rows = pages.read(views.table(s, d, "pages"), pages.paragraphs)
     return pages.read_anchor(rows.withColumn("anchor", F.lit("main")), "anchor", name="near").select("page_id", F.size("value").alias("n"), F.length("near").alias("near"))
+
+
+SHORT = "trim(replace(replace(replace({c}, '&amp;', '&'), '–', '-'), '—', '-'))"
+
+
+@query("topic_short", f"{VARIED} SELECT DISTINCT macro_topic, {SHORT.format(c='macro_topic')} AS short FROM varied")
+def topic_short(s, d):
+    return _varied(s, d).distinct().select("macro_topic", C.topic_label_short("macro_topic").alias("short"))
+
+
+@query("iso_codes", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN upper(lang) WHEN 1 THEN upper(lang) WHEN 2 THEN upper(lang) WHEN 3 THEN CASE lang WHEN 'en' THEN 'EN' WHEN 'de' THEN 'DE' WHEN 'fr' THEN 'FR' WHEN 'es' THEN 'ES' END END AS code FROM documents""")
+def iso_codes(s, d):
+    """Codes of two letters, in capitals, with a region, of three letters, of an unknown language and none."""
+    k = F.col("doc_id") % 6
+    three = F.create_map(*(F.lit(x) for pair in (("en", "eng"), ("de", "deu"), ("fr", "fra"), ("es", "spa")) for x in pair))
+    lang = F.col("lang")
+    code = F.when(k == 0, lang).when(k == 1, F.upper(lang)).when(k == 2, F.concat(lang, F.lit("-XX"))).when(k == 3, F.try_element_at(three, lang)).when(k == 4, F.lit("zz"))
+    return views.table(s, d, "documents").select("doc_id", language.iso2(code).alias("code"))
+
+
+@query("agenda_first", """SELECT sitting_id, ordinal, title FROM (SELECT *, row_number() OVER (PARTITION BY sitting_id, doc, lower(trim(title)) ORDER BY ordinal) AS k FROM
+  (SELECT sitting_id, speech_order AS ordinal, CASE WHEN speech_order % 2 = 0 THEN upper(macro_topic) || ' ' ELSE macro_topic END AS title, macro_specific_focus AS doc FROM star)) WHERE k = 1""")
+def agenda_first(s, d):
+    title = F.when(F.col("speech_order") % 2 == 0, F.concat(F.upper("macro_topic"), F.lit(" "))).otherwise(F.col("macro_topic"))
+    rows = views.speeches(s, d).select("sitting_id", F.col("speech_order").alias("ordinal"), title.alias("title"), F.col("macro_specific_focus").alias("docIdentifier"))
+    return R.first_agenda(rows).select("sitting_id", "ordinal", "title")
+
+
+@query("affiliation_labels", """SELECT label, count(*) AS n FROM (SELECT CASE k WHEN 0 THEN 'PPE' WHEN 1 THEN 'Non-Attached' WHEN 2 THEN 'Renew' WHEN 3 THEN 'Committee Rapporteur'
+  WHEN 4 THEN 'European Commission' WHEN 5 THEN '' ELSE 'Parliamentary Role' END AS label FROM (SELECT id % 7 AS k FROM ev)) GROUP BY 1""")
+def affiliation_labels(s, d):
+    """Speeches with a standard group, with a raw one, and with a title only."""
+    k = F.col("id") % 7
+    cases = {0: ("PPE", "group", None, None), 1: ("NI", "group", None, None), 2: (None, None, "ALDE", None), 3: ("", None, "", "Rapporteur for it"), 4: (None, None, None, "Member of the Commission"), 5: (None, None, None, "in writing"), 6: (None, None, None, "Guest")}
+    pick = lambda i: F.coalesce(*(F.when(k == n, F.lit(c[i])) for n, c in cases.items()), F.lit(None).cast("string"))
+    label = groups.affiliation(pick(0), pick(1), F.lit(None).cast("string"), pick(2), pick(3))
+    return A.counted(views.event_speeches(s, d), label.alias("label"))
+
+
+@query("person_dataset", """named AS (SELECT id, mep_id, 'Nm' || (mep_id % 50) || ' Fam' || (mep_id % 50) AS speaker_name, macro_topic FROM ev),
+  who AS (SELECT speaker_name, mep_id % 50 AS k, count(*) AS n FROM named GROUP BY 1, 2),
+  made AS (SELECT k, 29 + row_number() OVER (ORDER BY n DESC, lower(speaker_name)) AS id FROM who WHERE k >= 30)
+  SELECT w.speaker_name, CASE WHEN w.k < 30 THEN w.k ELSE m.id END AS person_id, CASE WHEN w.k < 30 THEN 'api' ELSE 'historic' END AS source, w.n FROM who w LEFT JOIN made m ON m.k = w.k""")
+def person_dataset(s, d):
+    """Thirty persons of two terms, with their names turned round, and twenty who have no record."""
+    k = F.col("mep_id") % 50
+    said = views.event_speeches(s, d).select("id", "mep_id", F.concat(F.lit("Nm"), k, F.lit(" Fam"), k).alias("speaker_name"), F.lit("PPE").alias("political_group"), F.lit(None).cast("string").alias("title"))
+    api = s.range(60).select((F.col("id") % 30).cast("string").alias("identifier"), (9 + F.floor(F.col("id") / 30)).alias("term"), F.concat(F.lit("FAM"), F.col("id") % 30, F.lit(" Nm"), F.col("id") % 30).alias("label"))
+    everyone, linked, _ = rebuild.person_dataset(said, api)
+    n = A.counted(linked, F.col("mep_id").alias("id"), "speaker_name")
+    return n.join(everyone.select("id", "source"), "id").select("speaker_name", F.col("id").alias("person_id"), "source", "n")
+
+
+@query("sittings_unparsed", "SELECT id FROM sittings WHERE id % 3 > 0 AND activity_date >= '1997-01-01' AND (SELECT count(*) FROM star WHERE sitting_id = sittings.id AND speech_order > 3) = 0")
+def sittings_unparsed(s, d):
+    rows = views.sittings(s, d, "1996-01-01").withColumn("content", F.when(F.col("id") % 3 > 0, F.repeat(F.lit("x"), 200)))
+    return rebuild.unparsed(rows, views.speeches(s, d).where("speech_order > 3"), "1997-01-01").select("id")
+
+
+@query("local_or_remote", "SELECT id::VARCHAR AS id, CASE WHEN id % 2 = 0 THEN label ELSE 'remote' END AS label FROM sittings WHERE id % 5 = 0 AND id % 4 <> 1")
+def local_or_remote(s, d):
+    """Sittings of even ids are stored; of the others, some have a remote record."""
+    rows = views.sittings(s, d).select(F.col("id").cast("string").alias("id"), "label", "activity_date")
+    remote = rows.where("id % 4 <> 1").select("id", F.create_map(F.lit("EN"), F.lit("remote")).alias("labels"))
+    return rebuild.with_local_or_remote(rows.where("id % 5 = 0").select("id"), rows.where("id % 2 = 0"), remote).select("id", "label")

@@ -98,7 +98,7 @@ def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str,
     Works on new days, and on known ones that have no speeches or some without a topic;
     `everything` does all days again. Sittings and speeches are replaced by sitting, and
     the mart is built anew if anything changed. Pages that aren't transcripts are
-    counted as failed and left for the next run.
+    counted as failed, logged in the table `failures` and left for the next run.
     """
     sittings, speeches = f"{path}/sittings", f"{path}/speeches"
     wanted = pages_of.where(F.col("activity_date") <= until)
@@ -107,6 +107,9 @@ def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str,
         wanted = wanted.join(days, "activity_date", "left_semi").select(pages_of.columns)
     good = wanted.where(looks_like_page("html"))
     asked, usable = wanted.count(), good.count()
+    if asked > usable:
+        bad = wanted.where(~F.coalesce(looks_like_page("html"), F.lit(False)))
+        sinks.log_failures(bad.select(F.lit("transcript").alias("kind"), F.col("activity_date").alias("what"), F.lit("not a transcript").alias("message")), f"{path}/failures")
     if usable:
         stored = good.select(F.col("sitting_id").alias("id"), "activity_date", F.lit("PLENARY").alias("type"), F.col("html").alias("content"))
         made = conform(enriched(speeches_of(good.select("sitting_id", "html")), persons, classifier), SPEECHES).select(*SPEECH_COLUMNS)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from plenaria.functions.columns import document_url, looks_like_page
 
 
 class Pages(InputPartition):
@@ -20,8 +25,9 @@ class Pages(InputPartition):
 class PagedReader(DataSourceReader):
     """Pages of one address after the other until a short one; each address is a partition.
 
-    A page is tried `tries` times with growing pauses; a page that fails is skipped,
-    `most_failures` in a row end the address, and "not found" is its end.
+    A page is tried `tries` times with growing pauses; `most_failures` pages in a row that
+    fail end the address, and "not found" is its end. A page that fails is skipped, but where
+    the schema has a column `failure`, one row says which, so that its rows can be asked for again.
     """
 
     def __init__(self, schema, options):
@@ -39,6 +45,8 @@ class PagedReader(DataSourceReader):
             offset += self.size
             if rows is None:
                 failures += 1
+                if "failure" in self.fields:
+                    yield tuple(f"{partition.url} offset {offset - self.size}" if f == "failure" else None for f in self.fields)
                 continue
             failures = 0
             for row in rows:
@@ -99,6 +107,62 @@ def rules(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.inline(listed)).where("canonical is not null and size(variants) > 0")
 
 
+def synonyms(spark: SparkSession, path: str) -> dict[str, str]:
+    """Further names of groups from a JSON object; none where the file is missing or isn't one. It is as small as a list of groups."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}
+    row = text.select(F.from_json("value", "map<string,string>").alias("m")).first()
+    return {k: v for k, v in (row["m"] or {}).items() if v is not None} if row else {}
+
+
+def get(url: str, timeout: float = 25) -> str:
+    with urllib.request.urlopen(url, timeout=timeout) as reply:  # noqa: S310
+        return reply.read().decode("utf-8", "replace")
+
+
+def fetched(rows: DataFrame, url: str = "url", tries: int = 3, pause: float = 1.0, load: Callable[[str], str] = get) -> DataFrame:
+    """`rows` with html, the document at each one's address, and failure, why there is none.
+
+    An address is tried `tries` times with pauses that double; "not found" isn't tried again. Rows are
+    spread over the tasks as they come; nothing that is fetched goes through the driver.
+    """
+
+    def one(address: str | None) -> tuple[str | None, str | None]:
+        why = "no address"
+        for attempt in range(tries if address else 0):
+            try:
+                return load(address), None
+            except urllib.error.HTTPError as e:
+                why = f"HTTP {e.code}"
+                if e.code == 404:
+                    break
+            except (OSError, ValueError) as e:
+                why = f"{type(e).__name__}: {e}"
+            time.sleep(pause * 2**attempt)
+        return None, why
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 50):
+                some = frame.iloc[at : at + 50]
+                got = [one(u) for u in some[url]]
+                yield some.assign(html=[h for h, _ in got], failure=[w for _, w in got])
+
+    fields = [*rows.schema.fields, *StructType.fromDDL("html string, failure string").fields]
+    return rows.mapInPandas(run, StructType(fields))
+
+
+def newest_document(known: DataFrame, spark: SparkSession, newest: str, days_back: int = 365, **options) -> DataFrame:
+    """(activity_date, url, html): of the days that aren't known, the newest whose address gives a transcript. All candidates are fetched side by side."""
+    days = document_dates(known, spark, newest, days_back).withColumn("url", document_url("activity_date"))
+    good = fetched(days, **options).where(looks_like_page("html"))
+    return good.orderBy(F.desc("activity_date")).limit(1).drop("failure")
+
+
 def document_dates(known: DataFrame, spark: SparkSession, newest: str, days_back: int = 365) -> DataFrame:
     """Days before `newest`, newest first, that aren't known: the candidates of a search for the latest transcript."""
     days = F.sequence(F.date_sub(F.to_date(F.lit(newest)), days_back), F.to_date(F.lit(newest)))

@@ -134,7 +134,7 @@ def test_sections_of_speeches(spark):
 def test_language_decision(spark):
     texts = [(1, "the house of the people and the will of the people is that for which we stand"), (2, "der Hund und die Katze sind in den Garten von dem Haus mit der Tür"), (3, "Καλημέρα σας κυρίες και κύριοι"), (4, ""), (5, None)]
     docs = spark.createDataFrame(texts, "id int, t string")
-    got = {r["id"]: r["detected"] and r["detected"]["language"] for r in language.decide(docs, "id", "t").collect()}
+    got = {r["id"]: r["detected"] and r["detected"]["language"] for r in language.decide(docs, "t").collect()}
     assert got == {1: "EN", 2: "DE", 3: "EL", 4: None, 5: None}
 
 
