@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, stored
+from .shared import blobs, small, stored
 
 BITS = 18
 GRAMS = (3, 4, 5, 6)
@@ -97,18 +97,55 @@ def _known(labels: DataFrame) -> DataFrame:
     return known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, data, toxic): training rows; texts are compressed before the shuffle."""
+def _marks(ids: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """The two bits of each id in a Bloom filter of 2**bits bits."""
+    mixed = (ids.view(np.uint64) ^ (ids.view(np.uint64) >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return tuple((mixed * np.uint64(m) >> np.uint64(64 - bits)).astype(np.int64) for m in (1, 0xD6E8FEB86659FD93))
+
+
+def _sieve(known: DataFrame, n: int, most: int = 25) -> tuple[int, np.ndarray]:
+    """(bits, filter): a Bloom filter of the labelled ids, of about 16 bits each and 2**most at most (4 MB at any number of labels)."""
+    bits = int(np.clip(np.ceil(np.log2(16 * max(n, 1))), 10, most))
+    blocks = 1 << max(0, bits - 16)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, own = zstandard.ZstdCompressor(level=1), np.zeros(1 << bits, bool)
+        for batch in batches:
+            for at in _marks(batch.column(0).to_numpy(), bits):
+                own[at] = True
+        found = [(i, press.compress(np.packbits(x).tobytes())) for i, x in enumerate(own.reshape(blocks, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], ["block", "data"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress, sums = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(unpress.decompress(data), np.uint8)
+                sums[block] = sums[block] | own if block in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "data"])
+
+    made = known.select("doc_id").mapInArrow(mark, "block int, data binary").repartition("block").mapInArrow(merge, "block int, data binary").toArrow()
+    out = np.zeros((blocks, (1 << bits) // blocks // 8), np.uint8)
+    for block, data in zip(made.column("block").to_pylist(), made.column("data").to_pylist()):
+        out[block] = np.frombuffer(data, np.uint8)
+    return bits, out.ravel()
+
+
+def _labelled(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """(doc_id, data, toxic): training rows. Documents whose id the filter of the `n` labelled ids can't hold end in the scan; the other texts are compressed and joined."""
+    bits, sieve = _sieve(known, n)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in small(batches):
-            data = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
+            first, second = _marks(batch.column(0).to_numpy(), bits)
+            maybe = (sieve[first >> 3] >> (7 - (first & 7)) & sieve[second >> 3] >> (7 - (second & 7)) & 1).astype(bool)
+            batch = batch.filter(pa.array(maybe))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(b) for b in blobs(batch.column(1))], pa.binary())], ["doc_id", "data"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     # Labels may be as many as documents: a join that shuffles both sides, at any size.
-    return texts.mapInArrow(squeeze, "doc_id long, data binary").join(_known(labels).hint("merge"), "doc_id")
+    return texts.mapInArrow(squeeze, "doc_id long, data binary").join(known.hint("merge"), "doc_id")
 
 
 def fit(
@@ -119,8 +156,8 @@ def fit(
     All of them are counted. `sample` bounds the rows of each class whose features
     the driver holds for the regression: 2 * sample rows at any size of the corpus.
     """
-    sizes = {0: 0, 1: 0}
-    for r in _known(labels).groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect():
+    sizes, known = {0: 0, 1: 0}, _known(labels)
+    for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect():
         sizes[r["toxic"]] += r["count"]
     # All of a class that fits; of a larger one a share by hash that stays below the bound.
     share = {k: 1.0 if n <= sample else 0.9 * sample / n for k, n in sizes.items()}
@@ -147,7 +184,7 @@ def fit(
                 blocks = enumerate(counts[label].reshape(-1, BLOCK))
                 yield table([(label, -1, seen[label], b""), *((label, i, 0, press.compress(x.tobytes())) for i, x in blocks if x.any())])
 
-    rows = _labelled(docs, labels).select("doc_id", "data", "toxic")
+    rows = _labelled(docs, known, sum(sizes.values())).select("doc_id", "data", "toxic")
     gathered = stored(rows.mapInArrow(gather, "kind int, block int, n long, data binary"), "toxicity")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     clean, toxic = gathered.where("block = -1").agg(of(0), of(1)).first()

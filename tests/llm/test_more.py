@@ -220,6 +220,15 @@ def test_toxicity_model_against_counts_of_all_rows(spark):
     assert np.allclose(made.weights, weights * ratio[ids], atol=1e-4) and abs(made.intercept - intercept) < 1e-4
 
 
+def test_no_labelled_document_falls_through_the_sieve(spark):
+    ids = [int(x) for x in np.random.default_rng(7).integers(-(2**63), 2**63 - 1, 3000)]
+    known = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(5)
+    for most in (25, 11):
+        bits, sieve = toxicity._sieve(known, len(ids), most)
+        hold = lambda x: np.logical_and(*(sieve[m >> 3] >> (7 - (m & 7)) & 1 for m in toxicity._marks(np.array(x, np.int64), bits)))  # noqa: B023, E731
+        assert hold(ids).all() and (most < 25 or hold(range(20_000)).mean() < 0.05)
+
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 
