@@ -602,7 +602,8 @@ def html_contents(s, d):
     return pages.read(views.table(s, d, "pages"), pages.contents).select("page_id", F.size("value").alias("links"))
 
 
-@query("speech_parse")
+@query("speech_parse", """SELECT sitting_id, CAST(row_number() OVER (PARTITION BY sitting_id ORDER BY speech_order) AS INT) AS speech_order, upper(substr(speaker_name, 1, 1)) || substr(speaker_name, 2) AS speaker_name,
+  'for it' AS political_group, length(trim(regexp_replace(speech_content, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS n FROM turns WHERE trim(speech_content) <> ''""")
 def speech_parse(s, d):
     """Conversations written as a transcript and read back."""
     line = F.concat(F.initcap("speaker_name"), F.lit(", for it. – "), F.regexp_replace("speech_content", r"\s+", " "))
@@ -742,13 +743,21 @@ def mart_overview(s, d):
     return mart.load(s, path)["overview"]
 
 
-@query("group_report")
+@query("group_report", """SELECT 'unknown' AS kind, 'NI' AS std, 'no_match' AS reason, count(*) AS texts, CAST(sum(n) AS BIGINT) AS n, 'Unknown' AS hint FROM (SELECT speaker_name, count(*) AS n FROM turns GROUP BY 1)""")
 def group_report(s, d):
     rows = views.turns(s, d).groupBy(F.col("speaker_name").alias("raw")).agg(F.count("*").alias("n"))
     return groups.mapping_report(groups.group_decisions(rows)).withColumn("hint", groups.suggestion(F.col("reason")))
 
 
-@query("section_match")
+@query("section_match", """said AS (SELECT sitting_id, speech_order, trim(regexp_replace(regexp_replace(strip_accents(lower(replace(speech_content, chr(160), ' '))), '[^a-z0-9 \\t\\n\\r\\f\\v]', ' ', 'g'),
+    '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS norm FROM turns),
+  parts AS (SELECT *, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS words, list_filter([substr(norm, 1, 160), substr(norm, 41, 160), substr(norm, 81, 160), substr(norm, 121, 160)], lambda x: length(x) >= 80) AS snippets FROM said),
+  pairs AS (SELECT t.sitting_id, t.speech_order, length(t.norm) AS size, s.speech_order AS part,
+    CASE WHEN length(s.norm) >= 100 AND len(list_filter(t.snippets, lambda x: contains(s.norm, x))) > 0 THEN 2.0::DOUBLE
+      ELSE len(list_filter(t.words, lambda x: length(x) > 3 AND contains(s.norm, x))) / greatest(len(t.words), 1)::DOUBLE END AS score
+    FROM parts t JOIN parts s USING (sitting_id)),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sitting_id, speech_order ORDER BY score DESC, part) AS k FROM pairs WHERE score >= 0.08 AND size >= 50) WHERE k = 1)
+  SELECT t.sitting_id, t.speech_order, 'Part ' || part AS title, CASE WHEN score > 1 THEN 1.0::DOUBLE ELSE score END AS score FROM turns t LEFT JOIN best USING (sitting_id, speech_order)""")
 def section_match(s, d):
     """Each turn against the texts of its conversation as sections."""
     said = views.turns(s, d).select("sitting_id", "speech_order", "speech_content")
