@@ -16,6 +16,30 @@ def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def by_key(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key, as a filter that reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def toggled(df: DataFrame, column: str, descending: bool = False, collation: str = "UNICODE_CI") -> DataFrame:
+    """Sorted by a text as a reader expects it (case doesn't count, accents follow their letter), either way; ties by the text itself."""
+    order = F.collate(column, collation)
+    return df.orderBy(order.desc() if descending else order.asc(), column)
+
+
+def extract(
+    facts: DataFrame, sittings: DataFrame, language: str | None = None, groups: Sequence[str] | None = None, start: str | None = None, end: str | None = None,
+    text: str = "speech_content", shortest: int = 0, longest: int | None = None,
+) -> DataFrame:
+    """Facts of a language, of some groups, of days and of a length, with activity_date, year, month and length."""
+    days = sittings.select(F.col("id").alias("sitting_id"), "activity_date").where(between("activity_date", start, end))
+    rows = facts if language is None else facts.where(F.col("language") == language)
+    rows = rows if groups is None else rows.where(effective_group().isin(list(groups)))
+    size = F.length(text)
+    rows = rows.where((size >= shortest) & (F.lit(True) if longest is None else size <= longest)).withColumn("length", size)
+    return rows.join(days, "sitting_id").withColumns({"year": F.substring("activity_date", 1, 4), "month": F.substring("activity_date", 1, 7)})
+
+
 def sittings_page(
     sittings: DataFrame, facts: DataFrame, start: str | None = None, end: str | None = None, limit: int = 50, offset: int = 0
 ) -> DataFrame:

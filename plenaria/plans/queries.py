@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plenaria.functions import columns as C
 from plenaria.functions import groups, language, pages, requests, transcripts
@@ -13,6 +14,7 @@ from plenaria.operators import analytics as A
 from plenaria.operators import conversation, persons
 from plenaria.operators import relational as R
 from plenaria.plans import mart, rebuild, refresh
+from plenaria.schema import SITTINGS
 from plenaria.sources import sinks, views
 from plenaria.streaming import counts
 
@@ -834,3 +836,40 @@ def local_or_remote(s, d):
     rows = views.sittings(s, d).select(F.col("id").cast("string").alias("id"), "label", "activity_date")
     remote = rows.where("id % 4 <> 1").select("id", F.create_map(F.lit("EN"), F.lit("remote")).alias("labels"))
     return rebuild.with_local_or_remote(rows.where("id % 5 = 0").select("id"), rows.where("id % 2 = 0"), remote).select("id", "label")
+
+
+@query("point_lookup", "SELECT * FROM sittings WHERE id = 37")
+def point_lookup(s, d):
+    return R.by_key(views.sittings(s, d), "id", 37)
+
+
+@query("toggled_sort", "SELECT topic, row_number() OVER (ORDER BY lower(topic) DESC, topic) AS place FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS topic FROM part) QUALIFY place <= 20")
+def toggled_sort(s, d):
+    topic = F.when(F.col("p_size") % 2 == 0, F.upper("p_brand")).otherwise(F.lower("p_brand"))
+    names = R.toggled(views.table(s, d, "part").select(topic.alias("topic")).distinct(), "topic", descending=True).limit(20)
+    return names.select("topic", F.row_number().over(Window.orderBy(F.collate("topic", "UNICODE_CI").desc(), "topic")).alias("place"))
+
+
+@query("extract_rows", FULL + """ SELECT f.sitting_id, f.speech_order, activity_date, substr(activity_date, 1, 4) AS year, substr(activity_date, 1, 7) AS month, length(speech_content) AS length
+  FROM full_star f JOIN sittings ON sittings.id = f.sitting_id WHERE language = 'A' AND coalesce(political_group_std, political_group) IN ('F', 'R') AND activity_date BETWEEN '1996-01-01' AND '1997-06-30'
+  AND length(speech_content) BETWEEN 55 AND 75""")
+def extract_rows(s, d):
+    rows = R.extract(_full_speeches(s, d), views.sittings(s, d, "1996-01-01", "1997-06-30"), "A", ["F", "R"], "1996-01-01", "1997-06-30", shortest=55, longest=75)
+    return rows.select("sitting_id", "speech_order", "activity_date", "year", "month", "length")
+
+
+@query("delete_cascade", "SELECT sitting_id, count(*) AS n FROM star WHERE sitting_id NOT IN (SELECT id FROM sittings WHERE activity_date < '1997-01-01') GROUP BY 1")
+def delete_cascade(s, d):
+    gone = views.sittings(s, d, end="1996-12-31").select("id")
+    return A.counted(sinks.deleted(views.speeches(s, d), gone), "sitting_id")
+
+
+@query("copy_if_null", "SELECT sitting_id, speech_order, coalesce(political_group_std, political_group) AS political_group_std FROM star")
+def copy_if_null(s, d):
+    return sinks.filled_from(views.speeches(s, d), "political_group_std", "political_group").select("sitting_id", "speech_order", "political_group_std")
+
+
+@query("mirror_rows", "SELECT id::VARCHAR AS id, type, label, activity_date AS date, activity_date FROM sittings")
+def mirror_rows(s, d):
+    """The sittings as records of the table they came from."""
+    return sinks.mirrored(views.sittings(s, d), SITTINGS, date=F.col("activity_date")).select("id", "type", "label", "date", "activity_date")

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from plenaria.functions.columns import document_url, looks_like_page
+from plenaria.schema import SITTINGS, SPEECHES, conform
 
 
 class Pages(InputPartition):
@@ -124,6 +125,16 @@ def get(url: str, timeout: float = 25) -> str:
         return reply.read().decode("utf-8", "replace")
 
 
+def payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(sitting, speeches) of a JSON file about one sitting: {"date", "html", "speeches": [...]}, as the tables have them; what a speech lacks is null."""
+    row = spark.read.schema(f"date string, html string, speeches array<struct<{', '.join(p.replace(' ', ':') for p in SPEECHES.split(', '))}>>").json(path, multiLine=True)
+    key = F.concat(F.lit("sitting-"), "date")
+    sitting = conform(row.select(key.alias("id"), F.col("date").alias("activity_date"), F.lit("PLENARY").alias("type"), F.col("html").alias("content")), SITTINGS)
+    said = row.select(key.alias("key"), F.posexplode("speeches").alias("at", "x")).select("key", "at", "x.*")
+    said = said.withColumns({"sitting_id": F.coalesce("sitting_id", "key"), "speech_order": F.coalesce("speech_order", F.col("at") + 1)}).drop("key", "at")
+    return sitting, said.withColumn("id", F.coalesce("id", F.xxhash64("sitting_id", "speech_order")))
+
+
 def fetched(rows: DataFrame, url: str = "url", tries: int = 3, pause: float = 1.0, load: Callable[[str], str] = get) -> DataFrame:
     """`rows` with html, the document at each one's address, and failure, why there is none.
 

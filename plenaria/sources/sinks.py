@@ -8,6 +8,7 @@ between, a lost executor costs only a retry, and no write touches files that are
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenaria.schema import conform
+
 
 class TableNotFound(FileNotFoundError):
     """A table that nothing has been written to."""
@@ -38,19 +41,24 @@ def current(spark: SparkSession, path: str) -> list[str]:
     return [f"{path}/{name}" for name in names.split()]
 
 
-def _point(spark: SparkSession, path: str, names: list[str]) -> None:
-    """Make these folders the table: a new pointer takes the old one's place by one rename."""
-    fs, fresh = _fs(spark, f"{path}/_current-{uuid.uuid4().hex}")
+def _replace(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Put `text` into a file: a new file takes the old one's place by one rename."""
+    fs, fresh = _fs(spark, f"{folder}/{name}-{uuid.uuid4().hex}")
     stream = fs.create(fresh)
     try:
-        stream.write("\n".join(names).encode())
+        stream.write(text.encode())
     finally:
         stream.close()
     jvm = spark._jvm.org.apache.hadoop.fs
     overwrite = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
     overwrite[0] = getattr(jvm, "Options$Rename").OVERWRITE
     context = jvm.FileContext.getFileContext(fs.makeQualified(fresh).toUri(), spark._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.Path(f"{path}/_current")), overwrite)
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.Path(f"{folder}/{name}")), overwrite)
+
+
+def _point(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Make these folders the table."""
+    _replace(spark, path, "_current", "\n".join(names))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -131,6 +139,51 @@ def replace_sittings(speeches: DataFrame, path: str, replace: bool = True, key:
         append(speeches.join(read(spark, path).select(key), key, "left_anti").select(speeches.columns), path)
 
 
+def deleted(df: DataFrame, keys: DataFrame, key: str = "sitting_id", of: str = "id") -> DataFrame:
+    """`df` without the rows that belong to `keys` (column `of`): a delete by key, or by the keys of what was deleted elsewhere."""
+    return df.join(keys.select(F.col(of).alias(key)), key, "left_anti").select(df.columns)
+
+
+def delete_sittings(ids: DataFrame, path: str) -> None:
+    """Delete sittings (column id) and, with them, their speeches from the tables under `path`."""
+    spark = ids.sparkSession
+    for table, key in (("speeches", "sitting_id"), ("sittings", "id")):
+        if exists(spark, f"{path}/{table}"):
+            write(deleted(read(spark, f"{path}/{table}"), ids, key), f"{path}/{table}")
+
+
+def mirrored(df: DataFrame, ddl: str, **columns: F.Column) -> DataFrame:
+    """The rows of one table as another one's (a schema of schema.py): its own columns, and those given by expressions."""
+    names = [part.split()[0] for part in ddl.split(", ")]
+    return conform(df.withColumns(columns), ddl).select(*names)
+
+
+def filled_from(df: DataFrame, target: str, source: str) -> DataFrame:
+    """`target` from `source` where it is missing; a table without that column gets it."""
+    value = F.coalesce(target, source) if target in df.columns else F.col(source)
+    return df.withColumn(target, value)
+
+
+def write_quoted(df: DataFrame, path: str, text: str, n: str) -> None:
+    """A report of texts: each in quotation marks with its number of uses, one a line, the most frequent first."""
+    line = F.concat(F.lit('"'), F.coalesce(text, F.lit("")), F.lit('" ('), F.col(n).cast("string"), F.lit(")"))
+    df.orderBy(F.desc(n), text).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_json(spark: SparkSession, value, path: str) -> None:
+    """A small document as one JSON file that takes the old one's place in one step."""
+    folder, name = path.rsplit("/", 1)
+    _replace(spark, folder, name, json.dumps(value, ensure_ascii=False, indent=2))
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(table, position, column, type) of the tables under a folder; tables that nothing was written to are left out."""
+    fs, top = _fs(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory())
+    rows = [(n, i, f.name, f.dataType.simpleString()) for n in names if exists(spark, f"{path}/{n}") for i, f in enumerate(read(spark, f"{path}/{n}").schema)]
+    return spark.createDataFrame(rows, "`table` string, position int, `column` string, type string")
+
+
 FAILURES = "happened timestamp, kind string, what string, message string"
 
 

@@ -169,3 +169,39 @@ def test_samples_are_whole_and_repeatable(spark):
     got = rows(analytics.sampled(data, "lang", "id", k=30, buckets=4))
     assert got == rows(analytics.sampled(data.repartition(7), "lang", "id", k=30, buckets=64))
     assert pd.Series([r[1] or "-" for r in got]).value_counts().to_dict() == {"a": 30, "c": 30, "-": 30}
+
+
+def test_small_documents_reports_and_catalogue(spark, tmp_path):
+    path = str(tmp_path)
+    sinks.write_json(spark, ["é", 1], f"{path}/topics.json")
+    sinks.write_json(spark, {"a": ["x"]}, f"{path}/topics.json")
+    assert (tmp_path / "topics.json").read_text() == '{\n  "a": [\n    "x"\n  ]\n}'
+    sinks.write_quoted(spark.createDataFrame([("b", 1), ("a", 3), (None, 2)], "raw string, n long").coalesce(1), f"{path}/report", "raw", "n")
+    assert "".join(p.read_text() for p in (tmp_path / "report").glob("part-*")) == '"a" (3)\n"" (2)\n"b" (1)\n'
+    sinks.write(spark.createDataFrame([(1, "x")], "id long, label string"), f"{path}/sittings")
+    sinks.write(spark.createDataFrame([(1, 1), (2, 1)], "sitting_id long, n int"), f"{path}/speeches")
+    assert rows(sinks.catalogue(spark, path)) == [("sittings", 0, "id", "bigint"), ("sittings", 1, "label", "string"), ("speeches", 0, "sitting_id", "bigint"), ("speeches", 1, "n", "int")]
+    sinks.delete_sittings(spark.createDataFrame([(1,)], "id long"), path)
+    assert rows(sinks.read(spark, f"{path}/speeches")) == [(2, 1)] and sinks.read(spark, f"{path}/sittings").count() == 0
+
+
+def test_payload_of_a_sitting(spark, tmp_path):
+    file = tmp_path / "p.json"
+    file.write_text('{"date": "2020-01-01",\n "html": "<p>x", "speeches": [{"speaker_name": "Ann", "speech_content": "hi"}, {"speaker_name": "Bo", "speech_order": 7}]}')
+    sitting, said = records.payload(spark, str(file))
+    assert rows(sitting.select("id", "activity_date", "content")) == [("sitting-2020-01-01", "2020-01-01", "<p>x")]
+    assert rows(said.select("sitting_id", "speech_order", "speaker_name", "speech_content")) == [("sitting-2020-01-01", 1, "Ann", "hi"), ("sitting-2020-01-01", 7, "Bo", None)]
+    sinks.replace_sittings(said, str(tmp_path / "speeches"))
+    assert sinks.read(spark, str(tmp_path / "speeches")).count() == 2
+
+
+def test_settings(spark, monkeypatch):
+    from plenaria.settings import settings
+
+    assert settings(spark).page_size == 500
+    monkeypatch.setenv("PLENARIA_PAGE_SIZE", "7")
+    monkeypatch.setenv("PLENARIA_TABLES", "a/b")
+    spark.conf.set("spark.plenaria.page_size", "9")
+    assert (settings(spark).page_size, settings(spark).tables) == (9, "a/b")
+    spark.conf.unset("spark.plenaria.page_size")
+    assert settings(spark).page_size == 7
