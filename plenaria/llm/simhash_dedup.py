@@ -28,6 +28,7 @@ give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +59,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+    return int.from_bytes(np.packbits(2 * bit_counts(np.array(hashes, np.uint64)) > len(hashes)).tobytes(), "big")
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set, highest first; up to 255 rows are summed as bytes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], ">u8").view(np.uint8)
-        total += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        for row in range(0, len(bits), 255):
+            total += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return total
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -225,8 +232,21 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """Distinct 64-bit hashes of the word shingles; a shorter text is one shingle, one without words has none."""
     if not words:
         return np.zeros(0, np.uint64)
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return np.unique(gram_hashes(own, min(size, len(words))))
+    return grams_of(word_hashes(words), size)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def grams_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    return np.unique(gram_hashes(hashes, min(size, len(hashes)))) if len(hashes) else hashes
+
+
+@cache
+def multipliers(anchors: int) -> np.ndarray:
+    """Odd numbers, one for each min-hash."""
+    return np.random.default_rng(2).integers(0, 2**63, anchors, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def parities(grams: np.ndarray) -> bytes:
@@ -238,19 +258,16 @@ def parities(grams: np.ndarray) -> bytes:
 def sketch(words: list[bytes], shingle: int, anchors: int) -> tuple[int, bytes, bytes, int, bytes, int]:
     """(node, anchors, segments, fp, parities, size): hash of all words; min-hashes of the shingles; 23-bit segments and 64 bits of a SimHash over word pairs; parities and number of the shingles."""
     node = xxhash.xxh64_intdigest(b" ".join(words))
-    grams, pairs = shingle_hashes(words, shingle), shingle_hashes(words, 2)
+    own_words = word_hashes(words)
+    grams, pairs = grams_of(own_words, shingle), grams_of(own_words, 2)
     if not len(grams):
         return node, b"", b"", 0, b"", 0
-    odd = np.random.default_rng(2).integers(0, 2**63, anchors, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    low = [mixed.min() for mixed in ((grams * m) ^ (grams * m) >> np.uint64(32) for m in odd)]
+    low = [((grams * m) ^ (grams * m) >> np.uint64(32)).min() for m in multipliers(anchors)]
     n = -(-(64 + 23 * anchors) // 64)
     total = np.zeros(64 * n, np.int64)
     for i in range(n):
         own = (pairs ^ pairs >> np.uint64(33)) * np.uint64(0x9E3779B97F4A7C15 + 2 * (i + 1) * 0x632BE59BD9B4E019 & 2**64 - 1 | 1)
-        own = (own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        for at in range(0, len(own), 1 << 16):
-            part = own[at : at + (1 << 16)].astype(">u8").view(np.uint8)
-            total[64 * i : 64 * i + 64] += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        total[64 * i : 64 * i + 64] = bit_counts((own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
     bits = 2 * total > len(pairs)
     segments = (bits[64 : 64 + 23 * anchors].reshape(anchors, 23) * (1 << np.arange(23))).sum(axis=1)
     return node, np.array(low, np.uint64).tobytes(), segments.astype(np.int32).tobytes(), int.from_bytes(np.packbits(bits[:64]).tobytes(), "big"), parities(grams), len(grams)
@@ -414,8 +431,12 @@ def index_forest(fps: np.ndarray, distance: int, label: np.ndarray) -> list[tupl
     return links
 
 
-def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose whole texts are similar enough; texts travel compressed, once for each link."""
+def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float, most: int = 1000) -> DataFrame:
+    """The links (a, b) whose whole texts are similar enough.
+
+    Of each link the end with more links is the owner. Texts travel compressed: an owner's once for up to about
+    `most` of its links, which are compared with it one after the other, the other ends' once for each link.
+    """
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -425,25 +446,30 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
             yield pa.RecordBatch.from_arrays([node, pa.array([squeeze.compress(x) for x in joined], pa.binary())], ["node", "data"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        undo, last = zstandard.ZstdDecompressor(), None
+        undo, owned = zstandard.ZstdDecompressor(), np.zeros(0, np.uint64)
         for batch in small(batches, 200):
             out = []
-            for a, b, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for owner, member, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own = shingle_hashes(undo.decompress(data).split(), shingle)
-                if last and last[:2] == (a, b):
-                    both = len(np.intersect1d(last[2], own, assume_unique=True))
-                    if both >= similarity * (len(own) + len(last[2]) - both):
-                        out.append((a, b))
-                    last = None
-                else:
-                    last = (a, b, own)
+                if member is None:
+                    owned = own
+                    continue
+                both = len(np.intersect1d(owned, own, assume_unique=True))
+                if both >= similarity * (len(own) + len(owned) - both):
+                    out.append(sorted((owner, member)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    asked = ends.select("node").distinct()
-    known = texts.select("text").mapInArrow(press, "node long, data binary").join(asked, "node", "left_semi").groupBy("node").agg(F.min("data").alias("data"))
-    paired = ends.join(known, "node").select("a", "b", "data")
-    return paired.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    of = lambda end: degree.select(F.col("node").alias(end), F.struct("n", F.col("node").alias("owner")).alias(f"of_{end}"))
+    both = links.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.greatest("of_a", "of_b").alias("x"))
+    member = F.when(F.col("x.owner") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    owned = both.select("x.owner", member.alias("member"), F.pmod(F.xxhash64(member), F.ceil(F.col("x.n") / most)).alias("part"))
+    owned = stored(owned, "similar-owned")
+    heads = owned.select("owner", "part").distinct().select(F.col("owner").alias("node"), "owner", "part", F.lit(None).cast("long").alias("member"))
+    asked = heads.union(owned.select(F.col("member").alias("node"), "owner", "part", "member"))
+    known = texts.select("text").mapInArrow(press, "node long, data binary").join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("data").alias("data"))
+    paired = asked.join(known, "node").select("owner", "part", "member", "data").repartition("owner", "part")
+    return paired.sortWithinPartitions("owner", "part", F.asc_nulls_first("member")).select("owner", "member", "data").mapInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
