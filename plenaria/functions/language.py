@@ -7,6 +7,8 @@ it is one Arrow pass over the texts: no explode, no join, no text scored twice.
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -24,7 +26,9 @@ FREQUENT = {
     "EN": "the of and to in is that for", "FR": "le la les des et est que dans", "DE": "der die und das den ist von mit", "ES": "el los las del que por una es",
     "IT": "il di che della per sono con gli", "PT": "o os da do em não uma com", "NL": "de het een van en dat niet voor", "PL": "w i nie na się jest do że",
     "SV": "och att det som en för är på", "DA": "og at det en er til af ikke", "FI": "ja on ei että se oli mutta ovat", "CS": "a je se na že to ve jsou",
-    "HU": "a az és hogy nem egy is van", "RO": "și în de la cu care este nu",
+    "HU": "a az és hogy nem egy is van", "RO": "și în de la cu care este nu", "BG": "и на за да се от не са", "EL": "και το του της να με για η",
+    "ET": "ja on ei et see oli ka ning", "GA": "agus an na ar is go le bhí", "HR": "i je u na da se za su", "LV": "un ir ar par uz kas no tika",
+    "LT": "ir yra kad į su tai iš bei", "MT": "u li ta il fil huwa minn dwar", "SK": "a je na sa že to vo sú", "SL": "in je na da se za so ki",
 }
 ISO3 = {
     "bul": "BG", "ces": "CS", "dan": "DA", "deu": "DE", "ell": "EL", "eng": "EN", "est": "ET", "fin": "FI", "fra": "FR", "gle": "GA", "hrv": "HR", "hun": "HU",
@@ -63,6 +67,46 @@ def frequent_words(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in texts], columns=["language", "confidence"])
 
 
+def trained(labelled: DataFrame, language: str = "language", text: str = "text", size: int = 3, top: int = 1000, longest: int = 5000) -> Scorer:
+    """A scorer from labelled texts: the `top` character n-grams of each language with their shares (a multinomial model).
+
+    The n-grams of all rows are counted on the executors; what is collected is bounded by
+    languages * top. A text's own n-grams (of its first `longest` characters) decide; confidence is
+    the best language's share of the likelihood of an average stretch of 20 n-grams.
+    """
+    body = F.lower(F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[\s\d]+", " "))
+    grams = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - size + 1, F.lit(1))), lambda i: F.substring("body", i, F.lit(size)))).alias("gram")
+    counts = labelled.select(F.col(language).alias("code"), body.alias("body")).where("code is not null and body is not null").select("code", grams)
+    counts = counts.where(F.length("gram") == size).groupBy("code", "gram").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("code").orderBy(F.desc("n"), "gram")
+    kept = counts.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= top).select("code", "gram", "n").collect()
+    codes = sorted({r["code"] for r in kept})
+    totals = Counter()
+    for r in kept:
+        totals[r["code"]] += r["n"]
+    floor = {c: math.log(0.5 / (totals[c] + top)) for c in codes}
+    gains: dict[str, list[tuple[int, float]]] = {}
+    for r in kept:
+        c = r["code"]
+        gains.setdefault(r["gram"], []).append((codes.index(c), math.log((r["n"] + 0.5) / (totals[c] + top)) - floor[c]))
+
+    def one(value: str | None) -> tuple[str | None, float]:
+        clean = re.sub(r"[\s\d]+", " ", f" {(value or '')[:longest]} ").lower()
+        found = Counter(clean[i : i + size] for i in range(len(clean) - size + 1))
+        n = sum(found.values())
+        if not any(g in gains for g in found):
+            return None, 0.0
+        score = [floor[c] * n for c in codes]
+        for gram, times in found.items():
+            for i, gain in gains.get(gram, ()):
+                score[i] += times * gain
+        top_score = max(score)
+        weight = [math.exp((x - top_score) / n * min(n, 20)) for x in score]
+        return codes[score.index(top_score)], 1 / sum(weight)
+
+    return lambda texts: pd.DataFrame([one(t) for t in texts], columns=["language", "confidence"])
+
+
 ANSWER = "struct<language:string,confidence:double>"
 
 

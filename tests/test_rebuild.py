@@ -205,3 +205,21 @@ def test_settings(spark, monkeypatch):
     assert (settings(spark).page_size, settings(spark).tables) == (9, "a/b")
     spark.conf.unset("spark.plenaria.page_size")
     assert settings(spark).page_size == 7
+
+
+def test_a_trained_scorer_on_texts_it_has_not_seen(spark):
+    """Learns four invented languages from most documents and is asked about the others."""
+    rows_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200").select("doc_id", "text", F.upper("lang").alias("language"))
+    held = F.col("doc_id") % 5 == 0
+    scorer = language.trained(rows_.where(~held), top=400)
+    asked = rows_.where(held).toPandas()
+    got = scorer(asked["text"])
+    assert (got["language"] == asked["language"]).mean() > 0.9 and got["confidence"].between(0, 1).all()
+    assert scorer(pd.Series([None, "", "日本"]))["language"].isna().all()
+
+
+def test_every_language_has_frequent_words():
+    assert set(language.FREQUENT) == set(language.LANGUAGES)
+    said = {"EN": "the state of the union is in the hands of that house", "LT": "tai yra svarbu, kad jis ir ji su tuo iš to", "GA": "agus is é an rud go bhí na daoine ar an lá le chéile"}
+    got = language.frequent_words(pd.Series(list(said.values())))
+    assert got["language"].tolist() == list(said)
