@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blobs, components, gram_hashes, pressed, small, stored, unpressed, whole_groups
+from .shared import blobs, bounds, components, gram_hashes, pressed, small, stored, unpressed, whole_groups
 
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 # Fixed value: a generator polynomial of the binary (23,12) Golay code.
@@ -341,18 +341,23 @@ def _classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors
                 found += [(node[a], node[b]) for a, b in links]
                 if len(links) > 1:  # one link leaves no pair out
                     left.append(np.unique(links))
-            pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+            pairs = np.unique(np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1), axis=0)
             rest = np.concatenate(left) if left else np.zeros(0, np.int64)
-            none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[rest], blk[rest], node[rest], fp[rest].view(np.int64))], names)
-
-    names = ["key", "blk", "a", "b"]
+            first = [x[0] for x in left]
+            of = lambda values: pa.ListArray.from_arrays(pa.array(bounds(np.array([len(x) for x in left], np.int64)), pa.int32()), pa.array(values))  # noqa: B023, E731
+            link = [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *(pa.nulls(len(pairs), t) for t in kinds[2:])]
+            open_ = [*(pa.nulls(len(left), t) for t in kinds[:2]), pa.array(key[first]), pa.array(blk[first]), of(node[rest]), of(fp[rest].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(link, names)
+            yield pa.RecordBatch.from_arrays(open_, names)
+
+    # Links (a, b), and the buckets (key, blk) whose forest left pairs out, each with its nodes and their fingerprints.
+    kinds = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
+    names = ["a", "b", "key", "blk", "nodes", "fps"]
     keyed = nodes.select("node", "anchors", "segments", "fp").mapInArrow(keys, "key long, node long, fp long")
-    # Links, without a key, and the rows (key, blk, node, fp) of buckets whose forest left pairs out.
-    met = _dealt(keyed, block).repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "key long, blk long, a long, b long")
-    met = stored(met, "similar-met")
-    left = met.where("key IS NOT NULL").select("key", "blk", F.col("a").alias("node"), F.col("b").alias("fp"))
+    met = _dealt(keyed, block).repartition("key", "blk").sortWithinPartitions("key", "blk")
+    met = stored(met.mapInArrow(search, "a long, b long, key long, blk long, nodes array<long>, fps array<long>"), "similar-met")
+    left = met.where("key IS NOT NULL").select("key", "blk", F.explode(F.arrays_zip("nodes", "fps")).alias("x"))
+    left = left.select("key", "blk", F.col("x.nodes").alias("node"), F.col("x.fps").alias("fp"))
     # Written first: two Python functions in one stage would take two workers a core.
     sure = stored(verified(stored(met.where("key IS NULL").select("a", "b").distinct(), "similar-links"), texts, shingle, similarity), "similar-verified")
     roots = components(sure)
@@ -459,7 +464,7 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
                     out.append(sorted((owner, member)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    degree = stored(links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "similar-degrees")
     of = lambda end: degree.select(F.col("node").alias(end), F.struct("n", F.col("node").alias("owner")).alias(f"of_{end}"))
     both = links.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.greatest("of_a", "of_b").alias("x"))
     member = F.when(F.col("x.owner") == F.col("a"), F.col("b")).otherwise(F.col("a"))
