@@ -446,9 +446,10 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in small(batches):
-            joined = [b" ".join(words_of(b)) for b in blobs(batch.column(0))]
-            node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in joined], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([node, pa.array([squeeze.compress(x) for x in joined], pa.binary())], ["node", "data"])
+            # Copies in a batch are one text.
+            joined = {xxhash.xxh64_intdigest(x): x for x in (b" ".join(words_of(b)) for b in blobs(batch.column(0)))}
+            node = pa.array(np.array(list(joined), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([node, pa.array([squeeze.compress(x) for x in joined.values()], pa.binary())], ["node", "data"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         undo, owned = zstandard.ZstdDecompressor(), np.zeros(0, np.uint64)
