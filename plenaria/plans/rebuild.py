@@ -47,7 +47,7 @@ def persons(spark: SparkSession, path: str, api: DataFrame, more: dict[str, str]
     unlinked = speeches.where("mep_id is not null").count()
     n_linked = linked.where("mep_id is not null").count()
     sinks.write(everyone, f"{path}/persons")
-    sinks.write(normalise_groups(again, more=more).select(speeches.columns), f"{path}/speeches")
+    sinks.write(normalise_groups(again, more=more).select(speeches.columns), f"{path}/speeches", key="sitting_id")
     # Affiliations follow the speeches as they are stored now.
     sinks.write(affiliated(sinks.read(spark, f"{path}/persons"), sinks.read(spark, f"{path}/speeches"), at_least), f"{path}/persons")
     stored = sinks.read(spark, f"{path}/persons")
@@ -77,7 +77,7 @@ def metadata(spark: SparkSession, path: str, api: DataFrame, everything: bool =
     """Sittings of new metadata records, none of whose identifiers is known, are added; `everything` replaces the table. How many there are now."""
     target, rows = f"{path}/sittings", sinks.one_per_key(described(api), "id")
     if everything or not sinks.exists(spark, target):
-        sinks.write(rows, target)
+        sinks.write(rows, target, key="id")
     else:
         sinks.append(R.unknown_records(rows, sinks.read(spark, target)), target)
     return sinks.read(spark, target).count()
@@ -102,7 +102,7 @@ def parse(spark: SparkSession, path: str, since: str | None = None) -> dict[str,
     if asked > failed:
         made = refresh.speeches_of(todo.select(F.col("id").alias("sitting_id"), F.col("content").alias("html")))
         made = conform(made.withColumn("id", F.xxhash64("sitting_id", "speech_order")), SPEECHES).select(*refresh.SPEECH_COLUMNS)
-        sinks.replace_sittings(made, target, replace=False)
+        sinks.replace_sittings(made, target, replace=False, by_key=True)
     return {"asked": asked, "parsed": asked - failed, "failed": failed}
 
 
@@ -121,7 +121,7 @@ def content(spark: SparkSession, path: str, as_of: str, load: Callable[[str], st
         sinks.log_failures(bad.select(F.lit("content").alias("kind"), F.col("id").alias("what"), F.coalesce("failure", F.lit("too short")).alias("message")), f"{path}/failures")
     if n:
         fresh = sittings.join(good.select("id", "html"), "id").withColumn("content", F.col("html")).drop("html")
-        sinks.upsert(fresh.select(sittings.columns), target)
+        sinks.upsert(fresh.select(sittings.columns), target, by_key=True)
     return {"asked": n + failed, "fetched": n, "failed": failed} | ({"parsed": parse(spark, path)["parsed"]} if n else {"parsed": 0})
 
 

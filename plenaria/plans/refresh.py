@@ -113,7 +113,7 @@ def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str,
     if usable:
         stored = good.select(F.col("sitting_id").alias("id"), "activity_date", F.lit("PLENARY").alias("type"), F.col("html").alias("content"))
         made = conform(enriched(speeches_of(good.select("sitting_id", "html")), persons, classifier), SPEECHES).select(*SPEECH_COLUMNS)
-        sinks.replace_sittings(made, speeches)
-        sinks.upsert(conform(stored, SITTINGS), sittings)
+        sinks.replace_sittings(made, speeches, by_key=True)
+        sinks.upsert(conform(stored, SITTINGS), sittings, by_key=True)
         mart.build(sinks.read(spark, speeches), sinks.read(spark, sittings), f"{path}/mart")
     return {"asked": asked, "processed": usable, "failed": asked - usable}

@@ -1,102 +1,238 @@
 """Writing tables: upsert, insert if absent, replacement of a sitting, CSV, subsets, stamps and failures.
 
-A table is a folder of Parquet folders. A rewrite or an addition goes to a new folder
-beside the others; then one small pointer file, which names the folders that make up the
-table, is replaced in one step. Readers see the table before or after a write and never
-between, a lost executor costs only a retry, and no write touches files that are read.
+A table is a folder of Parquet folders and of numbered descriptions of them (commits.py).
+Its rows are dealt into buckets by an expression, as a rule the month that a sitting's key
+names (bucket_of). An upsert, a replacement or a delete finds the buckets that it touches,
+reads and writes these alone, and publishes a description in which the other buckets
+keep their files; an append only adds files. Writers work side by side: one that finds
+its buckets changed by another does its work again. A lost executor costs only a
+retry, and no write touches files that are read.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from plenaria.schema import conform
+from plenaria.sources import commits
+from plenaria.sources.commits import Commit, TableNotFound
 
+BUCKET = "__bucket"
+ALL = "all"
 
-class TableNotFound(FileNotFoundError):
-    """A table that nothing has been written to."""
 
+def bucket_of(key: str, many: int = 256) -> str:
+    """The bucket of a row by its key alone: the month that the key names, or else one of `many` by hash."""
+    text = f"cast(`{key}` as string)"
+    month = f"substr(regexp_extract({text}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', 0), 1, 7)"
+    return f"coalesce(nullif({month}, ''), concat('h', pmod(xxhash64({text}), {many})))"
 
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
+def _bucket(by: str | None) -> F.Column:
+    """A bucket's name, fit for a folder."""
+    return F.lit(ALL) if by is None else F.coalesce(F.nullif(F.regexp_replace(F.expr(by).cast("string"), "[^0-9A-Za-z_-]", "_"), F.lit("")), F.lit("none"))
 
-def current(spark: SparkSession, path: str) -> list[str]:
-    """The folders that make up the table now."""
-    fs, pointer = _fs(spark, f"{path}/_current")
-    if not fs.exists(pointer):
+
+def _state(spark: SparkSession, path: str) -> Commit:
+    state = commits.newest(spark, path)
+    if state is None:
         raise TableNotFound(path)
-    stream = fs.open(pointer)
-    try:
-        names = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return [f"{path}/{name}" for name in names.split()]
+    return state
 
 
-def _replace(spark: SparkSession, folder: str, name: str, text: str) -> None:
-    """Put `text` into a file: a new file takes the old one's place by one rename."""
-    fs, fresh = _fs(spark, f"{folder}/{name}-{uuid.uuid4().hex}")
-    stream = fs.create(fresh)
-    try:
-        stream.write(text.encode())
-    finally:
-        stream.close()
-    jvm = spark._jvm.org.apache.hadoop.fs
-    overwrite = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
-    overwrite[0] = getattr(jvm, "Options$Rename").OVERWRITE
-    context = jvm.FileContext.getFileContext(fs.makeQualified(fresh).toUri(), spark._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.Path(f"{folder}/{name}")), overwrite)
+def current(spark: SparkSession, path: str) -> list[str]:
+    """The folders that make up the table now."""
+    return [f"{path}/{name}" for name in _state(spark, path).schemas]
 
 
-def _point(spark: SparkSession, path: str, names: list[str]) -> None:
-    """Make these folders the table."""
-    _replace(spark, path, "_current", "\n".join(names))
+def _rows(spark: SparkSession, path: str, state: Commit, buckets=None) -> DataFrame:
+    """The rows of some buckets (None: all); only their files are listed. Folders of one schema are one scan."""
+    by_schema: dict[str, list[str]] = {}
+    for name, schema in state.schemas.items():
+        held = [b for b, names in state.parts.items() if name in names and (buckets is None or b in buckets)]
+        paths = [f"{path}/{name}" if b == ALL else f"{path}/{name}/{BUCKET}={b}" for b in held]
+        by_schema.setdefault(schema, []).extend(paths)
+    frames = []
+    for schema, paths in by_schema.items():
+        kind = StructType.fromJson(json.loads(schema))
+        reader = spark.read.schema(kind)
+        frames.append((reader.parquet(*paths) if paths else spark.createDataFrame([], kind)).select(*(F.col(f"`{c}`") for c in kind.names)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p) for p in current(spark, path)))
+    return _rows(spark, path, _state(spark, path))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, pointer = _fs(spark, f"{path}/_current")
-    return bool(fs.exists(pointer))
+    return commits.newest(spark, path) is not None
+
+
+def _store(df: DataFrame, path: str, by: str | None, partition_by: str | None = None) -> tuple[str, list[str], str]:
+    """(folder, buckets, schema) of rows written beside the table; they are no part of it yet.
+
+    Rows of a bucket go to one file or, by adaptive execution, a large bucket's to several.
+    """
+    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    if by is None:
+        (df.write if partition_by is None else df.write.partitionBy(partition_by)).parquet(f"{path}/{name}")
+        return name, [ALL], df.schema.json()
+    df.withColumn(BUCKET, _bucket(by)).hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{path}/{name}")
+    files, folder = commits.fs(spark, f"{path}/{name}")
+    found = [n.split("=", 1)[1] for s in files.listStatus(folder) if (n := s.getPath().getName()).startswith(f"{BUCKET}=")]
+    if len(found) > commits.MOST_BUCKETS:
+        raise ValueError(f"{len(found)} buckets by {by}")
+    return name, sorted(found), df.schema.json()
 
 
-def write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """`df` as the table's new content; what was there before stays until vacuum()."""
-    version = f"v-{uuid.uuid4().hex}"
-    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
-    writer.parquet(f"{path}/{version}")
-    _point(df.sparkSession, path, [version])
+def write(df: DataFrame, path: str, partition_by: str | None = None, by: str | None = None, key: str | None = None) -> None:
+    """`df` as the table's new content; what was there before stays until vacuum().
 
+    `by` is the layout: an expression over the columns with few values. With `key`
+    and no `by` it is bucket_of(key).
+    """
+    by = bucket_of(key) if key is not None and by is None else by
+    folder, found, schema = _store(df, path, by, partition_by)
 
-def append(df: DataFrame, path: str) -> None:
-    """The table and `df` behind it: one more folder, nothing is rewritten."""
+    def change(now: Commit) -> Commit:
+        return Commit(now.number + 1, by, key, {b: [folder] for b in found}, {folder: schema}, dict(now.done))
+
+    commits.commit(df.sparkSession, path, None, change)
+
+
+def append(df: DataFrame, path: str, once: tuple[str, int] | None = None) -> bool:
+    """The table and `df` behind it; nothing is rewritten. `once` names a writer and the number of its batch: a batch that is already in is left out. Whether rows were added."""
     spark = df.sparkSession
-    before = [p.rsplit("/", 1)[1] for p in current(spark, path)] if exists(spark, path) else []
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    _point(spark, path, [*before, version])
-
-
-def vacuum(spark: SparkSession, path: str) -> None:
-    """Merge what was added to a table into one folder, and delete the folders that aren't part of it any more."""
-    if len(current(spark, path)) > 1:
-        write(read(spark, path), path)
-    keep = {p.rsplit("/", 1)[1] for p in current(spark, path)}
-    fs, top = _fs(spark, path)
-    for status in fs.listStatus(top):
+    state = commits.newest(spark, path) or Commit()
+    if once is not None and state.done.get(once[0], -1) >= once[1]:
+        return False
+    folder, found, schema = _store(df, path, state.by)
+    added = []
+
+    def change(now: Commit) -> Commit:
+        if now.by != state.by:
+            raise commits.Conflict(path)
+        added.append(once is None or now.done.get(once[0], -1) < once[1])
+        made = now.replaced([], folder, found, schema) if added[-1] else now.replaced([], None, [], None)
+        return Commit(**(vars(made) | {"done": made.done | ({once[0]: max(once[1], made.done.get(once[0], -1))} if once else {})}))
+
+    try:
+        commits.commit(spark, path, state, change)
+    except commits.Conflict:  # the table has another layout now
+        return append(df, path, once)
+    return added[-1]
+
+
+def _merge(fresh: DataFrame | None, gone: DataFrame, path: str, key: str, where: str | None = None) -> None:
+    """Rows whose `key` is in `gone` leave the table and the rows of `fresh` come, in the buckets that either touches."""
+    spark = gone.sparkSession
+
+    def work() -> None:
+        base = _state(spark, path)
+        named = base.by is not None and base.key == key
+        touched: set[str] = {ALL} if base.by is None else set()
+        if base.by is not None:
+            old = gone.select(_bucket(base.by).alias("b")) if named else _rows(spark, path, base).join(gone, key, "left_semi").select(_bucket(base.by).alias("b"))
+            new = [] if fresh is None else [fresh.select(_bucket(base.by).alias("b"))]
+            touched = {r["b"] for r in reduce(DataFrame.union, [old, *new]).distinct().collect()}
+        if not touched:
+            return
+        held = _rows(spark, path, base, touched)
+        kept = held.join(gone, key, "left_anti").select(held.columns)
+        rows = kept if fresh is None else kept.unionByName(fresh, allowMissingColumns=True)
+        folder, found, schema = _store(rows, path, base.by)
+        commits.commit(spark, path, base, lambda now: now.replaced(touched, folder, found, schema), touched if named or base.by is None else commits.EVERY)
+
+    commits.attempt(work)
+
+
+def _add_absent(fresh: DataFrame, path: str, key: str, of) -> None:
+    """Of the rows of `fresh` those that `of` leaves, given the rows of the table that may have their keys, are added."""
+    spark = fresh.sparkSession
+
+    def work() -> None:
+        base = _state(spark, path)
+        named = base.by is not None and base.key == key
+        touched = {r["b"] for r in fresh.select(_bucket(base.by).alias("b")).distinct().collect()} if named else None
+        folder, found, schema = _store(of(_rows(spark, path, base, touched)), path, base.by)
+        commits.commit(spark, path, base, lambda now: now.replaced([], folder, found, schema), touched if named else commits.EVERY)
+
+    commits.attempt(work)
+
+
+def _created(df: DataFrame, path: str, key: str | None) -> bool:
+    """Whether there was no table and now there is one of these rows, laid out by `key` if it is given."""
+    spark, by = df.sparkSession, None if key is None else bucket_of(key)
+    if exists(spark, path):
+        return False
+    folder, found, schema = _store(df, path, by)
+    try:
+        commits.commit(spark, path, None, lambda now: Commit(1, by, key, {b: [folder] for b in found}, {folder: schema}), commits.EVERY)
+    except commits.Conflict:
+        return False
+    return True
+
+
+def _staged(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """Changes written once beside the table, as they are read several times and may cost much to make."""
+    name = f"{path}/s-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    return df.sparkSession.read.schema(df.schema).parquet(name), name
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    files, name = commits.fs(spark, folder)
+    files.delete(name, True)
+
+
+def compact(spark: SparkSession, path: str, most: int = 8) -> int:
+    """Rewrite the buckets that more than `most` folders hold, each into one; how many there were."""
+
+    def work() -> int:
+        base = _state(spark, path)
+        many = {b for b, names in base.parts.items() if len(names) > most}
+        if many:
+            folder, found, schema = _store(_rows(spark, path, base, many), path, base.by)
+            commits.commit(spark, path, base, lambda now: now.replaced(many, folder, found, schema), many)
+        return len(many)
+
+    return commits.attempt(work)
+
+
+def vacuum(spark: SparkSession, path: str, older: float = 0.0) -> None:
+    """Merge a table into one folder, and delete older descriptions and the folders that aren't part of it any more.
+
+    Where others write at the same time, `older` says how many seconds a folder must have been left alone.
+    """
+
+    def merge() -> None:
+        base = _state(spark, path)
+        if len(base.schemas) > 1:
+            folder, found, schema = _store(_rows(spark, path, base), path, base.by)
+            commits.commit(spark, path, base, lambda now: now.replaced(base.parts, folder, found, schema), base.parts)
+
+    commits.attempt(merge)
+    state = _state(spark, path)
+    files, top = commits.fs(spark, path)
+    before = spark._jvm.java.lang.System.currentTimeMillis() - int(1000 * older)
+    for status in files.listStatus(top):
         name = status.getPath().getName()
-        if name.startswith("v-") and name not in keep:
-            fs.delete(status.getPath(), True)
+        if name[:2] in ("v-", "s-") and name not in state.schemas and status.getModificationTime() <= before:
+            files.delete(status.getPath(), True)
+    for status in files.listStatus(commits.fs(spark, f"{path}/{commits.FOLDER}")[1]):
+        name = status.getPath().getName()
+        if name.isdigit() and int(name) < state.number:
+            files.delete(status.getPath(), False)
 
 
 def one_per_key(df: DataFrame, key: str, last: str | None = None) -> DataFrame:
@@ -116,27 +252,35 @@ def absent(old: DataFrame, new: DataFrame, key: str = "id", last: str | None = N
     return one_per_key(new.join(old.select(key), key, "left_anti").select(new.columns), key, last)
 
 
-def upsert(df: DataFrame, path: str, key: str = "id", last: str | None = None) -> None:
-    spark = df.sparkSession
-    write(upserted(read(spark, path), df, key, last) if exists(spark, path) else one_per_key(df, key, last), path)
+def upsert(df: DataFrame, path: str, key: str = "id", last: str | None = None, by_key: bool = False) -> None:
+    """Rows take the place of those with their key, or come new; of several with one key the last one stays.
 
+    `by_key` lays out a new table by bucket_of(key); else it is one bucket, which suits small tables. A table keeps its layout.
+    """
+    fresh, stage = _staged(one_per_key(df, key, last), path)
+    if not _created(fresh, path, key if by_key else None):
+        _merge(fresh, fresh.select(key), path, key)
+    _clear(df.sparkSession, stage)
 
-def insert_absent(df: DataFrame, path: str, key: str = "id", last: str | None = None) -> None:
-    """Rows with new keys are added; nothing is rewritten."""
-    spark = df.sparkSession
-    append(absent(read(spark, path), df, key, last) if exists(spark, path) else one_per_key(df, key, last), path)
 
+def insert_absent(df: DataFrame, path: str, key: str = "id", last: str | None = None, by_key: bool = False) -> None:
+    """Rows with new keys are added; nothing is rewritten. Where other writers add rows meanwhile, keys are looked up again."""
+    fresh, stage = _staged(one_per_key(df, key, last), path)
+    if not _created(fresh, path, key if by_key else None):
+        _add_absent(fresh, path, key, lambda old: absent(old, fresh, key))
+    _clear(df.sparkSession, stage)
 
-def replace_sittings(speeches: DataFrame, path: str, replace: bool = True, key: str = "sitting_id") -> None:
+
+def replace_sittings(speeches: DataFrame, path: str, replace: bool = True, key: str = "sitting_id", by_key: bool = False) -> None:
     """Store the speeches of some sittings: in place of those that are there, or only where a sitting has none."""
-    spark = speeches.sparkSession
-    if not exists(spark, path):
-        write(speeches, path)
+    fresh, stage = _staged(speeches, path)
+    if _created(fresh, path, key if by_key else None):
+        pass
     elif replace:
-        old = read(spark, path)
-        write(old.join(speeches.select(key), key, "left_anti").select(old.columns).unionByName(speeches, allowMissingColumns=True), path)
+        _merge(fresh, fresh.select(key).distinct(), path, key)
     else:
-        append(speeches.join(read(spark, path).select(key), key, "left_anti").select(speeches.columns), path)
+        _add_absent(fresh, path, key, lambda old: fresh.join(old.select(key), key, "left_anti").select(fresh.columns))
+    _clear(speeches.sparkSession, stage)
 
 
 def deleted(df: DataFrame, keys: DataFrame, key: str = "sitting_id", of: str = "id") -> DataFrame:
@@ -149,7 +293,7 @@ def delete_sittings(ids: DataFrame, path: str) -> None:
     spark = ids.sparkSession
     for table, key in (("speeches", "sitting_id"), ("sittings", "id")):
         if exists(spark, f"{path}/{table}"):
-            write(deleted(read(spark, f"{path}/{table}"), ids, key), f"{path}/{table}")
+            _merge(None, ids.select(F.col("id").alias(key)).distinct(), f"{path}/{table}", key)
 
 
 def mirrored(df: DataFrame, ddl: str, **columns: F.Column) -> DataFrame:
@@ -173,12 +317,37 @@ def write_quoted(df: DataFrame, path: str, text: str, n: str) -> None:
 def write_json(spark: SparkSession, value, path: str) -> None:
     """A small document as one JSON file that takes the old one's place in one step."""
     folder, name = path.rsplit("/", 1)
-    _replace(spark, folder, name, json.dumps(value, ensure_ascii=False, indent=2))
+    commits.put(spark, folder, name, json.dumps(value, ensure_ascii=False, indent=2), overwrite=True)
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, wait: float = 30.0) -> Iterator[None]:
+    """Hold the lock file beside `path`, which one writer at a time can create; TimeoutError where another holds it for `wait` seconds."""
+    folder, name = path.rsplit("/", 1)
+    until = time.monotonic() + wait
+    while not commits.put(spark, folder, f"{name}.lock", str(uuid.uuid4()), overwrite=False):
+        if time.monotonic() > until:
+            raise TimeoutError(f"{path}.lock")
+        time.sleep(0.05)
+    try:
+        yield
+    finally:
+        files, lock = commits.fs(spark, f"{path}.lock")
+        files.delete(lock, False)
+
+
+def update_json(spark: SparkSession, path: str, change, wait: float = 30.0):
+    """Replace a small JSON document by `change` of it (None where there is none) under its lock; the new one."""
+    with locked(spark, path, wait):
+        files, name = commits.fs(spark, path)
+        value = change(json.loads(commits.text_of(spark, path)) if files.exists(name) else None)
+        write_json(spark, value, path)
+    return value
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """(table, position, column, type) of the tables under a folder; tables that nothing was written to are left out."""
-    fs, top = _fs(spark, path)
+    fs, top = commits.fs(spark, path)
     names = sorted(s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory())
     rows = [(n, i, f.name, f.dataType.simpleString()) for n in names if exists(spark, f"{path}/{n}") for i, f in enumerate(read(spark, f"{path}/{n}").schema)]
     return spark.createDataFrame(rows, "`table` string, position int, `column` string, type string")

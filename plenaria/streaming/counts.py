@@ -40,10 +40,10 @@ def run_daily(spark: SparkSession, folder: str, files: str, out: str, schema: st
 
 
 def refresh_sittings(stream: DataFrame, table: str, state: str):
-    """Replace the speeches of each sitting that a stream brings (all of them, each time it changes); one batch is one new version."""
+    """Replace the speeches of each sitting that a stream brings (all of them, each time it changes); a batch rewrites the buckets of its sittings."""
 
     def put(batch: DataFrame, number: int) -> None:
-        sinks.replace_sittings(batch, table)
+        sinks.replace_sittings(batch, table, by_key=True)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
 
