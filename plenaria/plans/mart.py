@@ -29,19 +29,80 @@ def canonical(facts: DataFrame, variants: DataFrame) -> DataFrame:
     return joined.select(*(F.coalesce("__topic", "macro_topic").alias(c) if c == "macro_topic" else c for c in facts.columns))
 
 
-def cube(facts: DataFrame, sittings: DataFrame) -> DataFrame:
-    """n by day, topic, focus, group and language: all that the mart's tables need, many times smaller than the facts."""
+BUCKET = "sitting_bucket"
+
+
+def _with_days(facts: DataFrame, sittings: DataFrame) -> DataFrame:
     days = sittings.select(F.col("id").alias("sitting_id"), "activity_date")
-    keys = ["activity_date", "macro_topic", "macro_specific_focus", effective_group().alias("grp"), effective_language().alias("language")]
-    return facts.join(days, "sitting_id", "left").groupBy(*keys).agg(F.count("*").alias("n"))
+    return facts.join(days, "sitting_id", "left").withColumns({BUCKET: sinks.bucket_column("sitting_id"), "grp": effective_group()})
+
+
+def cube(facts: DataFrame, sittings: DataFrame) -> DataFrame:
+    """n by day, topic, focus, group and language: all that the mart's tables need, many times smaller than the facts.
+
+    Rows of a bucket of sittings come from that bucket's facts alone. Topics are as the
+    facts have them, as later facts may change which label stands for its variants.
+    """
+    return _with_days(facts, sittings).groupBy(BUCKET, "activity_date", "macro_topic", "macro_specific_focus", "grp", effective_language().alias("language")).agg(F.count("*").alias("n"))
+
+
+def speakers(facts: DataFrame, sittings: DataFrame) -> DataFrame:
+    """(sitting_bucket, activity_date, grp, part, bits): who speaks for a group on a day, as bitmaps of 32,768 speaker numbers each, which can be merged."""
+    rows = _with_days(facts, sittings).where("mep_id is not null")
+    return rows.groupBy(BUCKET, "activity_date", "grp", F.bitmap_bucket_number("mep_id").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mep_id")).alias("bits"))
+
 
+#: What is kept of the facts, each a function of facts and sittings that works bucket by bucket.
+KEPT = {"cube": cube, "speakers": speakers}
 
-def build(facts: DataFrame, sittings: DataFrame, path: str) -> None:
-    """Write the mart. The facts are read once, for the cube; each table is an aggregate of it."""
-    spark = facts.sparkSession
-    variants = topic_variants(facts)
-    sinks.write(cube(canonical(facts, variants), sittings), f"{path}/cube")
-    base = sinks.read(spark, f"{path}/cube")
+
+def _kept(facts: DataFrame, name: str, sittings: DataFrame) -> DataFrame:
+    rows = facts if "mep_id" in facts.columns else facts.withColumn("mep_id", F.lit(None).cast("long"))
+    return KEPT[name](rows, sittings)
+
+
+def build(facts: DataFrame, sittings: DataFrame, path: str, done: dict[str, int] | None = None) -> None:
+    """Write the mart. Each table is an aggregate of the cube."""
+    for name in KEPT:
+        sinks.write(_kept(facts, name, sittings), f"{path}/{name}", by=BUCKET, done=done)
+    derive(facts.sparkSession, path)
+
+
+def refresh(spark: SparkSession, speeches: str, sittings: str, path: str) -> dict[str, set[str]]:
+    """Bring the mart up to date with two stored tables laid out by sitting; the buckets that were read again for each part.
+
+    The cube's description keeps the numbers of the tables' commits that it was made from.
+    Only buckets whose files have changed since are read, and take the place of what the cube has
+    of them in one commit with the new numbers; so a run that ends halfway is made good by the
+    next one, and doing it twice changes nothing. Where there is no mart yet, or those commits
+    are cleared away, all is built anew.
+    """
+    tables, read = {"speeches": speeches, "sittings": sittings}, {}
+    state = {name: sinks.state(spark, table) for name, table in tables.items()}
+    done = {name: s.number for name, s in state.items()}
+    together = (state["speeches"].key, state["sittings"].key) == ("sitting_id", "id")
+    for name in KEPT:
+        target = f"{path}/{name}"
+        known = sinks.state(spark, target).done if sinks.exists(spark, target) else {}
+        changes = [sinks.changed_buckets(spark, table, known[t]) if t in known and together else None for t, table in tables.items()]
+        if None in changes:
+            rows = [sinks.rows(spark, tables[t], state[t]) for t in tables]
+            sinks.write(_kept(rows[0], name, rows[1]), target, by=BUCKET, done=done)
+            read[name] = set(state["speeches"].parts)
+            continue
+        read[name] = set().union(*changes)
+        if read[name]:
+            rows = [sinks.rows(spark, tables[t], state[t], read[name]) for t in tables]
+            sinks.replace_buckets(_kept(rows[0], name, rows[1]), target, read[name], done)
+    derive(spark, path)
+    return read
+
+
+def derive(spark: SparkSession, path: str) -> None:
+    """The mart's tables from the stored cube."""
+    raw = sinks.read(spark, f"{path}/cube")
+    variants = topic_variants(raw)
+    base = canonical(raw, variants)
     known = base.where(filled("macro_topic")).withColumnRenamed("macro_topic", "topic")
     summed = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"))
     dated = known.where("activity_date is not null")
@@ -72,6 +133,26 @@ def build(facts: DataFrame, sittings: DataFrame, path: str) -> None:
         list(pool.map(put, tables))
 
 
+def distinct_counts(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, by: str | None = "grp", period_of: str | None = None) -> DataFrame:
+    """(period, grp, n, speakers, days) of an inclusive range of days, from the mart alone: speakers are bits of merged bitmaps.
+
+    `by` None: all groups together; `period_of` month, quarter or year: for each of them. Group and period are left out where they aren't asked for.
+    """
+    inside = F.col("activity_date").isNotNull()
+    inside = inside if start is None else inside & (F.col("activity_date") >= start)
+    inside = inside if end is None else inside & (F.col("activity_date") <= end)
+    keys = ([period("activity_date", period_of).alias("period")] if period_of else []) + ([F.col(by).alias("grp")] if by else [])
+    names = (["period"] if period_of else []) + (["grp"] if by else [])
+    rows, who = (sinks.read(spark, f"{path}/{t}").where(inside) for t in KEPT)
+    counted = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.count_distinct("activity_date").alias("days"))
+    parts = who.groupBy(*keys, "part").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("speakers")).groupBy(*names).agg(F.sum("speakers").alias("speakers"))
+    if not names:
+        return counted.join(F.broadcast(parts)).select("n", F.coalesce("speakers", F.lit(0)).alias("speakers"), "days")
+    parts = parts.select(*(F.col(n).alias(f"__{n}") for n in names), "speakers")
+    same = [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]
+    return counted.join(parts, same, "left").select(*names, "n", F.coalesce("speakers", F.lit(0)).alias("speakers"), "days")
+
+
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The mart's tables; raises TableNotFound where it hasn't been built."""
     return {name: sinks.read(spark, f"{path}/{name}") for name in MART}

@@ -97,7 +97,7 @@ def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str,
 
     Works on new days, and on known ones that have no speeches or some without a topic;
     `everything` does all days again. Sittings and speeches are replaced by sitting, and
-    the mart is built anew if anything changed. Pages that aren't transcripts are
+    the mart reads the buckets again that have changed. Pages that aren't transcripts are
     counted as failed, logged in the table `failures` and left for the next run.
     """
     sittings, speeches = f"{path}/sittings", f"{path}/speeches"
@@ -115,5 +115,5 @@ def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str,
         made = conform(enriched(speeches_of(good.select("sitting_id", "html")), persons, classifier), SPEECHES).select(*SPEECH_COLUMNS)
         sinks.replace_sittings(made, speeches, by_key=True)
         sinks.upsert(conform(stored, SITTINGS), sittings, by_key=True)
-        mart.build(sinks.read(spark, speeches), sinks.read(spark, sittings), f"{path}/mart")
+        mart.refresh(spark, speeches, sittings, f"{path}/mart")
     return {"asked": asked, "processed": usable, "failed": asked - usable}

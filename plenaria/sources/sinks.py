@@ -43,7 +43,12 @@ def _bucket(by: str | None) -> F.Column:
     return F.lit(ALL) if by is None else F.coalesce(F.nullif(F.regexp_replace(F.expr(by).cast("string"), "[^0-9A-Za-z_-]", "_"), F.lit("")), F.lit("none"))
 
 
-def _state(spark: SparkSession, path: str) -> Commit:
+def bucket_column(key: str) -> F.Column:
+    """bucket_of(key) as a column, named as the table's buckets are."""
+    return _bucket(bucket_of(key))
+
+
+def state(spark: SparkSession, path: str) -> Commit:
     state = commits.newest(spark, path)
     if state is None:
         raise TableNotFound(path)
@@ -52,14 +57,14 @@ def _state(spark: SparkSession, path: str) -> Commit:
 
 def current(spark: SparkSession, path: str) -> list[str]:
     """The folders that make up the table now."""
-    return [f"{path}/{name}" for name in _state(spark, path).schemas]
+    return [f"{path}/{name}" for name in state(spark, path).schemas]
 
 
-def _rows(spark: SparkSession, path: str, state: Commit, buckets=None) -> DataFrame:
+def rows(spark: SparkSession, path: str, of: Commit, buckets=None) -> DataFrame:
     """The rows of some buckets (None: all); only their files are listed. Folders of one schema are one scan."""
     by_schema: dict[str, list[str]] = {}
-    for name, schema in state.schemas.items():
-        held = [b for b, names in state.parts.items() if name in names and (buckets is None or b in buckets)]
+    for name, schema in of.schemas.items():
+        held = [b for b, names in of.parts.items() if name in names and (buckets is None or b in buckets)]
         paths = [f"{path}/{name}" if b == ALL else f"{path}/{name}/{BUCKET}={b}" for b in held]
         by_schema.setdefault(schema, []).extend(paths)
     frames = []
@@ -70,8 +75,28 @@ def _rows(spark: SparkSession, path: str, state: Commit, buckets=None) -> DataFr
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def changed_buckets(spark: SparkSession, path: str, since: int) -> set[str] | None:
+    """The buckets whose files aren't those of an earlier commit; None where that can't be told."""
+    now, before = commits.newest(spark, path), commits.at(spark, path, since)
+    if now is None or before is None or (now.by, now.key) != (before.by, before.key):
+        return None
+    return {b for b in {*now.parts, *before.parts} if now.parts.get(b) != before.parts.get(b)}
+
+
+def replace_buckets(df: DataFrame, path: str, buckets: set[str], done: dict[str, int]) -> None:
+    """Rows of whole buckets in place of those that are there, in one step with the numbers of what they were made from."""
+    spark, base = df.sparkSession, state(df.sparkSession, path)
+    folder, found, schema = _store(df, path, base.by)
+
+    def change(now: Commit) -> Commit:
+        made = now.replaced(buckets, folder, found, schema)
+        return Commit(**(vars(made) | {"done": made.done | done}))
+
+    commits.commit(spark, path, base, change, buckets)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return _rows(spark, path, _state(spark, path))
+    return rows(spark, path, state(spark, path))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -95,17 +120,17 @@ def _store(df: DataFrame, path: str, by: str | None, partition_by: str | None =
     return name, sorted(found), df.schema.json()
 
 
-def write(df: DataFrame, path: str, partition_by: str | None = None, by: str | None = None, key: str | None = None) -> None:
+def write(df: DataFrame, path: str, partition_by: str | None = None, by: str | None = None, key: str | None = None, done: dict[str, int] | None = None) -> None:
     """`df` as the table's new content; what was there before stays until vacuum().
 
     `by` is the layout: an expression over the columns with few values. With `key`
-    and no `by` it is bucket_of(key).
+    and no `by` it is bucket_of(key). `done` are numbers to keep with it.
     """
     by = bucket_of(key) if key is not None and by is None else by
     folder, found, schema = _store(df, path, by, partition_by)
 
     def change(now: Commit) -> Commit:
-        return Commit(now.number + 1, by, key, {b: [folder] for b in found}, {folder: schema}, dict(now.done))
+        return Commit(now.number + 1, by, key, {b: [folder] for b in found}, {folder: schema}, now.done | (done or {}))
 
     commits.commit(df.sparkSession, path, None, change)
 
@@ -113,21 +138,21 @@ def write(df: DataFrame, path: str, partition_by: str | None = None, by: str | N
 def append(df: DataFrame, path: str, once: tuple[str, int] | None = None) -> bool:
     """The table and `df` behind it; nothing is rewritten. `once` names a writer and the number of its batch: a batch that is already in is left out. Whether rows were added."""
     spark = df.sparkSession
-    state = commits.newest(spark, path) or Commit()
-    if once is not None and state.done.get(once[0], -1) >= once[1]:
+    base = commits.newest(spark, path) or Commit()
+    if once is not None and base.done.get(once[0], -1) >= once[1]:
         return False
-    folder, found, schema = _store(df, path, state.by)
+    folder, found, schema = _store(df, path, base.by)
     added = []
 
     def change(now: Commit) -> Commit:
-        if now.by != state.by:
+        if now.by != base.by:
             raise commits.Conflict(path)
         added.append(once is None or now.done.get(once[0], -1) < once[1])
         made = now.replaced([], folder, found, schema) if added[-1] else now.replaced([], None, [], None)
         return Commit(**(vars(made) | {"done": made.done | ({once[0]: max(once[1], made.done.get(once[0], -1))} if once else {})}))
 
     try:
-        commits.commit(spark, path, state, change)
+        commits.commit(spark, path, base, change)
     except commits.Conflict:  # the table has another layout now
         return append(df, path, once)
     return added[-1]
@@ -138,19 +163,19 @@ def _merge(fresh: DataFrame | None, gone: DataFrame, path: str, key: str, where:
     spark = gone.sparkSession
 
     def work() -> None:
-        base = _state(spark, path)
+        base = state(spark, path)
         named = base.by is not None and base.key == key
         touched: set[str] = {ALL} if base.by is None else set()
         if base.by is not None:
-            old = gone.select(_bucket(base.by).alias("b")) if named else _rows(spark, path, base).join(gone, key, "left_semi").select(_bucket(base.by).alias("b"))
+            old = gone.select(_bucket(base.by).alias("b")) if named else rows(spark, path, base).join(gone, key, "left_semi").select(_bucket(base.by).alias("b"))
             new = [] if fresh is None else [fresh.select(_bucket(base.by).alias("b"))]
             touched = {r["b"] for r in reduce(DataFrame.union, [old, *new]).distinct().collect()}
         if not touched:
             return
-        held = _rows(spark, path, base, touched)
+        held = rows(spark, path, base, touched)
         kept = held.join(gone, key, "left_anti").select(held.columns)
-        rows = kept if fresh is None else kept.unionByName(fresh, allowMissingColumns=True)
-        folder, found, schema = _store(rows, path, base.by)
+        merged = kept if fresh is None else kept.unionByName(fresh, allowMissingColumns=True)
+        folder, found, schema = _store(merged, path, base.by)
         commits.commit(spark, path, base, lambda now: now.replaced(touched, folder, found, schema), touched if named or base.by is None else commits.EVERY)
 
     commits.attempt(work)
@@ -161,10 +186,10 @@ def _add_absent(fresh: DataFrame, path: str, key: str, of) -> None:
     spark = fresh.sparkSession
 
     def work() -> None:
-        base = _state(spark, path)
+        base = state(spark, path)
         named = base.by is not None and base.key == key
         touched = {r["b"] for r in fresh.select(_bucket(base.by).alias("b")).distinct().collect()} if named else None
-        folder, found, schema = _store(of(_rows(spark, path, base, touched)), path, base.by)
+        folder, found, schema = _store(of(rows(spark, path, base, touched)), path, base.by)
         commits.commit(spark, path, base, lambda now: now.replaced([], folder, found, schema), touched if named else commits.EVERY)
 
     commits.attempt(work)
@@ -199,10 +224,10 @@ def compact(spark: SparkSession, path: str, most: int = 8) -> int:
     """Rewrite the buckets that more than `most` folders hold, each into one; how many there were."""
 
     def work() -> int:
-        base = _state(spark, path)
+        base = state(spark, path)
         many = {b for b, names in base.parts.items() if len(names) > most}
         if many:
-            folder, found, schema = _store(_rows(spark, path, base, many), path, base.by)
+            folder, found, schema = _store(rows(spark, path, base, many), path, base.by)
             commits.commit(spark, path, base, lambda now: now.replaced(many, folder, found, schema), many)
         return len(many)
 
@@ -216,22 +241,22 @@ def vacuum(spark: SparkSession, path: str, older: float = 0.0) -> None:
     """
 
     def merge() -> None:
-        base = _state(spark, path)
+        base = state(spark, path)
         if len(base.schemas) > 1:
-            folder, found, schema = _store(_rows(spark, path, base), path, base.by)
+            folder, found, schema = _store(rows(spark, path, base), path, base.by)
             commits.commit(spark, path, base, lambda now: now.replaced(base.parts, folder, found, schema), base.parts)
 
     commits.attempt(merge)
-    state = _state(spark, path)
+    final = state(spark, path)
     files, top = commits.fs(spark, path)
     before = spark._jvm.java.lang.System.currentTimeMillis() - int(1000 * older)
     for status in files.listStatus(top):
         name = status.getPath().getName()
-        if name[:2] in ("v-", "s-") and name not in state.schemas and status.getModificationTime() <= before:
+        if name[:2] in ("v-", "s-") and name not in final.schemas and status.getModificationTime() <= before:
             files.delete(status.getPath(), True)
     for status in files.listStatus(commits.fs(spark, f"{path}/{commits.FOLDER}")[1]):
         name = status.getPath().getName()
-        if name.isdigit() and int(name) < state.number:
+        if name.isdigit() and int(name) < final.number:
             files.delete(status.getPath(), False)
 
 
