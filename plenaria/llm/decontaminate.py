@@ -6,8 +6,9 @@
    the documents, whose results are stored one after the other: one block is alive
    at a time.
 2. A document's rolling k-gram hashes are joined to the seeds through a bit table
-   first and by exact hash then, in the same pass that reads it; clean documents
-   end there.
+   first and by exact hash then, in the same pass that reads it. Tiles can cover no
+   more words than the union of an item's shared grams does; items for which that is too
+   few are refused before any tiling, so clean documents end there.
 3. For a document and an item with shared seeds, greedy string tiling marks the
    longest match of unmarked words on both sides, again and again, until none of
    `k` words is left. As tiles may come in any order, passages that were reordered
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, blobs, gram_hashes, small, stored
+from .shared import WordHashes, blobs, bounds, gram_hashes, small, stored
 
 TABLE_BITS = 22
 
@@ -47,30 +48,50 @@ def hashed(words: WordHashes, data: bytes) -> np.ndarray:
 
 
 class Seeds:
-    """The inverted index of a block of items: gram hash -> items, each once."""
+    """The inverted index of a block of items: gram hash -> places (item, position)."""
 
     def __init__(self, items: list[np.ndarray], k: int):
         self.items, self.k = items, k
-        grams = [np.unique(gram_hashes(t, k)) for t in items]
-        which = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        grams = [gram_hashes(t, k) for t in items]
+        sizes = [len(g) for g in grams]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.grams, self.which = flat[order], which[order]
+        self.grams, self.which = flat[order], np.repeat(np.arange(len(items)), sizes)[order]
+        self.at = np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, np.int64)])[order]
+        self.words = np.array([len(t) for t in items], np.int64)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.grams >> np.uint64(64 - TABLE_BITS)] = True
 
-    def candidates(self, tokens: np.ndarray) -> dict[int, np.ndarray]:
-        """By item: the sorted positions of the document where one of its grams starts."""
+    def candidates(self, tokens: np.ndarray, coverage: float = 0.0) -> dict[int, np.ndarray]:
+        """By item: the sorted positions of the document where one of its grams starts.
+
+        Tiles lie within the words of shared grams, on either side. Items whose shared
+        grams, each place once, reach over less than `coverage` of their words, in the item
+        or in the document, are refused here.
+        """
         grams = gram_hashes(tokens, self.k)
         near = np.flatnonzero(self.table[grams >> np.uint64(64 - TABLE_BITS)])
         if not len(near):
             return {}
-        low, high = (np.searchsorted(self.grams, grams[near], side) for side in ("left", "right"))
-        found: dict[int, list[int]] = {}
-        for p, a, b in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-            for item in self.which[a:b].tolist():
-                found.setdefault(item, []).append(p)
-        return {item: np.array(p, np.int64) for item, p in found.items()}
+        low, high = (np.searchsorted(self.grams, found := np.unique(grams[near]), side) for side in ("left", "right"))
+        found, low, high = found[high > low], low[high > low], high[high > low]
+        if not len(found):
+            return {}
+        places = np.arange((high - low).sum()) + np.repeat(low - bounds(high - low)[:-1], high - low)
+        item, at = self.which[places], self.at[places]
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        reach = np.minimum(np.diff(at, append=0), self.k)
+        reach[np.append(starts[1:], len(at)) - 1] = self.k
+        enough = np.add.reduceat(reach, starts) >= coverage * self.words[item[starts]]
+        near = near[np.isin(grams[near], found)]
+        out = {}
+        for i in item[starts[enough]].tolist():
+            mine = near[np.isin(grams[near], gram_hashes(self.items[i], self.k))]
+            if np.minimum(np.diff(mine), self.k).sum() + self.k >= coverage * self.words[i]:
+                out[i] = mine
+        return out
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, k: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -179,10 +200,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0
 def covered_items(seeds: Seeds, tokens: np.ndarray, coverage: float) -> list[tuple[int, tuple[int, int, int]]]:
     """(item, (covered words, words, tiles)) of the items that a document covers enough."""
     out = []
-    for item, starts in seeds.candidates(tokens).items():
+    for item, starts in seeds.candidates(tokens, coverage).items():
         own = seeds.items[item]
-        if len(starts) + seeds.k - 1 < min(coverage * len(own), seeds.k):
-            continue
         found = tiles(own, tokens, seeds.k, starts)
         covered = sum(n for _, _, n in found)
         if covered >= coverage * len(own):
