@@ -135,11 +135,12 @@ def payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return sitting, said.withColumn("id", F.coalesce("id", F.xxhash64("sitting_id", "speech_order")))
 
 
-def fetched(rows: DataFrame, url: str = "url", tries: int = 3, pause: float = 1.0, load: Callable[[str], str] = get) -> DataFrame:
+def fetched(rows: DataFrame, url: str = "url", tries: int = 3, pause: float = 1.0, load: Callable[[str], str] = get, tasks: int = 20) -> DataFrame:
     """`rows` with html, the document at each one's address, and failure, why there is none.
 
     An address is tried `tries` times with pauses that double; "not found" isn't tried again. Rows are
-    spread over the tasks as they come; nothing that is fetched goes through the driver.
+    dealt over `tasks` tasks by their address, so no more requests are open at once; nothing that is
+    fetched goes through the driver.
     """
 
     def one(address: str | None) -> tuple[str | None, str | None]:
@@ -164,14 +165,25 @@ def fetched(rows: DataFrame, url: str = "url", tries: int = 3, pause: float = 1.
                 yield some.assign(html=[h for h, _ in got], failure=[w for _, w in got])
 
     fields = [*rows.schema.fields, *StructType.fromDDL("html string, failure string").fields]
-    return rows.mapInPandas(run, StructType(fields))
+    return rows.repartition(tasks, url).mapInPandas(run, StructType(fields))
 
 
-def newest_document(known: DataFrame, spark: SparkSession, newest: str, days_back: int = 365, **options) -> DataFrame:
-    """(activity_date, url, html): of the days that aren't known, the newest whose address gives a transcript. All candidates are fetched side by side."""
-    days = document_dates(known, spark, newest, days_back).withColumn("url", document_url("activity_date"))
-    good = fetched(days, **options).where(looks_like_page("html"))
-    return good.orderBy(F.desc("activity_date")).limit(1).drop("failure")
+def newest_document(known: DataFrame, spark: SparkSession, newest: str, days_back: int = 365, block: int = 8, **options) -> DataFrame:
+    """(activity_date, url, html): of the days that aren't known, the newest whose address gives a transcript.
+
+    Days are fetched in blocks, newest first, the days of a block side by side: the first block has
+    `block` days, each later one twice as many, and none is fetched behind the one with a transcript.
+    """
+    days = [r["activity_date"] for r in document_dates(known, spark, newest, days_back).collect()]
+    at = 0
+    while at < len(days):
+        some = spark.createDataFrame([(d,) for d in days[at : at + block]], "activity_date string").withColumn("url", document_url("activity_date"))
+        good = fetched(some, **options).where(looks_like_page("html")).drop("failure")
+        found = good.orderBy(F.desc("activity_date")).limit(1).collect()
+        if found:
+            return spark.createDataFrame(found, good.schema)
+        at, block = at + block, 2 * block
+    return spark.createDataFrame([], "activity_date string, url string, html string")
 
 
 def document_dates(known: DataFrame, spark: SparkSession, newest: str, days_back: int = 365) -> DataFrame:
