@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenaria.operators.containment import contained
+
 from .columns import trimmed
 from .groups import search_text
 
@@ -67,26 +69,32 @@ def parse_speeches(sittings: DataFrame, key: str = "sitting_id", content: str =
 def match_sections(speeches: DataFrame, sections: DataFrame, key: str = "sitting_id", least: float = 0.08) -> DataFrame:
     """Speeches with section (title, docIdentifier, score): the first section that contains a snippet, else the one with most of the words.
 
-    sections: (key, ordinal, title, docIdentifier, text). A sitting's sections are one
-    array (an agenda), which each of its speeches meets in its own row.
+    sections: (key, ordinal, title, docIdentifier, text). Within a sitting, the speeches' words and snippets are looked
+    up in an index of its sections' words and of their grams; a speech meets the sections that have one of its words,
+    never their texts. `least` is above 0.
     """
-    agenda = sections.withColumn("norm", search_text("text")).groupBy(key)
-    agenda = agenda.agg(F.sort_array(F.collect_list(F.struct("ordinal", "title", "docIdentifier", "norm"))).alias("agenda"))
-    rows = speeches.withColumn("said", search_text("speech_content")).join(agenda, key, "left")
-    snippets = F.filter(F.array(*(F.substring("said", 1 + at, 160) for at in (0, 40, 80, 120))), lambda s: F.length(s) >= 80)
+    listed = sections.select(key, "ordinal", "title", "docIdentifier", search_text("text").alias("norm"))
+    twice = [F.xxhash64("said").alias("__h"), F.xxhash64(F.lit(1), F.col("said")).alias("__i")]
+    rows = speeches.withColumn("said", search_text("speech_content")).select("*", *twice)
+    asked = rows.where(F.length("said") >= 50).select(key, "__h", "__i", "said").dropDuplicates([key, "__h", "__i"])
     words = F.array_distinct(F.filter(F.split("said", " "), lambda w: w != ""))
-    rows = rows.withColumn("snippets", snippets).withColumn("words", words)
-
-    def score(s: Column) -> Column:
-        whole = (F.length(s["norm"]) >= 100) & F.exists("snippets", lambda x: F.contains(s["norm"], x))
-        hits = F.size(F.filter("words", lambda w: (F.length(w) > 3) & F.contains(s["norm"], w)))
-        return F.when(whole, F.lit(2.0)).otherwise(hits / F.greatest(F.size("words"), F.lit(1)))
-
-    scores = F.transform("agenda", lambda s: F.struct(score(s).alias("score"), (-s["ordinal"]).alias("back"), s["title"].alias("title"), s["docIdentifier"].alias("docIdentifier")))
-    best = F.array_max(F.filter(scores, lambda s: s["score"] >= least))
-    section = F.struct(best["title"].alias("title"), best["docIdentifier"].alias("docIdentifier"), F.least(best["score"], F.lit(1.0)).alias("score"))
-    rows = rows.withColumn("section", F.when((F.length("said") >= 50) & best.isNotNull(), section))
-    return rows.drop("said", "agenda", "snippets", "words")
+    asked = asked.withColumn("words", words).withColumn("size", F.greatest(F.size("words"), F.lit(1)))
+    by_word = asked.select(key, "__h", "__i", "size", F.explode("words").alias("form")).where(F.length("form") > 3)
+    there = listed.select(key, "ordinal", F.explode(F.array_distinct(F.split("norm", " "))).alias("text")).where("text <> ''")
+    # A word is in a text just if it is in one of the text's words.
+    postings = contained(by_word, there, [key]).join(there, [key, "text"]).select(key, "form", "ordinal").distinct()
+    hits = by_word.join(postings, [key, "form"]).groupBy(key, "__h", "__i", "ordinal").agg((F.count("*") / F.first("size")).alias("score"))
+    snippets = F.filter(F.array(*(F.substring("said", 1 + at, 160) for at in (0, 40, 80, 120))), lambda s: F.length(s) >= 80)
+    by_snippet = asked.select(key, "__h", "__i", F.explode(snippets).alias("form"))
+    long = listed.where(F.length("norm") >= 100).select(key, "ordinal", F.col("norm").alias("text"))
+    whole = contained(by_snippet, long, [key]).join(long, [key, "text"]).select(key, "form", "ordinal")
+    whole = by_snippet.join(whole, [key, "form"]).select(key, "__h", "__i", "ordinal").distinct().withColumn("score", F.lit(2.0))
+    scored = hits.unionByName(whole).groupBy(key, "__h", "__i", "ordinal").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy(key, "__h", "__i").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("back"))).alias("best"))
+    named = listed.select(key, F.col("ordinal").alias("__ordinal"), "title", "docIdentifier").groupBy(key, "__ordinal").agg(F.max(F.struct("title", "docIdentifier")).alias("of"))
+    found = best.withColumn("__ordinal", -F.col("best.back")).join(named, [key, "__ordinal"])
+    found = found.select(key, "__h", "__i", F.struct(F.col("of.title").alias("title"), F.col("of.docIdentifier").alias("docIdentifier"), F.least("best.score", F.lit(1.0)).alias("score")).alias("section"))
+    return rows.drop("said").join(found, [key, "__h", "__i"], "left").select(*speeches.columns, "section")
 
 
 def snippet_offset(page_text: str | Column, snippet: Column) -> Column:

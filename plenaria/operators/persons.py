@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenaria.operators.containment import contained
 
 def most_frequent(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
     """(by, value): each one's most frequent value, of equals the one seen first by `order`. Aggregates only; no window over all rows."""
@@ -49,17 +50,16 @@ def creation_keys(persons: DataFrame) -> DataFrame:
 def link_speakers(speakers: DataFrame, persons: DataFrame, within: bool = True) -> DataFrame:
     """`speakers` (speaker_name, once each) with person_id: by name, in either order, or else by a label that contains the name.
 
-    The second way only sees speakers that the first left over. It is an equi-join
-    as well: a label contains a name of whole words only if it has the name's first
-    word, so labels are found by their words and then compared.
+    The second way only sees speakers that the first left over, and finds the labels, also
+    those in which a name begins or ends inside a word, by an index of their grams; of several the smallest id counts.
     """
     exact = speakers.join(name_keys(persons), name_key("speaker_name") == F.col("key"), "left").drop("key")
     if not within:
         return exact
-    words = persons.select(F.col("id").alias("found"), name_key("label").alias("label"), F.explode(F.array_distinct(F.split(name_key("label"), " "))).alias("word"))
+    labels = persons.select(name_key("label").alias("text"), "id").where("text <> ''").groupBy("text").agg(F.min("id").alias("found"))
     missing = exact.where("person_id is null").select("speaker_name", F.explode(F.array(name_key("speaker_name"), turned("speaker_name"))).alias("form")).where("form <> ''")
-    missing = missing.withColumn("word", F.get(F.split("form", " "), F.lit(0)))
-    near = missing.join(words, "word").where(F.contains("label", F.col("form"))).groupBy("speaker_name").agg(F.min("found").alias("found"))
+    near = contained(missing, labels).join(labels, "text").groupBy("form").agg(F.min("found").alias("found"))
+    near = missing.join(near, "form").groupBy("speaker_name").agg(F.min("found").alias("found"))
     return exact.join(near, "speaker_name", "left").withColumn("person_id", F.coalesce("person_id", "found")).drop("found")
 
 
@@ -111,6 +111,49 @@ def missing_persons(speeches: DataFrame, persons: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(top)).select((F.col("top") + F.col("number")).alias("id"), "label", F.lit("Unknown").alias("country"), F.lit("historic").alias("source"), "n")
 
 
+def in_sequence(speeches: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, made): speaker_name and person_id of all speakers without a person, and the new persons, as if one speaker came after the other.
+
+    In that order (most speeches first, then by name) a speaker is whoever has the
+    speaker's name, or its first and last word in either order, and else becomes a new person
+    under these three keys. No lookup in a loop is needed: two speakers share a key just
+    if their first and last words are the same pair, or they are one and the same word,
+    so speakers fall into classes whose members all share keys. Of those in a class
+    whom no known person matches the first one is new, and the others are that person.
+    """
+    said = speeches.where("mep_id is null and trim(speaker_name) <> ''")
+    has_group = "political_group" in speeches.columns
+    names = said.groupBy("speaker_name").agg(F.count("*").alias("n"), F.max("political_group" if has_group else F.lit(None).cast("string")).alias("grp"))
+    words = F.split(F.trim(F.regexp_replace("speaker_name", r"\s+", " ")), " ")
+    names = names.withColumns({"key": F.lower(F.trim("speaker_name")), "first": words[0], "last": F.element_at(words, -1), "many": F.size(words) > 1})
+    ends = (F.lower("first"), F.lower("last"))
+    forms = F.when(F.col("many"), F.array("key", F.concat_ws(" ", *ends), F.concat_ws(" ", *reversed(ends)))).otherwise(F.array("key"))
+    lookup = _lookup(persons)
+    known = names.select("speaker_name", F.posexplode(forms).alias("place", "form")).join(lookup, F.col("form") == lookup["name"])
+    known = known.groupBy("speaker_name").agg(F.min_by("person_id", "place").alias("person_id"))
+    rest = names.join(known, "speaker_name", "left_anti")
+    rest = rest.withColumn("pair", F.when(F.col("many"), F.concat_ws(" ", F.least(*ends), F.greatest(*ends))).otherwise(F.col("key")))
+    leading = rest.groupBy("pair").agg(F.min_by(F.struct("speaker_name", "n", "first", "last", "grp"), F.struct(-F.col("n"), F.col("speaker_name"))).alias("x")).select("pair", "x.*")
+    placed = numbered(leading, [F.col("speaker_name")], F.struct((-F.col("n")).alias("rank"), F.substring("speaker_name", 1, 2).alias("start")))
+    top = persons.agg(F.coalesce(F.nullif(F.max("id"), F.lit(0)), F.lit(1_000_000)).alias("top"))
+    made = placed.join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("number"))
+    links = known.unionByName(rest.join(made.select("pair", F.col("id").alias("person_id")), "pair").select("speaker_name", "person_id"))
+    name = F.trim("speaker_name")
+    out = made.select(
+        "id", name.alias("label"), F.col("first").alias("givenName"), F.col("last").alias("familyName"), name.alias("sortLabel"), F.lit("Unknown").alias("country"),
+        F.coalesce(F.nullif("grp", F.lit("")), F.lit("Unknown")).alias("politicalGroup"), F.lit(False).alias("is_current"), F.lit("historic").alias("source"), "n",
+    )
+    return links, out
+
+
+def _lookup(persons: DataFrame) -> DataFrame:
+    """(name, person_id): label, given and family name in either order; the largest id has a shared one."""
+    low = lambda c: F.lower(F.trim(c))
+    both = F.when((low("givenName") != "") & (low("familyName") != ""), F.array(F.concat_ws(" ", low("givenName"), low("familyName")), F.concat_ws(" ", low("familyName"), low("givenName"))))
+    keys = persons.select("id", F.explode(F.concat(F.array(low("label")), F.coalesce(both, F.array().cast("array<string>")))).alias("name"))
+    return keys.where("name <> ''").groupBy("name").agg(F.max("id").alias("person_id"))
+
+
 def merged_terms(records: DataFrame, current: int = 10) -> DataFrame:
     """Persons of several terms (identifier, term, ...) once each: the newest term's record, with is_current."""
     newest = records.groupBy("identifier").agg(F.max_by(F.struct(*[c for c in records.columns if c != "identifier"]), "term").alias("x"))

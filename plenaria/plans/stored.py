@@ -7,6 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenaria.operators import persons
+from plenaria.operators.containment import contained
 from plenaria.plans import mart
 from plenaria.plans.queries import query
 from plenaria.sources import sinks, views
@@ -93,3 +95,31 @@ def mart_incremental(s, d):
   FROM changed WHERE day BETWEEN '1996-02-10' AND '1998-06-15' GROUP BY 1, 2""")
 def mart_distinct_speakers(s, d):
     return mart.distinct_counts(s, changed_mart(s, d), "1996-02-10", "1998-06-15", period_of="year")
+
+
+PIECES = "pieces AS (SELECT DISTINCT substr(s_name, 3 + CAST(s_suppkey % 5 AS INT), 4 + CAST(s_suppkey % 9 AS INT)) AS form FROM supplier)"
+
+
+@query("name_containment", f"{PIECES} SELECT form, count(*) AS n, min(c_custkey) AS first_id FROM pieces JOIN customer ON contains(c_name, form) GROUP BY form")
+def name_containment(s, d):
+    """Names inside other names, wherever they begin and end."""
+    cut = F.expr("substr(s_name, int(3 + s_suppkey % 5), int(4 + s_suppkey % 9))")
+    labels = views.table(s, d, "customer").select(F.col("c_name").alias("text"), "c_custkey")
+    found = contained(views.table(s, d, "supplier").select(cut.alias("form")), labels)
+    return found.join(labels, "text").groupBy("form").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_id"))
+
+
+NAMES = r"""spoken AS (SELECT array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1 : 1 + CAST(doc_id % 3 AS INT)], ' ') AS name FROM documents),
+  counted AS (SELECT name, count(*) AS n, list_filter(string_split(trim(regexp_replace(name, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM spoken WHERE trim(name) <> '' GROUP BY name),
+  classed AS (SELECT name, n, CASE WHEN len(words) > 1 THEN least(lower(words[1]), lower(words[-1])) || ' ' || greatest(lower(words[1]), lower(words[-1])) ELSE lower(trim(name)) END AS pair FROM counted),
+  firsts AS (SELECT pair, name, n, row_number() OVER (ORDER BY n DESC, name) + (SELECT max(c_custkey) FROM customer) AS id FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY n DESC, name) AS k FROM classed) WHERE k = 1)"""
+
+
+@query("persons_in_sequence", f"{NAMES} SELECT c.name AS speaker_name, f.id AS person_id, trim(f.name) AS label FROM classed c JOIN firsts f USING (pair)")
+def persons_in_sequence(s, d):
+    """New persons for the names with which texts open: who comes later with the same first and last word is the person made before."""
+    name = F.expr("array_join(slice(split(replace(text, chr(10), ' '), ' '), 1, int(1 + doc_id % 3)), ' ')")
+    said = views.table(s, d, "documents").select(name.alias("speaker_name"), F.lit(None).cast("long").alias("mep_id"))
+    known = views.persons(s, d).withColumns({"givenName": F.lit(None).cast("string"), "familyName": F.lit(None).cast("string")})
+    links, made = persons.in_sequence(said, known)
+    return links.join(made.select(F.col("id").alias("person_id"), "label"), "person_id").select("speaker_name", "person_id", "label")
