@@ -12,7 +12,7 @@ from plenaria.operators.containment import contained
 from plenaria.plans import mart
 from plenaria.plans.queries import query
 from plenaria.sources import sinks, views
-from plenaria.streaming import counts
+from plenaria.streaming import corrections, counts
 
 
 def _sittings(s, d) -> DataFrame:
@@ -123,3 +123,17 @@ def persons_in_sequence(s, d):
     known = views.persons(s, d).withColumns({"givenName": F.lit(None).cast("string"), "familyName": F.lit(None).cast("string")})
     links, made = persons.in_sequence(said, known)
     return links.join(made.select(F.col("id").alias("person_id"), "label"), "person_id").select("speaker_name", "person_id", "label")
+
+
+@query("stream_corrections", """newest_versions AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY ts DESC, event_id DESC) AS k FROM events)
+  SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS topic, count(*) AS n FROM newest_versions WHERE k = 1 AND event_type <> 'error' GROUP BY 1, 2""")
+def stream_corrections(s, d):
+    """Events as versions of speeches, in files that come in no order: each replaces the older ones of its user and number, errors take a speech away."""
+    path = counts.scratch(s, "corrections")
+    versions = views.table(s, d, "events").select(
+        F.col("user_id").cast("string").alias("sitting_id"), (F.col("event_id") % 5).alias("speech_order"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("topic"), F.col("ts").cast("timestamp").alias("changed_at"), F.col("event_id").alias("version"),
+    )
+    versions.repartition(3, F.xxhash64("version")).write.parquet(f"{path}/in")
+    stream = s.readStream.schema(corrections.VERSIONS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return corrections.run_corrections(s, stream, path)
