@@ -10,8 +10,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +68,11 @@ def frequent_words(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in texts], columns=["language", "confidence"])
 
 
-def trained(labelled: DataFrame, language: str = "language", text: str = "text", size: int = 3, top: int = 1000, longest: int = 5000) -> Scorer:
+def trained(labelled: DataFrame, language: str = "language", text: str = "text", size: int = 3, top: int = 1000) -> Scorer:
     """A scorer from labelled texts: the `top` character n-grams of each language with their shares (a multinomial model).
 
     The n-grams of all rows are counted on the executors; what is collected is bounded by
-    languages * top. A text's own n-grams (of its first `longest` characters) decide; confidence is
+    languages * top. All n-grams of a text decide; confidence is
     the best language's share of the likelihood of an average stretch of 20 n-grams.
     """
     body = F.lower(F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[\s\d]+", " "))
@@ -91,7 +92,7 @@ def trained(labelled: DataFrame, language: str = "language", text: str = "text",
         gains.setdefault(r["gram"], []).append((codes.index(c), math.log((r["n"] + 0.5) / (totals[c] + top)) - floor[c]))
 
     def one(value: str | None) -> tuple[str | None, float]:
-        clean = re.sub(r"[\s\d]+", " ", f" {(value or '')[:longest]} ").lower()
+        clean = re.sub(r"[\s\d]+", " ", f" {value or ''} ").lower()
         found = Counter(clean[i : i + size] for i in range(len(clean) - size + 1))
         n = sum(found.values())
         if not any(g in gains for g in found):
@@ -107,50 +108,126 @@ def trained(labelled: DataFrame, language: str = "language", text: str = "text",
     return lambda texts: pd.DataFrame([one(t) for t in texts], columns=["language", "confidence"])
 
 
+def profiles(labelled: DataFrame, language: str = "language", text: str = "text", top: int = 400, most: int = 2000, longest: int = 4) -> Scorer:
+    """A scorer by rank order: a text's most frequent character n-grams against those of each language, by how far each is out of its place.
+
+    Profiles are the `top` n-grams of one to `longest` letters, the most frequent first. They are
+    learnt from about `most` whole texts of each language, chosen by a hash of the text; their
+    n-grams are counted on the executors, and what is collected is bounded by languages * top. All of a
+    text is scored. An n-gram that a profile lacks is `top` places out; confidence is how much
+    nearer the best language is than the second one (than none at all where there is only one).
+    """
+    rows = labelled.select(F.col(language).alias("code"), F.col(text).alias("body")).where("code is not null and body is not null")
+    share = rows.groupBy("code").agg((F.lit(most) / F.count("*")).alias("share"))
+    chosen = rows.join(F.broadcast(share), "code").where((F.xxhash64("body").bitwiseAND(F.lit(0xFFFFF)) / float(1 << 20)) < F.col("share")).select("code", "body")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for code, some in frame.groupby("code"):
+                found = sum((_ngrams(x, longest) for x in some["body"]), Counter())
+                yield pd.DataFrame({"code": code, "gram": list(found), "n": list(found.values())})
+
+    counts = chosen.mapInPandas(count, "code string, gram string, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "gram"))
+    kept = counts.withColumn("place", place).where(F.col("place") <= top).select("code", "gram", "place").collect()
+    codes = sorted({r["code"] for r in kept})
+    places: dict[str, np.ndarray] = {}
+    for r in kept:
+        places.setdefault(r["gram"], np.full(len(codes), -1, np.int64))[codes.index(r["code"])] = r["place"] - 1
+
+    def one(value: str | None) -> tuple[str | None, float]:
+        found = _ngrams(value or "", longest)
+        own = sorted(found, key=lambda g: (-found[g], g))[:top]
+        if not codes or not any(g in places for g in own):
+            return None, 0.0
+        nothing = np.full(len(codes), -1, np.int64)
+        there = np.array([places.get(g, nothing) for g in own])
+        out = np.where(there < 0, top, np.abs(there - np.arange(len(own))[:, None])).sum(0)
+        best = int(out.argmin())
+        second = int(np.partition(out, 1)[1]) if len(codes) > 1 else top * len(own)
+        return codes[best], 1 - int(out[best]) / max(second, 1)
+
+    return lambda texts: pd.DataFrame([one(t) for t in texts], columns=["language", "confidence"])
+
+
+def _ngrams(text: str, longest: int) -> Counter:
+    """N-grams of 1 to `longest` characters of the words, each between two gaps; gaps alone are none."""
+    out: Counter = Counter()
+    for word, times in Counter(re.findall(r"[^\W\d_]+", text.lower())).items():
+        word = f" {word} "
+        for size in range(1, longest + 1):
+            for i in range(len(word) - size + 1):
+                out[word[i : i + size]] += times
+    del out[" "]
+    return out
+
+
 ANSWER = "struct<language:string,confidence:double>"
 
 
-def vote(text: str | None, scorer: Scorer = frequent_words) -> tuple[str, float] | None:
-    """Chunks of 600 characters of the first 50,000 vote; the best mean confidence wins, a missing one counts 0.5."""
-    body = (text or "")[:LONGEST]
-    got = scorer(pd.Series([body[i : i + CHUNK] for i in range(0, max(len(body), 1), CHUNK)]))
-    said: dict[str, list[float]] = {}
-    for code, confidence in zip(got["language"], got["confidence"]):
+def votes(texts: list[str | None], scorer: Scorer = frequent_words) -> list[tuple[str, float] | None]:
+    """For each text, chunks of 600 characters of the first 50,000 vote; the best mean confidence wins, a missing one counts 0.5. The chunks of all texts are scored in one call."""
+    chunks, owner = [], []
+    for nth, text in enumerate(texts):
+        body = (text or "")[:LONGEST]
+        mine = [body[i : i + CHUNK] for i in range(0, max(len(body), 1), CHUNK)]
+        chunks += mine
+        owner += [nth] * len(mine)
+    said: list[dict[str, list[float]]] = [{} for _ in texts]
+    got = scorer(pd.Series(chunks)) if chunks else pd.DataFrame({"language": [], "confidence": []})
+    for nth, code, confidence in zip(owner, got["language"], got["confidence"]):
         if code is not None and code == code:
-            said.setdefault(code, []).append(0.5 if confidence is None or confidence != confidence else float(confidence))
-    means = {code: sum(c) / len(c) for code, c in said.items()}
-    best = min(means, key=lambda c: (-means[c], c), default=None)
-    return None if best is None else (best, means[best])
+            said[nth].setdefault(code, []).append(0.5 if confidence is None or confidence != confidence else float(confidence))
+    out: list[tuple[str, float] | None] = []
+    for found in said:
+        means = {code: sum(c) / len(c) for code, c in found.items()}
+        best = min(means, key=lambda c: (-means[c], c), default=None)
+        out.append(None if best is None else (best, means[best]))
+    return out
+
+
+def vote(text: str | None, scorer: Scorer = frequent_words) -> tuple[str, float] | None:
+    return votes([text], scorer)[0]
 
 
-def answers(text: Column, by_script: Column, scorer: Scorer = frequent_words, fallback: Scorer | None = None) -> Column:
-    """struct(at_once, second, vote) of clean texts. The second scorer sees texts of FALLBACK_LENGTH; only texts that neither their script nor the first answer settles are voted on."""
+def answers(text: Column, scorer: Scorer = frequent_words, fallback: Scorer | None = None) -> Column:
+    """struct(by_script, at_once, second, vote) of texts, which are cleaned once, before both the script and the scorers see them.
 
-    @F.pandas_udf(f"at_once {ANSWER}, second {ANSWER}, vote {ANSWER}")
-    def run(texts: pd.Series, settled: pd.Series) -> pd.DataFrame:
+    The second scorer sees texts of FALLBACK_LENGTH; only texts that neither their script nor the first answer settles are voted on.
+    """
+
+    @F.pandas_udf(f"by_script {ANSWER}, at_once {ANSWER}, second {ANSWER}, vote {ANSWER}")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         def pack(pairs) -> list[dict]:
             return [{"language": None if x is None or x[0] != x[0] else x[0], "confidence": None if x is None or x[1] is None or x[1] != x[1] else float(x[1])} for x in pairs]
 
         of = lambda found: list(zip(found["language"], found["confidence"]))
+        texts = rows["text"]
+        script = [None if c is None or c != c else (c, p) for c, p in zip(rows["language"], rows["confidence"])]
         first = of(scorer(texts))
         second = of(fallback(texts)) if fallback else [None] * len(texts)
         second = [x if t is not None and len(t) >= FALLBACK_LENGTH else None for x, t in zip(second, texts)]
-        sure = [bool(s) or (c is not None and c == c and c >= ONE_SHOT) for (_, c), s in zip(first, settled)]
-        voted = [None if s else vote(t, scorer) for t, s in zip(texts, sure)]
-        return pd.DataFrame({"at_once": pack(first), "second": pack(second), "vote": pack(voted)})
+        open_ = [i for i, ((_, c), s) in enumerate(zip(first, script)) if s is None and not (c is not None and c == c and c >= ONE_SHOT)]
+        voted: list[tuple[str, float] | None] = [None] * len(texts)
+        for i, found in zip(open_, votes([texts.iloc[i] for i in open_], scorer)):
+            voted[i] = found
+        return pd.DataFrame({"by_script": pack(script), "at_once": pack(first), "second": pack(second), "vote": pack(voted)})
+
+    def look(t: Column) -> Column:
+        # Both are arrays of one, so that neither the clean text nor its script is made twice.
+        return F.transform(F.array(script_language(t)), lambda s: F.struct(t.alias("text"), s["language"].alias("language"), s["confidence"].alias("confidence")))[0]
 
-    return run(text, by_script.isNotNull())
+    return run(F.transform(F.array(cleaned(text)), look)[0])
 
 
 def decide(docs: DataFrame, text: str, scorer: Scorer = frequent_words, fallback: Scorer | None = None) -> DataFrame:
     """`docs` with detected struct(language, confidence, how): by script, at once, by vote, by agreement, or the first answer that there is."""
-    script = script_language(cleaned(text))
-    rows = docs.withColumn("by_script", script).withColumn("said", answers(cleaned(text), script, scorer, fallback))
-    rows = rows.withColumns({c: F.col(f"said.{c}") for c in ("at_once", "second", "vote")})
+    rows = docs.withColumn("said", answers(F.col(text), scorer, fallback))
+    rows = rows.withColumns({c: F.col(f"said.{c}") for c in ("by_script", "at_once", "second", "vote")})
     answer = lambda c, how: F.struct(F.col(f"{c}.language").alias("language"), F.col(f"{c}.confidence").alias("confidence"), F.lit(how).alias("how"))
     agree = (F.col("at_once.language") == F.col("vote.language")) | (F.col("at_once.language") == F.col("second.language"))
     decision = (
-        F.when(F.col("by_script").isNotNull(), answer("by_script", "script"))
+        F.when(F.col("by_script.language").isNotNull(), answer("by_script", "script"))
         .when(F.col("at_once.confidence") >= ONE_SHOT, answer("at_once", "one_shot"))
         .when(F.col("vote.confidence") >= VOTE, answer("vote", "vote"))
         .when(agree, answer("at_once", "agreement"))
@@ -163,10 +240,10 @@ def decide(docs: DataFrame, text: str, scorer: Scorer = frequent_words, fallback
     return rows.withColumn("detected", decision).drop("by_script", "said", "at_once", "second", "vote")
 
 
-def fill_language(speeches: DataFrame, key: str = "id", text: str = "speech_content", only_missing: bool = True, scorer: Scorer = frequent_words) -> DataFrame:
+def fill_language(speeches: DataFrame, key: str = "id", text: str = "speech_content", only_missing: bool = True, scorer: Scorer = frequent_words, fallback: Scorer | None = None) -> DataFrame:
     """Speeches with their language: only where it is missing, or for all."""
     wanted = speeches.where("language is null") if only_missing else speeches
-    found = decide(wanted.select(key, text), text, scorer).select(key, F.col("detected.language").alias("found"))
+    found = decide(wanted.select(key, text), text, scorer, fallback).select(key, F.col("detected.language").alias("found"))
     value = F.coalesce("language", "found") if only_missing else F.coalesce("found", "language")
     return speeches.join(found, key, "left").withColumn("language", value).drop("found")
 

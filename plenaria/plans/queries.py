@@ -619,6 +619,16 @@ def lang_vote(s, d):
     return language.decide(docs, "text").select("doc_id", F.col("detected.language").alias("language"), F.col("detected.how").alias("how"))
 
 
+@query("lang_profiles")
+def lang_profiles(s, d):
+    """The language of every whole text by rank-order profiles, learnt from the documents whose ids the hash doesn't hold out."""
+    docs = views.table(s, d, "documents")
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    scorer = language.profiles(docs.where(~held_out), "lang")
+    said = F.pandas_udf(lambda texts: scorer(texts), "language string, confidence double")  # noqa: PLW0108
+    return docs.select("doc_id", held_out.alias("held_out"), said(F.coalesce("text", F.lit(""))).alias("said")).select("doc_id", "held_out", "said.language", F.round("said.confidence", 6).alias("confidence"))
+
+
 @query("topic_classify", """SELECT title, CASE WHEN p THEN 'Procedural & Parliamentary business' ELSE 'Other' END AS macro_topic, title AS specific_focus, CASE WHEN p THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END AS confidence
   FROM (SELECT DISTINCT p_type AS title, regexp_matches(lower(p_type), 'agenda|order of business|minutes|voting|vote|opening|closing|one-minute') AS p FROM part)""")
 def topic_classify(s, d):

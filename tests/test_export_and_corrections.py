@@ -9,6 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plenaria.functions import language
+from plenaria.registry import QUERIES
 from plenaria.sources import export
 from plenaria.streaming import corrections
 
@@ -80,3 +82,45 @@ def test_sittings_are_forgotten_by_timers(spark, tmp_path):
         got = corrections.run_corrections(spark, stream, str(tmp_path), "10 days")
     assert {(r["day"], r["topic"]): r["n"] for r in got.collect()} == {("2020-01-01", "Fish"): 1, ("2020-01-02", "Fish"): 1}
     assert isinstance(got.toPandas(), pd.DataFrame)
+
+
+def brute_profile(texts, top, longest):
+    found: dict = {}
+    for text in texts:
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            for size in range(1, longest + 1):
+                for i in range(len(word) + 3 - size):
+                    gram = f" {word} "[i : i + size]
+                    if gram != " ":
+                        found[gram] = found.get(gram, 0) + 1
+    return sorted(found, key=lambda g: (-found[g], g))[:top]
+
+
+def test_profiles_equal_brute_force(spark):
+    said = [("A", "abba aab ab, aab 12"), ("A", "Abba! baa"), ("B", "bcb cbc_bcd"), ("B", "bcd"), (None, "zzz"), ("C", None), ("D", "äö öä")]
+    scorer = language.profiles(spark.createDataFrame(said, "language string, text string"), top=12, longest=3)
+    known = {c: brute_profile([t for k, t in said if k == c], 12, 3) for c in "ABD"}
+    texts = ["ab ab bcb", "bcd", "öö", "xyz", "", None, "aab " * 500, "bcb abba"]
+    for text, code, confidence in zip(texts, *(scorer(pd.Series(texts))[c] for c in ("language", "confidence"))):
+        own = brute_profile([text or ""], 12, 3)
+        far = {c: sum(abs(i - p.index(g)) if g in p else 12 for i, g in enumerate(own)) for c, p in known.items()}
+        if not any(g in p for g in own for p in known.values()):
+            assert (code, confidence) == (None, 0.0)
+        else:
+            assert code == min(far, key=lambda c: (far[c], c)) and abs(confidence - (1 - far[code] / max(1, sorted(far.values())[1]))) < 1e-12
+    assert language.profiles(spark.createDataFrame([], "language string, text string"))(pd.Series(["a"]))["language"].isna().all()
+
+
+def test_profiles_on_held_out_documents(spark):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in QUERIES["lang_profiles"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert len(held) > 150 and sum(r.language == truth[r.doc_id] for r in held) > 0.97 * len(held)
+
+
+def test_chunks_of_all_texts_are_scored_in_one_call(spark):
+    calls = []
+    scorer = lambda texts: calls.append(len(texts)) or language.frequent_words(texts)
+    texts = ["the cat and the hat of that house " * 60, None, "", "le chat est dans la maison que " * 40, "x" * 3000]
+    assert language.votes(texts, scorer) == [language.vote(t) for t in texts] and len(calls) == 1
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    assert language.decide(docs, "t")._jdf.queryExecution().executedPlan().toString().count("regexp_replace") < 8
