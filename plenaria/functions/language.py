@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .columns import cleaned, script_language
+from .columns import cleaned
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
@@ -36,6 +36,8 @@ ISO3 = {
     "ita": "IT", "lav": "LV", "lit": "LT", "mlt": "MT", "nld": "NL", "pol": "PL", "por": "PT", "ron": "RO", "slk": "SK", "slv": "SL", "spa": "ES", "swe": "SV",
 }
 LANGUAGES = tuple(sorted(ISO3.values()))
+#: What script_language() of columns.py looks for.
+SCRIPTS, SPACES = (("EL", 0.999, re.compile("[Ͱ-Ͽ]")), ("BG", 0.995, re.compile("[Ѐ-ӿ]"))), re.compile(r"[ \t\n\v\f\r]")
 ONE_SHOT, VOTE, CHUNK, LONGEST, FALLBACK_LENGTH = 0.60, 0.72, 600, 50_000, 20
 
 
@@ -190,20 +192,27 @@ def vote(text: str | None, scorer: Scorer = frequent_words) -> tuple[str, float]
     return votes([text], scorer)[0]
 
 
+def script_of(text: str | None) -> tuple[str, float] | None:
+    """script_language() of one text, where it is in Python already."""
+    n = len(SPACES.sub("", text or ""))
+    if n < 20:
+        return None
+    return next(((code, sure) for code, sure, letters in SCRIPTS if len(letters.findall(text)) / n >= 0.3), None)
+
+
 def answers(text: Column, scorer: Scorer = frequent_words, fallback: Scorer | None = None) -> Column:
-    """struct(by_script, at_once, second, vote) of texts, which are cleaned once, before both the script and the scorers see them.
+    """struct(by_script, at_once, second, vote) of texts, which are cleaned once for all of them.
 
     The second scorer sees texts of FALLBACK_LENGTH; only texts that neither their script nor the first answer settles are voted on.
     """
 
     @F.pandas_udf(f"by_script {ANSWER}, at_once {ANSWER}, second {ANSWER}, vote {ANSWER}")
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(texts: pd.Series) -> pd.DataFrame:
         def pack(pairs) -> list[dict]:
             return [{"language": None if x is None or x[0] != x[0] else x[0], "confidence": None if x is None or x[1] is None or x[1] != x[1] else float(x[1])} for x in pairs]
 
         of = lambda found: list(zip(found["language"], found["confidence"]))
-        texts = rows["text"]
-        script = [None if c is None or c != c else (c, p) for c, p in zip(rows["language"], rows["confidence"])]
+        script = [script_of(t) for t in texts]
         first = of(scorer(texts))
         second = of(fallback(texts)) if fallback else [None] * len(texts)
         second = [x if t is not None and len(t) >= FALLBACK_LENGTH else None for x, t in zip(second, texts)]
@@ -213,11 +222,7 @@ def answers(text: Column, scorer: Scorer = frequent_words, fallback: Scorer | No
             voted[i] = found
         return pd.DataFrame({"by_script": pack(script), "at_once": pack(first), "second": pack(second), "vote": pack(voted)})
 
-    def look(t: Column) -> Column:
-        # Both are arrays of one, so that neither the clean text nor its script is made twice.
-        return F.transform(F.array(script_language(t)), lambda s: F.struct(t.alias("text"), s["language"].alias("language"), s["confidence"].alias("confidence")))[0]
-
-    return run(F.transform(F.array(cleaned(text)), look)[0])
+    return run(cleaned(text))
 
 
 def decide(docs: DataFrame, text: str, scorer: Scorer = frequent_words, fallback: Scorer | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plenaria.functions import language
+from plenaria.functions import columns, language
 from plenaria.registry import QUERIES
 from plenaria.sources import export
 from plenaria.streaming import corrections
@@ -123,4 +123,7 @@ def test_chunks_of_all_texts_are_scored_in_one_call(spark):
     texts = ["the cat and the hat of that house " * 60, None, "", "le chat est dans la maison que " * 40, "x" * 3000]
     assert language.votes(texts, scorer) == [language.vote(t) for t in texts] and len(calls) == 1
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    assert language.decide(docs, "t")._jdf.queryExecution().executedPlan().toString().count("regexp_replace") < 8
+    assert language.decide(docs, "t")._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 2
+    scripts = ["Καλημέρα σας κυρίες και κύριοι", "Καλημέρα", "short", "Добър ден на всички, приятели мои", "a" * 50 + "Добър" * 4, "a" * 46 + "Добър" * 4, "\u00a0" * 30, None, "Добър ден на Καλημέρα Καλημέρα"]
+    rows = spark.createDataFrame([(t,) for t in scripts], "t string").select("t", columns.script_language("t").alias("s")).collect()
+    assert [r["s"] and tuple(r["s"]) for r in rows] == [language.script_of(t) for t in scripts]
