@@ -53,20 +53,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def windows(docs: DataFrame, words: int) -> DataFrame:
     """(document, at, last, print_hash, print_at, sequence): the full windows that start at each line, and those of two lines or more that end there."""
     lines = _keyed(docs).select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.btrim("line", F.lit(WHITE)) != "")
-    lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w"))
+    lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w"))
     in_doc = Window.partitionBy(*DOC)
     before = F.coalesce(F.sum("w").over(in_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Rows that repeat a document share its positions: one of them is enough. One shuffle serves this and all windows.
-    lines = lines.repartition(*DOC).groupBy(*DOC, "pos").agg(F.first("h").alias("h"), F.first("w").alias("w")).withColumn("s", before)
+    lines = lines.repartition(*DOC).groupBy(*DOC, "pos").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.first("w").alias("w")).withColumn("s", before)
     lines = lines.withColumn("e", F.col("s") + F.col("w"))
     ahead, behind = in_doc.orderBy("s").rangeBetween(0, words - 1), in_doc.orderBy("e").rangeBetween(1 - words, 0)
     here, alone = F.struct("h", "pos"), F.col("w") >= words
+    line = F.struct("h", "g")
+    hashed = lambda lines: F.struct(F.xxhash64(lines).alias("a"), F.xxhash64(F.lit(1), lines).alias("b"))
     one_before = in_doc.orderBy("e")
     starting = F.struct(
         F.col("pos").alias("at"),
         F.max("pos").over(ahead).alias("last"),
         F.min(here).over(ahead).alias("chosen"),
-        F.xxhash64(F.collect_list("h").over(ahead)).alias("sequence"),
+        hashed(F.collect_list(line).over(ahead)).alias("sequence"),
         (F.max("e").over(ahead) >= F.col("s") + words).alias("full"),
     )
     other = F.lag("pos").over(one_before)
@@ -74,7 +76,7 @@ def windows(docs: DataFrame, words: int) -> DataFrame:
         F.when(alone, other).otherwise(F.min("pos").over(behind)).alias("at"),
         F.col("pos").alias("last"),
         F.when(alone, F.least(F.lag(here).over(one_before), here)).otherwise(F.min(here).over(behind)).alias("chosen"),
-        F.xxhash64(F.when(alone, F.array(F.lag("h").over(one_before), F.col("h"))).otherwise(F.collect_list("h").over(behind))).alias("sequence"),
+        hashed(F.when(alone, F.array(F.lag(line).over(one_before), line)).otherwise(F.collect_list(line).over(behind))).alias("sequence"),
         F.when(alone, other.isNotNull()).otherwise(F.min("s").over(behind) <= F.col("e") - words).alias("full"),
     )
     made = lines.select(*DOC, starting.alias("starting"), ending.alias("ending")).select(*DOC, F.explode(F.array("starting", "ending")).alias("x")).where("x.full")
