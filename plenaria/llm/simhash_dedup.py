@@ -42,7 +42,7 @@ from .shared import blobs, bounds, components, gram_hashes, pressed, small, stor
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 # Fixed value: a generator polynomial of the binary (23,12) Golay code.
 GOLAY = 0b101011100011
-#: Classes of shingles whose parities are kept, a multiple of 64.
+#: Classes of shingles whose parities are kept, at least; a power of two.
 BITS = 1024
 
 
@@ -249,19 +249,50 @@ def multipliers(anchors: int) -> np.ndarray:
     return np.random.default_rng(2).integers(0, 2**63, anchors, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def parities(grams: np.ndarray) -> bytes:
-    """Of each of BITS classes of shingles, whether their number is odd: two texts' bits differ in no more places than their sets of shingles do."""
+def parities(grams: np.ndarray, bits: int = BITS) -> bytes:
+    """Of each of `bits` classes of shingles, whether their number is odd: two texts' bits differ in no more places than their sets of shingles do."""
     mixed = (grams ^ grams >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
-    return np.packbits(np.bincount((mixed >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) % 2 == 1).tobytes()
+    return np.packbits(np.bincount((mixed >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) % 2 == 1).tobytes()
 
 
-def sketch(words: list[bytes], shingle: int, anchors: int) -> tuple[int, bytes, bytes, int, bytes, int]:
-    """(node, anchors, segments, fp, parities, size): hash of all words; min-hashes of the shingles; 23-bit segments and 64 bits of a SimHash over word pairs; parities and number of the shingles."""
-    node = xxhash.xxh64_intdigest(b" ".join(words))
+def classes_for(size: int) -> int:
+    """Two to four times as many classes as there are shingles, so that few classes hide a difference however long the texts are."""
+    return max(BITS, 1 << (2 * size - 1).bit_length())
+
+
+class Odds:
+    """Parities of several texts, each of as many classes as suit its size. Halves of a longer one, added up, are the parities of half as many classes, so any two can be compared."""
+
+    def __init__(self, data: list[bytes]):
+        self.length = np.array([len(b) // 8 for b in data], np.int64)
+        self.place = np.zeros(len(data), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            mine = np.flatnonzero(self.length == n)
+            self.place[mine] = np.arange(len(mine))
+            self.rows[n] = np.frombuffer(b"".join(data[i] for i in mine.tolist()), np.uint64).reshape(len(mine), n)
+
+    def differ(self, one: int, others: np.ndarray) -> np.ndarray:
+        """In how many classes each of `others` differs from `one`."""
+        out = np.zeros(len(others), np.int64)
+        n = int(self.length[one])
+        own = self.rows[n][self.place[one]]
+        for m in np.unique(self.length[others]).tolist():
+            mine = np.flatnonzero(self.length[others] == m)
+            rows, least = self.rows[m][self.place[others[mine]]], min(n, m)
+            rows = np.bitwise_xor.reduce(rows.reshape(len(mine), m // least, least), axis=1)
+            out[mine] = np.bitwise_count(rows ^ np.bitwise_xor.reduce(own.reshape(n // least, least), axis=0)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def sketch(words: list[bytes], shingle: int, anchors: int) -> tuple[int, bytes, bytes, int, bytes, int, int]:
+    """(node, anchors, segments, fp, parities, size, twin): hash of all words (twin: another one); min-hashes of the shingles; 23-bit segments and 64 bits of a SimHash over word pairs; parities and number of the shingles."""
+    joined = b" ".join(words)
+    node = xxhash.xxh64_intdigest(joined)
     own_words = word_hashes(words)
     grams, pairs = grams_of(own_words, shingle), grams_of(own_words, 2)
     if not len(grams):
-        return node, b"", b"", 0, b"", 0
+        return node, b"", b"", 0, b"", 0, 0
     low = [((grams * m) ^ (grams * m) >> np.uint64(32)).min() for m in multipliers(anchors)]
     n = -(-(64 + 23 * anchors) // 64)
     total = np.zeros(64 * n, np.int64)
@@ -270,7 +301,7 @@ def sketch(words: list[bytes], shingle: int, anchors: int) -> tuple[int, bytes,
         total[64 * i : 64 * i + 64] = bit_counts((own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
     bits = 2 * total > len(pairs)
     segments = (bits[64 : 64 + 23 * anchors].reshape(anchors, 23) * (1 << np.arange(23))).sum(axis=1)
-    return node, np.array(low, np.uint64).tobytes(), segments.astype(np.int32).tobytes(), int.from_bytes(np.packbits(bits[:64]).tobytes(), "big"), parities(grams), len(grams)
+    return node, np.array(low, np.uint64).tobytes(), segments.astype(np.int32).tobytes(), int.from_bytes(np.packbits(bits[:64]).tobytes(), "big"), parities(grams, classes_for(len(grams))), len(grams), xxhash.xxh3_64_intdigest(joined)
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 8, near: int = 18, block: int = 4096) -> DataFrame:
@@ -291,8 +322,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors:
        that sizes and parities of their shingles (see `alike`) don't refuse;
     3. all pairs that are neither joined nor refused after that.
 
+    Parities are of more classes than a text has shingles, so at any length they refuse nearly
+    all pairs but those just below `similarity`: of a family of texts that are alike to
+    a lesser degree, few pairs are ever compared whole.
     So each candidate is joined, or refused by its exact similarity or a bound of it.
-    Texts of equal words are one node from the start.
+    Texts of equal words, by two hashes of them, are one node from the start.
     """
     found = _classes(docs, shingle, similarity, anchors, near, block)
     return found.select("doc_id", "node", "component_id")
@@ -303,14 +337,14 @@ def _classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_hash", "node", "anchors", "segments", "fp", "odd", "size"]
+        names = ["doc_id", "text_hash", "node", "anchors", "segments", "fp", "odd", "size", "twin"]
         for batch in small(batches):
             found = [sketch(words_of(b), shingle, anchors) for b in blobs(batch.column(1))]
-            node, fp = (pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2)), fp, pa.array([x[4] for x in found], pa.binary()), pa.array([x[5] for x in found], pa.int64())], names)
+            node, fp, twin = (pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 3, 6))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2)), fp, pa.array([x[4] for x in found], pa.binary()), pa.array([x[5] for x in found], pa.int64()), twin], names)
 
-    marked = stored(texts.mapInArrow(draw, "doc_id long, text_hash long, node long, anchors binary, segments binary, fp long, odd binary, size long"), "similar")
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("anchors").alias("anchors"), *(F.first(c).alias(c) for c in ("segments", "fp", "odd", "size"))), "similar-nodes")
+    marked = stored(texts.mapInArrow(draw, "doc_id long, text_hash long, node long, anchors binary, segments binary, fp long, odd binary, size long, twin long"), "similar")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("twin").alias("own_twin"), F.first("anchors").alias("anchors"), *(F.first(c).alias(c) for c in ("segments", "fp", "odd", "size"))), "similar-nodes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         errors = _error_patterns()
@@ -367,17 +401,23 @@ def _classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors
             break
         sure = sure.union(stored(verified(more, texts, shingle, similarity), "similar-verified"))
         roots = components(sure)
-    placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(roots, "node", "left").select("node", "low", "own_twin", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = placed.join(named, "root").select("node", "root", "component_id")
-    return marked.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "node", "root", "component_id")
+    classes = placed.join(named, "root").select("node", "own_twin", "root", "component_id")
+    # A text that has another's hash of words but not its second one is a class of its own, whatever that one is joined to.
+    same, alone = F.col("twin") == F.col("own_twin"), F.xxhash64("node", "twin")
+    found = marked.select("doc_id", "text_hash", "node", "twin").join(classes, "node")
+    return found.select("doc_id", "text_hash", "node", F.when(same, F.col("root")).otherwise(alone).alias("root"), F.when(same, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def alike(odd: np.ndarray, size: np.ndarray, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
+def alike(odd: Odds | np.ndarray, size: np.ndarray, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
     """Mask of `others` whose similarity to `one` may reach `similarity`: by sizes, and by parities, which differ no more than the sets do."""
     a, b = size[one], size[others]
-    differ = np.bitwise_count(odd[others] ^ odd[one]).sum(axis=1, dtype=np.int64)
-    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6) & (differ * (1 + similarity) <= (1 - similarity) * (a + b) + 1e-6)
+    near = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
+    some = others[near]
+    differ = odd.differ(one, some) if isinstance(odd, Odds) else np.bitwise_count(odd[some] ^ odd[one]).sum(axis=1, dtype=np.int64)
+    near[near] = differ * (1 + similarity) <= (1 - similarity) * (a + b[near]) + 1e-6
+    return near
 
 
 def _open_pairs(left: DataFrame, nodes: DataFrame, roots: DataFrame, near: int, similarity: float, every: bool) -> DataFrame:
@@ -392,7 +432,7 @@ def _open_pairs(left: DataFrame, nodes: DataFrame, roots: DataFrame, near: int,
                 at = np.unique(node[s:e], return_index=True)[1] + s
                 if (root[at] == root[at[0]]).all():
                     continue
-                odd = np.frombuffer(b"".join(table.column("odd").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
+                odd = Odds(table.column("odd").take(pa.array(at)).to_pylist())
                 rest, queue = np.arange(len(at)), []
                 found: list[np.ndarray] = []
                 while len(rest):
