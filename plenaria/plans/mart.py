@@ -32,39 +32,35 @@ def canonical(facts: DataFrame, variants: DataFrame) -> DataFrame:
 BUCKET = "sitting_bucket"
 
 
-def _with_days(facts: DataFrame, sittings: DataFrame) -> DataFrame:
+def _with_days(facts: DataFrame, sittings: DataFrame, by_bucket: bool) -> DataFrame:
     days = sittings.select(F.col("id").alias("sitting_id"), "activity_date")
-    return facts.join(days, "sitting_id", "left").withColumns({BUCKET: sinks.bucket_column("sitting_id"), "grp": effective_group()})
+    bucket = sinks.bucket_column("sitting_id") if by_bucket else F.lit(sinks.ALL)
+    return facts.join(days, "sitting_id", "left").withColumns({BUCKET: bucket, "grp": effective_group()})
 
 
-def cube(facts: DataFrame, sittings: DataFrame) -> DataFrame:
+def cube(facts: DataFrame, sittings: DataFrame, by_bucket: bool = False) -> DataFrame:
     """n by day, topic, focus, group and language: all that the mart's tables need, many times smaller than the facts.
 
     Rows of a bucket of sittings come from that bucket's facts alone. Topics are as the
     facts have them, as later facts may change which label stands for its variants.
     """
-    return _with_days(facts, sittings).groupBy(BUCKET, "activity_date", "macro_topic", "macro_specific_focus", "grp", effective_language().alias("language")).agg(F.count("*").alias("n"))
+    return _with_days(facts, sittings, by_bucket).groupBy(BUCKET, "activity_date", "macro_topic", "macro_specific_focus", "grp", effective_language().alias("language")).agg(F.count("*").alias("n"))
 
 
-def speakers(facts: DataFrame, sittings: DataFrame) -> DataFrame:
-    """(sitting_bucket, activity_date, grp, part, bits): who speaks for a group on a day, as bitmaps of 32,768 speaker numbers each, which can be merged."""
-    rows = _with_days(facts, sittings).where("mep_id is not null")
-    return rows.groupBy(BUCKET, "activity_date", "grp", F.bitmap_bucket_number("mep_id").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mep_id")).alias("bits"))
+def speaker_days(facts: DataFrame, sittings: DataFrame, by_bucket: bool = False) -> DataFrame:
+    """(sitting_bucket, activity_date, grp, mep_id) once each: who speaks for a group on a day."""
+    rows = facts if "mep_id" in facts.columns else facts.withColumn("mep_id", F.lit(None).cast("long"))
+    return _with_days(rows, sittings, by_bucket).where("mep_id is not null and activity_date is not null").select(BUCKET, "activity_date", "grp", F.col("mep_id").cast("long").alias("mep_id")).distinct()
 
 
 #: What is kept of the facts, each a function of facts and sittings that works bucket by bucket.
-KEPT = {"cube": cube, "speakers": speakers}
-
-
-def _kept(facts: DataFrame, name: str, sittings: DataFrame) -> DataFrame:
-    rows = facts if "mep_id" in facts.columns else facts.withColumn("mep_id", F.lit(None).cast("long"))
-    return KEPT[name](rows, sittings)
+KEPT = {"cube": cube, "speaker_days": speaker_days}
 
 
-def build(facts: DataFrame, sittings: DataFrame, path: str, done: dict[str, int] | None = None) -> None:
-    """Write the mart. Each table is an aggregate of the cube."""
-    for name in KEPT:
-        sinks.write(_kept(facts, name, sittings), f"{path}/{name}", by=BUCKET, done=done)
+def build(facts: DataFrame, sittings: DataFrame, path: str, people: bool = False) -> None:
+    """Write the mart. Each table is an aggregate of the cube; `people` adds what distinct_counts() needs."""
+    for name in KEPT if people else ["cube"]:
+        sinks.write(KEPT[name](facts, sittings), f"{path}/{name}")
     derive(facts.sparkSession, path)
 
 
@@ -87,13 +83,13 @@ def refresh(spark: SparkSession, speeches: str, sittings: str, path: str) -> dic
         changes = [sinks.changed_buckets(spark, table, known[t]) if t in known and together else None for t, table in tables.items()]
         if None in changes:
             rows = [sinks.rows(spark, tables[t], state[t]) for t in tables]
-            sinks.write(_kept(rows[0], name, rows[1]), target, by=BUCKET, done=done)
+            sinks.write(KEPT[name](rows[0], rows[1], True), target, by=BUCKET, done=done)
             read[name] = set(state["speeches"].parts)
             continue
         read[name] = set().union(*changes)
         if read[name]:
             rows = [sinks.rows(spark, tables[t], state[t], read[name]) for t in tables]
-            sinks.replace_buckets(_kept(rows[0], name, rows[1]), target, read[name], done)
+            sinks.replace_buckets(KEPT[name](rows[0], rows[1], True), target, read[name], done)
     derive(spark, path)
     return read
 
@@ -126,26 +122,40 @@ def derive(spark: SparkSession, path: str) -> None:
     tables["metadata"] = spark.range(1).select(F.lit("last_computed").alias("key"), F.current_timestamp().cast("string").alias("value"))
 
     def put(name: str) -> None:
-        sinks.write(conform(tables[name], MART[name]), f"{path}/{name}", "interval_type" if name == "timeseries" else None)
+        table = conform(tables[name], MART[name]) if name in MART else tables[name]
+        sinks.write(table, f"{path}/{name}", "interval_type" if name == "timeseries" else None)
 
+    if sinks.exists(spark, f"{path}/speaker_days"):
+        tables["speakers"] = month_bits(sinks.read(spark, f"{path}/speaker_days"))
     # The tables are small and don't depend on each other: their jobs share the cluster.
     with ThreadPoolExecutor(len(tables)) as pool:
         list(pool.map(put, tables))
 
 
+def month_bits(days: DataFrame) -> DataFrame:
+    """(month, grp, part, bits): who speaks for a group in a month, as bitmaps of 32,768 speaker numbers each, which can be merged."""
+    keys = [F.substring("activity_date", 1, 7).alias("month"), "grp", F.bitmap_bucket_number("mep_id").alias("part")]
+    return days.groupBy(*keys).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mep_id")).alias("bits"))
+
+
 def distinct_counts(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, by: str | None = "grp", period_of: str | None = None) -> DataFrame:
-    """(period, grp, n, speakers, days) of an inclusive range of days, from the mart alone: speakers are bits of merged bitmaps.
+    """(period, grp, n, speakers, days) of an inclusive range of days, from the mart alone.
 
-    `by` None: all groups together; `period_of` month, quarter or year: for each of them. Group and period are left out where they aren't asked for.
+    Speakers are bits of merged bitmaps: those of whole months as they are stored, and
+    of the days of a first and last month that the range cuts. `by` None: all groups together; `period_of`
+    month, quarter or year: for each of them. Group and period are left out where they aren't asked for.
     """
-    inside = F.col("activity_date").isNotNull()
-    inside = inside if start is None else inside & (F.col("activity_date") >= start)
-    inside = inside if end is None else inside & (F.col("activity_date") <= end)
-    keys = ([period("activity_date", period_of).alias("period")] if period_of else []) + ([F.col(by).alias("grp")] if by else [])
-    names = (["period"] if period_of else []) + (["grp"] if by else [])
-    rows, who = (sinks.read(spark, f"{path}/{t}").where(inside) for t in KEPT)
-    counted = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.count_distinct("activity_date").alias("days"))
-    parts = who.groupBy(*keys, "part").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("speakers")).groupBy(*names).agg(F.sum("speakers").alias("speakers"))
+    day, month = F.col("activity_date"), F.col("month")
+    low, high = start or "0000-01-01", end or "9999-12-31"
+    # A month is whole if the range has its first and its last possible day.
+    whole = (F.concat(month, F.lit("-01")) >= low) & (F.concat(month, F.lit("-31")) <= high)
+    names = (["period"] if period_of else []) + ([by] if by else [])
+    of_day, of_month = ([period(c, period_of).alias("period")] if period_of else [] for c in ("activity_date", "month"))
+    rows = sinks.read(spark, f"{path}/cube").where(day.isNotNull() & day.between(low, high))
+    counted = rows.groupBy(*of_day, *names[len(of_day) :]).agg(F.sum("n").alias("n"), F.count_distinct("activity_date").alias("days"))
+    cut = sinks.read(spark, f"{path}/speaker_days").where(day.between(low, high)).withColumn("month", F.substring("activity_date", 1, 7)).where(~whole)
+    bits = sinks.read(spark, f"{path}/speakers").where(whole).unionByName(month_bits(cut))
+    parts = bits.groupBy(*of_month, *names[len(of_month) :], "part").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("speakers")).groupBy(*names).agg(F.sum("speakers").alias("speakers"))
     if not names:
         return counted.join(F.broadcast(parts)).select("n", F.coalesce("speakers", F.lit(0)).alias("speakers"), "days")
     parts = parts.select(*(F.col(n).alias(f"__{n}") for n in names), "speakers")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import stored  # noqa: F401  adds its queries
+from .plans import branches, stored  # noqa: F401  they add their queries
 from .plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
