@@ -29,12 +29,12 @@ def affiliated(persons: DataFrame, speeches: DataFrame, at_least: int = 10) -> D
     return P.small_to_other(joined, "politicalGroup", at_least).select(persons.columns)
 
 
-def person_dataset(speeches: DataFrame, api: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(persons, speeches, linked speeches before new persons were made) from the records of all terms (identifier, term, label, ...): links are cleared and made anew, and speakers without a record become persons."""
+def person_dataset(speeches: DataFrame, api: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(persons, speeches, linked speeches before new persons were made) from the records of all terms (identifier, term, label, ...): links are cleared and made anew, and speakers without a record become persons. `keep` may store what is used several times."""
     known = conform(P.merged_terms(api).withColumns({"id": F.col("identifier").cast("long"), "source": F.lit("api")}), PERSONS)
     known = known.select(*(p.split()[0] for p in PERSONS.split(", ")))
-    linked = P.link_speeches(R.unlinked(speeches), known)
-    made = conform(P.missing_persons(linked, known).drop("n"), PERSONS)
+    linked = keep(P.link_speeches(R.unlinked(speeches), known))
+    made = keep(conform(P.missing_persons(linked, known).drop("n"), PERSONS))
     everyone = known.unionByName(made)
     # A new person's speeches are those whose speaker has the same first and last word as its name.
     return everyone, P.link_ends(P.link_speeches(linked, everyone), made), linked
@@ -43,16 +43,21 @@ def person_dataset(speeches: DataFrame, api: DataFrame) -> tuple[DataFrame, Data
 def persons(spark: SparkSession, path: str, api: DataFrame, more: dict[str, str] | None = None, at_least: int = 10) -> dict[str, int]:
     """The person dataset of the tables under `path` anew: links, new persons, groups and affiliations; counts of what was done."""
     speeches = sinks.read(spark, f"{path}/speeches")
-    everyone, again, linked = person_dataset(speeches, api)
+
+    def keep(df: DataFrame) -> DataFrame:
+        return sinks.prepare(df, f"{path}/persons").rows()  # never published: vacuum() clears it away
+
+    everyone, again, linked = person_dataset(speeches, api, keep)
     unlinked = speeches.where("mep_id is not null").count()
     n_linked = linked.where("mep_id is not null").count()
-    sinks.write(everyone, f"{path}/persons")
-    sinks.write(normalise_groups(again, more=more).select(speeches.columns), f"{path}/speeches", key="sitting_id")
-    # Affiliations follow the speeches as they are stored now.
-    sinks.write(affiliated(sinks.read(spark, f"{path}/persons"), sinks.read(spark, f"{path}/speeches"), at_least), f"{path}/persons")
+    said = sinks.prepare(normalise_groups(again, more=more).select(speeches.columns), f"{path}/speeches", key="sitting_id")
+    # Affiliations follow the new speeches; both tables change together once all is written.
+    known = sinks.prepare(affiliated(everyone, said.rows(), at_least), f"{path}/persons")
+    said.publish()
+    known.publish()
     stored = sinks.read(spark, f"{path}/persons")
     by_source = {r["source"]: r["count"] for r in stored.groupBy("source").count().collect()}
-    total = sinks.read(spark, f"{path}/speeches").where("mep_id is not null").count()
+    total = said.rows().where("mep_id is not null").count()
     return {"unlinked": unlinked, "api": by_source.get("api", 0), "linked": n_linked, "created": by_source.get("historic", 0), "linked_to_created": total - n_linked}
 
 

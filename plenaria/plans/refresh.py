@@ -16,6 +16,7 @@ from plenaria.operators import relational as R
 from plenaria.operators.persons import link_speeches
 from plenaria.plans import mart
 from plenaria.schema import SITTINGS, SPEECHES, conform
+from plenaria.settings import settings
 from plenaria.sources import sinks
 
 #: Titles of a batch to (macro_topic, specific_focus, confidence), one row each, in their order.
@@ -40,8 +41,10 @@ def by_keywords(titles: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"macro_topic": topics, "specific_focus": titles, "confidence": [0.8 if p else 0.3 for p in procedural]})
 
 
-def classify_topics(titles: DataFrame, classifier: Classifier = by_keywords, batch: int = 20, fallback: str = PROCEDURAL) -> DataFrame:
-    """(title, macro_topic, specific_focus, confidence) of distinct titles, in batches; a batch that fails gets the fallback at 0.2, a missing answer at 0.3."""
+def classify_topics(titles: DataFrame, classifier: Classifier = by_keywords, batch: int | None = None, fallback: str = PROCEDURAL) -> DataFrame:
+    """(title, macro_topic, specific_focus, confidence) of distinct titles, in batches (of the deployment's size, if none is given); a batch that fails gets the fallback at 0.2, a missing answer at 0.3."""
+
+    batch = batch or settings(titles.sparkSession).topic_batch
 
     def answer(some: list[str]) -> pd.DataFrame:
         try:
@@ -92,14 +95,16 @@ def new_topics(classified: DataFrame, known: DataFrame) -> DataFrame:
     return names.join(known.select(F.lower(F.trim("name")).alias("key")).distinct(), F.lower(F.trim("name")) == F.col("key"), "left_anti")
 
 
-def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str, until: str, classifier: Classifier = by_keywords, everything: bool = False) -> dict[str, int]:
-    """Bring the tables under `path` up to date from pages (sitting_id, activity_date, html); counts of what was done.
+def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str | None, until: str, classifier: Classifier = by_keywords, everything: bool = False) -> dict[str, int]:
+    """Bring the tables under `path` (None: the deployment's folder) up to date from pages (sitting_id, activity_date, html); counts of what was done.
 
     Works on new days, and on known ones that have no speeches or some without a topic;
     `everything` does all days again. Sittings and speeches are replaced by sitting, and
     the mart reads the buckets again that have changed. Pages that aren't transcripts are
     counted as failed, logged in the table `failures` and left for the next run.
     """
+    own = settings(spark)
+    mart_path, path = (own.mart, own.tables) if path is None else (f"{path}/mart", path)
     sittings, speeches = f"{path}/sittings", f"{path}/speeches"
     wanted = pages_of.where(F.col("activity_date") <= until)
     if not everything and sinks.exists(spark, sittings):
@@ -115,5 +120,5 @@ def run(spark: SparkSession, pages_of: DataFrame, persons: DataFrame, path: str,
         made = conform(enriched(speeches_of(good.select("sitting_id", "html")), persons, classifier), SPEECHES).select(*SPEECH_COLUMNS)
         sinks.replace_sittings(made, speeches, by_key=True)
         sinks.upsert(conform(stored, SITTINGS), sittings, by_key=True)
-        mart.refresh(spark, speeches, sittings, f"{path}/mart")
+        mart.refresh(spark, speeches, sittings, mart_path)
     return {"asked": asked, "processed": usable, "failed": asked - usable}

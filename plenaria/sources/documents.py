@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from plenaria.functions.columns import TERMS
+from plenaria.settings import settings
 from plenaria.sources import sinks
 
 DOCUMENT = "https://www.europarl.europa.eu/doceo/document/CRE-{term}-{day}_EN.html"
@@ -100,7 +101,7 @@ class DaySource(DataSource):
 def day_documents(spark: SparkSession, first: str, last: str, **options) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DaySource)
-    return spark.read.format("day_documents").options(first=first, last=last, **options).load()
+    return spark.read.format("day_documents").options(first=first, last=last, **({"tries": settings(spark).tries} | options)).load()
 
 
 class Page(InputPartition):
@@ -216,6 +217,8 @@ def follow(spark: SparkSession, urls: list[str], schema: str, path: str, **optio
     tables take a batch once, by its number.
     """
     spark.dataSource.register(PageSource)
+    own = settings(spark)
+    options = {"page_size": own.page_size, "tries": own.tries} | options
     full = f"{schema}, failure string"
     stream = spark.readStream.format("record_pages").schema(full).options(urls=",".join(urls), **options).load()
     pages = F.from_json("failure", "array<string>")

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from plenaria.functions.columns import document_url, looks_like_page
 from plenaria.schema import SITTINGS, SPEECHES, conform
+from plenaria.settings import settings
 
 
 class Pages(InputPartition):
@@ -85,12 +86,16 @@ class PagedSource(DataSource):
 
 
 def paged(spark: SparkSession, urls: list[str], schema: str, **options) -> DataFrame:
+    """The pages of addresses; page size and tries are the deployment's (settings.py) where no option says otherwise."""
     spark.dataSource.register(PagedSource)
+    own = settings(spark)
+    options = {"page_size": own.page_size, "tries": own.tries} | options
     return spark.read.format("paged_json").schema(schema).options(urls=",".join(urls), **options).load()
 
 
-def taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """(name, ordinal) of a JSON array of strings; empty where the file is missing or isn't one."""
+def taxonomy(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(name, ordinal) of a JSON array of strings (the deployment's taxonomy, if no other is named); empty where the file is missing or isn't one."""
+    path = path or settings(spark).taxonomy
     try:
         text = spark.read.text(path, wholetext=True)
     except Exception as e:

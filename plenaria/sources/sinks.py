@@ -16,6 +16,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,19 +121,36 @@ def _store(df: DataFrame, path: str, by: str | None, partition_by: str | None =
     return name, sorted(found), df.schema.json()
 
 
+@dataclass
+class Prepared:
+    """New content of a table that is written but not the table's yet. Several tables are prepared first and then published one right after the other, so that a failure on the way leaves all as they were."""
+
+    spark: SparkSession
+    path: str
+    commit: Commit
+
+    def rows(self) -> DataFrame:
+        return rows(self.spark, self.path, self.commit)
+
+    def publish(self) -> None:
+        made = self.commit
+        commits.commit(self.spark, self.path, None, lambda now: Commit(now.number + 1, made.by, made.key, made.parts, made.schemas, now.done | made.done))
+
+
+def prepare(df: DataFrame, path: str, partition_by: str | None = None, by: str | None = None, key: str | None = None, done: dict[str, int] | None = None) -> Prepared:
+    """Write `df` beside the table; see write()."""
+    by = bucket_of(key) if key is not None and by is None else by
+    folder, found, schema = _store(df, path, by, partition_by)
+    return Prepared(df.sparkSession, path, Commit(0, by, key, {b: [folder] for b in found}, {folder: schema}, done or {}))
+
+
 def write(df: DataFrame, path: str, partition_by: str | None = None, by: str | None = None, key: str | None = None, done: dict[str, int] | None = None) -> None:
     """`df` as the table's new content; what was there before stays until vacuum().
 
     `by` is the layout: an expression over the columns with few values. With `key`
     and no `by` it is bucket_of(key). `done` are numbers to keep with it.
     """
-    by = bucket_of(key) if key is not None and by is None else by
-    folder, found, schema = _store(df, path, by, partition_by)
-
-    def change(now: Commit) -> Commit:
-        return Commit(now.number + 1, by, key, {b: [folder] for b in found}, {folder: schema}, now.done | (done or {}))
-
-    commits.commit(df.sparkSession, path, None, change)
+    prepare(df, path, partition_by, by, key, done).publish()
 
 
 def append(df: DataFrame, path: str, once: tuple[str, int] | None = None) -> bool:

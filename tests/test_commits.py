@@ -159,3 +159,13 @@ def test_a_stream_rewrites_only_what_it_brings(spark, tmp_path):
     counts.refresh_sittings(spark.readStream.schema(said.schema).parquet(str(source / "*")), table, str(tmp_path / "state")).awaitTermination()
     assert sinks.read(spark, table).count() == 900 and sinks.read(spark, table).where("id = 5010").count() == 1
     assert {f.split("__bucket=")[1][:7] for f in files(table) - before} == {"1999-07"}
+
+
+def test_prepared_tables_change_together(spark, tmp_path):
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    sinks.write(sittings(spark, 3), a)
+    one, two = sinks.prepare(sittings(spark, 5), a, key="id"), sinks.prepare(sittings(spark, 7), b)
+    assert sinks.read(spark, a).count() == 3 and not sinks.exists(spark, b) and one.rows().count() == 5
+    one.publish()
+    two.publish()
+    assert sinks.read(spark, a).count() == 5 and sinks.read(spark, b).count() == 7 and sinks.state(spark, a).key == "id"

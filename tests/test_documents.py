@@ -128,3 +128,15 @@ def test_failed_pages_are_kept_and_asked_for_again(spark, site, tmp_path):
     Site.broken = set()
     assert go() == {"records": 38, "failed": 0} == go()
     assert sorted(int(r["identifier"][1:]) for r in sinks.read(spark, f"{tmp_path}/records").collect()) == list(range(38))
+
+
+def test_settings_decide_what_no_option_does(spark, site):
+    Site.totals = {"/a": 25}
+    spark.conf.set("spark.plenaria.page_size", "5")
+    try:
+        assert records.paged(spark, [f"{site}/a"], "identifier string", pause=0.0).count() == 25
+        assert {p.split("limit=")[1].split("&")[0] for p in Site.asked} == {"5"}
+        Site.asked = []
+        assert records.paged(spark, [f"{site}/a"], "identifier string", pause=0.0, page_size=20).count() == 25 and len(Site.asked) == 2
+    finally:
+        spark.conf.unset("spark.plenaria.page_size")
