@@ -116,3 +116,25 @@ def speech_parse_openings(s, d):
     rows = rows.withColumn("speech_content", F.concat(head, F.lit(". – "), text))
     made = transcripts.parse_speeches(conversation.combined(rows, "\n"))
     return made.select("sitting_id", "speech_order", "speaker_name", "political_group", "title", F.length("speech_content").alias("n"))
+
+
+CLEAN = "trim(regexp_replace(regexp_replace(replace(speech_content, '–', '-'), '[<>&]', ' ', 'g'), '[ \\t\\n\\r\\f\\v ]+', ' ', 'g'))"
+NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower(said)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _pages(s, d):
+    """A page for each conversation, with one agenda entry and its turns as speeches."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("speech_content", "–", "-"), "[<>&]", " "), "[\\s ]+", " "))
+    rows = views.turns(s, d).withColumn("said", text).where("said <> ''")
+    line = F.concat(F.initcap("speaker_name"), F.lit(" (PPE). – "), "said")
+    spoken = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("speech_order", line.alias("line")))), lambda x: x["line"]), "<br>\n")
+    head = F.concat(F.lit('<html><body><table><tr><td class="doc_title"><img src="arrow_title_doc.gif">1. Topic number '), "sitting_id", F.lit(" (debate)</td></tr></table>\n"))
+    return rows.groupBy("sitting_id").agg(F.concat(head, spoken, F.lit("<br>\n<!-- " + "z" * 500 + " --></body></html>")).alias("html"))
+
+
+@query("page_to_speeches", f"""cleaned AS (SELECT sitting_id, speech_order, upper(substr(speaker_name, 1, 1)) || substr(speaker_name, 2) AS speaker_name, {CLEAN} AS said FROM turns)
+  SELECT sitting_id, CAST(row_number() OVER (PARTITION BY sitting_id ORDER BY speech_order) AS INT) AS speech_order, speaker_name, 'PPE' AS political_group, length(said) AS n,
+  CASE WHEN length({NORM}) >= 50 THEN 'Topic number ' || sitting_id END AS topic FROM cleaned WHERE said <> ''""")
+def page_to_speeches(s, d):
+    """Pages to speeches with the agenda entry each belongs to: main text, segmentation, sections and matching in one."""
+    return refresh.speeches_of(_pages(s, d)).select("sitting_id", "speech_order", "speaker_name", "political_group", F.length("speech_content").alias("n"), "topic")
