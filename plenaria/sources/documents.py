@@ -99,6 +99,7 @@ class DaySource(DataSource):
 
 
 def day_documents(spark: SparkSession, first: str, last: str, **options) -> DataFrame:
+    """The documents of a range of days. Turns on the session's setting by which Python sources see filters."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DaySource)
     return spark.read.format("day_documents").options(first=first, last=last, **({"tries": settings(spark).tries} | options)).load()
