@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenaria.operators.containment import contained
+from plenaria.streaming.counts import scratch
 
 from .columns import trimmed
 from .groups import search_text
@@ -66,17 +67,24 @@ def parse_speeches(sittings: DataFrame, key: str = "sitting_id", content: str =
     )
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """`df` written to the shared folder: it is read several times, and made of pages that take long to parse."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def match_sections(speeches: DataFrame, sections: DataFrame, key: str = "sitting_id", least: float = 0.08) -> DataFrame:
     """Speeches with section (title, docIdentifier, score): the first section that contains a snippet, else the one with most of the words.
 
     sections: (key, ordinal, title, docIdentifier, text). Within a sitting, the speeches' words and snippets are looked
     up in an index of its sections' words and of their grams; a speech meets the sections that have one of its words,
-    never their texts. `least` is above 0.
+    never their texts. Compared texts are written to the shared folder first. `least` is above 0.
     """
-    listed = sections.select(key, "ordinal", "title", "docIdentifier", search_text("text").alias("norm"))
+    listed = _stored(sections.select(key, "ordinal", "title", "docIdentifier", search_text("text").alias("norm")), "sections")
     twice = [F.xxhash64("said").alias("__h"), F.xxhash64(F.lit(1), F.col("said")).alias("__i")]
     rows = speeches.withColumn("said", search_text("speech_content")).select("*", *twice)
-    asked = rows.where(F.length("said") >= 50).select(key, "__h", "__i", "said").dropDuplicates([key, "__h", "__i"])
+    asked = _stored(rows.where(F.length("said") >= 50).select(key, "__h", "__i", "said").dropDuplicates([key, "__h", "__i"]), "speeches")
     words = F.array_distinct(F.filter(F.split("said", " "), lambda w: w != ""))
     asked = asked.withColumn("words", words).withColumn("size", F.greatest(F.size("words"), F.lit(1)))
     by_word = asked.select(key, "__h", "__i", "size", F.explode("words").alias("form")).where(F.length("form") > 3)

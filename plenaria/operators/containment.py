@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grams(c: Column, q: Column) -> Column:
-    """The distinct substrings of `q` characters of a text that has so many."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substr(c, i, q)))
+def grams(c: Column, q: int) -> Column:
+    """The distinct substrings of `q` characters, in one linear pass: a pattern that matches nothing looks ahead at each place."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
 def contained(forms: DataFrame, texts: DataFrame, within: Sequence[str] = (), q: int = 4) -> DataFrame:
@@ -29,12 +29,13 @@ def contained(forms: DataFrame, texts: DataFrame, within: Sequence[str] = (), q:
     # Grams of all sizes are made only where there are forms as short as that.
     short = forms.where(F.length("form") < q).withColumn("q", F.length("form"))
     sizes = short.groupBy(*keys).agg(F.collect_set("q").alias("sizes"))
+    by_size = F.coalesce(*(F.when(F.col("q") == n, grams(F.col("text"), n)) for n in range(1, q)), F.array().cast("array<string>"))
     spread = texts.join(sizes, keys) if keys else texts.join(F.broadcast(sizes))
-    places = spread.withColumn("q", F.explode("sizes")).where(F.length("text") >= F.col("q")).select(*keys, "text", F.explode(grams(F.col("text"), F.col("q"))).alias("form"))
+    places = spread.withColumn("q", F.explode("sizes")).where(F.length("text") >= F.col("q")).select(*keys, "text", F.explode(by_size).alias("form"))
     exact = places.join(short.drop("q"), [*keys, "form"]).select(*keys, "form", "text")
-    index = texts.where(F.length("text") >= q).select(*keys, "text", F.explode(grams(F.col("text"), F.lit(q))).alias("gram"))
+    index = texts.where(F.length("text") >= q).select(*keys, "text", F.explode(grams(F.col("text"), q)).alias("gram"))
     held = index.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
-    asked = forms.where(F.length("form") >= q).select(*keys, "form", F.explode(grams(F.col("form"), F.lit(q))).alias("gram"))
+    asked = forms.where(F.length("form") >= q).select(*keys, "form", F.explode(grams(F.col("form"), q)).alias("gram"))
     rarest = asked.join(held, [*keys, "gram"], "left").groupBy(*keys, "form").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("gone"))
     near = rarest.where("gone = 0").join(index, [*keys, "gram"]).where(F.contains("text", F.col("form"))).select(*keys, "form", "text")
     return near.unionByName(exact)
