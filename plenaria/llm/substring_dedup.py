@@ -26,15 +26,17 @@ The parse needs no suffix array of its own: as no string reaches over its phrase
 the phrases that follow can't tell two equal suffixes apart, and corpus order is theirs
 by place.
 
-Copies inside a batch of documents are folded before the shuffle. A trigger that
-very many different phrases share (a common passage in many contexts) is hot: its
-phrases are dealt by their own hash in step 3. In step 4 its suffixes are dealt by bands of how far
-they start before the trigger, together with the bytes that all strings of the band
-have in common, which equal strings agree on; equal suffixes of a band are folded before that
-shuffle. Each task counts triggers by a frequent-items summary that
-misses none with over 1 / `most` of its phrases, so a trigger that isn't known as hot has no
-more than that share of all phrases. What is hot only decides the dealing, never the
-result. Equal phrases are found by two 64-bit hashes (trigger and phrase), equal strings by their bytes.
+Copies inside a batch of documents are folded before the shuffle. A trigger of `often`
+phrases or more (a common passage in many contexts) is hot, by an exact count over the stored
+parse. In step 3 the first of its equal phrases is a minimum that each task takes
+before the shuffle. In step 4 its suffixes are dealt by bands of how far they start before
+the trigger, together with the bytes that all strings of the band have in common, which
+equal strings agree on; where over `most` different pieces share these (a passage that is followed by
+something else in each document), their strings are dealt one by one, by their own
+hashes. Equal pieces and strings are folded before that shuffle. So at any size of the corpus a group
+has fewer than `often` phrases or `most` pieces, or is one string, one row for each 100,000 of a
+task. What is hot only decides the dealing, never the result. Equal phrases are found by
+two 64-bit hashes (trigger and phrase), equal strings by their bytes.
 
 Nulls: a null text has no bytes; null doc_ids come last. Documents that share a
 doc_id are ordered by a hash of their texts; rows that repeat doc_id and text stand
@@ -127,29 +129,12 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", "doc", F.coalesce("sub", F.lit(0)).alias("sub"))
 
 
-def _hot(docs: DataFrame, length: int, gram: int, often: int, most: int) -> np.ndarray:
-    """Triggers of `often` phrases or more by the sum of the tasks' summaries; none with over 1 / `most` of all phrases is missed. There are at most `most` of them."""
+def hot_triggers(fresh: DataFrame, often: int) -> DataFrame:
+    """(trigger): triggers of `often` phrases or more, counted exactly; sums by task go before the shuffle."""
+    return fresh.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") >= often).select("trigger")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Misra and Gries: as soon as there are too many counters, the smallest are taken from all.
-        value, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for some in small([batch], 500):
-                found = [t for b in blobs(some.column(0)) for _, t, _, _ in triggers(b, length, gram)]
-                new, more = np.unique(np.concatenate(found), return_counts=True) if found else (value[:0], n[:0])
-                both, at = np.unique(np.concatenate([value, new]), return_inverse=True)
-                sums = np.bincount(at, np.concatenate([n, more]), len(both)).astype(np.int64)
-                if len(both) > most:
-                    sums -= np.partition(sums, len(sums) - most - 1)[len(sums) - most - 1]
-                value, n = both[sums > 0], sums[sums > 0]
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["trigger", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
-    rows = counted.orderBy(F.desc("n"), "trigger").limit(most).collect()
-    return np.sort(np.array([r["trigger"] for r in rows], np.int64))
-
-
-def parse(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame:
+
+def parse(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """The phrases of all documents (PHRASE); copies inside a batch are REPEAT already, as long runs of starts."""
 
     def fold(doc: list, sub: list, parts: list) -> pa.RecordBatch:
@@ -161,7 +146,7 @@ def parse(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame
         same = (trigger[order][1:] == trigger[order][:-1]) & (phrase[order][1:] == phrase[order][:-1])
         repeat = np.zeros(len(at), bool)
         repeat[order[1:][same]] = True
-        kind = np.where(repeat, REPEAT, np.where(np.isin(trigger, hot), HOT, FRESH)).astype(np.int32)
+        kind = np.where(repeat, REPEAT, FRESH).astype(np.int32)
         # Repeats that follow each other become one run.
         opens = repeat.copy()
         opens[1:] &= ~(repeat[:-1] & (doc[1:] == doc[:-1]) & (sub[1:] == sub[:-1]) & (at[1:] == at[:-1] + n[:-1]))
@@ -171,9 +156,7 @@ def parse(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame
             n = n.copy()
             n[heads] = np.add.reduceat(total, heads)
         keep = ~repeat | opens
-        # A repeat waits for nothing: a trigger of its own deals it out alone.
-        alone = ((doc * np.int64(31) + at) * np.int64(0x1E3779B97F4A7C15)) ^ sub
-        columns = (kind, np.where(repeat, alone, trigger), np.where(repeat, 0, phrase), doc, sub, at, n)
+        columns = (kind, np.where(repeat, 0, trigger), np.where(repeat, 0, phrase), doc, sub, at, n)
         return pa.RecordBatch.from_arrays([pa.array(c[keep], t) for c, t in zip(columns, P_TYPES)], P_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,32 +175,35 @@ def parse(docs: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame
     return docs.select("doc", "sub", "text").mapInArrow(run, PHRASE)
 
 
-def dictionary(parsed: DataFrame) -> DataFrame:
-    """PHRASE rows: REPEAT for starts that are repeats for sure; the rest are entries whose suffixes must be compared.
+def dictionary(cold: DataFrame) -> DataFrame:
+    """PHRASE rows of triggers that aren't hot: REPEAT for starts that are repeats for sure; the rest are entries whose suffixes must be compared.
 
-    Phrases are dealt by trigger (hot ones by trigger and phrase) and sorted; the
-    first of equal phrases is the entry. An entry alone in its trigger is no repeat.
+    Phrases are dealt by trigger and sorted; the first of equal phrases is the entry. An entry alone in its trigger is no repeat.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A hot trigger's entries all go on, so its groups may end where the phrase changes, a plain one's where the trigger does.
         for table in whole_groups(batches, ["trigger"]):
-            c = [table.column(x).to_numpy() for x in P_NAMES]
-            kind, trigger, phrase = c[:3]
-            made = kind == REPEAT
+            trigger, phrase = (table.column(x).to_numpy() for x in ("trigger", "phrase"))
             new_trigger = np.append(True, trigger[1:] != trigger[:-1])
-            new_phrase = new_trigger | np.append(True, phrase[1:] != phrase[:-1])
-            entry = new_phrase & ~made
+            entry = new_trigger | np.append(True, phrase[1:] != phrase[:-1])
             group = np.cumsum(new_trigger) - 1
-            many = np.bincount(group[entry], minlength=group[-1] + 1) > 1
-            further = entry & (many[group] | (kind == HOT))
-            out_kind = np.where(entry, kind, REPEAT).astype(np.int32)
-            keep = ~entry | further
-            columns = [out_kind, np.where(further, trigger, 0), np.where(further, phrase, 0), *c[3:]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip(columns, P_TYPES)], P_NAMES)
+            further = entry & (np.bincount(group[entry], minlength=group[-1] + 1) > 1)[group]
+            columns = [np.where(entry, FRESH, REPEAT), *(np.where(further, x, 0) for x in (trigger, phrase)), *(table.column(x).to_numpy() for x in P_NAMES[3:])]
+            yield pa.RecordBatch.from_arrays([pa.array(x[~entry | further], t) for x, t in zip(columns, P_TYPES)], P_NAMES)
 
-    deal = F.when(F.col("kind") == HOT, F.xxhash64("trigger", "phrase")).otherwise(F.col("trigger"))
-    return parsed.repartition(deal).sortWithinPartitions("trigger", "phrase", "doc", "sub", "at").mapInArrow(run, PHRASE)
+    return cold.repartition("trigger").sortWithinPartitions("trigger", "phrase", "doc", "sub", "at").mapInArrow(run, PHRASE)
+
+
+def hot_dictionary(warm: DataFrame) -> DataFrame:
+    """PHRASE rows of hot triggers, by `dictionary`'s rule; here all entries go on, as HOT.
+
+    The first of equal phrases is a minimum, taken by task before the shuffle and written: both
+    sides of the join are plain shuffles, so that the copies of one phrase are split among tasks.
+    """
+    first = stored(warm.groupBy("trigger", "phrase").agg(F.min(F.struct("doc", "sub", "at")).alias("first")), "substring-first")
+    entry = (F.col("doc") == F.col("first.doc")) & (F.col("sub") == F.col("first.sub")) & (F.col("at") == F.col("first.at"))
+    judged = warm.join(first, ["trigger", "phrase"]).withColumn("kind", F.when(entry, HOT).otherwise(REPEAT))
+    return judged.select(P_NAMES)
 
 
 def _pressed(docs: DataFrame) -> DataFrame:
@@ -258,8 +244,8 @@ def _places(doc: np.ndarray, sub: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, P_TYPES[3:])], P_NAMES[3:])
 
 
-def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, sub, at, n): starts of the entries whose string stands in an earlier entry."""
+def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int, most: int | None) -> DataFrame:
+    """(doc, sub, at, n): starts of the entries whose string stands in an earlier entry; where `most` is None, no entry is HOT."""
     # n is 0 for strings to compare, and the number of starts for a run that is known to repeat.
     schema = "trigger long, salt long, doc long, sub int, at long, n int, bytes binary"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -267,13 +253,17 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int)
     wide = -(-(length - gram + 1) // SALTS)
 
     def folded(rows: list[tuple]) -> pa.RecordBatch:
-        # Of equal pieces of a hot trigger the earliest goes on.
+        # Of equal pieces of a hot trigger the earliest goes on; the others become runs of repeats.
         seen: set[tuple] = set()
-        out = []
+        out: list[tuple] = []
         for row in sorted(rows, key=lambda x: x[2:5]):
             trigger, salt, doc, sub, at, _, data = row
             if salt and (trigger, salt, data) in seen:
-                row = (xxhash.xxh3_64_intdigest(b"%d %d" % (doc, at)) >> 1, 0, doc, sub, at, len(data) - length + 1, b"")
+                n, last = len(data) - length + 1, out[-1]
+                if last[5] and last[2:4] == (doc, sub) and last[4] + last[5] == at:
+                    out[-1] = (*last[:5], last[5] + n, b"")
+                    continue
+                row = (xxhash.xxh3_64_intdigest(b"%d %d" % (doc, at)) >> 1, 0, doc, sub, at, n, b"")
             elif salt:
                 seen.add((trigger, salt, data))
             out.append(row)
@@ -304,6 +294,19 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int)
         if rows:
             yield folded(rows)
 
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Each string of a piece by itself, dealt by its own hash.
+        rows: list[tuple] = []
+        for batch in small(batches):
+            for trigger, _, doc, sub, at, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+                strings = (data[i : i + length] for i in range(len(data) - length + 1))
+                rows += [(trigger, xxhash.xxh3_64_intdigest(x) >> 1 | 1, doc, sub, at + i, 0, x) for i, x in enumerate(strings)]
+            if len(rows) > 100_000:
+                yield folded(rows)
+                rows = []
+        if rows:
+            yield folded(rows)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["trigger", "salt"], 20_000):
             sure = pc.greater(table.column("n"), 0)
@@ -327,19 +330,35 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int)
 
     asked = entries.groupBy("doc", "sub").agg(F.collect_list(F.struct("kind", "trigger", "at", "n")).alias("asked"))
     fetched = _pressed(docs).join(asked, ["doc", "sub"]).select("doc", "sub", "data", "asked").mapInArrow(fetch, schema)
+    if most is not None:
+        fetched = stored(fetched, "substring-pieces")
+        crowded = fetched.where("salt <> 0").groupBy("trigger", "salt").agg(F.count("*").alias("pieces")).where(F.col("pieces") > most)
+        crowded = stored(crowded.select("trigger", "salt"), "substring-crowded")
+        if not crowded.isEmpty():
+            keys = ["trigger", "salt"]
+            fetched = fetched.join(crowded, keys, "left_anti").select(names).union(fetched.join(crowded, keys, "left_semi").select(names).mapInArrow(apart, schema))
     return fetched.repartition("trigger", "salt").sortWithinPartitions("trigger", "salt").mapInArrow(compare, "doc long, sub int, at long, n int")
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, often: int = 1000, most: int = 4096) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): the removed spans of each row (bytes, end exclusive, maximal) and the bytes it keeps."""
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, often: int = 1000, most: int = 256) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept): the removed spans of each row (bytes, end exclusive, maximal) and the bytes it keeps.
+
+    A trigger of `often` phrases is hot; more than `most` pieces with the same bytes around a hot trigger are dealt string by string.
+    """
     ordered = _ordered(docs)
     once = ordered
     if not ordered.groupBy("doc", "sub").count().where("count > 1").isEmpty():
         once = stored(ordered.dropDuplicates(["doc", "sub"]), "substring-texts")
-    hot = _hot(once, length, gram, often, most)
-    known = stored(dictionary(parse(once, hot, length, gram)), "substring-dictionary")
-    more = suffix_repeats(known.where(F.col("kind") != REPEAT), once, length, gram)
-    repeats = known.where(F.col("kind") == REPEAT).select("doc", "sub", "at", "n").union(more)
+    parsed = stored(parse(once, length, gram), "substring-parse")
+    cold = parsed.where(F.col("kind") == FRESH)
+    hot = stored(hot_triggers(cold, often), "substring-hot")
+    some = not hot.isEmpty()
+    known = dictionary(cold.join(hot, "trigger", "left_anti").select(P_NAMES) if some else cold)
+    if some:
+        known = known.union(hot_dictionary(cold.join(hot, "trigger", "left_semi").select(P_NAMES)))
+    known = stored(known, "substring-dictionary")
+    more = suffix_repeats(known.where(F.col("kind") != REPEAT), once, length, gram, most if some else None)
+    repeats = parsed.union(known).where(F.col("kind") == REPEAT).select("doc", "sub", "at", "n").union(more)
     runs = repeats.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -260,12 +260,42 @@ def test_frequent_triggers_are_never_missed(spark):
     rng = random.Random(3)
     common = "".join(rng.choices("abcdefgh", k=120))
     texts = ["".join(rng.choices("ijklmnop", k=150)) + common + "".join(rng.choices("ijklmnop", k=150)) for _ in range(200)]
-    docs = frame(spark, texts, partitions=20).select("text")
-    found = set(substring_dedup._hot(docs, 100, 24, 100, 64).tolist())
+    docs = substring_dedup._ordered(frame(spark, texts, partitions=20))
+    found = {r["trigger"] for r in substring_dedup.hot_triggers(substring_dedup.parse(docs, 100, 24), 100).collect()}
     inside = [int(t) for _, trigger, _, _ in substring_dedup.triggers(common.encode(), 100, 24) for t in trigger.view(np.int64)]
     assert set(inside) <= found
 
 
+@pytest.mark.parametrize("size", [95, 105, 150, 260])
+def test_no_group_of_a_common_passage_is_large(spark, monkeypatch, size):
+    """A passage in 2,000 documents with different surroundings: whatever is compared together has at most a twentieth of all pieces, and results stay."""
+    rng = random.Random(size)
+    passage = "".join(rng.choices("abcdefgh ", k=size))
+    texts = ["".join(rng.choices("abcdefghij", k=120)) + passage + "".join(rng.choices("abcdefghij", k=120)) for _ in range(2000)]
+    made, kind = [], type(spark.range(1))
+    repartition = kind.repartition
+
+    def noted(df, *keys):
+        if keys == ("trigger", "salt"):
+            made.append(df)
+        return repartition(df, *keys)
+
+    monkeypatch.setattr(kind, "repartition", noted)
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in substring_dedup.dedup_substrings(frame(spark, texts, partitions=4)).collect()}
+    groups = [r["count"] for r in made[-1].where("n = 0").groupBy("trigger", "salt").count().collect()]
+    assert max(groups) <= 0.05 * sum(groups)
+    seen: set[bytes] = set()
+    for i, text in enumerate(t.encode() for t in texts):
+        mark = np.zeros(len(text) + 1, np.int64)
+        for at in range(len(text) - 99):
+            piece = text[at : at + 100]
+            if piece in seen:
+                mark[at], mark[at + 100] = mark[at] + 1, mark[at + 100] - 1
+            seen.add(piece)
+        edge = np.flatnonzero(np.diff((np.cumsum(mark[:-1]) > 0).astype(np.int8), prepend=0, append=0))
+        assert found[i] == list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
