@@ -221,18 +221,31 @@ def _pressed(docs: DataFrame) -> DataFrame:
 def ranks(data: np.ndarray, length: int) -> np.ndarray:
     """By place: the rank of the `length` bytes from there on (zeros follow the end) among all of them, in order of their bytes; equal ones share it.
 
-    Prefix doubling: ranks of 8 bytes make those of 16, and so on; the last step overlaps.
+    Prefix doubling: ranks of 8 bytes make those of 16, and so on; the last step overlaps. A rank is the
+    number of smaller strings, so one that is alone in its rank stays as it is, and each step sorts the others only.
     """
     padded = np.concatenate([data, np.zeros(length, np.uint8)]).astype(np.uint64)
     size = 1
     while 2 * size <= min(8, length):
-        padded = (padded[:-size] << np.uint64(8 * size)) | padded[size:]
+        padded = (padded << np.uint64(8 * size)) | np.append(padded[size:], np.zeros(size, np.uint64))
         size *= 2
-    rank = np.unique(padded, return_inverse=True)[1]
-    while size < length:
+    total = len(padded)
+    order = np.argsort(padded)
+    head = np.append(True, padded[order[1:]] != padded[order[:-1]])
+    rank = np.empty(total, np.int64)
+    rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
+    rest = order[~(head & np.append(head[1:], True))]
+    while size < length and len(rest):
         step = min(size, length - size)
-        pair = rank[:-step] * np.int64(rank.max() + 1) + rank[step:]
-        rank, size = np.unique(pair, return_inverse=True)[1], size + step
+        key = rank[rest] * total + rank[np.minimum(rest + step, total - 1)]
+        order = np.argsort(key)
+        rest, key = rest[order], key[order]
+        old = rank[rest]
+        head = np.append(True, key[1:] != key[:-1])
+        first = np.append(True, old[1:] != old[:-1])
+        of = lambda opens: np.flatnonzero(opens)[np.cumsum(opens) - 1]
+        rank[rest] = old + of(head) - of(first)
+        rest, size = rest[~(head & np.append(head[1:], True))], size + step
     return rank[: len(data)]
 
 
@@ -308,10 +321,14 @@ def suffix_repeats(entries: DataFrame, docs: DataFrame, length: int, gram: int,
             yield folded(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["trigger", "salt"], 20_000):
+        for table in whole_groups(batches, ["trigger", "salt"], 10_000):
             sure = pc.greater(table.column("n"), 0)
             yield from table.filter(sure).select(P_NAMES[3:]).to_batches()
             table = table.filter(pc.invert(sure))
+            # A piece alone in its group repeats nothing: equal strings share trigger and salt, and inside a piece their places before the trigger differ.
+            trigger, salt = (table.column(c).to_numpy() for c in ("trigger", "salt"))
+            same = (trigger[1:] == trigger[:-1]) & (salt[1:] == salt[:-1])
+            table = table.filter(pa.array(np.append(same, False) | np.append(False, same))) if len(same) else table.slice(0, 0)
             if not table.num_rows:
                 continue
             doc, sub, at = (table.column(c).to_numpy() for c in ("doc", "sub", "at"))
