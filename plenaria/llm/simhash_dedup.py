@@ -368,30 +368,25 @@ def _classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors
             cut = np.flatnonzero((key[1:] != key[:-1]) | (blk[1:] != blk[:-1])) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
             found: list[tuple[int, int]] = []
-            left: list[np.ndarray] = []
+            trees: dict[int, np.ndarray] = {}
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
                 at = np.unique(node[s:e], return_index=True)[1] + s
                 links = index_forest(fp[at], near, at)
                 found += [(node[a], node[b]) for a, b in links]
-                if len(links) > 1:  # one link leaves no pair out
-                    left.append(np.unique(links))
+                for tree in unlinked(links):
+                    trees[xxhash.xxh3_64_intdigest(node[tree].tobytes())] = tree
             pairs = np.unique(np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1), axis=0)
-            rest = np.concatenate(left) if left else np.zeros(0, np.int64)
-            first = [x[0] for x in left]
-            of = lambda values: pa.ListArray.from_arrays(pa.array(bounds(np.array([len(x) for x in left], np.int64)), pa.int32()), pa.array(values))  # noqa: B023, E731
-            link = [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *(pa.nulls(len(pairs), t) for t in kinds[2:])]
-            open_ = [*(pa.nulls(len(left), t) for t in kinds[:2]), pa.array(key[first]), pa.array(blk[first]), of(node[rest]), of(fp[rest].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(link, names)
-            yield pa.RecordBatch.from_arrays(open_, names)
-
-    # Links (a, b), and the buckets (key, blk) whose forest left pairs out, each with its nodes and their fingerprints.
-    kinds = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
-    names = ["a", "b", "key", "blk", "nodes", "fps"]
+            rest = np.concatenate(list(trees.values())) if trees else np.zeros(0, np.int64)
+            name = np.repeat(np.array(list(trees), np.uint64).view(np.int64), [len(x) for x in trees.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *[pa.nulls(len(pairs), pa.int64())] * 3], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(rest), pa.int64())] * 2, pa.array(name), pa.array(node[rest]), pa.array(fp[rest].view(np.int64))], names)
+
+    # Links (a, b), and the nodes of trees that leave pairs out, one row each. Trees of the same nodes in several buckets are one.
+    names = ["a", "b", "key", "node", "fp"]
     keyed = nodes.select("node", "anchors", "segments", "fp").mapInArrow(keys, "key long, node long, fp long")
     met = _dealt(keyed, block).repartition("key", "blk").sortWithinPartitions("key", "blk")
-    met = stored(met.mapInArrow(search, "a long, b long, key long, blk long, nodes array<long>, fps array<long>"), "similar-met")
-    left = met.where("key IS NOT NULL").select("key", "blk", F.explode(F.arrays_zip("nodes", "fps")).alias("x"))
-    left = left.select("key", "blk", F.col("x.nodes").alias("node"), F.col("x.fps").alias("fp"))
+    met = stored(met.mapInArrow(search, "a long, b long, key long, node long, fp long"), "similar-met")
+    left = met.where("key IS NOT NULL").select("key", "node", "fp").distinct()
     # Written first: two Python functions in one stage would take two workers a core.
     sure = stored(verified(stored(met.where("key IS NULL").select("a", "b").distinct(), "similar-links"), texts, shingle, similarity), "similar-verified")
     roots = components(sure)
@@ -421,13 +416,13 @@ def alike(odd: Odds | np.ndarray, size: np.ndarray, one: int, others: np.ndarray
 
 
 def _open_pairs(left: DataFrame, nodes: DataFrame, roots: DataFrame, near: int, similarity: float, every: bool) -> DataFrame:
-    """(a, b): candidates in the buckets `left` (key, blk, node, fp) of two components that `alike` doesn't refuse; all, or a forest of them."""
+    """(a, b): candidates in the trees `left` (key, node, fp) of two components that `alike` doesn't refuse; all, or a forest of them."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "blk"], 20_000):
-            key, blk, node, root, size = (table.column(c).to_numpy() for c in ("key", "blk", "node", "root", "size"))
+        for table in whole_groups(batches, ["key"], 20_000):
+            key, node, root, size = (table.column(c).to_numpy() for c in ("key", "node", "root", "size"))
             fp = table.column("fp").to_numpy().view(np.uint64)
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (blk[1:] != blk[:-1])) + 1
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
                 at = np.unique(node[s:e], return_index=True)[1] + s
                 if (root[at] == root[at[0]]).all():
@@ -456,10 +451,10 @@ def _open_pairs(left: DataFrame, nodes: DataFrame, roots: DataFrame, near: int,
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    rooted = left.join(roots, "node", "left").select("key", "blk", "node", "fp", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key", "blk").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "blk")
-    rows = rooted.join(mixed, ["key", "blk"]).join(nodes.select("node", "odd", "size"), "node").select("key", "blk", "node", "fp", "root", "odd", "size")
-    return rows.repartition("key", "blk").sortWithinPartitions("key", "blk").mapInArrow(search, "a long, b long").distinct()
+    rooted = left.join(roots, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rows = rooted.join(mixed, "key").join(nodes.select("node", "odd", "size"), "node").select("key", "node", "fp", "root", "odd", "size")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct()
 
 
 def index_forest(fps: np.ndarray, distance: int, label: np.ndarray) -> list[tuple[int, int]]:
@@ -476,6 +471,26 @@ def index_forest(fps: np.ndarray, distance: int, label: np.ndarray) -> list[tupl
     return links
 
 
+def unlinked(links: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Of each tree of a forest, its ends that aren't linked with all of its other ends: two or more, in order, or the tree isn't there."""
+    parent: dict[int, int] = {}
+    degree: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    trees: dict[int, list[int]] = {}
+    for x in degree:
+        trees.setdefault(find(x), []).append(x)
+    open_ = (np.sort([x for x in tree if degree[x] < len(tree) - 1]) for tree in trees.values() if len(tree) > 2)
+    return [x for x in open_ if len(x)]
+
+
 def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float, most: int = 1000) -> DataFrame:
     """The links (a, b) whose whole texts are similar enough.
 
