@@ -156,6 +156,42 @@ def best_match(left: DataFrame, right: DataFrame, block: str, score: Column, lea
     return scored.groupBy(key).agg(F.max(F.struct("score", label)).alias("best")).select(key, f"best.{label}", "best.score")
 
 
+def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float) -> DataFrame:
+    """(block, a, b): for each text `a` of `left` the text `b` of the same block whose words are most like its own, if the sets' similarity reaches `least` (above 0).
+
+    Ties go as in best_match(). Equal texts and equal sets are compared once. Sets of m and n
+    words can only be so alike if they share k words, so they have one in common among the m - k + 1
+    and n - k + 1 rarest of the block: only those are looked up, by sizes, and pairs found are
+    compared exactly. A set that the other side has too needs no further look.
+    """
+    if least <= 0:
+        raise ValueError("least has to be above 0")
+    asked = left.select(block, a, F.array_sort(tokens(a)).alias("__s")).where(F.size("__s") > 0).distinct()
+    given = right.select(block, b, F.array_sort(tokens(b)).alias("__t")).where(F.size("__t") > 0).groupBy(block, "__t").agg(F.max(b).alias(b))
+    sets = asked.select(block, "__s").distinct()
+    same = sets.join(given.withColumnRenamed("__t", "__s"), [block, "__s"])
+    rest = sets.join(given.select(block, F.col("__t").alias("__s")), [block, "__s"], "left_anti")
+    held = given.select(block, F.explode("__t").alias("__w")).groupBy(block, "__w").agg(F.count("*").alias("__n"))
+
+    def keys(own: DataFrame, words: str, other: DataFrame, others: str) -> DataFrame:
+        """Each set's rarest words, by the sizes that it has to have in common with the other side's."""
+        size = F.size(words)
+        sizes = other.groupBy(block).agg(F.array_sort(F.collect_set(F.size(others))).alias("__sizes"))
+        ranked = own.select(block, words, F.explode(words).alias("__w")).join(held, [block, "__w"], "left")
+        ranked = ranked.groupBy(block, words).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w")))).alias("__order"))
+        ranked = ranked.join(sizes, block).select(block, words, "__order", F.explode("__sizes").alias("__size"))
+        # A little less than the bound, as it is a rounded number.
+        shared = F.greatest(F.ceil((size + F.col("__size")) * (least / (1 + least)) - 1e-6), F.lit(1)).cast("int")
+        ranked = ranked.where(shared <= F.least(size, F.col("__size"))).withColumn("__few", F.slice("__order", 1, size - shared + 1))
+        return ranked.select(block, words, size.alias(f"{words}_n"), F.col("__size").alias("__s_n" if words == "__t" else "__t_n"), F.explode(F.col("__few.w")).alias("__w"))
+
+    near = keys(rest, "__s", given, "__t").join(keys(given, "__t", rest, "__s"), [block, "__s_n", "__t_n", "__w"]).select(block, "__s", "__t")
+    scored = near.distinct().withColumn("__score", jaccard(F.col("__s"), F.col("__t"))).where(F.col("__score") >= least).join(given, [block, "__t"])
+    best = scored.groupBy(block, "__s").agg(F.max(F.struct("__score", b)).alias("__best")).select(block, "__s", f"__best.{b}")
+    found = same.select(block, "__s", b) if least <= 1 else same.select(block, "__s", b).limit(0)
+    return asked.join(found.unionByName(best), [block, "__s"]).select(block, a, b)
+
+
 def apply_rules(facts: DataFrame, rules: DataFrame, column: str = "macro_topic") -> DataFrame:
     """`column` replaced by the rules' canonical label; rules (canonical, variants) are sanitised first."""
     pairs = sanitised(rules).select(F.explode("variants").alias("__variant"), F.col("canonical").alias("__label")).where("__variant <> __label")
@@ -246,10 +282,8 @@ def match_agenda(sittings: DataFrame, topics: DataFrame, least: float = 0.6) ->
     """(id, title): for each sitting the agenda entry of its day with its document identifier, else the one whose title is most like its label."""
     by_document = topics.where(filled("docIdentifier")).groupBy("activity_date", "docIdentifier").agg(F.min("title").alias("title"))
     direct = sittings.join(by_document, ["activity_date", "docIdentifier"], "left")
-    left = direct.where("title is null").select("id", "activity_date", tokens("label").alias("a"))
-    right = topics.select("activity_date", "title", tokens("title").alias("b"))
-    near = best_match(left, right, "activity_date", jaccard(F.col("a"), F.col("b")), least, "id", "title").select("id", F.col("title").alias("near"))
-    return direct.join(near, "id", "left").select("id", F.coalesce("title", "near").alias("title"))
+    near = most_alike(direct.where("title is null"), topics, "activity_date", "label", "title", least).withColumnRenamed("title", "near")
+    return direct.join(near, ["activity_date", "label"], "left").select("id", F.coalesce("title", "near").alias("title"))
 
 
 def reparsed(parsed: DataFrame, stored: DataFrame, column: str = "political_group", key: str = "sitting_id", order: str = "speech_order") -> DataFrame:
