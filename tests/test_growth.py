@@ -43,3 +43,12 @@ def test_most_alike_equals_all_pairs(spark):
             alike = [(score({*(label or "").lower().split()}, {*title.split()}), title) for d, _, title in topics if d == day and title is not None]
             expected[i] = max((x for x in alike if x[0] >= least), default=(0, None))[1]
         assert {r.id: r.title for r in got.collect()} == expected
+
+
+def test_agenda_by_document_compares_no_pair_of_other_sizes(spark, monkeypatch):
+    seen = _compared(spark, monkeypatch)
+    rows = spark.range(400).select("id", F.lit("1996-01-01").alias("activity_date"), F.col("id").cast("string").alias("docIdentifier"), F.lit("no such words").alias("label"))
+    topics = rows.where("id % 2 = 0").select("activity_date", "docIdentifier", F.concat(F.lit("T"), "docIdentifier").alias("title"))
+    got = {r.id: r.title for r in R.match_agenda(rows, topics).collect()}
+    assert got == {i: f"T{i}" if i % 2 == 0 else None for i in range(400)}
+    assert seen.value == 0  # all pairs: 40,000
