@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plenaria.operators.containment import contained
+from plenaria.operators.containment import contained, joined
 from plenaria.streaming.counts import scratch
 
 from .columns import trimmed
@@ -79,7 +79,7 @@ def match_sections(speeches: DataFrame, sections: DataFrame, key: str = "sitting
 
     sections: (key, ordinal, title, docIdentifier, text). Within a sitting, the speeches' words and snippets are looked
     up in an index of its sections' words and of their grams; a speech meets the sections that have one of its words,
-    never their texts. Compared texts are written to the shared folder first. `least` is above 0.
+    never their texts, and nothing is broadcast. Compared texts are written to the shared folder first. `least` is above 0.
     """
     listed = _stored(sections.select(key, "ordinal", "title", "docIdentifier", search_text("text").alias("norm")), "sections")
     twice = [F.xxhash64("said").alias("__h"), F.xxhash64(F.lit(1), F.col("said")).alias("__i")]
@@ -90,19 +90,19 @@ def match_sections(speeches: DataFrame, sections: DataFrame, key: str = "sitting
     by_word = asked.select(key, "__h", "__i", "size", F.explode("words").alias("form")).where(F.length("form") > 3)
     there = listed.select(key, "ordinal", F.explode(F.array_distinct(F.split("norm", " "))).alias("text")).where("text <> ''")
     # A word is in a text just if it is in one of the text's words.
-    postings = contained(by_word, there, [key]).join(there, [key, "text"]).select(key, "form", "ordinal").distinct()
-    hits = by_word.join(postings, [key, "form"]).groupBy(key, "__h", "__i", "ordinal").agg((F.count("*") / F.first("size")).alias("score"))
+    postings = joined(contained(by_word, there, [key]), there, [key, "text"]).select(key, "form", "ordinal").distinct()
+    hits = joined(by_word, postings, [key, "form"]).groupBy(key, "__h", "__i", "ordinal").agg((F.count("*") / F.first("size")).alias("score"))
     snippets = F.filter(F.array(*(F.substring("said", 1 + at, 160) for at in (0, 40, 80, 120))), lambda s: F.length(s) >= 80)
     by_snippet = asked.select(key, "__h", "__i", F.explode(snippets).alias("form"))
     long = listed.where(F.length("norm") >= 100).select(key, "ordinal", F.col("norm").alias("text"))
-    whole = contained(by_snippet, long, [key]).join(long, [key, "text"]).select(key, "form", "ordinal")
-    whole = by_snippet.join(whole, [key, "form"]).select(key, "__h", "__i", "ordinal").distinct().withColumn("score", F.lit(2.0))
+    whole = joined(contained(by_snippet, long, [key]), long, [key, "text"]).select(key, "form", "ordinal")
+    whole = joined(by_snippet, whole, [key, "form"]).select(key, "__h", "__i", "ordinal").distinct().withColumn("score", F.lit(2.0))
     scored = hits.unionByName(whole).groupBy(key, "__h", "__i", "ordinal").agg(F.max("score").alias("score")).where(F.col("score") >= least)
     best = scored.groupBy(key, "__h", "__i").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("back"))).alias("best"))
     named = listed.select(key, F.col("ordinal").alias("__ordinal"), "title", "docIdentifier").groupBy(key, "__ordinal").agg(F.max(F.struct("title", "docIdentifier")).alias("of"))
-    found = best.withColumn("__ordinal", -F.col("best.back")).join(named, [key, "__ordinal"])
+    found = joined(best.withColumn("__ordinal", -F.col("best.back")), named, [key, "__ordinal"])
     found = found.select(key, "__h", "__i", F.struct(F.col("of.title").alias("title"), F.col("of.docIdentifier").alias("docIdentifier"), F.least("best.score", F.lit(1.0)).alias("score")).alias("section"))
-    return rows.drop("said").join(found, [key, "__h", "__i"], "left").select(*speeches.columns, "section")
+    return joined(rows.drop("said"), found, [key, "__h", "__i"], "left").select(*speeches.columns, "section")
 
 
 def snippet_offset(page_text: str | Column, snippet: Column) -> Column:

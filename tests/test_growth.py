@@ -6,7 +6,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from plenaria.functions import transcripts
 from plenaria.operators import relational as R
+from plenaria.operators.containment import contained
+from plenaria.registry import QUERIES
 
 
 def _compared(spark, monkeypatch):
@@ -52,3 +55,27 @@ def test_agenda_by_document_compares_no_pair_of_other_sizes(spark, monkeypatch):
     got = {r.id: r.title for r in R.match_agenda(rows, topics).collect()}
     assert got == {i: f"T{i}" if i % 2 == 0 else None for i in range(400)}
     assert seen.value == 0  # all pairs: 40,000
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_are_matched_without_broadcasts(spark):
+    said = spark.createDataFrame([(1, 1, "some words of a longer speech about water and fish " * 3)], "sitting_id long, speech_order int, speech_content string")
+    listed = said.select("sitting_id", F.lit(1).alias("ordinal"), F.lit("A").alias("title"), F.lit(None).cast("string").alias("docIdentifier"), F.col("speech_content").alias("text"))
+    got = transcripts.match_sections(said, listed)
+    assert "Broadcast" not in _plan(got)
+    assert [(r.section.title, r.section.score) for r in got.collect()] == [("A", 1.0)]
+
+
+def test_contained_equals_all_pairs(spark):
+    rng = random.Random(5)
+    body = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    texts = [(i % 3, body(rng.randrange(0, 120))) for i in range(60)]
+    forms = [(i % 3, rng.choice(texts)[1][a : a + rng.randrange(0, 60)]) for i in range(120) for a in [rng.randrange(0, 60)]]
+    expected = {(k, f, t) for k, f in forms for j, t in texts if j == k and f and f in t}
+    found = contained(spark.createDataFrame(forms, "k int, form string"), spark.createDataFrame(texts, "k int, text string"), ["k"])
+    got = found.collect()
+    assert len(got) == len(expected) and {(r.k, r.form, r.text) for r in got} == expected
+    assert "Broadcast" not in _plan(found)
