@@ -79,3 +79,7 @@ def test_contained_equals_all_pairs(spark):
     got = found.collect()
     assert len(got) == len(expected) and {(r.k, r.form, r.text) for r in got} == expected
     assert "Broadcast" not in _plan(found)
+
+
+def test_page_to_speeches_broadcasts_nothing(spark):
+    assert "Broadcast" not in _plan(QUERIES["page_to_speeches"](spark, "/root/testdata/sf0.001"))
