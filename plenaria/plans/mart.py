@@ -33,34 +33,37 @@ BUCKET = "sitting_bucket"
 
 
 def _with_days(facts: DataFrame, sittings: DataFrame, by_bucket: bool) -> DataFrame:
+    """What is kept of the facts with their days: one join for all of KEPT."""
+    rows = facts if "mep_id" in facts.columns else facts.withColumn("mep_id", F.lit(None).cast("long"))
     days = sittings.select(F.col("id").alias("sitting_id"), "activity_date")
     bucket = sinks.bucket_column("sitting_id") if by_bucket else F.lit(sinks.ALL)
-    return facts.join(days, "sitting_id", "left").withColumns({BUCKET: bucket, "grp": effective_group()})
+    kept = [bucket.alias(BUCKET), "activity_date", "macro_topic", "macro_specific_focus", effective_group().alias("grp"), effective_language().alias("language"), F.col("mep_id").cast("long").alias("mep_id")]
+    return rows.join(days, "sitting_id", "left").select(*kept)
 
 
-def cube(facts: DataFrame, sittings: DataFrame, by_bucket: bool = False) -> DataFrame:
+def cube(dated: DataFrame) -> DataFrame:
     """n by day, topic, focus, group and language: all that the mart's tables need, many times smaller than the facts.
 
     Rows of a bucket of sittings come from that bucket's facts alone. Topics are as the
     facts have them, as later facts may change which label stands for its variants.
     """
-    return _with_days(facts, sittings, by_bucket).groupBy(BUCKET, "activity_date", "macro_topic", "macro_specific_focus", "grp", effective_language().alias("language")).agg(F.count("*").alias("n"))
+    return dated.groupBy(BUCKET, "activity_date", "macro_topic", "macro_specific_focus", "grp", "language").agg(F.count("*").alias("n"))
 
 
-def speaker_days(facts: DataFrame, sittings: DataFrame, by_bucket: bool = False) -> DataFrame:
+def speaker_days(dated: DataFrame) -> DataFrame:
     """(sitting_bucket, activity_date, grp, mep_id) once each: who speaks for a group on a day."""
-    rows = facts if "mep_id" in facts.columns else facts.withColumn("mep_id", F.lit(None).cast("long"))
-    return _with_days(rows, sittings, by_bucket).where("mep_id is not null and activity_date is not null").select(BUCKET, "activity_date", "grp", F.col("mep_id").cast("long").alias("mep_id")).distinct()
+    return dated.where("mep_id is not null and activity_date is not null").select(BUCKET, "activity_date", "grp", "mep_id").distinct()
 
 
-#: What is kept of the facts, each a function of facts and sittings that works bucket by bucket.
+#: What is kept of the facts, each a function of facts with their days that works bucket by bucket.
 KEPT = {"cube": cube, "speaker_days": speaker_days}
 
 
 def build(facts: DataFrame, sittings: DataFrame, path: str, people: bool = False) -> None:
     """Write the mart. Each table is an aggregate of the cube; `people` adds what distinct_counts() needs."""
+    dated = _with_days(facts, sittings, False)
     for name in KEPT if people else ["cube"]:
-        sinks.write(KEPT[name](facts, sittings), f"{path}/{name}")
+        sinks.write(KEPT[name](dated), f"{path}/{name}")
     derive(facts.sparkSession, path)
 
 
@@ -77,19 +80,23 @@ def refresh(spark: SparkSession, speeches: str, sittings: str, path: str) -> dic
     state = {name: sinks.state(spark, table) for name, table in tables.items()}
     done = {name: s.number for name, s in state.items()}
     together = (state["speeches"].key, state["sittings"].key) == ("sitting_id", "id")
+    needed: dict[str, frozenset[str] | None] = {}
     for name in KEPT:
         target = f"{path}/{name}"
         known = sinks.state(spark, target).done if sinks.exists(spark, target) else {}
         changes = [sinks.changed_buckets(spark, table, known[t]) if t in known and together else None for t, table in tables.items()]
-        if None in changes:
-            rows = [sinks.rows(spark, tables[t], state[t]) for t in tables]
-            sinks.write(KEPT[name](rows[0], rows[1], True), target, by=BUCKET, done=done)
-            read[name] = set(state["speeches"].parts)
-            continue
-        read[name] = set().union(*changes)
-        if read[name]:
-            rows = [sinks.rows(spark, tables[t], state[t], read[name]) for t in tables]
-            sinks.replace_buckets(KEPT[name](rows[0], rows[1], True), target, read[name], done)
+        needed[name] = None if None in changes else frozenset().union(*changes)
+        read[name] = set(state["speeches"].parts) if needed[name] is None else set(needed[name])
+    for buckets in {b for b in needed.values() if b is None or b}:
+        # Facts meet their days once, and what comes of it is written in few bytes, instead of a join for each part.
+        rows = [sinks.rows(spark, tables[t], state[t], buckets) for t in tables]
+        dated, stage = sinks.staged(_with_days(rows[0], rows[1], True), f"{path}/cube")
+        for name in (n for n, b in needed.items() if b == buckets):
+            if buckets is None:
+                sinks.write(KEPT[name](dated), f"{path}/{name}", by=BUCKET, done=done)
+            else:
+                sinks.replace_buckets(KEPT[name](dated), f"{path}/{name}", set(buckets), done)
+        sinks.clear(spark, stage)
     derive(spark, path)
     return read
 

@@ -226,14 +226,14 @@ def _created(df: DataFrame, path: str, key: str | None) -> bool:
     return True
 
 
-def _staged(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+def staged(df: DataFrame, path: str) -> tuple[DataFrame, str]:
     """Changes written once beside the table, as they are read several times and may cost much to make."""
     name = f"{path}/s-{uuid.uuid4().hex}"
     df.write.parquet(name)
     return df.sparkSession.read.schema(df.schema).parquet(name), name
 
 
-def _clear(spark: SparkSession, folder: str) -> None:
+def clear(spark: SparkSession, folder: str) -> None:
     files, name = commits.fs(spark, folder)
     files.delete(name, True)
 
@@ -300,30 +300,30 @@ def upsert(df: DataFrame, path: str, key: str = "id", last: str | None = None, b
 
     `by_key` lays out a new table by bucket_of(key); else it is one bucket, which suits small tables. A table keeps its layout.
     """
-    fresh, stage = _staged(one_per_key(df, key, last), path)
+    fresh, stage = staged(one_per_key(df, key, last), path)
     if not _created(fresh, path, key if by_key else None):
         _merge(fresh, fresh.select(key), path, key)
-    _clear(df.sparkSession, stage)
+    clear(df.sparkSession, stage)
 
 
 def insert_absent(df: DataFrame, path: str, key: str = "id", last: str | None = None, by_key: bool = False) -> None:
     """Rows with new keys are added; nothing is rewritten. Where other writers add rows meanwhile, keys are looked up again."""
-    fresh, stage = _staged(one_per_key(df, key, last), path)
+    fresh, stage = staged(one_per_key(df, key, last), path)
     if not _created(fresh, path, key if by_key else None):
         _add_absent(fresh, path, key, lambda old: absent(old, fresh, key))
-    _clear(df.sparkSession, stage)
+    clear(df.sparkSession, stage)
 
 
 def replace_sittings(speeches: DataFrame, path: str, replace: bool = True, key: str = "sitting_id", by_key: bool = False) -> None:
     """Store the speeches of some sittings: in place of those that are there, or only where a sitting has none."""
-    fresh, stage = _staged(speeches, path)
+    fresh, stage = staged(speeches, path)
     if _created(fresh, path, key if by_key else None):
         pass
     elif replace:
         _merge(fresh, fresh.select(key).distinct(), path, key)
     else:
         _add_absent(fresh, path, key, lambda old: fresh.join(old.select(key), key, "left_anti").select(fresh.columns))
-    _clear(speeches.sparkSession, stage)
+    clear(speeches.sparkSession, stage)
 
 
 def deleted(df: DataFrame, keys: DataFrame, key: str = "sitting_id", of: str = "id") -> DataFrame:

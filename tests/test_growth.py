@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plenaria.functions import transcripts
 from plenaria.operators import relational as R
 from plenaria.operators.containment import contained
+from plenaria.plans import mart, stored
 from plenaria.registry import QUERIES
 
 
@@ -83,3 +84,17 @@ def test_contained_equals_all_pairs(spark):
 
 def test_page_to_speeches_broadcasts_nothing(spark):
     assert "Broadcast" not in _plan(QUERIES["page_to_speeches"](spark, "/root/testdata/sf0.001"))
+
+
+def test_facts_meet_their_days_once_for_all_that_the_mart_keeps(spark, monkeypatch):
+    calls, real = [], mart._with_days
+    monkeypatch.setattr(mart, "_with_days", lambda *a: calls.append(1) or real(*a))
+    QUERIES["mart_distinct_speakers"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 2  # when it is built, and after the changes
+
+
+def test_changes_of_the_mart_are_read_from_their_buckets(spark, monkeypatch):
+    seen, real = [], stored.sinks.replace_sittings
+    monkeypatch.setattr(stored.sinks, "replace_sittings", lambda df, *a, **k: seen.append(df.inputFiles()) or real(df, *a, **k))
+    QUERIES["mart_incremental"](spark, "/root/testdata/sf0.001")
+    assert seen[0] and all("__bucket=1996-02/" in f for f in seen[0])
