@@ -241,13 +241,16 @@ KINDS = {table: dict(part.split() for part in ddl.split(", ")) for table, ddl in
 
 def export(
     facts: DataFrame, sittings: DataFrame, persons: DataFrame, fields: Sequence[str] | None = None, start: str | None = None, end: str | None = None,
-    ordered: bool = False,
+    ordered: bool = False, made: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Facts with their sitting and person, as the fields asked for; unknown ones are left out, none at all is an error.
 
     A table none of whose fields is asked for is not joined; a column that a table of
     another age lacks is null. ordered: newest sittings first, then by order of speech.
+    made: columns of the facts that come of their other ones; they are made behind the joins,
+    so that what is shuffled is what they come of.
     """
+    made = made or {}
     chosen = [f for f in (fields or DEFAULT_EXPORT) if f in EXPORT]
     if not chosen:
         raise ValueError("no known field")
@@ -260,15 +263,17 @@ def export(
     def picked(df: DataFrame, table: str) -> list[Column]:
         return [value(df, table, EXPORT[f][1]).alias(f"__{f}") for f in dict.fromkeys(chosen) if EXPORT[f][0] == table]
 
-    order = [F.col("__day").desc(), F.col("__order").asc()]
-    keys = [F.col(c).alias(k) for k, c in (("__sitting", "sitting_id"), ("__person", "mep_id"))] + [F.col("speech_order").alias("__order")] * ordered
-    out = facts.select(*keys, *picked(facts, "speech"))
+    fields = [f for f in dict.fromkeys(chosen) if EXPORT[f][0] == "speech"]
+    order = [F.col("__day").desc(), F.col("speech_order").asc()]
     of_sitting, of_person = picked(sittings, "sitting"), picked(persons, "person")
+    out = facts
     if of_sitting or start or end or ordered:
         days = sittings.where(between("activity_date", start, end)).select(F.col("id").alias("__sitting"), *of_sitting, *[F.col("activity_date").alias("__day")] * ordered)
-        out = out.join(days, "__sitting", "inner" if start or end else "left")
+        out = out.join(days, out["sitting_id"] == days["__sitting"], "inner" if start or end else "left")
     if of_person:
-        out = out.join(persons.select(F.col("id").alias("__person"), *of_person), "__person", "left")
+        out = out.join(persons.select(F.col("id").alias("__person"), *of_person), out["mep_id"] == F.col("__person"), "left")
+    out = out.withColumns(made) if made else out
+    out = out.withColumns({f"__{f}": value(out, "speech", EXPORT[f][1]) for f in fields})
     return (out.orderBy(*order) if ordered else out).select(*(F.col(f"__{f}").alias(f) for f in chosen))
 
 

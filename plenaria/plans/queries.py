@@ -329,15 +329,19 @@ def sample_per_language(s, d):
     return A.sampled(views.table(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-def _full_speeches(s, d) -> DataFrame:
-    """Facts with texts made of their keys, so that each field of an export has a value of its own."""
+def _full_columns() -> dict:
+    """Texts made of the facts' keys, so that each field of an export has a value of its own."""
     k, n = F.col("sitting_id"), F.col("speech_order")
-    return views.speeches(s, d).withColumns({
+    return {
         "id": k * 10 + n, "speaker_name": F.concat(F.lit("Speaker "), "mep_id"), "title": F.concat(F.lit("Title "), n), "speech_content": F.repeat("macro_topic", 3),
         "topic": F.concat("macro_topic", F.lit(" ("), n, F.lit(")")), "political_group_raw": F.concat(F.lit("raw "), "political_group"), "political_group_kind": F.lit("group"),
         "political_group_reason": F.when(n == 1, "direct_canonical"), "macro_confidence": n / F.lit(10.0), "macro_classified_by": F.lit("rules"),
         "macro_classification_cost": (k % 7) / F.lit(4.0), "created_at": F.lit(None).cast("timestamp"), "macro_classified_at": F.lit(None).cast("timestamp"),
-    })
+    }
+
+
+def _full_speeches(s, d) -> DataFrame:
+    return views.speeches(s, d).withColumns(_full_columns())
 
 
 FULL = """full_star AS (SELECT *, sitting_id * 10 + speech_order AS id, 'Speaker ' || mep_id AS speaker_name, 'Title ' || speech_order AS title, repeat(macro_topic, 3) AS speech_content,
@@ -350,7 +354,8 @@ FROM_FULL = "FROM full_star f LEFT JOIN sittings ON sittings.id = sitting_id LEF
 @query("export_default", f"""{FULL} SELECT f.id, sitting_id, activity_date AS date, speaker_name, coalesce(political_group_std, f.political_group) AS political_group, title, speech_content,
   language, macro_topic, macro_specific_focus AS specific_focus, topic, country, mep_id {FROM_FULL} WHERE activity_date BETWEEN '1997-01-01' AND '1997-12-31'""")
 def export_default(s, d):
-    return R.export(_full_speeches(s, d), views.sittings(s, d, "1997-01-01", "1997-12-31"), views.persons(s, d), start="1997-01-01", end="1997-12-31")
+    days = views.sittings(s, d, "1997-01-01", "1997-12-31")
+    return R.export(views.speeches(s, d, of=days), days, views.persons(s, d), start="1997-01-01", end="1997-12-31", made=_full_columns())
 
 
 @query("export_all", f"""{FULL} SELECT f.id, sitting_id, activity_date AS date, activity_date || 'T00' AS activity_start_date, type AS activity_type, speech_order, CAST(NULL AS TIMESTAMP) AS created_at,
@@ -361,7 +366,8 @@ def export_default(s, d):
 def export_all(s, d):
     """All fields; the table of sittings lacks one of its columns."""
     more = {"activity_start_date": F.concat("activity_date", F.lit("T00")), "activity_type": F.col("type"), "content": F.concat(F.lit("Content "), "label"), "docIdentifier": F.concat(F.lit("D"), "id")}
-    return R.export(_full_speeches(s, d), views.sittings(s, d, "1998-01-01").withColumns(more), views.persons(s, d), list(R.EXPORT), start="1998-01-01")
+    days = views.sittings(s, d, "1998-01-01").withColumns(more)
+    return R.export(views.speeches(s, d, of=days), days, views.persons(s, d), list(R.EXPORT), start="1998-01-01", made=_full_columns())
 
 
 @query("topics_asked", """SELECT upper(coalesce(language, 'UNK')) AS language, count(*) AS n FROM (SELECT CASE WHEN id % 2 = 0 THEN upper(macro_topic) ELSE macro_topic END AS macro_topic,

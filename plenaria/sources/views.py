@@ -25,10 +25,11 @@ def sittings(spark: SparkSession, sf_dir: str, start: str | None = None, end: st
     )
 
 
-def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts without a unique id, with missing standardised groups and languages."""
+def speeches(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Facts without a unique id, with missing standardised groups and languages; `of`: those of these sittings only, before anything else is joined."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     line = table(spark, sf_dir, "lineitem")
+    line = line if of is None else line.join(of.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi")
     return line.join(part, line.l_partkey == part.p_partkey).select(
         F.col("l_orderkey").alias("sitting_id"), F.col("l_linenumber").alias("speech_order"), F.col("l_suppkey").alias("mep_id"),
         F.col("p_type").alias("macro_topic"), F.col("p_brand").alias("macro_specific_focus"), F.col("l_returnflag").alias("political_group"),

@@ -98,3 +98,9 @@ def test_changes_of_the_mart_are_read_from_their_buckets(spark, monkeypatch):
     monkeypatch.setattr(stored.sinks, "replace_sittings", lambda df, *a, **k: seen.append(df.inputFiles()) or real(df, *a, **k))
     QUERIES["mart_incremental"](spark, "/root/testdata/sf0.001")
     assert seen[0] and all("__bucket=1996-02/" in f for f in seen[0])
+
+
+def test_exports_make_their_texts_behind_the_joins(spark):
+    for name in ("export_default", "export_all"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "repeat(" in plan and "repeat(" not in plan[plan.index("Join") :]
