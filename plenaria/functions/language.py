@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenaria.settings import bounded_batches
+
 from .columns import cleaned
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
@@ -227,6 +229,7 @@ def answers(text: Column, scorer: Scorer = frequent_words, fallback: Scorer | No
 
 def decide(docs: DataFrame, text: str, scorer: Scorer = frequent_words, fallback: Scorer | None = None) -> DataFrame:
     """`docs` with detected struct(language, confidence, how): by script, at once, by vote, by agreement, or the first answer that there is."""
+    bounded_batches(docs.sparkSession)
     rows = docs.withColumn("said", answers(F.col(text), scorer, fallback))
     rows = rows.withColumns({c: F.col(f"said.{c}") for c in ("by_script", "at_once", "second", "vote")})
     answer = lambda c, how: F.struct(F.col(f"{c}.language").alias("language"), F.col(f"{c}.confidence").alias("confidence"), F.lit(how).alias("how"))

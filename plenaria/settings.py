@@ -30,3 +30,15 @@ def settings(spark: SparkSession) -> Settings:
         if value:
             found[name] = type(default)(value)
     return Settings(**found)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Whole texts go to Python in batches of so many bytes, where the session doesn't set how many: the rows of a batch say nothing about its size.
+
+    What runs Python is lazy, so that stays set; a number of the session's own is left alone.
+    """
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, size)

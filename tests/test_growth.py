@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from plenaria.functions import transcripts
+from plenaria.functions import language, pages, transcripts
 from plenaria.operators import relational as R
 from plenaria.operators.containment import contained
 from plenaria.plans import mart, stored
 from plenaria.registry import QUERIES
+from plenaria.settings import BATCH_BYTES
 
 
 def _compared(spark, monkeypatch):
@@ -104,3 +107,30 @@ def test_exports_make_their_texts_behind_the_joins(spark):
     for name in ("export_default", "export_all"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "repeat(" in plan and "repeat(" not in plan[plan.index("Join") :]
+
+
+def _largest_batch(df) -> int:
+    """Bytes of the largest batch that goes to Python."""
+    rows = df.sparkSession.range(24, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    return max(r.n for r in rows.mapInPandas(lambda frames: (f.assign(n=f["text"].str.len().sum())[["n"]].head(1) for f in frames), "n long").collect())
+
+
+def test_pages_go_to_python_in_batches_of_bounded_bytes(spark):
+    spark.conf.unset(BATCH_BYTES)
+    got = pages.read(spark.createDataFrame([("<p>a</p>",)], "html string"), pages.paragraphs)
+    assert got.first().value == ["a"] and _largest_batch(got) <= 10_000_000
+
+
+def test_texts_whose_language_is_asked_go_to_python_in_batches_of_bounded_bytes(spark):
+    spark.conf.unset(BATCH_BYTES)
+    got = language.decide(spark.createDataFrame([("the house of the people and that of the law",)], "text string"), "text")
+    assert got.first().detected.language == "EN" and _largest_batch(got) <= 10_000_000
+
+
+def test_ngrams_equal_plain_counts():
+    text = "Ein Haus, ein HAUS und das Straße_x 12 a " * 2
+    expected = Counter(w[i : i + n] for word in re.findall(r"[^\W\d_]+", text.lower()) for w in [f" {word} "] for n in range(1, 5) for i in range(len(w) - n + 1))
+    del expected[" "]
+    assert language._ngrams(text, 4) == expected and language._ngrams("", 4) == {}
+    assert language.first_ngrams(text, 7, 4) == sorted(expected, key=lambda g: (-expected[g], g))[:7]
+    assert language.first_ngrams(text, 10_000, 4) == sorted(expected, key=lambda g: (-expected[g], g))
