@@ -7,10 +7,13 @@ it is one Arrow pass over the texts: no explode, no join, no text scored twice.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -128,24 +131,26 @@ def profiles(labelled: DataFrame, language: str = "language", text: str = "text"
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for code, some in frame.groupby("code"):
-                found = sum((_ngrams(x, longest) for x in some["body"]), Counter())
+                found: Counter = Counter()
+                for x in some["body"]:
+                    found.update(_ngrams(x, longest))
                 yield pd.DataFrame({"code": code, "gram": list(found), "n": list(found.values())})
 
     counts = chosen.mapInPandas(count, "code string, gram string, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "gram"))
     kept = counts.withColumn("place", place).where(F.col("place") <= top).select("code", "gram", "place").collect()
     codes = sorted({r["code"] for r in kept})
-    places: dict[str, np.ndarray] = {}
+    # A row of places for each n-gram; the last one is of n-grams that no profile has.
+    index = {g: i for i, g in enumerate(sorted({r["gram"] for r in kept}))}
+    places, none = np.full((len(index) + 1, len(codes)), -1, np.int64), len(index)
     for r in kept:
-        places.setdefault(r["gram"], np.full(len(codes), -1, np.int64))[codes.index(r["code"])] = r["place"] - 1
+        places[index[r["gram"]], codes.index(r["code"])] = r["place"] - 1
 
     def one(value: str | None) -> tuple[str | None, float]:
-        found = _ngrams(value or "", longest)
-        own = sorted(found, key=lambda g: (-found[g], g))[:top]
-        if not codes or not any(g in places for g in own):
+        own = [index.get(g, none) for g in first_ngrams(value or "", top, longest)]
+        if not codes or all(i == none for i in own):
             return None, 0.0
-        nothing = np.full(len(codes), -1, np.int64)
-        there = np.array([places.get(g, nothing) for g in own])
+        there = places[own]
         out = np.where(there < 0, top, np.abs(there - np.arange(len(own))[:, None])).sum(0)
         best = int(out.argmin())
         second = int(np.partition(out, 1)[1]) if len(codes) > 1 else top * len(own)
@@ -154,18 +159,28 @@ def profiles(labelled: DataFrame, language: str = "language", text: str = "text"
     return lambda texts: pd.DataFrame([one(t) for t in texts], columns=["language", "confidence"])
 
 
+@lru_cache(1 << 15)
+def _grams_of(word: str, longest: int) -> tuple[str, ...]:
+    word = f" {word} "
+    return tuple(word[i : i + size] for size in range(1, longest + 1) for i in range(len(word) - size + 1))
+
+
 def _ngrams(text: str, longest: int) -> Counter:
     """N-grams of 1 to `longest` characters of the words, each between two gaps; gaps alone are none."""
-    out: Counter = Counter()
-    for word, times in Counter(re.findall(r"[^\W\d_]+", text.lower())).items():
-        word = f" {word} "
-        for size in range(1, longest + 1):
-            for i in range(len(word) - size + 1):
-                out[word[i : i + size]] += times
+    out = Counter(chain.from_iterable(_grams_of(w, longest) for w in re.findall(r"[^\W\d_]+", text.lower())))
     del out[" "]
     return out
 
 
+def first_ngrams(text: str, top: int, longest: int) -> list[str]:
+    """The `top` most frequent n-grams, ties by themselves; only those that may be among them are sorted."""
+    found = _ngrams(text, longest)
+    if len(found) > top:
+        least = heapq.nlargest(top, found.values())[-1]
+        found = {g: n for g, n in found.items() if n >= least}
+    return sorted(sorted(found), key=found.get, reverse=True)[:top]
+
+
 ANSWER = "struct<language:string,confidence:double>"
 
 

@@ -15,6 +15,7 @@ from plenaria.operators import conversation, persons
 from plenaria.operators import relational as R
 from plenaria.plans import mart, rebuild, refresh
 from plenaria.schema import SITTINGS
+from plenaria.settings import bounded_batches
 from plenaria.sources import sinks, views
 from plenaria.streaming import counts
 
@@ -630,6 +631,7 @@ def lang_profiles(s, d):
     """The language of every whole text by rank-order profiles, learnt from the documents whose ids the hash doesn't hold out."""
     docs = views.table(s, d, "documents")
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    bounded_batches(s)
     scorer = language.profiles(docs.where(~held_out), "lang")
     said = F.pandas_udf(lambda texts: scorer(texts), "language string, confidence double")  # noqa: PLW0108
     return docs.select("doc_id", held_out.alias("held_out"), said(F.coalesce("text", F.lit(""))).alias("said")).select("doc_id", "held_out", "said.language", F.round("said.confidence", 6).alias("confidence"))
