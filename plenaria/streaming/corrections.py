@@ -20,6 +20,7 @@ from plenaria.sources import sinks
 
 VERSIONS = "sitting_id string, speech_order long, day string, topic string, changed_at timestamp, version long"
 DELTAS = "day string, topic string, n long"
+SPEECHES = "speech_order array<long>, day array<string>, topic array<string>, at array<long>, version array<long>"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,7 +33,8 @@ class Newest(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.speeches = handle.getMapState("speeches", "speech_order long", "day string, topic string, at long, version long")
+        # One value a sitting: each call to the state is a message to the JVM, so a sitting is read and written in one each.
+        self.speeches = handle.getValueState("sitting", SPEECHES)
         self.until = handle.getValueState("until", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -44,15 +46,20 @@ class Newest(StatefulProcessor):
                 if int(order) not in newest or mine > newest[int(order)][:2]:
                     newest[int(order)] = (*mine, day, topic)
         out: list[tuple] = []
+        held = self.speeches.get() if newest else None
+        known = {} if held is None else {row[0]: row for row in zip(*held)}
+        changed = False
         for order, (when, version, day, topic) in newest.items():
-            old = self.speeches.getValue((order,)) if self.speeches.containsKey((order,)) else None
-            if old is not None and (old[2], old[3]) >= (when, version):
+            old = known.get(order)
+            if old is not None and (old[3], old[4]) >= (when, version):
                 continue
-            self.speeches.updateValue((order,), (day, topic, when, version))
-            if old is not None and old[1] is not None:
-                out.append((old[0], old[1], -1))
+            known[order], changed = (order, day, topic, when, version), True
+            if old is not None and old[2] is not None:
+                out.append((old[1], old[2], -1))
             if topic is not None:
                 out.append((day, topic, 1))
+        if changed:
+            self.speeches.update(tuple(list(c) for c in zip(*known.values())))
         if self.keep_ms is not None and newest:
             until = max(v[0] for v in newest.values()) // 1000 + self.keep_ms
             before = self.until.get()[0] if self.until.exists() else None
