@@ -14,10 +14,12 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,6 +178,14 @@ def append(df: DataFrame, path: str, once: tuple[str, int] | None = None) -> boo
     return added[-1]
 
 
+_TURNS: dict[str, RLock] = defaultdict(RLock)
+
+
+def turn(path: str) -> RLock:
+    """Writers of one session that rewrite a table wait for each other instead of doing their work again; those of other sessions are found by their commits."""
+    return _TURNS[path]
+
+
 def _merge(fresh: DataFrame | None, gone: DataFrame, path: str, key: str, where: str | None = None) -> None:
     """Rows whose `key` is in `gone` leave the table and the rows of `fresh` come, in the buckets that either touches."""
     spark = gone.sparkSession
@@ -196,7 +206,8 @@ def _merge(fresh: DataFrame | None, gone: DataFrame, path: str, key: str, where:
         folder, found, schema = _store(merged, path, base.by)
         commits.commit(spark, path, base, lambda now: now.replaced(touched, folder, found, schema), touched if named or base.by is None else commits.EVERY)
 
-    commits.attempt(work)
+    with turn(path):
+        commits.attempt(work)
 
 
 def _add_absent(fresh: DataFrame, path: str, key: str, of) -> None:
