@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plenaria.operators.containment import contained, joined
+from plenaria.operators.containment import joined
 from plenaria.streaming.counts import scratch
 
 from .columns import trimmed
@@ -74,35 +74,46 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Speeches, and sections, of a sitting that meet in one task.
+BLOCK = 256
+
+
 def match_sections(speeches: DataFrame, sections: DataFrame, key: str = "sitting_id", least: float = 0.08) -> DataFrame:
     """Speeches with section (title, docIdentifier, score): the first section that contains a snippet, else the one with most of the words.
 
-    sections: (key, ordinal, title, docIdentifier, text). Within a sitting, the speeches' words and snippets are looked
-    up in an index of its sections' words and of their grams; a speech meets the sections that have one of its words,
-    never their texts, and nothing is broadcast. Compared texts are written to the shared folder first. `least` is above 0.
+    sections: (key, ordinal, title, docIdentifier, text). The speeches and sections of a sitting meet once for each two
+    different texts, in blocks of about BLOCK by BLOCK, so that a long sitting is many tasks; a pair is scored as it is
+    made, and only its score goes on. Nothing is exploded into words or grams, and nothing is broadcast. Both
+    sides are written to the shared folder first, as they may be made of pages. `least` is above 0.
     """
     listed = _stored(sections.select(key, "ordinal", "title", "docIdentifier", search_text("text").alias("norm")), "sections")
-    twice = [F.xxhash64("said").alias("__h"), F.xxhash64(F.lit(1), F.col("said")).alias("__i")]
-    rows = speeches.withColumn("said", search_text("speech_content")).select("*", *twice)
-    asked = _stored(rows.where(F.length("said") >= 50).select(key, "__h", "__i", "said").dropDuplicates([key, "__h", "__i"]), "speeches")
+    spoken = _stored(speeches, "speeches")
+    hashes = ["__h", "__i"]
+    rows = spoken.withColumn("said", search_text("speech_content")).select("*", F.xxhash64("said").alias("__h"), F.xxhash64(F.lit(1), F.col("said")).alias("__i"))
+    counted = spoken.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(listed.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    blocks = counted.groupBy(key).agg(*(F.ceil(F.sum(c) / BLOCK).cast("int").alias(f"__{c}s") for c in "ab")).where("__as > 0 and __bs > 0")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+
+    asked = rows.where(F.length("said") >= 50).select(key, *hashes, "said").dropDuplicates([key, *hashes])
+    asked = joined(asked, blocks, [key]).select(key, *hashes, "said", F.pmod("__h", "__as").cast("int").alias("__a"), every("__bs").alias("__b"))
     words = F.array_distinct(F.filter(F.split("said", " "), lambda w: w != ""))
-    asked = asked.withColumn("words", words).withColumn("size", F.greatest(F.size("words"), F.lit(1)))
-    by_word = asked.select(key, "__h", "__i", "size", F.explode("words").alias("form")).where(F.length("form") > 3)
-    there = listed.select(key, "ordinal", F.explode(F.array_distinct(F.split("norm", " "))).alias("text")).where("text <> ''")
-    # A word is in a text just if it is in one of the text's words.
-    postings = joined(contained(by_word, there, [key]), there, [key, "text"]).select(key, "form", "ordinal").distinct()
-    hits = joined(by_word, postings, [key, "form"]).groupBy(key, "__h", "__i", "ordinal").agg((F.count("*") / F.first("size")).alias("score"))
-    snippets = F.filter(F.array(*(F.substring("said", 1 + at, 160) for at in (0, 40, 80, 120))), lambda s: F.length(s) >= 80)
-    by_snippet = asked.select(key, "__h", "__i", F.explode(snippets).alias("form"))
-    long = listed.where(F.length("norm") >= 100).select(key, "ordinal", F.col("norm").alias("text"))
-    whole = joined(contained(by_snippet, long, [key]), long, [key, "text"]).select(key, "form", "ordinal")
-    whole = joined(by_snippet, whole, [key, "form"]).select(key, "__h", "__i", "ordinal").distinct().withColumn("score", F.lit(2.0))
-    scored = hits.unionByName(whole).groupBy(key, "__h", "__i", "ordinal").agg(F.max("score").alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy(key, "__h", "__i").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("back"))).alias("best"))
-    named = listed.select(key, F.col("ordinal").alias("__ordinal"), "title", "docIdentifier").groupBy(key, "__ordinal").agg(F.max(F.struct("title", "docIdentifier")).alias("of"))
+    asked = asked.withColumn("words", words).withColumn("size", F.greatest(F.size("words"), F.lit(1))).withColumn("words", F.filter("words", lambda w: F.length(w) > 3))
+    asked = asked.withColumn("snippets", F.filter(F.array(*(F.substring("said", 1 + at, 160) for at in (0, 40, 80, 120))), lambda s: F.length(s) >= 80)).drop("said")
+    # Of sections with one text the first one stands for all, as their scores are equal.
+    texts = listed.where("norm <> ''").groupBy(key, "norm").agg(F.min("ordinal").alias("ordinal"))
+    texts = joined(texts, blocks, [key]).select(key, "ordinal", "norm", F.pmod(F.xxhash64("norm"), "__bs").cast("int").alias("__b"), every("__as").alias("__a"))
+    texts = texts.withColumn("there", F.array_distinct(F.split("norm", " ")))
+
+    # Most words of a speech that a text contains are words of it; only the others are looked for inside.
+    absent = F.filter(F.array_except("words", "there"), lambda w: ~F.contains(F.col("norm"), w))
+    by_snippet = (F.length("norm") >= 100) & F.exists("snippets", lambda s: F.contains(F.col("norm"), s))
+    score = F.when(by_snippet, F.lit(2.0)).otherwise((F.size("words") - F.size(absent)) / F.col("size"))
+    scored = joined(asked, texts, [key, "__a", "__b"]).select(key, *hashes, F.struct(score.alias("score"), (-F.col("ordinal")).alias("back")).alias("pair"))
+    best = scored.where(F.col("pair.score") >= least).groupBy(key, *hashes).agg(F.max("pair").alias("best"))
+    named = listed.groupBy(key, F.col("ordinal").alias("__ordinal")).agg(F.max(F.struct("title", "docIdentifier")).alias("of"))
     found = joined(best.withColumn("__ordinal", -F.col("best.back")), named, [key, "__ordinal"])
-    found = found.select(key, "__h", "__i", F.struct(F.col("of.title").alias("title"), F.col("of.docIdentifier").alias("docIdentifier"), F.least("best.score", F.lit(1.0)).alias("score")).alias("section"))
-    return joined(rows.drop("said"), found, [key, "__h", "__i"], "left").select(*speeches.columns, "section")
+    found = found.select(key, *hashes, F.struct(F.col("of.title").alias("title"), F.col("of.docIdentifier").alias("docIdentifier"), F.least("best.score", F.lit(1.0)).alias("score")).alias("section"))
+    return joined(rows.drop("said"), found, [key, *hashes], "left").select(*speeches.columns, "section")
 
 
 def snippet_offset(page_text: str | Column, snippet: Column) -> Column:

@@ -182,3 +182,28 @@ def test_writers_of_a_session_do_their_work_once(spark, monkeypatch):
     QUERIES["stored_concurrent_writers"](spark, "/root/testdata/sf0.001")
     # An append may still come between; before, each rewrite undid all others that had begun (up to 28 times).
     assert len(failed) <= 8
+
+
+def test_sections_meet_speeches_in_blocks_with_few_shuffles(spark, monkeypatch):
+    plan = _plan(QUERIES["page_to_speeches"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange ") <= 14  # by an index of words and grams: over 40, whose plans are the driver's
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("water fishing boats sea sea-coast fish council of the policy longwordwithfish".split()) for _ in range(n))
+    listed = [(i % 2, i, f"T{i}", None, text(rng.randrange(0, 40))) for i in range(40)]
+    said = [(i % 2, i, rng.choice(listed)[4][10:190] if i % 3 else text(rng.randrange(0, 15))) for i in range(60)]
+    norm = lambda t: " ".join(re.sub("[^a-z0-9 ]", " ", t.lower()).split())
+    expected = {}
+    for k, i, t in said:
+        words, found = list(dict.fromkeys(norm(t).split())), []
+        snippets = [s for at in (0, 40, 80, 120) if len(s := norm(t)[at : at + 160]) >= 80]
+        for _, o, title, _, x in (r for r in listed if r[0] == k):
+            whole = len(norm(x)) >= 100 and any(s in norm(x) for s in snippets)
+            score = 2.0 if whole else sum(len(w) > 3 and w in norm(x) for w in words) / max(len(words), 1)
+            found.append((score, -o, title))
+        best = max((f for f in found if f[0] >= 0.08), default=None) if len(norm(t)) >= 50 else None
+        expected[i] = (best[2], min(best[0], 1.0)) if best else None
+    monkeypatch.setattr(transcripts, "BLOCK", 4)
+    speeches = spark.createDataFrame(said, "sitting_id int, speech_order int, speech_content string")
+    got = transcripts.match_sections(speeches, spark.createDataFrame(listed, "sitting_id int, ordinal int, title string, docIdentifier string, text string")).collect()
+    assert len(got) == 60 and {r.speech_order: (r.section.title, r.section.score) if r.section else None for r in got} == expected
+    assert len(set(expected.values())) > 10
