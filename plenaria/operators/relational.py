@@ -166,8 +166,17 @@ def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, le
     """
     if least <= 0:
         raise ValueError("least has to be above 0")
+    # A little less than the bound, as it is a rounded number.
+    common = lambda m, n: F.greatest(F.ceil((m + n) * (least / (1 + least)) - 1e-6), F.lit(1)).cast("int")
+
+    def sized(own: DataFrame, words: str, other: DataFrame, others: str) -> DataFrame:
+        """The sets whose sizes allow the similarity with a size that the other side has in their block."""
+        sizes = other.groupBy(block).agg(F.collect_set(F.size(others)).alias("__sizes"))
+        return own.join(sizes, block).where(F.exists("__sizes", lambda n: common(F.size(words), n) <= F.least(F.size(words), n))).drop("__sizes")
+
     asked = left.select(block, a, F.array_sort(tokens(a)).alias("__s")).where(F.size("__s") > 0).distinct()
-    given = right.select(block, b, F.array_sort(tokens(b)).alias("__t")).where(F.size("__t") > 0).groupBy(block, "__t").agg(F.max(b).alias(b))
+    given = right.select(block, b, F.array_sort(tokens(b)).alias("__t")).where(F.size("__t") > 0)
+    given = sized(given, "__t", asked, "__s").groupBy(block, "__t").agg(F.max(b).alias(b))
     sets = asked.select(block, "__s").distinct()
     same = sets.join(given.withColumnRenamed("__t", "__s"), [block, "__s"])
     rest = sets.join(given.select(block, F.col("__t").alias("__s")), [block, "__s"], "left_anti")
@@ -180,8 +189,7 @@ def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, le
         ranked = own.select(block, words, F.explode(words).alias("__w")).join(held, [block, "__w"], "left")
         ranked = ranked.groupBy(block, words).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w")))).alias("__order"))
         ranked = ranked.join(sizes, block).select(block, words, "__order", F.explode("__sizes").alias("__size"))
-        # A little less than the bound, as it is a rounded number.
-        shared = F.greatest(F.ceil((size + F.col("__size")) * (least / (1 + least)) - 1e-6), F.lit(1)).cast("int")
+        shared = common(size, F.col("__size"))
         ranked = ranked.where(shared <= F.least(size, F.col("__size"))).withColumn("__few", F.slice("__order", 1, size - shared + 1))
         return ranked.select(block, words, size.alias(f"{words}_n"), F.col("__size").alias("__s_n" if words == "__t" else "__t_n"), F.explode(F.col("__few.w")).alias("__w"))
 

@@ -207,3 +207,14 @@ def test_sections_meet_speeches_in_blocks_with_few_shuffles(spark, monkeypatch):
     got = transcripts.match_sections(speeches, spark.createDataFrame(listed, "sitting_id int, ordinal int, title string, docIdentifier string, text string")).collect()
     assert len(got) == 60 and {r.speech_order: (r.section.title, r.section.score) if r.section else None for r in got} == expected
     assert len(set(expected.values())) > 10
+
+
+def test_entries_of_other_sizes_are_left_out_before_their_words_are_counted(spark, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), F.explode
+    counted = F.udf(lambda words: seen.add(1) or words, "array<string>")
+    monkeypatch.setattr(R.F, "explode", lambda c: real(counted(c)) if isinstance(c, str) and c == "__t" else real(c))
+    rows = spark.createDataFrame([("d", "no such words"), ("e", "one"), ("e", "a b c d e f g h")], "day string, label string")
+    titles = spark.range(200).select(F.lit("d").alias("day"), F.concat(F.lit("T"), "id").alias("title")).union(spark.createDataFrame([("e", "One"), ("e", "x y"), ("f", "one")], "day string, title string"))
+    got = R.most_alike(rows, titles, "day", "label", "title", 0.6).collect()
+    assert [tuple(r) for r in got] == [("e", "one", "One")]
+    assert seen.value < 20  # all entries, once for each use: 406 and more
