@@ -59,6 +59,10 @@ def speaker_days(dated: DataFrame) -> DataFrame:
 KEPT = {"cube": cube, "speaker_days": speaker_days}
 
 
+#: The sums of the cube that the mart's tables come of: by day, and by all that isn't a day.
+SUMS = (("activity_date", "macro_topic"), ("macro_topic", "macro_specific_focus", "grp", "language"))
+
+
 def build(facts: DataFrame, sittings: DataFrame, path: str, people: bool = False) -> None:
     """Write the mart. Each table is an aggregate of the cube; `people` adds what distinct_counts() needs."""
     dated = _with_days(facts, sittings, False)
@@ -104,11 +108,13 @@ def refresh(spark: SparkSession, speeches: str, sittings: str, path: str) -> dic
 def derive(spark: SparkSession, path: str) -> None:
     """The mart's tables from the stored cube."""
     raw = sinks.read(spark, f"{path}/cube")
-    variants = topic_variants(raw)
-    base = canonical(raw, variants)
+    # All tables come of two small sums of the cube, which may be nearly as large as the facts: it is read twice, not once for each table and join.
+    sums, stages = zip(*(sinks.staged(raw.groupBy(*keys).agg(F.sum("n").alias("n")), f"{path}/cube") for keys in SUMS))
+    variants = topic_variants(sums[1])
+    by_day, base = (canonical(rows, variants) for rows in sums)
     known = base.where(filled("macro_topic")).withColumnRenamed("macro_topic", "topic")
     summed = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"))
-    dated = known.where("activity_date is not null")
+    dated = by_day.where(filled("macro_topic") & F.col("activity_date").isNotNull()).withColumnRenamed("macro_topic", "topic")
     series = None
     for interval in A.INTERVALS:
         one = A.grid(summed(dated, period("activity_date", interval).alias("period"), "topic")).withColumn("interval_type", F.lit(interval))
@@ -137,6 +143,8 @@ def derive(spark: SparkSession, path: str) -> None:
     # The tables are small and don't depend on each other: their jobs share the cluster.
     with ThreadPoolExecutor(len(tables)) as pool:
         list(pool.map(put, tables))
+    for stage in stages:
+        sinks.clear(spark, stage)
 
 
 def month_bits(days: DataFrame) -> DataFrame:

@@ -218,3 +218,14 @@ def test_entries_of_other_sizes_are_left_out_before_their_words_are_counted(spar
     got = R.most_alike(rows, titles, "day", "label", "title", 0.6).collect()
     assert [tuple(r) for r in got] == [("e", "one", "One")]
     assert seen.value < 20  # all entries, once for each use: 406 and more
+
+
+def test_the_mart_reads_its_cube_twice_for_all_tables(spark, tmp_path, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), mart.sinks.read
+    counted = F.udf(lambda n: seen.add(1) or n, "long").asNondeterministic()
+    monkeypatch.setattr(mart.sinks, "read", lambda s, p: real(s, p).withColumn("n", counted("n")) if p.endswith("/cube") else real(s, p))
+    facts = spark.createDataFrame([(i % 4, f"t{i % 3}" if i % 5 else None, "f", "g", None, "en") for i in range(40)], "sitting_id long, macro_topic string, macro_specific_focus string, political_group string, political_group_std string, language string")
+    days = spark.createDataFrame([(i, f"2020-01-0{i + 1}") for i in range(3)], "id long, activity_date string")
+    mart.build(facts, days, f"{tmp_path}/mart")
+    assert seen.value == 2 * real(spark, f"{tmp_path}/mart/cube").count()  # once for each table and join: over 10 times
+    assert mart.load(spark, f"{tmp_path}/mart")["overview"].first()["total"] == 40
