@@ -19,7 +19,7 @@ def export_one_csv(s, d):
     path = f"{counts.scratch(s, 'csv')}/export.csv"
     rows = views.event_speeches(s, d).select("id", "macro_topic", "activity_date", "value", "props")
     export.write_one_csv(rows.orderBy(F.desc("activity_date"), "id"), path)
-    return s.read.csv(path, header=True, multiLine=True, escape='"', schema="id long, macro_topic string, activity_date string, value double, props string")
+    return export.read_one_csv(s, path, "id long, macro_topic string, activity_date string, value double, props string")
 
 
 @query("taxonomy_file", "SELECT p_type AS name, CAST(row_number() OVER (ORDER BY p_type) - 1 AS INT) AS ordinal FROM (SELECT DISTINCT p_type FROM part)")

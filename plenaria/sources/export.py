@@ -1,4 +1,4 @@
-"""One ordered CSV file from many tasks: a data source writer whose parts are joined behind one mark and one header."""
+"""One ordered CSV file from many tasks: a data source writer whose parts are joined behind one mark and one header; and read again by many tasks."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import BooleanType, DoubleType, FloatType
+from pyspark.sql.window import Window
 
 MARK = "﻿"
 
@@ -100,3 +101,30 @@ def write_one_csv(df: DataFrame, path: str, overwrite: bool = True) -> None:
     head = df.sparkSession.range(1).select(F.concat_ws(",", *names)).first()[0]
     lines = df.select(F.concat_ws(",", *(cell(f.name, f.dataType) for f in df.schema)).alias("line"))
     lines.write.format("ordered_lines").mode("overwrite" if overwrite else "append").option("head", f"{MARK}{head}\n").save(path)
+
+
+def read_one_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a CSV file with a header, read in blocks by many tasks although values may hold line ends.
+
+    A line begins a record just if the quotes before it are even in number. They are counted by block first; in a
+    block its lines are numbered in their order. Parts of a record that blocks cut, at most two a block, are put together last.
+    """
+    odd = lambda c: F.length(F.regexp_replace(c, '[^"]', "")) % 2
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), odd("value").alias("odd"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as the file has blocks.
+    blocks = lines.groupBy("block").agg(F.sum("odd").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    so_far = Window.partitionBy("block").orderBy("nth")
+    rows = lines.join(F.broadcast(blocks), "block").withColumn("until", (F.col("start") + F.sum("odd").over(so_far)) % 2)
+    rows = rows.withColumn("begins", (F.col("until") + F.col("odd")) % 2 == 0).withColumn("record", F.sum(F.col("begins").cast("int")).over(so_far))
+    whole = F.col("begins") & (F.col("until") == 0)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]), "\n")
+    several = rows.where(~whole).groupBy("block", "record").agg(text.alias("value"))
+    cut = (F.col("record") == 0) | (odd("value") == 1)
+    ends = several.where(cut).withColumn("nth", F.sum((F.col("record") > 0).cast("int")).over(Window.orderBy("block", "record")))
+    place = F.sort_array(F.collect_list(F.struct("block", "record", "value")))
+    joined = ends.groupBy("nth").agg(place.alias("of")).select(F.get("of", F.lit(0))["block"].alias("block"), F.get("of", F.lit(0))["record"].alias("record"), F.array_join(F.transform("of", lambda x: x["value"]), "\n").alias("value"))
+    records = rows.where(whole).select("block", "record", "value").unionAll(several.where(~cut).select("block", "record", "value")).unionAll(joined)
+    # The first record is the header.
+    records = records.where(~((F.col("block") == 0) & (F.col("record") == 1)) & (F.col("value") != ""))
+    return records.select(F.from_csv("value", schema, {"escape": '"', "multiLine": "true"}).alias("row")).select("row.*")

@@ -15,6 +15,7 @@ from plenaria.operators.containment import contained
 from plenaria.plans import mart, stored
 from plenaria.registry import QUERIES
 from plenaria.settings import BATCH_BYTES
+from plenaria.sources import export
 from plenaria.streaming import corrections
 
 
@@ -229,3 +230,21 @@ def test_the_mart_reads_its_cube_twice_for_all_tables(spark, tmp_path, monkeypat
     mart.build(facts, days, f"{tmp_path}/mart")
     assert seen.value == 2 * real(spark, f"{tmp_path}/mart/cube").count()  # once for each table and join: over 10 times
     assert mart.load(spark, f"{tmp_path}/mart")["overview"].first()["total"] == 40
+
+
+def test_one_csv_file_is_read_by_many_tasks_although_values_hold_line_ends(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice('ab,"\n\r;ü') for _ in range(rng.choice((0, 3, 9, 40, 700))))
+    rows = [(i, text() or None, rng.random()) for i in range(400)]
+    export.write_one_csv(spark.createDataFrame(rows, "id long, props string, value double").orderBy("id"), f"{tmp_path}/one.csv")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (150, 1000, 1 << 30):  # records over several blocks, some blocks, and one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            got = export.read_one_csv(spark, f"{tmp_path}/one.csv", "id long, props string, value double")
+            assert sorted(map(tuple, got.collect())) == rows
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "Scan csv" not in _plan(QUERIES["export_one_csv"](spark, "/root/testdata/sf0.001"))  # by multiLine, which is one task
