@@ -115,28 +115,25 @@ def trained(labelled: DataFrame, language: str = "language", text: str = "text",
     return lambda texts: pd.DataFrame([one(t) for t in texts], columns=["language", "confidence"])
 
 
-def profiles(labelled: DataFrame, language: str = "language", text: str = "text", top: int = 400, most: int = 2000, longest: int = 4) -> Scorer:
+def profiles(labelled: DataFrame, language: str = "language", text: str = "text", top: int = 400, longest: int = 4) -> Scorer:
     """A scorer by rank order: a text's most frequent character n-grams against those of each language, by how far each is out of its place.
 
     Profiles are the `top` n-grams of one to `longest` letters, the most frequent first. They are
-    learnt from about `most` whole texts of each language, chosen by a hash of the text; their
-    n-grams are counted on the executors, and what is collected is bounded by languages * top. All of a
-    text is scored. An n-gram that a profile lacks is `top` places out; confidence is how much
-    nearer the best language is than the second one (than none at all where there is only one).
+    learnt from all labelled texts; their n-grams are counted on the executors, and what is
+    collected is bounded by languages * top. All of a text is scored. An n-gram that a profile lacks
+    is `top` places out; confidence is how much nearer the best language is than the second one
+    (than none at all where there is only one).
     """
     rows = labelled.select(F.col(language).alias("code"), F.col(text).alias("body")).where("code is not null and body is not null")
-    share = rows.groupBy("code").agg((F.lit(most) / F.count("*")).alias("share"))
-    chosen = rows.join(F.broadcast(share), "code").where((F.xxhash64("body").bitwiseAND(F.lit(0xFFFFF)) / float(1 << 20)) < F.col("share")).select("code", "body")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for code, some in frame.groupby("code"):
-                found: Counter = Counter()
-                for x in some["body"]:
-                    found.update(_ngrams(x, longest))
-                yield pd.DataFrame({"code": code, "gram": list(found), "n": list(found.values())})
+                for block in _blocks(some["body"], LEARNT_AT_ONCE):
+                    grams, n = _ngrams_of_all(block, longest)
+                    yield pd.DataFrame({"code": code, "gram": grams, "n": n})
 
-    counts = chosen.mapInPandas(count, "code string, gram string, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInPandas(count, "code string, gram string, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "gram"))
     kept = counts.withColumn("place", place).where(F.col("place") <= top).select("code", "gram", "place").collect()
     codes = sorted({r["code"] for r in kept})
@@ -146,17 +143,108 @@ def profiles(labelled: DataFrame, language: str = "language", text: str = "text"
     for r in kept:
         places[index[r["gram"]], codes.index(r["code"])] = r["place"] - 1
 
-    def one(value: str | None) -> tuple[str | None, float]:
-        own = [index.get(g, none) for g in first_ngrams(value or "", top, longest)]
-        if not codes or all(i == none for i in own):
-            return None, 0.0
+    def score(block: list[str]) -> list[tuple[str | None, float]]:
+        said: list[tuple[str | None, float]] = [(None, 0.0)] * len(block)
+        owner, nth, grams = _first_ngrams_of_each(block, top, longest)
+        if not codes or not grams:
+            return said
+        own = np.fromiter((index.get(g, none) for g in grams), np.int64, len(grams))
         there = places[own]
-        out = np.where(there < 0, top, np.abs(there - np.arange(len(own))[:, None])).sum(0)
-        best = int(out.argmin())
-        second = int(np.partition(out, 1)[1]) if len(codes) > 1 else top * len(own)
-        return codes[best], 1 - int(out[best]) / max(second, 1)
-
-    return lambda texts: pd.DataFrame([one(t) for t in texts], columns=["language", "confidence"])
+        texts, first, size = np.unique(owner, return_index=True, return_counts=True)
+        out = np.add.reduceat(np.where(there < 0, top, np.abs(there - nth[:, None])), first)
+        best = out.argmin(1)
+        second = np.partition(out, 1)[:, 1] if len(codes) > 1 else top * size
+        for i in np.flatnonzero(np.logical_or.reduceat(own < none, first)):
+            said[texts[i]] = codes[best[i]], 1 - int(out[i, best[i]]) / max(int(second[i]), 1)
+        return said
+
+    return lambda texts: pd.DataFrame([x for block in _blocks(texts, SCORED_AT_ONCE) for x in score(block)], columns=["language", "confidence"])
+
+
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters, and texts, whose n-grams are counted in one call; a text of more than ALONE characters is counted by _ngrams().
+SCORED_AT_ONCE, LEARNT_AT_ONCE, TEXTS_AT_ONCE, ALONE = 1 << 17, 1 << 19, 256, 1 << 21
+
+
+def _blocks(texts: Iterable[str | None], most: int) -> Iterator[list[str]]:
+    """Texts in their order, up to `most` characters at a time; a longer text is alone."""
+    block, n = [], 0
+    for text in texts:
+        text = text or ""
+        if block and (n + len(text) > most or len(block) == TEXTS_AT_ONCE):
+            yield block
+            block, n = [], 0
+        block.append(text)
+        n += len(text)
+    if block:
+        yield block
+
+
+def _numbered(texts: list[str], longest: int, apart: bool) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]] | None:
+    """The n-grams of _ngrams() as numbers, each once a text (once for all texts if not `apart`), how often they are found, and what spells numbers.
+
+    A number is its text, then the places of its characters in the alphabet of all texts, where the filling of
+    shorter n-grams and the gap come first, so numbers are in the order of texts and n-grams. None where that
+    is too long a number or a text is too long.
+    """
+    low = [f" {t.lower()} " for t in texts]
+    sizes = [len(t) for t in low]
+    if max(sizes) > ALONE:
+        return None
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    letters = np.array([c for c in np.flatnonzero(seen).tolist() if LETTERS.match(chr(c))], np.uint32)
+    bits = (len(letters) + 1).bit_length()
+    shift = bits * longest
+    if shift + len(texts).bit_length() > 63:
+        return None
+    alphabet = np.concatenate([np.array([0, ord(" ")], np.uint32), letters])
+    place = np.ones(len(seen), np.int64)
+    place[letters] = np.arange(2, len(alphabet))
+    at, owner = place[points], np.repeat(np.arange(len(texts)), sizes)
+    # Between two words there is one gap; between two texts there are two.
+    keep = at > 1
+    keep[1:] |= (at[:-1] > 1) | (owner[1:] != owner[:-1])
+    keep[0] = True
+    at, owner = at[keep], owner[keep] << shift if apart else np.zeros(int(keep.sum()), np.int64)
+    gap = at == 1
+    found, value, inside = [(owner | at << shift - bits)[~gap]], at, gap
+    for size in range(2, min(longest, len(at)) + 1):
+        value = value[:-1] << bits | at[size - 1 :]
+        # Gaps are ends only, and never both of two characters.
+        inside = inside[:-1] & ~gap[size - 2 : -1] if size > 2 else ~(gap[:-1] & gap[1:])
+        found.append((owner[: len(value)] | value << shift - bits * size)[inside])
+    numbers, n = np.unique(np.concatenate(found), return_counts=True)
+
+    def spell(numbers: np.ndarray) -> list[str]:
+        return alphabet[numbers[:, None] >> bits * np.arange(longest - 1, -1, -1) & (1 << bits) - 1].view(f"<U{longest}").ravel().tolist()
+
+    return numbers >> shift, numbers, n, spell
+
+
+def _ngrams_of_all(texts: list[str], longest: int) -> tuple[list[str], list[int] | np.ndarray]:
+    """The n-grams of all texts, and how often they are found."""
+    found = _numbered(texts, longest, apart=False)
+    if found is None:
+        plain = sum((_ngrams(t, longest) for t in texts), Counter())
+        return list(plain), list(plain.values())
+    _, numbers, n, spell = found
+    return spell(numbers), n
+
+
+def _first_ngrams_of_each(texts: list[str], top: int, longest: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """first_ngrams() of each text: the number of the text, the place from 0, the n-gram."""
+    found = _numbered(texts, longest, apart=True)
+    if found is None:
+        plain = [first_ngrams(t, top, longest) for t in texts]
+        sizes = [len(p) for p in plain]
+        return np.repeat(np.arange(len(texts)), sizes), np.concatenate([np.arange(k) for k in sizes]), list(chain.from_iterable(plain))
+    owner, numbers, n, spell = found
+    order = np.lexsort((-n, owner))
+    nth = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(texts)))[owner]
+    first = nth < top
+    return owner[first], nth[first], spell(numbers[order[first]])
 
 
 @lru_cache(1 << 15)
@@ -167,7 +255,7 @@ def _grams_of(word: str, longest: int) -> tuple[str, ...]:
 
 def _ngrams(text: str, longest: int) -> Counter:
     """N-grams of 1 to `longest` characters of the words, each between two gaps; gaps alone are none."""
-    out = Counter(chain.from_iterable(_grams_of(w, longest) for w in re.findall(r"[^\W\d_]+", text.lower())))
+    out = Counter(chain.from_iterable(_grams_of(w, longest) for w in LETTERS.findall(text.lower())))
     del out[" "]
     return out
 

@@ -628,7 +628,7 @@ def lang_vote(s, d):
 
 @query("lang_profiles")
 def lang_profiles(s, d):
-    """The language of every whole text by rank-order profiles, learnt from the documents whose ids the hash doesn't hold out."""
+    """The language of every whole text by rank-order profiles, learnt from all documents whose ids the hash doesn't hold out."""
     docs = views.table(s, d, "documents")
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     bounded_batches(s)

@@ -139,6 +139,34 @@ def test_ngrams_equal_plain_counts():
     assert language.first_ngrams(text, 10_000, 4) == sorted(expected, key=lambda g: (-expected[g], g))
 
 
+def test_profiles_are_learnt_from_all_texts(spark):
+    """Each of many texts of a language has its own letter; a profile of all n-grams knows every one."""
+    texts = [chr(0x4E00 + i) * 3 for i in range(2500)]
+    scorer = language.profiles(spark.createDataFrame([("A", t) for t in texts] + [("B", "b")], "language string, text string"), top=30_000)
+    assert set(scorer(pd.Series(texts))["language"]) == {"A"}
+
+
+def test_ngrams_of_many_texts_equal_those_of_each(monkeypatch):
+    rng = random.Random(4)
+    odd = ["", " ", "_1,", "a", " a", "A b", "½ ² Ⅷ_٣", "İI ıß ΑΣ ΑΣ.", "e\u0301t\u00e9 \U00010400\U0001d7d8 x\0y", "a" * 3000, "ab " * 2000, "字" * 5 + "。字典"]
+    texts = odd + ["".join(rng.choice("aabcdÄß_1 ,.\n字") for _ in range(rng.randrange(80))) for _ in range(700)] + ["".join(map(chr, range(0x4E00, 0x9F00)))] + odd[::-1]
+    for longest in (1, 2, 4, 7):
+        for alone in (language.ALONE, 1000):
+            monkeypatch.setattr(language, "ALONE", alone)
+            first, counts = [], Counter()
+            for block in language._blocks([None, *texts], 4000):
+                owner, nth, grams = language._first_ngrams_of_each(block, 40, longest)
+                own = [[] for _ in block]
+                for i, k, gram in zip(owner, nth, grams):
+                    assert k == len(own[i])
+                    own[i].append(gram)
+                first += own
+                for gram, n in zip(*language._ngrams_of_all(block, longest)):
+                    counts[gram] += n
+            assert first == [language.first_ngrams(t, 40, longest) for t in ["", *texts]]
+            assert counts == sum((language._ngrams(t, longest) for t in texts), Counter())
+
+
 class _Handle:
     """State of one sitting that counts its calls."""
 
